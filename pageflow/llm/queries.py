@@ -31,6 +31,12 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
@@ -40,6 +46,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_separator_scan": op2_separator_scan,
     "op5_simple8b": op5_simple8b,
+    "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES = {"op2_separator_scan": OP2_SQL}
