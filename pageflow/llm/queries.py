@@ -31,6 +31,12 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import forest_search
+
+    return forest_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -46,6 +52,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_separator_scan": op2_separator_scan,
     "op5_simple8b": op5_simple8b,
+    "op7_projection_forest": op7_projection_forest,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
