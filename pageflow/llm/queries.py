@@ -25,6 +25,12 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS n_tokens FROM documents"
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_output import simple8b_round_trip
 
@@ -51,6 +57,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_separator_scan": op2_separator_scan,
+    "op3_toxicity_chain": op3_toxicity_chain,
     "op5_simple8b": op5_simple8b,
     "op7_projection_forest": op7_projection_forest,
     "op8_license_scan": op8_license_scan,
