@@ -31,6 +31,12 @@ def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_output import simple8b_round_trip
 
@@ -58,6 +64,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_separator_scan": op2_separator_scan,
     "op3_toxicity_chain": op3_toxicity_chain,
+    "op4_latent_decontamination": op4_latent_decontamination,
     "op5_simple8b": op5_simple8b,
     "op7_projection_forest": op7_projection_forest,
     "op8_license_scan": op8_license_scan,
