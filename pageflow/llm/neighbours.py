@@ -10,7 +10,9 @@ by the hash of their id, and searches enter both sides, so copies never crowd a
 A search takes nodes of all trees from one priority queue by their distance from the
 query until the leaves taken hold `visit` times as many rows as the table (a row counts
 in each tree).  Leaf cells then meet their queries, score by double-precision inner
-products on the original vectors, and each query keeps its best.
+products on the original vectors, and each query keeps its best.  A first round over each
+query's nearest leaf gives a score that its k-th best reaches at least; in the second
+round cells return nothing below it, so what they return follows the number of queries.
 
 Behaviour: vectors that are null, zero, of a length other than the most common one, or
 that hold null or non-finite components take no part; a null id takes no part; rows that
@@ -74,7 +76,7 @@ def search(trees: list[Tree], query: np.ndarray, leaf_rows: float, want: float)
     offset = [t.way @ query - t.at for t in trees]
     queue = [(0.0, k, 0) for k in range(len(trees))]
     out: list[tuple[int, int]] = []
-    while queue and len(out) * leaf_rows < want:
+    while queue and (not out or len(out) * leaf_rows < want):
         far, k, node = heapq.heappop(queue)
         if node >= inner[k]:
             out.append((k, node - inner[k]))
@@ -86,19 +88,16 @@ def search(trees: list[Tree], query: np.ndarray, leaf_rows: float, want: float)
     return out
 
 
-def best_in_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query_id, vec_id, score) of each query's k best in the cell; ties go to the smaller id."""
+def best_in_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray):
+    """(query_id, vec_id, score) of each query's k best in the cell that reach `least`; ties go to the smaller id."""
     out = []
     rough = queries @ rows.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     scale = np.abs(rough[np.isfinite(rough)]).max(initial=1.0)
     for q in range(len(query_ids)):
         r = rough[q]
-        if len(r) > k:
-            edge = np.partition(r, len(r) - k)[len(r) - k]
-            own = np.flatnonzero((r >= edge - 1e-9 * scale) & (r > -np.inf))
-        else:
-            own = np.flatnonzero(r > -np.inf)
+        edge = np.partition(r, len(r) - k)[len(r) - k] if len(r) > k else -np.inf
+        own = np.flatnonzero((r >= max(edge, least[q]) - 1e-9 * scale) & (r > -np.inf))
         score = (rows[own] * queries[q]).sum(axis=1)
         top = np.lexsort((ids[own], -score))[:k]
         out.append((np.full(len(top), query_ids[q]), ids[own][top], score[top]))
@@ -114,7 +113,7 @@ def usable(rows: DataFrame) -> DataFrame:
     return df.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaf_rows: int = 1024, visit: float = 1.4, sample_rows: int = 20_000, block: int = 4096, seed: int = 7) -> DataFrame:
+def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaves: int = 64, visit: float = 1.4, sample_rows: int = 20_000, block: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row that meets `is_query`."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -135,8 +134,7 @@ def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaf_r
 
     rng = np.random.default_rng(seed)
     fit = lengthened(np.array(sample["v"].tolist(), np.float64))
-    # at least 16 leaves, and some sample rows to each
-    depth = int(min(max(4, np.ceil(np.log2(max(1, n / leaf_rows)))), max(1, np.log2(max(2, len(fit) / 8)))))
+    depth = int(min(np.ceil(np.log2(leaves)), max(1, np.log2(max(2, len(fit) / 8)))))  # some sample rows to each leaf
     forest = [Tree(rng, fit, depth) for _ in range(trees)]
     leaf = n / (1 << depth)
     row_blocks = int(np.ceil(leaf / block))
@@ -153,20 +151,24 @@ def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaf_r
                 for b in range(query_blocks):
                     yield _frame(t, cell, part, b, ids, raw)
 
-    def probe(batches):
-        for pdf in batches:
-            ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
-            own = (mix64(ids.view(np.uint64) + np.uint64(2)) % np.uint64(query_blocks)).astype(np.int64)
-            for at in range(0, len(ids), 64):
-                found = []
-                for i in range(at, min(at + 64, len(ids))):
-                    q = np.append(x[i], 0.0) / np.linalg.norm(x[i])
-                    found += [(t, c, p, own[i], ids[i], x[i].tobytes()) for t, c in search(held.value, q, leaf, visit * n) for p in range(row_blocks)]
-                yield _rows(found)
+    def probe(rounds):
+        def run(batches):
+            for pdf in batches:
+                ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
+                least = pdf["least"].to_numpy(np.float64)
+                own = (mix64(ids.view(np.uint64) + np.uint64(2)) % np.uint64(query_blocks)).astype(np.int64)
+                for at in range(0, len(ids), 64):
+                    found = []
+                    for i in range(at, min(at + 64, len(ids))):
+                        q = np.append(x[i], 0.0) / np.linalg.norm(x[i])
+                        found += [(t, c, p, own[i], ids[i], x[i].tobytes(), least[i]) for t, c in search(held.value, q, leaf, rounds * n) for p in range(row_blocks)]
+                    yield _rows(found)
+
+        return run
 
     cells = "tree int, leaf long, part long, own long, vec_id long, v binary"
     indexed = good.mapInPandas(index, cells)
-    probes = good.filter(is_query).mapInPandas(probe, cells)
+    queries = good.filter(is_query)
 
     def score(left, right):
         import pandas as pd
@@ -174,15 +176,26 @@ def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaf_r
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         x = [np.frombuffer(b"".join(f["v"]), np.float64).reshape(-1, dim) for f in (left, right)]
-        q, v, s = best_in_cell(left["vec_id"].to_numpy(), x[0], right["vec_id"].to_numpy(), x[1], k)
+        q, v, s = best_in_cell(left["vec_id"].to_numpy(), x[0], right["vec_id"].to_numpy(), x[1], k, right["least"].to_numpy())
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     key = ["tree", "leaf", "part", "own"]
-    scored = indexed.groupBy(*key).cogroup(probes.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
+
+    def scores(asked, rounds):
+        probes = asked.mapInPandas(probe(rounds), cells + ", least double")
+        return indexed.groupBy(*key).cogroup(probes.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
+
+    def ranked(scored):
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return scored.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+
+    nothing = F.lit(float("-inf"))
+    first = ranked(scores(queries.withColumn("least", nothing), 0.0))
+    least = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+    least, _ = written(spark, least, "least")
+    scored = scores(queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", nothing)), visit)
     # a row found in several trees has one score, so it has one rank
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
-    return ranked.groupBy("query_id", "rank").agg(F.min("vec_id").alias("vec_id"), F.max("score").alias("score")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(scored).groupBy("query_id", "rank").agg(F.min("vec_id").alias("vec_id"), F.max("score").alias("score")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _frame(tree, cell, part, own, ids, raw):
@@ -194,4 +207,4 @@ def _frame(tree, cell, part, own, ids, raw):
 def _rows(found):
     import pandas as pd
 
-    return pd.DataFrame(found, columns=["tree", "leaf", "part", "own", "vec_id", "v"]).astype({"tree": np.int32, "leaf": np.int64, "part": np.int64, "own": np.int64, "vec_id": np.int64})
+    return pd.DataFrame(found, columns=["tree", "leaf", "part", "own", "vec_id", "v", "least"]).astype({"tree": np.int32, "leaf": np.int64, "part": np.int64, "own": np.int64, "vec_id": np.int64})
