@@ -177,3 +177,15 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def bucketed(spark: SparkSession, df: DataFrame, key: str, n: int, label: str) -> tuple[DataFrame, str]:
+    """`df` written once into `n` buckets of `key`; grouping by `key` then shuffles nothing.
+
+    Files go to the shared folder; the name is of the session's catalog.
+    """
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    atexit.register(_drop_quietly, spark, path)
+    return spark.table(name), path

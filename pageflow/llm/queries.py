@@ -14,6 +14,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_trees import context_tree_scores
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return context_tree_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from flat byte-level token files without an index."""
     from .token_counts import byte_token_blocks, name_documents, separator_scan
@@ -62,6 +69,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_trees": op1_context_trees,
     "op2_separator_scan": op2_separator_scan,
     "op3_toxicity_chain": op3_toxicity_chain,
     "op4_latent_decontamination": op4_latent_decontamination,
