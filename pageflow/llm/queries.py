@@ -68,6 +68,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 0, 2048)
 
 
+def op10_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicate_substrings
+
+    return deduplicate_substrings(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_context_trees": op1_context_trees,
     "op2_separator_scan": op2_separator_scan,
@@ -77,5 +83,6 @@ QUERIES = {
     "op7_projection_forest": op7_projection_forest,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_fingerprint_index": op10_fingerprint_index,
 }
 ORACLES = {"op2_separator_scan": OP2_SQL}
