@@ -32,10 +32,15 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS n_tokens FROM documents"
 
 
+def categories() -> dict:
+    """The chain's categories over `labels`, in order."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories())
 
 
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +55,12 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b_round_trip(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
+def op6_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import forest_search
 
@@ -80,6 +91,7 @@ QUERIES = {
     "op3_toxicity_chain": op3_toxicity_chain,
     "op4_latent_decontamination": op4_latent_decontamination,
     "op5_simple8b": op5_simple8b,
+    "op6_vertical_jaccard": op6_vertical_jaccard,
     "op7_projection_forest": op7_projection_forest,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -246,14 +246,15 @@ def removed(words: list[bytes], spans, window: int) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 16, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row; `with_text` adds what is left of the text.
+def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 16, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row; `with_text` adds what is left of the text, `carry` other columns of `docs`.
 
     A text that loses nothing stays as it is; of others the kept words are joined by one space.
     """
     spark = docs.sparkSession
     groups = text_groups(docs, group_mb)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))
+    carry = carry or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry))).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))
     dealt, _ = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
     size = dealt.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(min(64, np.ceil(np.log2(size + 2)) + 27))
@@ -269,6 +270,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
     repeats = spark.read.schema("g long, repeats binary").parquet(path)
     found = repeats.groupBy("g").applyInArrow(intervals, "g long, doc_id long, start long, og long, owner long, owner_start long, n long")
     texts = dealt.groupBy("g")
+    plain = dealt.select("g", "doc_id", "text").groupBy("g")
 
     def fetch(t, asked):
         import pyarrow as pa
@@ -289,7 +291,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
 
     asked = found.withColumnRenamed("g", "dg").withColumnRenamed("og", "g")
     # the group of the interval's document travels on as g
-    spans = texts.cogroup(asked.select("g", F.col("dg"), "doc_id", "start", "owner", "owner_start", "n").groupBy("g")).applyInArrow(lambda t, a: fetch(t, a.drop_columns("g").rename_columns(["g", *a.column_names[2:]])), "g long, doc_id long, start long, n long, span binary")
+    spans = plain.cogroup(asked.select("g", F.col("dg"), "doc_id", "start", "owner", "owner_start", "n").groupBy("g")).applyInArrow(lambda t, a: fetch(t, a.drop_columns("g").rename_columns(["g", *a.column_names[2:]])), "g long, doc_id long, start long, n long, span binary")
 
     def apply(t, spans):
         import pyarrow as pa
@@ -310,7 +312,9 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
         cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
         if with_text:
             cols[-1] = cols[-1].cast(pa.string())
-        return pa.table(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if with_text else [])])
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if with_text else [])]
+        return pa.table([*cols, *(t.column(f"_c{i}") for i in range(len(carry)))], names=[*names, *(f"_c{i}" for i in range(len(carry)))])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    return texts.cogroup(spans.groupBy("g")).applyInArrow(apply, schema)
+    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", _c{i} {k}" for i, k in enumerate(kinds))
+    return texts.cogroup(spans.groupBy("g")).applyInArrow(apply, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})

@@ -190,7 +190,28 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(score, "doc_id long, " + ", ".join(f"{x} double" for x in names))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic, toxic for each row of `docs`."""
-    chain = fit_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+#: Clean documents stay far below this probability, and it costs no held-out precision.
+THRESHOLD = 0.3
+
+
+def without(docs: DataFrame, chain: Chain, category: str, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, as they are, whose probability of a category stays below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(chain)
+    at, which = docs.columns.index("text"), chain.names.index(category)
+
+    def keep(batches):
+        import pyarrow as pa
+
+        own = held.value
+        for b in batches:
+            for first, part in chunks(x.lower() for x in utf8(b.column(at))):
+                p = own.scores(len(part), *present(part, own.kept))[:, which]
+                yield b.slice(first, len(part)).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, a probability of each category, and `toxic`, for each row of `docs`."""
+    chain = fit_chain(docs, labels, categories)
     return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
