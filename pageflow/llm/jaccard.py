@@ -1,12 +1,15 @@
 """N-gram Jaccard join by vertical partitioning (operator 6).
 
 A document is the set of its distinct word n-grams, as 64-bit hashes.  N-grams have one
-global order: rare ones first, by counts of hashed buckets over the whole corpus.
+global order: by the number of documents that hold them, rare ones first.
 
+0. Groups of documents send their distinct n-grams, as sorted segments by hash range, to
+   be counted over the corpus, and get the counts back in the same order.
 1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
 2. Two sets that are similar enough share one of their first n - ceil(t n) + 1 n-grams in
-   the global order.  Joining each class with the first one that shares such an n-gram
-   gives edges whose connected components, the clusters, hold every similar pair.
+   the global order.  N-grams of one document only match nothing.  Joining each class with
+   the first one that shares such an n-gram gives edges whose connected components, the
+   clusters, hold every similar pair.
 3. Clusters are cut into blocks of bounded size; each pair of blocks is one job.  A job
    cuts the global order into fragments, counts the overlaps of all pairs in each
    fragment separately (a product of incidence matrices) and sums the counts per pair.
@@ -30,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_words, mix64, rolling, utf8, width, written
+from .common import bucketed, chunks, drop_path, hash_words, mix64, rolling, text_groups, utf8, width, written
 from .graph import connected_components
+from .substrings import read_segment, write_segment
 
-COUNTERS = 1 << 20
-PART = 1 << 14
+#: Counts above this are equal in the order.
+MANY = 65535
 
 
 def shingle_sets(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,69 +51,98 @@ def shingle_sets(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < n))
     whole = np.array([rolling(words[first[i] : first[i] + counts[i]], int(counts[i]))[0] ^ np.uint64(counts[i]) for i in short.tolist()], np.uint64)
     h, d = np.concatenate((grams[own], whole)), np.concatenate((doc[own], short))
-    order = np.lexsort((h, d))
+    order = np.argsort(h)
+    order = order[np.argsort(d[order].astype(np.min_scalar_type(len(docs))), kind="stable")]
     h, d = h[order], d[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))[: len(h)]
     return h[new], np.bincount(d[new], minlength=len(docs))
 
 
-def _sets(batch, n, column):
-    for first, part in chunks(x.lower() for x in utf8(batch.column(column))):
+def _sets(texts: list[bytes], n):
+    for first, part in chunks(x.lower() for x in texts):
         h, sizes = shingle_sets(part, n)
-        yield first, h, sizes, np.concatenate(([0], np.cumsum(sizes)))
+        yield first, h, sizes
 
 
-def ngram_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents hold an n-gram of each counter: COUNTERS numbers over the whole corpus."""
+def _distinct(texts: list[bytes], n) -> tuple[np.ndarray, np.ndarray]:
+    """A group's distinct n-grams in order, and how many of its documents hold each."""
+    parts = [np.unique(h, return_counts=True) for _, h, _ in _sets(texts, n)]
+    h, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    values, at = np.unique(h, return_inverse=True)
+    return values, np.bincount(at, c, len(values)).astype(np.int64)
 
-    def count(batches):
-        import pyarrow as pa
 
-        total = np.zeros(COUNTERS, np.uint32)
-        for b in batches:
-            for _, h, _, _ in _sets(b, n, 0):
-                total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        parts = range(0, COUNTERS, PART)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(list(parts), pa.int32()), "c": pa.array([total[i : i + PART].tobytes() for i in parts], pa.binary())})
+def document_counts(dealt: DataFrame, n: int, groups: int) -> DataFrame:
+    """(g, bucket, counts): for each group's n-grams, in order, how many documents of the corpus hold them."""
+    bits = int(np.ceil(np.log2(max(2, groups))))
+    shift, buckets = np.uint64(64 - bits), 1 << bits
 
-    def add(t):
+    def send(t):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in t.column("c").to_pylist())
-        return pa.table({"k": t.column("k").slice(0, 1), "c": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
-
-    out = np.zeros(COUNTERS, np.uint32)
-    for k, c in docs.select(F.coalesce("text", F.lit(""))).mapInArrow(count, "k int, c binary").groupBy("k").applyInArrow(add, "k int, c binary").collect():
-        out[k : k + PART] = np.frombuffer(c, np.uint32)
-    return out
+        h, c = _distinct(utf8(t.column("text")), n)
+        cuts = np.searchsorted(h >> shift, np.arange(buckets + 1).astype(np.uint64))
+        own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        return pa.table({"bucket": pa.array(own, pa.int32()), "g": pa.array([t.column("g")[0].as_py()] * len(own), pa.int64()), "grams": pa.array([write_segment(h[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]]) for b in own], pa.binary())})
 
+    def count(t):
+        import pyarrow as pa
 
-def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """doc_id, n_shingles, two signatures of the set, and its first n-grams in the global order."""
+        parts = [read_segment(x) for x in t.column("grams").to_pylist()]
+        h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")  # sorted segments, which this sort merges
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        total = np.minimum(np.add.reduceat(c, first), MANY).astype(np.uint16)
+        back = np.empty(len(order), np.uint16)
+        back[order] = np.repeat(total, np.diff(np.append(first, len(h))))
+        ends = np.cumsum([0] + [len(x[0]) for x in parts])
+        codec = pa.Codec("zstd")
+        return pa.table({"g": t.column("g"), "bucket": t.column("bucket"), "counts": pa.array([codec.compress(back[a:b].tobytes(), asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "size": pa.array(np.diff(ends))})
 
-    def cut(batches):
-        import pyarrow as pa
+    sent = dealt.groupBy("g").applyInArrow(send, "bucket int, g long, grams binary")
+    return sent.groupBy("bucket").applyInArrow(count, "g long, bucket int, counts binary, size long")
 
-        rare = counts.value
-        for b in batches:
-            for first, h, sizes, cuts in _sets(b, n, 1):
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((h, rare[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], doc))
-                place = np.arange(len(h)) - np.repeat(cuts[:-1], sizes)
-                take = sizes - -(-percent * sizes // 100) + 1
-                kept = order[place < np.repeat(take, sizes)]
-                ends = np.concatenate(([0], np.cumsum(np.minimum(take, sizes))))
-                some = np.concatenate((h, np.zeros(1, np.uint64)))
-                sums = [np.where(sizes > 0, np.add.reduceat(f(some), np.minimum(cuts[:-1], len(h))), 0) if len(sizes) else sizes for f in (mix64, lambda x: mix64(x ^ np.uint64(0x5851F42D4C957F2D)))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sizes)), pa.array(sizes.astype(np.int64)), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[kept].view(np.int64)))], names=["doc_id", "n_shingles", "s1", "s2", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(cut, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>")
+def prefixes(dealt: DataFrame, counts: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, two signatures of the set, the shared n-grams among its first ones in the
+    global order, and, if there are any, all its shared n-grams with their counts."""
 
+    def cut(t, back):
+        import pyarrow as pa
 
-def overlaps(tokens: np.ndarray, owner: np.ndarray, docs: int, rare: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+        codec = pa.Codec("zstd")
+        lists = sorted(zip(*(back.column(c).to_pylist() for c in ("bucket", "counts", "size")), strict=True))
+        df = np.concatenate([np.frombuffer(codec.decompress(c, 2 * k, asbytes=True), np.uint16) for _, c, k in lists] or [np.empty(0, np.uint16)])
+        texts = utf8(t.column("text"))
+        grams, _ = _distinct(texts, n)
+        out = []
+        for first, h, sizes in _sets(texts, n):
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
+            own = df[np.searchsorted(grams, h)]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            shared = np.bincount(doc, own > 1, len(sizes)).astype(np.int64)
+            take = sizes - -(-percent * sizes // 100) + 1 - (sizes - shared)  # of the shared ones, after those of one document
+            few = np.flatnonzero((take > 0) & (sizes > 0))
+            pre, tok = [None] * len(sizes), [None] * len(sizes)
+            for i in few.tolist():
+                x, c = h[cuts[i] : cuts[i + 1]], own[cuts[i] : cuts[i + 1]]
+                x, c = x[c > 1], c[c > 1]
+                order = np.lexsort((x, c))
+                pre[i] = x[order[: take[i]]].view(np.int64)
+                tok[i] = x[order].tobytes() + c[order].tobytes()
+            some = np.concatenate((h, np.zeros(1, np.uint64)))
+            sums = [np.where(sizes > 0, np.add.reduceat(f(some), np.minimum(cuts[:-1], len(h))), 0).astype(np.uint64).view(np.int64) for f in (mix64, lambda x: mix64(x ^ np.uint64(0x5851F42D4C957F2D)))]
+            out.append(pa.table([t.column("doc_id").slice(first, len(sizes)), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), pa.array(pre, pa.list_(pa.int64())), pa.array(tok, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "prefix", "tokens"]))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(cut, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, tokens binary")
+
+
+def overlaps(tokens: np.ndarray, counts: np.ndarray, owner: np.ndarray, docs: int, cells: int = 1 << 22) -> np.ndarray:
     """Overlap of every pair of sets: fragments of the global order counted separately and summed."""
-    values, at, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, rare[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+    values, first, at, count = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((values, counts[first]))
     order = order[count[order] > 1]  # an n-gram of one set overlaps with nothing
     rank = np.full(len(values), -1)
     rank[order] = np.arange(len(order))
@@ -146,9 +179,15 @@ class Forest:
         return a != b
 
 
-def job_links(ids, block, sizes, sets, weights, crossing: bool, percent: int, rare):
-    """Spanning edges (u, v) of the job's links, and each id's number of linked documents."""
-    total = overlaps(np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), len(ids), rare).astype(np.int64)
+def job_links(ids, block, sizes, sets, weights, crossing: bool, percent: int):
+    """Spanning edges (u, v) of the job's links, and each id's number of linked documents.
+
+    `sets` are the shared n-grams of each set, then their counts; `sizes` those of the whole sets.
+    """
+    k = [len(x) // 10 for x in sets]
+    tokens = np.concatenate([np.frombuffer(x, np.uint64, m) for x, m in zip(sets, k, strict=True)])
+    counts = np.concatenate([np.frombuffer(x, np.uint16, m, 8 * m) for x, m in zip(sets, k, strict=True)])
+    total = overlaps(tokens, counts, np.repeat(np.arange(len(ids)), k), len(ids)).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - total
     linked = (100 * total >= percent * union) & (ids[:, None] != ids[None, :])
     if crossing:
@@ -159,28 +198,30 @@ def job_links(ids, block, sizes, sets, weights, crossing: bool, percent: int, ra
     return edges, linked @ weights
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000, group_mb: float = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of each row."""
     spark = docs.sparkSession
-    rare = spark.sparkContext.broadcast(ngram_counts(docs, n))  # COUNTERS numbers, whatever the corpus
-    rows, _ = written(spark, prefixes(docs, n, percent, rare), "prefixes")
+    groups = text_groups(docs, group_mb)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long"))
+    dealt, path = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
+    rows, _ = written(spark, prefixes(dealt, document_counts(dealt, n, groups), n, percent), "prefixes")
+    drop_path(spark, path)
     some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes, _ = written(spark, some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("prefix").alias("prefix")), "classes")
+    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    classes, _ = written(spark, classes, "classes")
 
     shared = classes.select("rep", F.explode("prefix").alias("token"))
     hubs = shared.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("token", "hub")
     clusters = connected_components(shared.join(hubs, "token").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    sized = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n"), F.max("copies").alias("copies")), "rep")
-    earlier = W.partitionBy("cluster").orderBy("rep").rowsBetween(W.unboundedPreceding, -1)
-    weight = F.sum(F.col("n") + 150).over(earlier)
-    cut = sized.withColumn("block", F.floor(F.coalesce(weight, F.lit(0)) / block).cast("int"))
+    named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    sized = named.join(classes.filter("prefix IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "s1", "copies"), "rep")
+    earlier = W.partitionBy("cluster").orderBy("rep", "s1").rowsBetween(W.unboundedPreceding, -1)
+    cut = sized.withColumn("block", F.floor(F.coalesce(F.sum(F.col("n") + 150).over(earlier), F.lit(0)) / block).cast("int"))
     cut = cut.withColumn("blocks", F.max("block").over(W.partitionBy("cluster")) + 1)
-    cut, _ = written(spark, cut.select("rep", "cluster", "block", "blocks", "copies"), "clusters")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(cut, "rep")
+    sets = cut.join(classes.select("rep", "s1", "tokens"), ["rep", "s1"])
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b"))))
-    sets = texts.select("text", "rep", "cluster", "block", "blocks", "copies").mapInArrow(lambda batches: _set_rows(batches, n), "rep long, cluster long, block int, blocks int, copies long, tokens binary")
-    jobs = sets.select("rep", "cluster", "block", "copies", "tokens", pair.alias("job")).select("cluster", "job.a", "job.b", "rep", "block", "copies", "tokens")
-    jobs = jobs.repartition(max(width(spark), 1), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "rep")
+    jobs = sets.select("rep", "cluster", "block", "copies", "n", "tokens", pair.alias("job")).select("cluster", "job.a", "job.b", "rep", "block", "copies", "n", "tokens")
+    jobs = jobs.repartition(width(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "rep")
 
     def link(batches):
         import pyarrow as pa
@@ -190,19 +231,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: in
         def done():
             edges, degrees = [], []
             if len(held) > 1:
-                ids, at, copies, sets = zip(*held, strict=True)
-                sets = [np.frombuffer(x, np.uint64) for x in sets]
-                edges, degrees = job_links(np.array(ids), np.array(at), np.array([len(x) for x in sets]), sets, np.array(copies), key[1] != key[2], percent, rare.value)
+                ids, at, copies, sizes, sets = zip(*held, strict=True)
+                edges, degrees = job_links(np.array(ids), np.array(at), np.array(sizes), sets, np.array(copies), key[1] != key[2], percent)
                 edges = [(u, v, 0) for u, v in edges] + [(u, u, d) for u, d in zip(ids, degrees.tolist(), strict=True) if d]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(3)], names=["u", "v", "links"])
 
         for b in batches:
-            for *k, rep, at, copies, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *k, rep, at, copies, size, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != key and held:
                     yield done()
                 key = k
-                held.append((rep, at, copies, tokens))
+                held.append((rep, at, copies, size, tokens))
         if held:
             yield done()
 
@@ -211,16 +251,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: in
     degrees = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     found = classes.select("s1", "s2", "n_shingles", "rep", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
     found = found.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    own = rows.drop("prefix").join(found.hint("shuffle_merge"), ["s1", "s2", "n_shingles"], "left")
+    own = rows.drop("prefix", "tokens").join(found.hint("shuffle_merge"), ["s1", "s2", "n_shingles"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return own.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
 
-
-def _set_rows(batches, n):
-    import pyarrow as pa
-
-    for b in batches:
-        for first, h, sizes, cuts in _sets(b, n, 0):
-            blobs = [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(sizes))]
-            own = b.slice(first, len(sizes))
-            yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(blobs, pa.binary())], names=[*own.schema.names[1:], "tokens"])
