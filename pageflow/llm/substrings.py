@@ -9,8 +9,9 @@ are compacted into a new base run that keeps the owners only.  Runs are tables b
 by the fingerprint's bucket, so merging and compaction shuffle nothing.
 
 Repeats are verified on the words themselves: neighbouring windows with neighbouring
-owners become intervals, the owners' words are fetched once for each interval, and a
-window counts only if all its words agree.  Every word that such a window covers goes.
+owners become intervals, the owner's side sends a 128-bit digest of the words under each
+PIECE windows of an interval, and a window counts only if its own document's words have
+the same digest.  Every word that such a window covers goes.
 
 Fingerprints have log2(bytes of text) + 27 bits, at most 64, so a false match meets one
 window in 10**8 at any size, and verification rejects it.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, chunks, drop_path, hash_words, rolling, scratch_path, text_groups, utf8, width
 
 SEGMENT = "bucket int, segment binary"
+PIECE = 16
 
 
 # ------------------------------------------------------------------- segments
@@ -84,9 +86,9 @@ def _joined(segments) -> list[np.ndarray]:
         groups = np.frombuffer(x, "<u4", k, 8 + 8 * k)
         fp, doc, at = read_segment(x[8 + 12 * k :])
         doc = doc.astype(np.int64)
-        parts.append((fp, docs[doc], groups[doc].astype(np.int64), at.astype(np.int64)))
+        parts.append((fp, docs[doc], groups[doc].astype(np.int32), at.astype(np.int32)))
     if not parts:
-        return [np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))]
+        return [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
@@ -105,7 +107,7 @@ def owners(fp, doc, group, at):
         return fp, doc, group, at
     least = np.minimum.reduceat(doc, first)
     own = doc == np.repeat(least, np.diff(np.append(first, len(fp))))
-    big = np.iinfo(np.int64).max
+    big = np.int32(np.iinfo(np.int32).max)
     return fp[first], least, np.minimum.reduceat(np.where(own, group, big), first), np.minimum.reduceat(np.where(own, at, big), first)
 
 
@@ -228,25 +230,28 @@ def intervals(t):
     return pa.table({"g": t.column("g").take(pa.array(np.zeros(len(first), np.int64))), "doc_id": doc[first], "start": at[first], "og": group[first], "owner": owner[first], "owner_start": place[first], "n": n})
 
 
+def digests(words: list[bytes], start: int, n: int, window: int) -> bytes:
+    """Digests of the words under each PIECE of the n windows from `start` on."""
+    pieces = (words[k : min(k + PIECE, start + n) + window - 1] for k in range(start, start + n, PIECE))
+    return b"".join(hashlib.blake2b(b" ".join(p), digest_size=16).digest() for p in pieces)
+
+
 def removed(words: list[bytes], spans, window: int) -> np.ndarray:
-    """Which words go: those in windows whose words all stand in a span (start, windows, words)."""
+    """Which words go: those in windows (start, n, digests) whose words have the owner's digests."""
     gone = np.zeros(len(words) + 1, np.int64)
-    for start, n, span in spans:
-        theirs = span.split()
-        mine = words[start : start + n + window - 1]
-        if mine == theirs and len(mine) == n + window - 1:
-            gone[start] += 1
-            gone[start + len(mine)] -= 1
-            continue
-        same = np.array([a == b for a, b in zip(mine, theirs, strict=False)], np.int64)
-        total = np.concatenate(([0], np.cumsum(same)))
-        for s in np.flatnonzero(total[window:] - total[:-window] == window) if len(same) >= window else ():
-            gone[start + s] += 1
-            gone[start + s + window] -= 1
+    for start, n, theirs in spans:
+        if start + n + window - 1 > len(words):
+            continue  # asked for another row of this doc_id
+        mine = digests(words, start, n, window)
+        for i in range(0, len(mine), 16):
+            if mine[i : i + 16] == theirs[i : i + 16]:
+                k = start + i
+                gone[k] += 1
+                gone[min(k + PIECE, start + n) + window - 1] -= 1
     return np.cumsum(gone[:-1]) > 0
 
 
-def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 16, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 24, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row; `with_text` adds what is left of the text, `carry` other columns of `docs`.
 
     A text that loses nothing stays as it is; of others the kept words are joined by one space.
@@ -285,7 +290,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
                 words = (text or b"").split()
                 for i in want[d]:
                     rows.append(i)
-                    spans.append(b" ".join(words[place[i] : place[i] + n[i] + window - 1]))
+                    spans.append(digests(words, int(place[i]), int(n[i]), window))
         own = pa.array(rows, pa.int64())
         return pa.table({"g": asked.column("g").take(own), "doc_id": asked.column("doc_id").take(own), "start": asked.column("start").take(own), "n": asked.column("n").take(own), "span": pa.array(spans, pa.binary())})
 
