@@ -165,6 +165,31 @@ def counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, np.searchsorted(own, keys, "right") - np.searchsorted(own, keys, "left")
 
 
+def grams_counted(gram: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`counted` for grams, which leave room for the flag: one sort."""
+    packed = np.sort(gram << 1 | train)
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] >> 1 != packed[:-1] >> 1))) if len(packed) else np.empty(0, np.int64)
+    return packed[first] >> 1, np.add.reduceat(packed & 1, first) if len(first) else packed[:0]
+
+
+def gram_sums(gram: np.ndarray, sizes: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Each document's sum of its grams' logs; grams are sorted with their document's number in the lowest 16 bits."""
+    out = np.zeros(len(sizes))
+    ends = np.cumsum(sizes)
+    for low in range(0, len(sizes), 1 << 16):
+        n = min(1 << 16, len(sizes) - low)
+        own = gram[ends[low] - sizes[low] : ends[low + n - 1]]
+        packed = np.sort(own.astype(np.uint64) << np.uint64(16) | np.repeat(np.arange(n, dtype=np.uint64), sizes[low : low + n]))
+        first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+        times = np.diff(np.append(first, len(packed)))
+        pair = packed[first]
+        value = (pair >> np.uint64(16)).astype(np.int64)
+        new = np.concatenate(([True], value[1:] != value[:-1]))
+        found = logs[np.searchsorted(keys, value[new])][np.cumsum(new) - 1]
+        out[low : low + n] = np.bincount((pair & np.uint64(65535)).astype(np.int64), found * times, n)
+    return out
+
+
 def _lists(x: np.ndarray):
     import pyarrow as pa
 
@@ -175,7 +200,7 @@ def _dense(column) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, 256)
 
 
-def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 40) -> DataFrame:
+def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> DataFrame:
     """Learn from the documents that do not meet `held_out` and score all of them.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes
@@ -195,8 +220,10 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 40) -> Data
         found: list[list] = [[], []]
         for first, part in chunks(x.lower() for x in utf8(t.column("text"))):
             own = train[first : first + len(part)]
-            for kind, (values, sizes) in enumerate((byte_grams(part), hash_words(part))):
-                found[kind].append(counted(values.view(np.int64), np.repeat(own, sizes)))
+            gram, sizes = byte_grams(part)
+            found[0].append(grams_counted(gram, np.repeat(own, sizes)))
+            words, sizes = hash_words(part)
+            found[1].append(counted(words.view(np.int64), np.repeat(own, sizes)))
         out = []
         for kind, parts in enumerate(found):
             key, n = reduced(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -256,10 +283,9 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 40) -> Data
         parts = []
         for _, part in chunks(x.lower() for x in utf8(t.column("text"))):
             gram, sizes = byte_grams(part)
-            doc = np.arange(len(part))
-            total = np.bincount(np.repeat(doc, sizes), logs[np.searchsorted(grams, gram)], len(part))
+            total = gram_sums(gram, sizes, grams, logs)
             hashes, n = hash_words(part)
-            at, doc = np.searchsorted(vocabulary, hashes.view(np.int64)), np.repeat(doc, n)
+            at, doc = np.searchsorted(vocabulary, hashes.view(np.int64)), np.repeat(np.arange(len(part)), n)
             at_known = np.bincount(doc, seen[at] > 0, len(part)) if len(at) else np.zeros(len(part))
             base = np.bincount(doc, word_logs[at], len(part)) if len(at) else np.zeros(len(part))
             parts.append((n + 1, at_known.astype(np.int64) + (ends > 0), base + end_log, total, sizes))
