@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Sizes in bytes of what is sampled, uploaded and served at once.
 SAMPLE, PART, RANGE_CAP, CHUNK, LEAST_CHUNK = 65536, 8388608, 2097152, 1048576, 65536
@@ -28,7 +29,7 @@ def fingerprint(content: Column, sample: int = SAMPLE) -> Column:
     return F.sha2(fingerprint_input(content, sample), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fnv1a(data: pd.Series) -> pd.Series:
     def one(x):
         if x is None:
