@@ -31,19 +31,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id", "text"))
-    kept = kept.withColumn("_row", one)
-    return kept.filter((F.col("_row") == 1) | F.col("doc_id").isNull()).drop("_row")
+    row = "_row" + "_" * max(map(len, docs.columns))  # no column of the documents
+    kept = kept.withColumn(row, F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id", "text")))
+    return kept.filter((F.col(row) == 1) | F.col("doc_id").isNull()).drop(row)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that stand in an earlier document's passage of 13 words or more go; so do documents left empty by that."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = deduplicate_substrings(docs, with_text=True, carry=rest)
+    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"_x{i}") for i, c in enumerate(rest)))
+    left = deduplicate_substrings(plain, with_text=True, carry=[f"_x{i}" for i in range(len(rest))])
     left = left.filter(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_words"))))
-    if "n_chars" in rest:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    kept = {c: F.col(f"_x{i}") for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(kept["n_chars"])
+    return left.select(*(kept[c].alias(c) for c in docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
