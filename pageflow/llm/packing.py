@@ -55,14 +55,16 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     while large:
         a = large[-1]
         i = bisect_left(large, capacity - a + 1) - 1
+        if i >= 0 and large[i] == a and left[a] == 1:
+            i -= 1  # the last one of its length has no equal partner
         if i >= 0:
             b = large[i]
             n = left[a] // 2 if a == b else min(left[a], left[b])
-        if i < 0 or not n:
-            n = left[a] if i < 0 else 1
+        if i < 0:
+            n = left[a]
             give(a, n, bins, 1, 0)
             leave(capacity - a, bins, n)
-            left[a] -= n
+            left[a] = 0
         elif a == b:
             give(a, 2 * n, bins, 2, 0)
             leave(capacity - 2 * a, bins, n)
