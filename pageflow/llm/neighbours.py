@@ -9,7 +9,7 @@ by the hash of their id, and searches enter both sides, so copies never crowd a
 
 A search takes nodes of all trees from one priority queue by their distance from the
 query until the leaves taken hold `visit` times as many rows as the table (a row counts
-in each tree).  Leaf cells then meet their queries, score by double-precision inner
+in each tree), and 4 k rows for each tree at least, so that small tables are searched whole.  Leaf cells then meet their queries, score by double-precision inner
 products on the original vectors, and each query keeps its best.  A first round over each
 query's nearest leaf gives a score that its k-th best reaches at least; in the second
 round cells return nothing below it, so what they return follows the number of queries.
@@ -161,7 +161,7 @@ def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaves
                     found = []
                     for i in range(at, min(at + 64, len(ids))):
                         q = np.append(x[i], 0.0) / np.linalg.norm(x[i])
-                        found += [(t, c, p, own[i], ids[i], x[i].tobytes(), least[i]) for t, c in search(held.value, q, leaf, rounds * n) for p in range(row_blocks)]
+                        found += [(t, c, p, own[i], ids[i], x[i].tobytes(), least[i]) for t, c in search(held.value, q, leaf, max(rounds * n, 4 * k * trees * (rounds > 0))) for p in range(row_blocks)]
                     yield _rows(found)
 
         return run
