@@ -62,7 +62,11 @@ def present(docs: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Linear:
-    """Logistic regression with a ridge, on (row, column) pairs of ones and a few dense columns."""
+    """Logistic regression with a ridge, on (row, column) pairs and a few dense columns.
+
+    A feature's value is the size of its log-odds ratio between the two classes, so the ridge
+    bears on what tells little.
+    """
 
     def __init__(self, n: int):
         self.w, self.dense, self.bias = np.zeros(n), np.zeros(0), 0.0
@@ -70,21 +74,23 @@ class Linear:
     def logit(self, n, rows, cols, dense):
         return np.bincount(rows, self.w[cols], n) + dense @ self.dense + self.bias
 
-    def fit(self, n, rows, cols, dense, y, ridge=3e-4, steps=300):
+    def fit(self, n, rows, cols, dense, y, steps=300):
         rate = np.clip(y.mean(), 1e-6, 1 - 1e-6) if n else 1e-6
         self.dense, self.bias = np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate)))
         if n == 0 or y.min() == y.max():
             return self
-        k = len(self.w)
+        k, ridge = len(self.w), 4 / n
+        ones, zeros = np.bincount(cols, y[rows], k), np.bincount(cols, 1 - y[rows], k)
+        scale = np.abs(np.log((ones + 1) / (y.sum() + 2)) - np.log((zeros + 1) / (n - y.sum() + 2)))
         at = np.concatenate((self.w, self.dense, [self.bias]))
         m, v = np.zeros_like(at), np.zeros_like(at)
         for t in range(1, steps + 1):
-            self.w, self.dense, self.bias = at[:k], at[k:-1], at[-1]
+            self.w, self.dense, self.bias = at[:k] * scale, at[k:-1], at[-1]
             miss = (1 / (1 + np.exp(-np.clip(self.logit(n, rows, cols, dense), -40, 40))) - y) / n
-            g = np.concatenate((np.bincount(cols, miss[rows], k) + ridge * self.w, miss @ dense + ridge * self.dense, [miss.sum()]))
+            g = np.concatenate((np.bincount(cols, miss[rows], k) * scale + ridge * at[:k], miss @ dense + ridge * self.dense, [miss.sum()]))
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            at = at - 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        self.w, self.dense, self.bias = at[:k], at[k:-1], float(at[-1])
+            at = at - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        self.w, self.dense, self.bias = at[:k] * scale, at[k:-1], float(at[-1])
         return self
 
 
