@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import store as D
 from ..sources import books as K
 from . import fixtures as X
 
@@ -86,4 +87,22 @@ def upload_known(spark, sf_dir):
 
 upload_known.sql = f"WITH {X.BOOKS_SQL} SELECT id FROM b WHERE uploaded_at % 2 = 0 AND EXISTS (SELECT 1 FROM b c WHERE c.uploaded_at % 2 = 1 AND c.fingerprint = b.fingerprint AND c.size = b.size)"
 
-QUERIES = [fingerprint_sha256, fingerprint_fnv1a, part_plan, part_reassemble, byte_range_parse, byte_range_read, chunk_plan, upload_new, upload_known]
+def retry_plan(spark, sf_dir):
+    """Delays before each further attempt, and whether a reply confirms the bytes asked for."""
+    o = X.table(spark, sf_dir, "orders").withColumn("attempt", F.col("o_orderkey") % K.ATTEMPTS)
+    header = F.concat(F.lit("bytes 0-"), (F.col("o_custkey") % 9).cast("string"), F.lit("/100"))
+    return o.select("o_orderkey", K.retry_delay(F.col("attempt")).alias("delay_ms"), K.content_range_ok(header, F.lit(0), F.lit(6), F.lit(100)).alias("confirmed"))
+
+
+retry_plan.sql = "SELECT o_orderkey, CAST(75 * 2 ** (o_orderkey % 5) AS BIGINT) AS delay_ms, o_custkey % 9 = 5 AS confirmed FROM orders"
+
+
+def fingerprint_valid(spark, sf_dir):
+    b = X.books(spark, sf_dir)
+    own = F.when(F.col("uploaded_at") % 3 == 0, F.upper("fingerprint")).when(F.col("uploaded_at") % 3 == 1, F.concat(F.lit("fnv1a-"), F.substring("fingerprint", 1, 16))).otherwise(F.col("fingerprint"))
+    return b.select("id", D.valid_fingerprint(own).alias("valid"))
+
+
+fingerprint_valid.sql = f"WITH {X.BOOKS_SQL} SELECT id, uploaded_at % 3 <> 0 OR regexp_full_match(upper(fingerprint), '[0-9]*') AS valid FROM b"
+
+QUERIES = [retry_plan, fingerprint_valid, fingerprint_sha256, fingerprint_fnv1a, part_plan, part_reassemble, byte_range_parse, byte_range_read, chunk_plan, upload_new, upload_known]

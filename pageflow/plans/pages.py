@@ -174,4 +174,33 @@ def scalar_functions(spark, sf_dir):
 
 scalar_functions.sql = "SELECT p_partkey, CASE WHEN p_size > 20 THEN '+' ELSE '' END || (p_size - 20) AS signed, url_encode(p_name) AS encoded, p_name AS decoded, 'https://x.org/v1' || CASE WHEN p_partkey % 2 = 0 THEN '/responses' ELSE '/chat/completions' END AS endpoint, CASE p_partkey % 3 WHEN 0 THEN 'English' WHEN 1 THEN '日本語' ELSE 'Klingon' END AS language, CAST(p_partkey AS VARCHAR) AS book, CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '/ok' END AS back FROM part"
 
-QUERIES = [boundary_overlap, boundary_chain, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, provider_answers, scalar_functions]
+def response_normalize(spark, sf_dir):
+    """A model's answers: the page asked for where none is given, and revisions of exactly the page before."""
+    c = X.table(spark, sf_dir, "conversations")
+    block = F.array(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    json = F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, F.col("turn") + 5).alias("page"), block.alias("blocks"), F.when(F.col("turn") % 3 == 0, F.struct(F.when(F.col("turn") % 6 == 0, F.lit(1)).alias("page"), block.alias("blocks"))).alias("previousPageRevision")))
+    r = c.select("conv_id", "turn", B.read_response(json, F.col("turn") + 1).alias("r"))
+    return r.select("conv_id", "turn", "r.page", F.size("r.blocks").alias("n_blocks"), F.col("r.previousPageRevision.page").alias("revised_page"), F.size("r.previousPageRevision.blocks").alias("revised_blocks"))
+
+
+response_normalize.sql = "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN turn + 5 ELSE turn + 1 END AS page, 1 AS n_blocks, CASE WHEN turn % 6 = 0 THEN 1 WHEN turn % 3 = 0 THEN turn END AS revised_page, CASE WHEN turn % 3 = 0 THEN 1 ELSE NULL END AS revised_blocks FROM conversations"
+
+
+def stale_results(spark, sf_dir):
+    """Results of the newest load of each document only."""
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), (F.col("event_id") % 4).alias("sequence"), "event_id")
+    return V.current_only(e, e.groupBy("document_id").agg(F.max("sequence").alias("sequence"))).select("document_id", "event_id")
+
+
+stale_results.sql = "SELECT user_id AS document_id, event_id FROM (SELECT *, max(event_id % 4) OVER (PARTITION BY user_id) AS now FROM events) WHERE event_id % 4 = now"
+
+
+def request_validation(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderkey") % 5 == 0, F.lit(" ")).otherwise(F.lit("k"))
+    return o.select("o_orderkey", P.valid_request(key, F.col("o_orderpriority"), (F.col("o_custkey") % 5).cast("int")).alias("valid"), P.prompt(F.col("o_orderkey"), F.lit(9), F.lit("English"), F.when(F.col("o_orderkey") % 2 == 0, "the end").otherwise("")).alias("prompt"))
+
+
+request_validation.sql = "SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_custkey % 5 BETWEEN 1 AND 3 AS valid, 'Translate page ' || o_orderkey || ' of 9 into English as layout blocks in JSON.' || CASE WHEN o_orderkey % 2 = 0 THEN ' The page before ends: the end' ELSE '' END AS prompt FROM orders"
+
+QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, provider_answers, scalar_functions]

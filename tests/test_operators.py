@@ -15,7 +15,7 @@ from pageflow.operators import viewport as V
 from pageflow.plans.fixtures import plain_block
 from pageflow.sources import books as K
 from pageflow.sources.demo import demo_pages
-from pageflow.streaming.upserts import committed, latest_state, stream_upsert, task_tokens
+from pageflow.streaming.upserts import committed, latest_state, stream_upsert, task_tokens, without_repeats
 
 
 def value(spark, column, **cols):
@@ -163,6 +163,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert committed(spark, f"file://{tmp_path}/none") == -1
 
 
+def test_repeated_deliveries(spark, tmp_path):
+    rows = [("a", 1), ("b", 2), ("a", 1), ("a", 3)]
+    schema = "key string, content int, ts timestamp"
+    spark.createDataFrame(rows, "key string, content int").withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    stream = without_repeats(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ts", "10 minutes", ["key", "content"])
+    stream.writeStream.format("memory").queryName("once").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.key, r.content) for r in spark.table("once").collect()) == [("a", 1), ("a", 3), ("b", 2)]
+
+
 def test_task_tokens(spark):
     events = [("k", 1, "start", "a", False), ("k", 2, "start", "b", False), ("k", 3, "cancel", "", False), ("k", 4, "start", "c", False), ("k", 5, "finish", "a", False), ("k", 6, "finish", "c", False)]
     got = task_tokens(spark.createDataFrame(events, "key string, seq long, kind string, token string, replace boolean"))
