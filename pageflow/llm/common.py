@@ -187,5 +187,13 @@ def bucketed(spark: SparkSession, df: DataFrame, key: str, n: int, label: str) -
     name = f"{label}_{uuid.uuid4().hex}"
     path = scratch_path(spark, label)
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    atexit.register(_drop_quietly, spark, path)
+    atexit.register(_forget, spark, name, path)
     return spark.table(name), path
+
+
+def _forget(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        return
+    _drop_quietly(spark, path)
