@@ -37,73 +37,66 @@ BLOCK = 256
 
 def _widths(codes: np.ndarray) -> np.ndarray:
     """Bits of each code; a code that rounds up to the next power counts one more."""
-    return np.frexp(codes.astype(np.float64))[1].astype(np.int16)
+    return np.frexp(codes.astype(np.float64))[1].astype(np.uint8)
+
+
+def _choices(bits: np.ndarray) -> np.ndarray:
+    """The last selector whose count of codes from each place on fits, wherever a block ends.
+
+    If n codes fit in 60 // n bits, so do fewer.  The most bits of a window come from two
+    windows of a power of two that cover it.
+    """
+    n = len(bits)
+    padded = np.concatenate((bits, np.full(64, 255, np.uint8)))
+    power = {1: padded}
+    for k in (1, 2, 4, 8, 16):
+        power[2 * k] = np.maximum(power[k][:-k], power[k][k:])
+    chosen = np.where(bits <= 60, np.uint8(0), np.uint8(ESCAPE))
+    for s in range(1, LAST + 1):
+        k = int(COUNTS[s])
+        half = 1 << (k.bit_length() - 1)
+        most = np.maximum(power[half][:n], power[half][k - half : k - half + n])
+        fits = most <= WIDTHS[s]
+        chosen[fits] = s
+        if not fits.any():
+            break
+    return chosen
 
 
 def pack(codes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, escapes, first word and first escape of each block.
 
-    Each word takes as many codes as fit: if n codes fit in 60 // n bits, so do fewer, so
-    the count is raised step by step.  All blocks advance together, a word at a time.
+    Each word takes as many codes as fit.  All blocks advance together, a word at a time.
     """
     codes = np.ascontiguousarray(codes, np.uint64)
     n = len(codes)
-    blocks = -(-n // block)
-    bits = np.concatenate((_widths(codes), np.full(61, 99, np.int16)))
-    padded = np.concatenate((codes, np.zeros(61, np.uint64)))
-    at = np.arange(blocks, dtype=np.int64) * block
-    ends = np.minimum(at + block, n)
-    live = np.arange(blocks)
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    escaped: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(live):
-        p = at[live]
-        left = ends[live] - p
-        most = bits[p].copy()
-        chosen = np.zeros(len(live), np.int64)
-        going = np.flatnonzero(most <= 60)
-        chosen[most > 60] = ESCAPE
-        for s in range(1, LAST + 1):
-            k, had = int(COUNTS[s]), int(COUNTS[s - 1])
-            going = going[left[going] >= k]
-            if not len(going):
-                break
-            q = p[going]
-            m = most[going]
-            for j in range(had, k):
-                np.maximum(m, bits[q + j], out=m)
-            most[going] = m
-            going = going[m <= WIDTHS[s]]
-            chosen[going] = s
-        words = chosen.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(chosen):
-            own = np.flatnonzero(chosen == s)
-            if s == ESCAPE:
-                escaped.append((live[own], padded[p[own]]))
-                continue
-            for j in range(int(COUNTS[s])):
-                words[own] |= padded[p[own] + j] << np.uint64(j * int(WIDTHS[s]))
-        steps.append((live, words, chosen))
-        at[live] = p + COUNTS[chosen]
-        live = live[at[live] < ends[live]]
-    return *_by_block(steps, escaped, blocks),
-
-
-def _by_block(steps, escaped, blocks):
-    def lay(parts):
-        count = np.zeros(blocks, np.int64)
-        for own, _ in parts:
-            count[own] += 1
-        first = np.concatenate(([0], np.cumsum(count)))
-        out, place = np.empty(first[-1], np.uint64), first[:-1].copy()
-        for own, values in parts:
-            out[place[own]] = values
-            place[own] += 1
-        return out, first[:-1].astype(np.uint64)
-
-    words, first_word = lay([(a, b) for a, b, _ in steps])
-    escapes, first_escape = lay(escaped)
-    return words, escapes, first_word, first_escape
+    starts = np.arange(0, n, block)
+    ends = np.minimum(starts + block, n)
+    chosen = _choices(_widths(codes))
+    room = np.searchsorted(COUNTS[: LAST + 1], np.arange(block + 1), "right").astype(np.int64) - 1  # by codes left
+    begins = np.zeros(n, bool)
+    at, end = starts, ends
+    while len(at):
+        own = chosen[at].astype(np.int64)
+        own = np.where(own == ESCAPE, own, np.minimum(own, room[end - at]))
+        begins[at] = True
+        chosen[at] = own
+        at = at + COUNTS[own]
+        live = at < end
+        at, end = at[live], end[live]
+    place = np.flatnonzero(begins)
+    selector = chosen[place].astype(np.int64)
+    words = selector.astype(np.uint64) << np.uint64(60)
+    for s in range(LAST + 1):
+        own = np.flatnonzero(selector == s)
+        if not len(own):
+            continue
+        first, value = place[own], np.zeros(len(own), np.uint64)
+        for j in range(int(COUNTS[s])):
+            value |= codes[first + j] << np.uint64(j * int(WIDTHS[s]))
+        words[own] |= value
+    escaped = place[selector == ESCAPE]
+    return words, codes[escaped], np.searchsorted(place, starts).astype(np.uint64), np.searchsorted(escaped, starts).astype(np.uint64)
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: A Latin word that white space or one of a few marks ends is a piece of its own in both vocabularies.
 _WORD = "[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\\s.,;:!?]|$)"
 #: Else one optional space with what follows it, or white space: cuts that the byte-level pattern makes too.
@@ -22,9 +23,13 @@ _WORD_PIECES = re.compile(rf"{_WORD}|\S+")
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of whole texts; `most` bounds the cached pieces."""
+    """Little-endian unsigned 32-bit ids of whole texts.
 
-    def __init__(self, path: str, most: int = 800_000):
+    `most` bounds the cached pieces.  They live in two generations: when the young one is
+    full it becomes the old one, and what is used again returns to the young one.
+    """
+
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,25 +37,57 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.byte_level = self.tok.normalizer is None
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most = most
+        #: Stands between pieces that are encoded together; its id occurs nowhere else.
+        self.mark = "\n" if self.byte_level else "\0"
+        self.between = self.mark if self.byte_level else f" {self.mark} "
+        (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = memoryview(np.fromiter(chain.from_iterable(ids), "<u4").tobytes())
+        ends = list(accumulate(map(len, ids), initial=0))
+        return [bytes(flat[4 * a : 4 * b]) for a, b in pairwise(ends)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one text, and cut the ids at the mark between them."""
+        plain = [p for p in pieces if self.mark not in p and not p.isspace()]
+        texts = [self.between.join(plain[i : i + 512]) for i in range(0, len(plain), 512)]
+        for at, x in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            own = plain[512 * at : 512 * at + 512]
+            ids = np.array(x.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(own) - 1:
+                self.cache.update(zip(own, self._whole(own), strict=True))
+                continue
+            flat = ids.tobytes()
+            first, end = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(flat)]
+            self.cache.update((p, flat[a:b]) for p, a, b in zip(own, first, end, strict=True))
+        rest = [p for p in pieces if p not in self.cache]
+        self.cache.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in _ODD)]
         find = (_BYTE_PIECES if self.byte_level else _WORD_PIECES).findall
         pieces = list(map(find, texts))
         for i in odd:
             pieces[i] = []
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = list(set().union(*pieces).difference(self.cache))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.cache.update(zip(part, self._whole(part), strict=True))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) for p in pieces]
+        if 2 * len(self.cache) > self.most:
+            self.old, self.cache = self.cache, {}
+        get = self.cache.get
+        parts = [list(map(get, p)) for p in pieces]
+        holes = [[i for i, x in enumerate(q) if x is None] if None in q else () for q in parts]
+        unknown = {p[i] for p, h in zip(pieces, holes, strict=True) for i in h}
+        again = unknown & self.old.keys()
+        self.cache.update((x, self.old[x]) for x in again)
+        new = list(unknown - again)
+        for at in range(0, len(new), 8192):
+            self._learn(new[at : at + 8192])
+        for p, q, h in zip(pieces, parts, holes, strict=True):
+            for i in h:
+                q[i] = get(p[i])
+        out = list(map(b"".join, parts))
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
