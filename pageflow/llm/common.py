@@ -7,6 +7,7 @@ for each word, and are stable across processes and runs.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -83,7 +84,7 @@ def text_groups(docs: DataFrame, mb: float) -> int:
 #: Bytes that end a word: space and the five control characters from tab to return.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -159,7 +160,7 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts of about `most` bytes together, with the first one's position."""
     own, size, first = [], 0, 0
     for i, t in enumerate(texts):
@@ -172,6 +173,35 @@ def chunks(texts: Iterable[bytes], most: int = 1 << 21) -> Iterator[tuple[int, l
         yield first, own
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks and idle beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(work):
+    """A function over one or two Arrow tables that gives its memory back when it is done."""
+
+    def one(t):
+        try:
+            return work(t)
+        finally:
+            release()
+
+    def two(t, u):
+        try:
+            return work(t, u)
+        finally:
+            release()
+
+    return two if work.__code__.co_argcount == 2 else one  # Spark counts the arguments
+
+
 def utf8(column) -> list[bytes]:
     """The bytes of an Arrow string column; null counts as empty."""
     import pyarrow as pa

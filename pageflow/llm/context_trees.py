@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, hash_words, text_groups, utf8, width, written
+from .common import bucketed, chunks, hash_words, released, text_groups, utf8, width, written
 
 DEPTH = 5
 HALF = np.log(0.5)
@@ -213,6 +213,7 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> Data
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long"))
     dealt, _ = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
 
+    @released
     def gather(t):
         import pyarrow as pa
 
@@ -236,6 +237,7 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> Data
     grams = totals.filter("kind = 0").select("key", "n", (F.shiftright("key", 8).bitwiseAND(F.lit(65535))).alias("pair"))
     grams, _ = written(spark, grams, "grams")
 
+    @released
     def grow(t):
         import pyarrow as pa
 
@@ -253,6 +255,7 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> Data
 
     passed = roots.groupBy("one").applyInArrow(top, f"pair long, reach {dense}, sure {dense}")
 
+    @released
     def predict(t, above):
         import pyarrow as pa
 
@@ -267,6 +270,7 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> Data
     known = model.select(F.lit(0).alias("kind"), "key", "value").unionByName(words.select(F.lit(1).alias("kind"), "key", "value"))
     values = local.select("g", "kind", "key").join(known.hint("shuffle_merge"), ["kind", "key"]).select("g", "kind", "key", "value")
 
+    @released
     def score(t, own):
         import pyarrow as pa
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, drop_path, hash_words, mix64, rolling, text_groups, utf8, width, written
+from .common import bucketed, chunks, drop_path, hash_words, mix64, released, rolling, text_groups, utf8, width, written
 from .graph import connected_components
 from .substrings import read_segment, write_segment
 
@@ -77,6 +77,7 @@ def document_counts(dealt: DataFrame, n: int, groups: int) -> DataFrame:
     bits = int(np.ceil(np.log2(max(2, groups))))
     shift, buckets = np.uint64(64 - bits), 1 << bits
 
+    @released
     def send(t):
         import pyarrow as pa
 
@@ -85,6 +86,7 @@ def document_counts(dealt: DataFrame, n: int, groups: int) -> DataFrame:
         own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         return pa.table({"bucket": pa.array(own, pa.int32()), "g": pa.array([t.column("g")[0].as_py()] * len(own), pa.int64()), "grams": pa.array([write_segment(h[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]]) for b in own], pa.binary())})
 
+    @released
     def count(t):
         import pyarrow as pa
 
@@ -108,6 +110,7 @@ def prefixes(dealt: DataFrame, counts: DataFrame, n: int, percent: int) -> DataF
     """doc_id, n_shingles, two signatures of the set, the shared n-grams among its first ones in the
     global order, and, if there are any, all its shared n-grams with their counts."""
 
+    @released
     def cut(t, back):
         import pyarrow as pa
 
@@ -198,7 +201,7 @@ def job_links(ids, block, sizes, sets, weights, crossing: bool, percent: int):
     return edges, linked @ weights
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000, group_mb: float = 16) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000, group_mb: float = 10) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of each row."""
     spark = docs.sparkSession
     groups = text_groups(docs, group_mb)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _base_powers, _segments, chunks, mix64, utf8, written
+from .common import _BYTE, _base_powers, _segments, chunks, mix64, release, utf8, written
 
 PREFIXES = (4, 5, 6)
 #: Everything that is no ASCII letter or digit and no part of a longer character ends a word.
@@ -107,13 +107,15 @@ class Chain:
             y = labels[:, c]
             known = ~np.isnan(y)
             out = np.zeros(n)
-            for f in range(folds):
+            last = c == len(self.names) - 1  # feeds no other; one fold tells how good it is
+            for f in range(1 if last else folds):
                 model = Linear(k).fit(*_part(rows, cols, before, y, known & (fold != f)))
                 own = fold == f
                 out[own] = model.logit(n, rows, cols, before)[own]
             self.models.append(Linear(k).fit(*_part(rows, cols, before, y, known)))
-            right = (out[known] > 0) == (y[known] > 0.5)
-            self.held_out[name] = float(right.mean()) if known.any() else None
+            seen = known & (fold == 0) if last else known
+            right = (out[seen] > 0) == (y[seen] > 0.5)
+            self.held_out[name] = float(right.mean()) if seen.any() else None
             before = np.column_stack((before, np.clip(out, -10, 10)))
         return self
 
@@ -213,6 +215,7 @@ def without(docs: DataFrame, chain: Chain, category: str, threshold: float = THR
             for first, part in chunks(x.lower() for x in utf8(b.column(at))):
                 p = own.scores(len(part), *present(part, own.kept))[:, which]
                 yield b.slice(first, len(part)).filter(pa.array(p < threshold))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
 
