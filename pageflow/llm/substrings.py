@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, drop_path, hash_words, rolling, scratch_path, text_groups, utf8, width
+from .common import bucketed, chunks, drop_path, hash_words, released, rolling, scratch_path, text_groups, utf8, width
 
 SEGMENT = "bucket int, segment binary"
 PIECE = 16
@@ -127,40 +127,31 @@ class FingerprintIndex:
         k, bits, buckets = self.window, self.bits, self.buckets
         shift = np.uint64(bits - (buckets - 1).bit_length())
 
-        def cut(batches):
+        @released
+        def cut(t):
             import pyarrow as pa
 
-            held: list[tuple] = []
-            size = 0
-
-            def flush():
-                fp, doc, group, at = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                order = np.argsort(fp, kind="stable")
-                fp, doc, group, at = fp[order], doc[order], group[order], at[order]
-                cuts = np.searchsorted(fp >> shift, np.arange(buckets + 1).astype(np.uint64))
-                own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                segments = [_with_documents(*(x[cuts[b] : cuts[b + 1]] for x in (fp, doc, group, at))) for b in own]
-                return pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int32()), "segment": pa.array(segments, pa.binary())})
-
-            for b in batches:
-                groups, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-                for first, part in chunks(utf8(b.column(2))):
-                    words, counts = hash_words(part)
-                    fp = rolling(words, k) >> np.uint64(64 - bits)
-                    doc = np.repeat(np.arange(len(part)), counts)
-                    at = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-                    inside = np.flatnonzero(doc[: len(fp)] == doc[k - 1 :]) if len(fp) else np.empty(0, np.int64)
-                    d = first + doc[inside]
-                    held.append((fp[inside], ids[d], groups[d], at[inside]))
-                    size += len(inside)
-                    if size > 6_000_000:
-                        yield flush()
-                        size = 0
-            if size:
-                yield flush()
-
-        rows = batch.filter("doc_id IS NOT NULL").select("g", "doc_id", "text").mapInArrow(cut, SEGMENT)
+            g, ids = t.column("g")[0].as_py(), t.column("doc_id").to_numpy()
+            held = []
+            for first, part in chunks(utf8(t.column("text"))):
+                words, counts = hash_words(part)
+                fp = rolling(words, k) >> np.uint64(64 - bits)
+                doc = np.repeat(np.arange(len(part), dtype=np.int32), counts)
+                at = (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+                inside = np.flatnonzero(doc[: len(fp)] == doc[k - 1 :]) if len(fp) else np.empty(0, np.int64)
+                held.append((fp[inside], doc[inside] + np.int32(first), at[inside]))
+            fp, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(fp, kind="stable")
+            fp, doc, at = fp[order], ids[doc[order]], at[order]
+            cuts = np.searchsorted(fp >> shift, np.arange(buckets + 1).astype(np.uint64))
+            own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            group = np.full(len(fp), g, np.int32)
+            segments = [_with_documents(*(x[cuts[b] : cuts[b + 1]] for x in (fp, doc, group, at))) for b in own]
+            return pa.table({"bucket": pa.array(own, pa.int32()), "segment": pa.array(segments, pa.binary())})
+
+        # a batch is bucketed by group already
+        rows = batch.filter("doc_id IS NOT NULL").select("g", "doc_id", "text").groupBy("g").applyInArrow(cut, SEGMENT)
         return bucketed(self.spark, rows, "bucket", max(buckets, width(self.spark)), "run")
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -169,12 +160,16 @@ class FingerprintIndex:
         self.late = self.run(batch)
         groups = self.groups
 
+        @released
         def join(past, new):
             import pyarrow as pa
 
             own = _joined(new.column("segment").to_pylist())
             old = _joined(past.column("segment").to_pylist())
-            first = owners(*(np.concatenate(x) for x in zip(old, own, strict=True)))
+            both = [np.concatenate(x) for x in zip(old, own, strict=True)]
+            del old
+            first = owners(*both)
+            del both
             at = np.searchsorted(first[0], own[0]) if len(own[0]) else np.empty(0, np.int64)
             hit = np.flatnonzero(first[1][at] < own[1]) if len(at) else at
             order = hit[np.lexsort((own[3][hit], own[1][hit], own[2][hit]))]
@@ -197,6 +192,7 @@ class FingerprintIndex:
             self.base, self.late = self.late, None
             return
 
+        @released
         def merge(past, new):
             import pyarrow as pa
 
@@ -216,6 +212,7 @@ class FingerprintIndex:
         self.base = self.late = None
 
 
+@released
 def intervals(t):
     """Neighbouring repeats of a group of documents as (doc, start, owner, owner_start, n)."""
     import pyarrow as pa
@@ -251,7 +248,7 @@ def removed(words: list[bytes], spans, window: int) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 24, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 20, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row; `with_text` adds what is left of the text, `carry` other columns of `docs`.
 
     A text that loses nothing stays as it is; of others the kept words are joined by one space.
@@ -263,7 +260,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
     dealt, _ = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
     size = dealt.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(min(64, np.ceil(np.log2(size + 2)) + 27))
-    buckets = 1 << int(np.ceil(np.log2(groups)))
+    buckets = 2 << int(np.ceil(np.log2(groups)))
     index = FingerprintIndex(spark, window, bits, buckets, groups)
     cuts = sorted(set(dealt.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 and size else []
     path = scratch_path(spark, "repeats")
@@ -277,6 +274,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
     texts = dealt.groupBy("g")
     plain = dealt.select("g", "doc_id", "text").groupBy("g")
 
+    @released
     def fetch(t, asked):
         import pyarrow as pa
 
@@ -298,6 +296,7 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
     # the group of the interval's document travels on as g
     spans = plain.cogroup(asked.select("g", F.col("dg"), "doc_id", "start", "owner", "owner_start", "n").groupBy("g")).applyInArrow(lambda t, a: fetch(t, a.drop_columns("g").rename_columns(["g", *a.column_names[2:]])), "g long, doc_id long, start long, n long, span binary")
 
+    @released
     def apply(t, spans):
         import pyarrow as pa
 
