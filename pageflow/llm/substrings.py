@@ -289,12 +289,14 @@ def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3,
                 for i in want[d]:
                     rows.append(i)
                     spans.append(digests(words, int(place[i]), int(n[i]), window))
-        own = pa.array(rows, pa.int64())
-        return pa.table({"g": asked.column("g").take(own), "doc_id": asked.column("doc_id").take(own), "start": asked.column("start").take(own), "n": asked.column("n").take(own), "span": pa.array(spans, pa.binary())})
-
-    asked = found.withColumnRenamed("g", "dg").withColumnRenamed("og", "g")
-    # the group of the interval's document travels on as g
-    spans = plain.cogroup(asked.select("g", F.col("dg"), "doc_id", "start", "owner", "owner_start", "n").groupBy("g")).applyInArrow(lambda t, a: fetch(t, a.drop_columns("g").rename_columns(["g", *a.column_names[2:]])), "g long, doc_id long, start long, n long, span binary")
+        own = asked.select(["owner", "owner_start", "n"]).take(pa.array(rows, pa.int64()))
+        return own.append_column("span", pa.array(spans, pa.binary()))
+
+    # an owner that many documents repeat is asked once for each interval
+    place = ["owner", "owner_start", "n"]
+    asked = found.select(F.col("og").alias("g"), *place).distinct()
+    told = plain.cogroup(asked.groupBy("g")).applyInArrow(fetch, "owner long, owner_start long, n long, span binary")
+    spans = found.select("g", "doc_id", "start", *place).join(told, place).select("g", "doc_id", "start", "n", "span")
 
     @released
     def apply(t, spans):
