@@ -178,6 +178,41 @@ def test_decontamination(spark):
     assert decontaminate(empty(spark), bench).count() == 0 and decontaminate(frame(spark, rows[:9]), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_that_passes_its_check(spark):
+    r = random.Random(4)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(4000)]
+    prose = lambda k: [r.choice(common) if r.random() < 0.6 else r.choice(rare) for _ in range(k)]
+    items = [prose(r.randint(15, 60)) for _ in range(30)]
+    docs = []
+    for i in range(400):
+        words = prose(r.choice([20, 150, 300]))
+        if i % 4 == 0:  # rephrased: the rarest words are gone
+            own, gone = items[i // 4 % 30], 0
+            most = int(0.4 * len(own))
+            left = []
+            for w in own:
+                drop = w[0] == "r" and gone < most
+                gone += drop
+                left.append(f"new{i}" if drop else w)
+            at = r.randrange(len(words))
+            words[at:at] = left
+        if i % 4 == 1:  # one item in a quarter of the documents
+            words[10:10] = [w if j % 4 else f"other{i}" for j, w in enumerate(items[7])]
+        docs.append((i, words))
+    want = {}
+    lcs = lambda a, b: common_subsequence(np.array([hash(x) for x in a]), np.array([hash(x) for x in b]))
+    for d, words in docs:
+        for k, item in enumerate(items):
+            for s in range(0, len(words), 24):
+                around = words[max(0, s - len(item)) : s + 48 + len(item)]
+                share, answer = lcs(item, around) / len(item), lcs(item[-5:], around) / 5
+                if share >= 0.6 or (share >= 0.45 and answer >= 0.8):
+                    want[d, k] = max(want.get((d, k), (0, 0)), (share, answer))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate(frame(spark, [(d, " ".join(w)) for d, w in docs]), bench).collect()
+    assert {(x.doc_id, x.item_id): (x.lcs, x.answer) for x in got} == want and len(got) == len(want) > 190
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(50, 90)] + [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(100, 7), (7, 7)]
