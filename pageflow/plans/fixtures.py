@@ -33,8 +33,8 @@ TRANSLATIONS_SQL = "t AS (SELECT 'doc-' || conv_id AS document_id, CAST(turn + 1
 
 
 def overlapping_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 400 to 4000 characters as pages of 50 words, each 6 words over the one before."""
-    d = table(spark, sf_dir, "documents").filter(F.length("text").between(400, 4000))
+    """Documents as pages of 50 words, each 6 words over the one before; one without text has no page."""
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
     words = F.split("text", " ")
     d = d.select("doc_id", words.alias("w")).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 44).cast("int"))).alias("i"))
     return d.select(F.col("doc_id").cast("string").alias("document_id"), (F.col("i") + 1).alias("page"), F.array_join(F.slice("w", F.col("i") * 44 + 1, F.lit(50)), " ").alias("text"))
