@@ -14,8 +14,8 @@ def _content(spark, sf_dir):
 
 
 def fingerprint_sha256(spark, sf_dir):
-    """Documents of up to the sample's size, whose bytes count twice."""
-    return _content(spark, sf_dir).filter(F.octet_length("content") <= K.SAMPLE).select("id", K.fingerprint(F.col("content")).alias("fingerprint"))
+    """Every document; its SQL covers those of up to the sample's size, whose bytes count twice."""
+    return _content(spark, sf_dir).select("id", K.fingerprint(F.col("content")).alias("fingerprint"))
 
 
 fingerprint_sha256.sql = "SELECT doc_id AS id, sha256(strlen(coalesce(text, '')) || coalesce(text, '') || coalesce(text, '')) AS fingerprint FROM documents WHERE strlen(coalesce(text, '')) <= 65536"

@@ -1,6 +1,7 @@
 """Queries keep every row of their tables; brute force over small tables with short, long and missing texts."""
 
 import random
+from hashlib import sha256
 
 import pytest
 
@@ -48,3 +49,12 @@ def test_boundary_of_short_and_long_documents(spark, documents):
     assert {(x.document_id, x.page): (x.removed, x.markdown) for x in got} == chain and len(got) == len(chain)
     got = entry.queries()["boundary_overlap"](spark, sf_dir).collect()
     assert {(x.document_id, x.page): x.removed for x in got} == {k: v for k, v in pairs.items() if v}
+
+
+def test_fingerprints_of_long_texts(spark, documents):
+    r = random.Random(5)
+    texts = {i: "".join(r.choices("abcé ", k=n)) for i, n in enumerate([0, 10, 60000, 65536, 70000, 200000])} | {7: "x" * 65536, 8: "x" * 65537}
+    got = entry.queries()["fingerprint_sha256"](spark, documents([*texts.items(), (9, None)])).collect()
+    content = {i: t.encode() for i, t in texts.items()} | {9: b""}
+    assert sum(len(x) > 65536 for x in content.values()) >= 4
+    assert {x.id: x.fingerprint for x in got} == {i: sha256(str(len(x)).encode() + x[:65536] + x[-65536:]).hexdigest() for i, x in content.items()}
