@@ -1,13 +1,14 @@
 """Shared pieces: scratch tables in the cluster's shared folder, chunking, word hashes.
 
-Hashes are 64 bit.  They are computed per byte in numpy, without a Python object
-for each word, and are stable across processes and runs.
+Hashes are 64 bit.  They are computed in numpy, eight bytes of every word at a time, without
+a Python object for each word, and are stable across processes and runs.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -54,12 +55,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it is done, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write `df` to the shared folder and read it back."""
+    path = new_folder(spark, label)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that goes when the driver ends."""
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop_quietly, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return path
 
 
 def _drop_quietly(spark: SparkSession, path: str) -> None:
@@ -96,22 +118,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LETTER = np.where(SPACES, np.uint64(0), _BYTE)
+_WIDTH = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 8)), (1 << 64) - 1], np.uint64)
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_FACTOR = np.uint64(0xD1342543DE82EF95)
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 
 
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        size = max(n, SEGMENT + 4096)
-        for b in (_BASE, _INVERSE):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers.append(np.cumprod(p))
-    return _powers[0][:n], _powers[1]
+def eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place of `data` on, which must end in eight bytes that are not its own."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+
+
+def hash_spans(data: bytes, eight: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes at `start`, `size` of them: eight bytes after eight are mixed in, so words that
+    differ only in where like parts stand do not collide by their structure.  Equally long words of at most eight
+    bytes never collide."""
+    h = _SEEDS[seed] ^ (size.astype(np.uint64) * _FACTOR)
+    live, at, left = np.arange(len(start)), start, size
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        live = np.flatnonzero(size <= LONG_WORD)
+        at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix64((h[live] ^ (eight[at] & _WIDTH[np.minimum(left, 8)])) * _FACTOR)
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        own = hashlib.blake2b(data[start[i] : start[i] + size[i]], digest_size=8, salt=bytes([seed]))
+        h[i] = int.from_bytes(own.digest(), "little")
+    return h
 
 
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,44 +156,53 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def _segments(data: bytes) -> Iterator[tuple[int, int]]:
-    """Cuts of at most SEGMENT bytes where a word ends; a longer word stays whole."""
+def _segments(data: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Cuts of the first `size` bytes, at most SEGMENT each, where a word ends; a longer word stays whole."""
     at = 0
-    while at < len(data):
-        end = min(len(data), at + SEGMENT)
-        while end < len(data) and not SPACES[data[end]]:
+    while at < size:
+        end = min(size, at + SEGMENT)
+        while end < size and not SPACES[data[end]]:
             end += 1
         yield at, end
         at = end
 
 
-def hash_words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(docs: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the documents in order, and each document's count of words."""
-    data = b"\n".join(docs)
+    data = b"\n".join(docs) + bytes(8)
+    eight = eights(data)
     hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for at, end in _segments(data):
-        buf = np.frombuffer(data, np.uint8, end - at, at)
-        s, e = word_bounds(buf)
-        power, inverse = _base_powers(len(buf))
-        total = np.empty(len(buf) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_LETTER[buf] * power, out=total[1:])
-        hashes.append(mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)))
+    for at, end in _segments(data, len(data) - 8):
+        s, e = word_bounds(np.frombuffer(data, np.uint8, end - at, at))
+        hashes.append(hash_spans(data, eight, s + at, e - s, seed))
         starts.append(s + at)
     edges = np.cumsum([0] + [len(d) + 1 for d in docs])
     counts = np.diff(np.searchsorted(np.concatenate(starts), edges))
     return np.concatenate(hashes), counts.astype(np.int64)
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive words (also those that cross documents)."""
+_PAIR = np.uint64(0xF1357AEA2E62A9C5)
+
+
+def rolling(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hashes of all runs of k consecutive words (also those that cross documents).
+
+    Runs of 1, 2, 4, ... words are joined two by two; `salt` gives independent hashes.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0xF1357AEA2E62A9C5) + words[j : j + n]
-    return mix64(out)
+    part, size = mix64(words ^ np.uint64(salt * 0x632BE59BD9B4E019 % (1 << 64))), 1
+    out, done = None, 0
+    while True:
+        if k & size:
+            own = part[done : done + n]
+            out = own if out is None else mix64(out * _PAIR + own)
+            done += size
+        if done == k:
+            return mix64(out + np.uint64(k))
+        part = mix64(part[:-size] * _PAIR + part[size:])
+        size *= 2
 
 
 def chunks(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -207,23 +252,3 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def bucketed(spark: SparkSession, df: DataFrame, key: str, n: int, label: str) -> tuple[DataFrame, str]:
-    """`df` written once into `n` buckets of `key`; grouping by `key` then shuffles nothing.
-
-    Files go to the shared folder; the name is of the session's catalog.
-    """
-    name = f"{label}_{uuid.uuid4().hex}"
-    path = scratch_path(spark, label)
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
-    atexit.register(_forget, spark, name, path)
-    return spark.table(name), path
-
-
-def _forget(spark: SparkSession, name: str, path: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        return
-    _drop_quietly(spark, path)

@@ -9,12 +9,12 @@ estimates depend on counts only, so the trees follow from the counts of byte 6-g
 all training documents, and the prediction of a byte after its context is a mixture over
 all six depths with the trained weights.
 
-Counting: groups of documents reduce to their distinct 6-grams and words, which are
+Counting: portions of documents reduce to their distinct 6-grams and words, which are
 summed over the corpus.  Trees: contexts that share their last two bytes lie in one
-subtree, built in one task (at most 256**4 6-grams, in text far fewer); the levels above need one dense row
-for each pair of bytes (at most 65,536).  Scoring: each group of documents meets the
-values of just its own 6-grams and words.  The documents are written once, bucketed by
-group, so the text itself is never shuffled.
+subtree, built in one task (at most 256**4 6-grams, in text far fewer); their roots are
+summed by the last byte, 256 pairs a group, and what the two levels above pass on is one
+dense row for each byte (256 of them, a megabyte in all).  Scoring: each portion meets the
+values of just its own 6-grams and words; the text itself is never shuffled.
 
 Words are counted by their 64-bit hashes.
 
@@ -29,7 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, hash_words, released, text_groups, utf8, width, written
+from .common import chunks, hash_words, new_folder, released, utf8, written
+from .portions import keep_portion, portion_id, portions, read_portion
 
 DEPTH = 5
 HALF = np.log(0.5)
@@ -118,18 +119,13 @@ class Subtree:
         return out
 
 
-def top_levels(pair: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray):
-    """What depths 0 and 1 pass on to each pair of bytes; arrays are (pairs, 256 nodes)."""
-    last = pair & 255
-    zeros1, ones1, down1 = (np.zeros((256, 256)) for _ in range(3))
-    for total, x in ((zeros1, zeros), (ones1, ones), (down1, weights)):
-        np.add.at(total, last, x)
+def top_levels(zeros1: np.ndarray, ones1: np.ndarray, down1: np.ndarray):
+    """What depths 0 and 1 pass on after each last byte; arrays are (bytes, 256 nodes)."""
     weighted1 = weighted(zeros1, ones1, down1)
     zeros0, ones0 = zeros1.sum(axis=0), ones1.sum(axis=0)
     weighted0 = weighted(zeros0, ones0, weighted1.sum(axis=0))
     reach, sure = below(np.ones(256), np.zeros(256), zeros0, ones0, weighted0)
-    reach, sure = below(reach[None, :], sure[None, :], zeros1, ones1, weighted1)
-    return reach[last], sure[last]
+    return below(reach[None, :], sure[None, :], zeros1, ones1, weighted1)
 
 
 def byte_grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,80 +196,83 @@ def _dense(column) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, 256)
 
 
-def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> DataFrame:
+def context_tree_scores(docs: DataFrame, held_out, portion_mb: float = 16) -> DataFrame:
     """Learn from the documents that do not meet `held_out` and score all of them.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes
     and bits_per_byte.
     """
     spark = docs.sparkSession
-    groups = text_groups(docs, group_mb)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long"))
-    dealt, _ = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
+    texts = new_folder(spark, "portions")
 
-    @released
-    def gather(t):
+    def gather(batches):
         import pyarrow as pa
 
-        g, train = t.column("g")[0].as_py(), ~t.column("held_out").to_numpy()
-        found: list[list] = [[], []]
-        for first, part in chunks(x.lower() for x in utf8(t.column("text"))):
-            own = train[first : first + len(part)]
-            gram, sizes = byte_grams(part)
-            found[0].append(grams_counted(gram, np.repeat(own, sizes)))
-            words, sizes = hash_words(part)
-            found[1].append(counted(words.view(np.int64), np.repeat(own, sizes)))
-        out = []
-        for kind, parts in enumerate(found):
-            key, n = reduced(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            out.append(pa.table({"g": np.full(len(key), g), "kind": np.full(len(key), kind, np.int32), "key": key, "n": n.astype(np.int64)}))
-        return pa.concat_tables(out)
-
-    local, _ = written(spark, dealt.groupBy("g").applyInArrow(gather, "g long, kind int, key long, n long"), "local")
+        for i, t in enumerate(portions(batches, 1, portion_mb * 1e6)):
+            g, train = portion_id(i), ~t.column("held_out").to_numpy()
+            keep_portion(texts, g, t)
+            found: list[list] = [[], []]
+            for first, part in chunks(x.lower() for x in utf8(t.column("text"))):
+                own = train[first : first + len(part)]
+                gram, sizes = byte_grams(part)
+                found[0].append(grams_counted(gram, np.repeat(own, sizes)))
+                words, sizes = hash_words(part)
+                found[1].append(counted(words.view(np.int64), np.repeat(own, sizes)))
+            for kind, parts in enumerate(found):
+                key, n = reduced(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                for at in range(0, len(key), 1 << 18):
+                    k = key[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_pydict({"g": np.full(len(k), g), "kind": np.full(len(k), kind, np.int32), "key": k, "n": n[at : at + len(k)].astype(np.int64)})
+
+    local, _ = written(spark, rows.mapInArrow(gather, "g long, kind int, key long, n long"), "local")
     totals = local.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     words = totals.filter("kind = 1").select("key", F.col("n").cast("double").alias("value"))
     grams = totals.filter("kind = 0").select("key", "n", (F.shiftright("key", 8).bitwiseAND(F.lit(65535))).alias("pair"))
     grams, _ = written(spark, grams, "grams")
+    dense = ("zeros", "ones", "weights")
 
     @released
     def grow(t):
         import pyarrow as pa
 
         tree = Subtree(t.column("key").to_numpy(), t.column("n").to_numpy())
-        return pa.table({"one": pa.array([0], pa.int32()), "pair": t.column("pair").slice(0, 1), **{k: _lists(x) for k, x in (("zeros", tree.zeros2), ("ones", tree.ones2), ("weights", tree.weighted2))}})
-
-    dense = "array<double>"
-    roots = grams.groupBy("pair").applyInArrow(grow, f"one int, pair long, zeros {dense}, ones {dense}, weights {dense}")
+        last = pa.array([t.column("pair")[0].as_py() & 255], pa.int32())
+        return pa.table({"last": last, **{k: _lists(x) for k, x in zip(dense, (tree.zeros2, tree.ones2, tree.weighted2), strict=True)}})
 
-    def top(t):
+    def add(t):
         import pyarrow as pa
 
-        reach, sure = top_levels(t.column("pair").to_numpy(), *(_dense(t.column(k)) for k in ("zeros", "ones", "weights")))
-        return pa.table({"pair": t.column("pair"), "reach": _lists(reach), "sure": _lists(sure)})
+        return pa.table({"last": t.column("last").slice(0, 1), **{k: _lists(_dense(t.column(k)).sum(axis=0)) for k in dense}})
 
-    passed = roots.groupBy("one").applyInArrow(top, f"pair long, reach {dense}, sure {dense}")
+    kinds = "last int, " + ", ".join(f"{k} array<double>" for k in dense)
+    roots = grams.groupBy("pair").applyInArrow(grow, kinds).groupBy("last").applyInArrow(add, kinds).toArrow()  # at most 256 rows
+    order = np.argsort(roots.column("last").to_numpy())
+    reach, sure = top_levels(*(_dense(roots.column(k))[order] for k in dense)) if len(order) else (None, None)
+    place = {int(b): i for i, b in enumerate(roots.column("last").to_numpy()[order])}
 
     @released
-    def predict(t, above):
+    def predict(t):
         import pyarrow as pa
 
-        gram = t.column("key").to_numpy()
+        gram, at = t.column("key").to_numpy(), place[t.column("pair")[0].as_py() & 255]
         tree = Subtree(gram, t.column("n").to_numpy())
-        return pa.table({"key": gram, "value": tree.log10(gram, _dense(above.column("reach"))[0], _dense(above.column("sure"))[0])})
+        return pa.table({"key": gram, "value": tree.log10(gram, reach[at], sure[at])})
 
-    model = grams.groupBy("pair").cogroup(passed.groupBy("pair")).applyInArrow(predict, "key long, value double")
+    model = grams.groupBy("pair").applyInArrow(predict, "key long, value double")
+    words, _ = written(spark, words, "words")
     counts = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.sum((F.col("value") > 0).cast("long"))).first()
-    ends = dealt.filter(~F.col("held_out")).count()
+    ends = rows.filter(~F.col("held_out")).count()
     n_train, distinct = int(counts[0]) + ends, int(counts[1] or 0) + (ends > 0)
     known = model.select(F.lit(0).alias("kind"), "key", "value").unionByName(words.select(F.lit(1).alias("kind"), "key", "value"))
     values = local.select("g", "kind", "key").join(known.hint("shuffle_merge"), ["kind", "key"]).select("g", "kind", "key", "value")
 
     @released
-    def score(t, own):
+    def score(own):
         import pyarrow as pa
 
+        t = read_portion(texts, own.column("g")[0].as_py())
         kind, key, value = (own.column(c).to_numpy() for c in ("kind", "key", "value"))
         tables = []
         for k in (0, 1):
@@ -294,7 +293,8 @@ def context_tree_scores(docs: DataFrame, held_out, group_mb: float = 32) -> Data
             base = np.bincount(doc, word_logs[at], len(part)) if len(at) else np.zeros(len(part))
             parts.append((n + 1, at_known.astype(np.int64) + (ends > 0), base + end_log, total, sizes))
         n, at_known, base, total, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": n, "n_known": at_known, "train_tokens": np.full(len(n), n_train), "base_score": base, "score": total, "n_bytes": sizes, "bits_per_byte": -total / sizes / np.log10(2)})
+        names = "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+        return pa.table([t.column("doc_id"), t.column("held_out"), n, at_known, np.full(len(n), n_train), base, total, sizes, -total / sizes / np.log10(2)], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return dealt.groupBy("g").cogroup(values.groupBy("g")).applyInArrow(score, schema)
+    return values.groupBy("g").applyInArrow(score, schema)

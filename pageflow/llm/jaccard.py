@@ -3,38 +3,38 @@
 A document is the set of its distinct word n-grams, as 64-bit hashes.  N-grams have one
 global order: by the number of documents that hold them, rare ones first.
 
-0. Groups of documents send their distinct n-grams, as sorted segments by hash range, to
+0. Portions of documents send their distinct n-grams, as sorted segments by hash range, to
    be counted over the corpus, and get the counts back in the same order.
-1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
+1. Documents with equal sets (in size and 128 bits of signature) form a class, which stands
+   for them from here on.
 2. Two sets that are similar enough share one of their first n - ceil(t n) + 1 n-grams in
-   the global order.  N-grams of one document only match nothing.  Joining each class with
-   the first one that shares such an n-gram gives edges whose connected components, the
-   clusters, hold every similar pair.
-3. Clusters are cut into blocks of bounded size; each pair of blocks is one job.  A job
-   cuts the global order into fragments, counts the overlaps of all pairs in each
-   fragment separately (a product of incidence matrices) and sums the counts per pair.
-   It returns a spanning forest of the links and each class's number of links, so no list
-   of pairs is ever made, however large a group is.
+   the global order; n-grams of one document only match nothing.  Classes are dealt to blocks
+   of bounded size, those that share such n-grams together.  Pairs of blocks whose classes
+   share one, with sizes that can be similar, are compared; no others can hold a link.
+3. The global order is cut into fragments.  Each fragment of each pair of blocks is a group of
+   its own, dealt by the shuffle, that counts partial overlaps; these are summed for each pair
+   of classes and tested.  What comes back is a spanning forest of the links and each class's
+   number of links: lists of pairs stay within a pair of blocks, however large a group is.
 4. Components of these links are the result.
 
 The order only decides what is cheap; results are exact for any counts.
 
 Behaviour: texts with fewer words than n have the whole sequence as their only n-gram;
 null and empty texts, and texts without words, have an empty set, link with nothing and
-are their own component; rows that repeat a doc_id count as one document for links; a
+are their own component; each row counts as a document, also where doc_ids repeat; a
 null doc_id links with nothing and has a null component; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, drop_path, hash_words, mix64, released, rolling, text_groups, utf8, width, written
+from .common import chunks, hash_words, mix64, new_folder, released, rolling, utf8, width, written
 from .graph import connected_components
+from .portions import bucket_count, bucket_cuts, keep_portion, portion_id, portions, read_portion, row_ids
 from .substrings import read_segment, write_segment
 
 #: Counts above this are equal in the order.
@@ -72,19 +72,22 @@ def _distinct(texts: list[bytes], n) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(at, c, len(values)).astype(np.int64)
 
 
-def document_counts(dealt: DataFrame, n: int, groups: int) -> DataFrame:
-    """(g, bucket, counts): for each group's n-grams, in order, how many documents of the corpus hold them."""
-    bits = int(np.ceil(np.log2(max(2, groups))))
-    shift, buckets = np.uint64(64 - bits), 1 << bits
+def document_counts(docs: DataFrame, n: int, portion_mb: float) -> tuple[DataFrame, str]:
+    """(g, bucket, counts): for each portion's n-grams, in order, how many documents of the corpus hold them; the portions' folder."""
+    spark = docs.sparkSession
+    buckets, texts = bucket_count(spark), new_folder(spark, "portions")
 
-    @released
-    def send(t):
+    def send(batches):
         import pyarrow as pa
 
-        h, c = _distinct(utf8(t.column("text")), n)
-        cuts = np.searchsorted(h >> shift, np.arange(buckets + 1).astype(np.uint64))
-        own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pa.table({"bucket": pa.array(own, pa.int32()), "g": pa.array([t.column("g")[0].as_py()] * len(own), pa.int64()), "grams": pa.array([write_segment(h[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]]) for b in own], pa.binary())})
+        for k, t in enumerate(portions(batches, 1, portion_mb * 1e6)):
+            g = portion_id(k)
+            keep_portion(texts, g, t)
+            h, c = _distinct(utf8(t.column(1)), n)
+            cuts = bucket_cuts(h, buckets)
+            own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]] or [0]  # each portion gets an answer
+            grams = [write_segment(h[cuts[b] : cuts[b + 1]], c[cuts[b] : cuts[b + 1]]) for b in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([g] * len(own), pa.int64()), pa.array(grams, pa.binary())], names=["bucket", "g", "grams"])
 
     @released
     def count(t):
@@ -94,33 +97,37 @@ def document_counts(dealt: DataFrame, n: int, groups: int) -> DataFrame:
         h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")  # sorted segments, which this sort merges
         h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        total = np.minimum(np.add.reduceat(c, first), MANY).astype(np.uint16)
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
+        total = np.minimum(np.add.reduceat(c, first) if len(first) else c, MANY).astype(np.uint16)
         back = np.empty(len(order), np.uint16)
         back[order] = np.repeat(total, np.diff(np.append(first, len(h))))
         ends = np.cumsum([0] + [len(x[0]) for x in parts])
         codec = pa.Codec("zstd")
-        return pa.table({"g": t.column("g"), "bucket": t.column("bucket"), "counts": pa.array([codec.compress(back[a:b].tobytes(), asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "size": pa.array(np.diff(ends))})
+        counts = [codec.compress(back[a:b].tobytes(), asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"g": t.column("g"), "bucket": t.column("bucket"), "counts": pa.array(counts, pa.binary()), "size": pa.array(np.diff(ends))})
 
-    sent = dealt.groupBy("g").applyInArrow(send, "bucket int, g long, grams binary")
-    return sent.groupBy("bucket").applyInArrow(count, "g long, bucket int, counts binary, size long")
+    sent = docs.mapInArrow(send, "bucket int, g long, grams binary")
+    return sent.groupBy("bucket").applyInArrow(count, "g long, bucket int, counts binary, size long"), texts
 
 
-def prefixes(dealt: DataFrame, counts: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two signatures of the set, the shared n-grams among its first ones in the
-    global order, and, if there are any, all its shared n-grams with their counts."""
+def prefixes(docs: DataFrame, n: int, percent: int, portion_mb: float) -> DataFrame:
+    """A row for each of `docs` (doc_id, text, ...): row, doc_id, n_shingles, two signatures of the set, the shared n-grams
+    among its first ones in the global order, and, if there are any, all its shared n-grams with their counts."""
+    counts, texts = document_counts(docs, n, portion_mb)
+    more = docs.schema.fields[2:]
 
     @released
-    def cut(t, back):
+    def cut(back):
         import pyarrow as pa
 
-        codec = pa.Codec("zstd")
+        codec, g = pa.Codec("zstd"), back.column("g")[0].as_py()
         lists = sorted(zip(*(back.column(c).to_pylist() for c in ("bucket", "counts", "size")), strict=True))
-        df = np.concatenate([np.frombuffer(codec.decompress(c, 2 * k, asbytes=True), np.uint16) for _, c, k in lists] or [np.empty(0, np.uint16)])
-        texts = utf8(t.column("text"))
-        grams, _ = _distinct(texts, n)
+        df = np.concatenate([np.frombuffer(codec.decompress(c, 2 * k, asbytes=True), np.uint16) for _, c, k in lists])
+        t = read_portion(texts, g)
+        raw = utf8(t.column(1))
+        grams, _ = _distinct(raw, n)
         out = []
-        for first, h, sizes in _sets(texts, n):
+        for first, h, sizes in _sets(raw, n):
             cuts = np.concatenate(([0], np.cumsum(sizes)))
             own = df[np.searchsorted(grams, h)]
             doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -136,32 +143,41 @@ def prefixes(dealt: DataFrame, counts: DataFrame, n: int, percent: int) -> DataF
                 tok[i] = x[order].tobytes() + c[order].tobytes()
             some = np.concatenate((h, np.zeros(1, np.uint64)))
             sums = [np.where(sizes > 0, np.add.reduceat(f(some), np.minimum(cuts[:-1], len(h))), 0).astype(np.uint64).view(np.int64) for f in (mix64, lambda x: mix64(x ^ np.uint64(0x5851F42D4C957F2D)))]
-            out.append(pa.table([t.column("doc_id").slice(first, len(sizes)), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), pa.array(pre, pa.list_(pa.int64())), pa.array(tok, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "prefix", "tokens"]))
+            rows = [pa.array(row_ids(g, first, len(sizes))), t.column(0).slice(first, len(sizes)), pa.array(sizes.astype(np.int64)), *map(pa.array, sums), pa.array(pre, pa.list_(pa.int64())), pa.array(tok, pa.binary())]
+            out.append(pa.table([*rows, *(t.column(2 + i).slice(first, len(sizes)) for i in range(len(more)))], names=["row", "doc_id", "n_shingles", "s1", "s2", "prefix", "tokens", *(f.name for f in more)]))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(cut, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, tokens binary")
-
-
-def overlaps(tokens: np.ndarray, counts: np.ndarray, owner: np.ndarray, docs: int, cells: int = 1 << 22) -> np.ndarray:
-    """Overlap of every pair of sets: fragments of the global order counted separately and summed."""
-    values, first, at, count = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, counts[first]))
-    order = order[count[order] > 1]  # an n-gram of one set overlaps with nothing
-    rank = np.full(len(values), -1)
-    rank[order] = np.arange(len(order))
-    place = rank[at]
-    own = place >= 0
-    place, owner = place[own], owner[own]
-    by = np.argsort(place, kind="stable")
-    place, owner = place[by], owner[by]
-    total = np.zeros((docs, docs), np.float32)
-    step = max(1, cells // max(1, docs))
-    for low in range(0, len(order), step):
-        a, b = np.searchsorted(place, (low, low + step))
-        fragment = np.zeros((docs, min(step, len(order) - low)), np.float32)
-        fragment[owner[a:b], place[a:b] - low] = 1
-        total += fragment @ fragment.T
-    return total
+    schema = "row long, doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, tokens binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return counts.groupBy("g").applyInArrow(cut, schema)
+
+
+def fragment_overlaps(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, cells: int = 1 << 22):
+    """(i, j, overlap) arrays of all pairs of sets that share one of a fragment's n-grams.
+
+    Sets are (place, sorted distinct n-grams).  Without `right`, pairs are of `left`, i > j.
+    """
+    both = left + (right or [])
+    side = np.repeat(np.arange(len(both)), [len(x) for _, x in both])
+    values, at, times = np.unique(np.concatenate([x for _, x in both]), return_inverse=True, return_counts=True)
+    own = times[at] > 1
+    rank = np.cumsum(times > 1) - 1
+    side, at, n = side[own], rank[at[own]], int((times > 1).sum())
+    order = np.argsort(at, kind="stable")
+    side, at = side[order], at[order]
+    rows, cols = len(left), len(right) if right is not None else len(left)
+    total = np.zeros((rows, cols), np.int64)
+    step = max(1, cells // len(both))  # far below 2**24, so sums of ones in float32 are exact
+    for low in range(0, n, step):
+        a, b = np.searchsorted(at, (low, low + step))
+        m = np.zeros((len(both), min(step, n - low)), np.float32)
+        m[side[a:b], at[a:b] - low] = 1
+        total += (m[:rows] @ (m[rows:] if right is not None else m).T).astype(np.int64)
+    if right is None:
+        total = np.tril(total, -1)
+    i, j = np.nonzero(total)
+    u = np.array([p for p, _ in left], np.int64)
+    v = np.array([p for p, _ in (right if right is not None else left)], np.int64)
+    return u[i], v[j], total[i, j]
 
 
 class Forest:
@@ -182,79 +198,183 @@ class Forest:
         return a != b
 
 
-def job_links(ids, block, sizes, sets, weights, crossing: bool, percent: int):
-    """Spanning edges (u, v) of the job's links, and each id's number of linked documents.
+def _by_key(batches, n_key: int):
+    """(key, rows) of rows that come sorted by their first `n_key` columns."""
+    held, key = [], None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:n_key] != key and held:
+                yield key, held
+                held = []
+            key = row[:n_key]
+            held.append(row[n_key:])
+    if held:
+        yield key, held
+
+
+def blocks_of(named: DataFrame, tokens: int) -> DataFrame:
+    """(rep, block, pos): classes dealt to blocks of about `tokens` n-grams, those with the same hub and like sizes together.
 
-    `sets` are the shared n-grams of each set, then their counts; `sizes` those of the whole sets.
+    Ranges of (hub, size, rep) are cut into blocks task by task, so a hub that a third of all
+    classes share is spread over tasks like any other.
     """
-    k = [len(x) // 10 for x in sets]
-    tokens = np.concatenate([np.frombuffer(x, np.uint64, m) for x, m in zip(sets, k, strict=True)])
-    counts = np.concatenate([np.frombuffer(x, np.uint16, m, 8 * m) for x, m in zip(sets, k, strict=True)])
-    total = overlaps(tokens, counts, np.repeat(np.arange(len(ids)), k), len(ids)).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - total
-    linked = (100 * total >= percent * union) & (ids[:, None] != ids[None, :])
-    if crossing:
-        linked &= block[:, None] != block[None, :]
-    forest, edges = Forest(len(ids)), []
-    for i in range(len(ids)):
-        edges += [(ids[i], ids[j]) for j in np.flatnonzero(linked[i, :i]).tolist() if forest.join(i, j)]
-    return edges, linked @ weights
-
-
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000, group_mb: float = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of each row."""
-    spark = docs.sparkSession
-    groups = text_groups(docs, group_mb)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long"))
-    dealt, path = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
-    rows, _ = written(spark, prefixes(dealt, document_counts(dealt, n, groups), n, percent), "prefixes")
-    drop_path(spark, path)
-    some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
-    classes, _ = written(spark, classes, "classes")
+    ordered = named.repartitionByRange(width(named.sparkSession), "hub", "n", "rep").sortWithinPartitions("hub", "n", "rep")
+
+    def cut(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        block, pos, size, last = TaskContext.get().partitionId() << 40, 0, 0, None
+        for b in batches:
+            out = []
+            for rep, hub, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if pos and (hub != last or size + n + 150 > tokens):
+                    block, pos, size = block + 1, 0, 0
+                out.append((rep, block, pos))
+                last, pos, size = hub, pos + 1, size + n + 150
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["rep", "block", "pos"])
+
+    return ordered.select("rep", "hub", "n").mapInArrow(cut, "rep long, block long, pos long")
 
-    shared = classes.select("rep", F.explode("prefix").alias("token"))
-    hubs = shared.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("token", "hub")
-    clusters = connected_components(shared.join(hubs, "token").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    named = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    sized = named.join(classes.filter("prefix IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "s1", "copies"), "rep")
-    earlier = W.partitionBy("cluster").orderBy("rep", "s1").rowsBetween(W.unboundedPreceding, -1)
-    cut = sized.withColumn("block", F.floor(F.coalesce(F.sum(F.col("n") + 150).over(earlier), F.lit(0)) / block).cast("int"))
-    cut = cut.withColumn("blocks", F.max("block").over(W.partitionBy("cluster")) + 1)
-    sets = cut.join(classes.select("rep", "s1", "tokens"), ["rep", "s1"])
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("a"), F.greatest("block", j).alias("b"))))
-    jobs = sets.select("rep", "cluster", "block", "copies", "n", "tokens", pair.alias("job")).select("cluster", "job.a", "job.b", "rep", "block", "copies", "n", "tokens")
-    jobs = jobs.repartition(width(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "rep")
+
+def block_pairs(shared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a <= b: blocks with classes that share a prefix n-gram and have sizes that can be similar."""
+    held = shared.join(placed.select("rep", "block"), "rep").groupBy("token", "block").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    other = held.select("token", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    fit = (F.col("high") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low") * percent)
+    met = held.join(other, "token").filter((F.col("block") < F.col("b")) & fit).select(F.col("block").alias("a"), "b")
+    return met.unionByName(held.filter("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct()
+
+
+def partial_overlaps(sets: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
+    """(a, b, i, j, n): lists of partial overlaps of a pair of blocks' classes (by their places), fragment by fragment.
+
+    A fragment is a part of the global order of n-grams: one range of hashes among those of
+    like counts.  Each fragment of each pair of blocks is a group of the shuffle.
+    """
+
+    def split(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for block, pos, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k = len(data) // 10
+                grams, counts = np.frombuffer(data, np.uint64, k), np.frombuffer(data, np.uint16, k, 8 * k)
+                level = np.frexp(counts.astype(np.float64) - 1)[1].astype(np.int64)
+                part = level * fragments + (((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((grams, part))
+                values, first = np.unique(part[order], return_index=True)
+                out += [(block, f, pos, x.tobytes()) for f, x in zip(values.tolist(), np.split(grams[order], first[1:]), strict=True)]
+            kinds = pa.int64(), pa.int32(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["block", "fragment", "pos", "grams"])
+
+    cut = sets.select("block", "pos", "tokens").mapInArrow(split, "block long, fragment int, pos long, grams binary")
+    first = cut.join(pairs.withColumnRenamed("a", "block"), "block").select(F.col("block").alias("a"), "b", "fragment", F.lit(0).alias("side"), "pos", "grams")
+    second = cut.join(pairs.filter("a <> b").withColumnRenamed("b", "block"), "block").select("a", F.col("block").alias("b"), "fragment", F.lit(1).alias("side"), "pos", "grams")
+    jobs = first.unionByName(second).repartition(width(sets.sparkSession), "a", "b", "fragment").sortWithinPartitions("a", "b", "fragment", "side", "pos")
+
+    def count(batches):
+        import pyarrow as pa
+
+        for (a, b, _), rows in _by_key(batches, 3):
+            own: list[list] = [[], []]
+            for side, pos, grams in rows:
+                own[side].append((pos, np.frombuffer(grams, np.uint64)))
+            if not own[0] or (a != b and not own[1]):
+                continue
+            i, j, n = fragment_overlaps(own[0], own[1] if a != b else None)
+            if len(i):
+                lists = [pa.array([x], pa.list_(pa.int64())) for x in (i, j, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64()), *lists], names=["a", "b", "i", "j", "n"])
+
+    return jobs.mapInArrow(count, "a long, b long, i array<long>, j array<long>, n array<long>")
+
+
+def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(u, v, links): spanning edges of the links of each pair of blocks, and rows (u, u, links) with how many rows u links with there."""
+    none = F.lit(None).cast("array<long>")
+    member = placed.select("block", "pos", F.struct("rep", "size", "copies").alias("m"))
+    sides = [pairs.select("a", "b", F.col(x).alias("block"), F.lit(k).alias("side")) for k, x in enumerate("ab")]
+    asked = sides[0].unionByName(sides[1].filter("a <> b"))
+    # only blocks with an overlap are looked at again
+    asked = asked.join(partial.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    members = asked.join(member, "block").select("a", "b", "side", "pos", "m.rep", "m.size", "m.copies", none.alias("i"), none.alias("j"), none.alias("n"))
+    zero = F.lit(0).cast("long")
+    found = partial.select("a", "b", F.lit(2).alias("side"), zero.alias("pos"), zero.alias("rep"), zero.alias("size"), zero.alias("copies"), "i", "j", "n")
+    rows = members.unionByName(found).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side", "pos")
 
     def link(batches):
         import pyarrow as pa
 
-        held, key = [], None
+        for (a, b), own in _by_key(batches, 2):
+            sides: list[list] = [[], []]
+            parts = []
+            for side, _, rep, size, copies, *lists in own:
+                if side == 2:
+                    parts.append(lists)
+                else:
+                    sides[side].append((rep, size, copies))
+            left = np.array(sides[0], np.int64).reshape(-1, 3)
+            right = left if a == b else np.array(sides[1], np.int64).reshape(-1, 3)
+            i, j, n = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
+            pair, at = np.unique(i * len(right) + j, return_inverse=True)
+            total = np.zeros(len(pair), np.int64)
+            np.add.at(total, at, n)  # the sum over fragments
+            i, j = pair // len(right), pair % len(right)
+            linked = 100 * total >= percent * (left[i, 1] + right[j, 1] - total)
+            i, j = i[linked], j[linked]
+            ids = left[:, 0] if a == b else np.concatenate((left[:, 0], right[:, 0]))
+            rows_of = left[:, 2] if a == b else np.concatenate((left[:, 2], right[:, 2]))
+            j = j if a == b else j + len(left)
+            forest = Forest(len(ids))
+            edges = [(int(ids[x]), int(ids[y]), 0) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
+            degree = np.zeros(len(ids), np.int64)
+            np.add.at(degree, i, rows_of[j])
+            np.add.at(degree, j, rows_of[i])
+            edges += [(int(ids[x]), int(ids[x]), int(degree[x])) for x in np.flatnonzero(degree)]
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], names=["u", "v", "links"])
+
+    return rows.mapInArrow(link, "u long, v long, links long")
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000, portion_mb: float = 8, fragments: int = 4, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row; `node` is the same number for the rows of a component and no others.
+
+    `carry` adds other columns of `docs`.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])))
+    rows, _ = written(spark, prefixes(own, n, percent, portion_mb), "prefixes")
+    some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+    classes, _ = written(spark, classes, "classes")
 
-        def done():
-            edges, degrees = [], []
-            if len(held) > 1:
-                ids, at, copies, sizes, sets = zip(*held, strict=True)
-                edges, degrees = job_links(np.array(ids), np.array(at), np.array(sizes), sets, np.array(copies), key[1] != key[2], percent)
-                edges = [(u, v, 0) for u, v in edges] + [(u, u, d) for u, d in zip(ids, degrees.tolist(), strict=True) if d]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(3)], names=["u", "v", "links"])
+    shared = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    hubs = shared.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("token", "hub")
+    shared, _ = written(spark, shared.join(hubs, "token"), "shared")
+    named = shared.groupBy("rep", "n").agg(F.min("hub").alias("hub"))
+    placed, _ = written(spark, blocks_of(named, block), "blocks")
+    placed = placed.join(classes.select("rep", F.col("n_shingles").alias("size"), "copies", "tokens"), "rep")
+    placed, _ = written(spark, placed, "sets")
+    pairs, _ = written(spark, block_pairs(shared, placed, percent), "pairs")
+    partial, _ = written(spark, partial_overlaps(placed, pairs, fragments), "overlaps")
+    links, _ = written(spark, links_of(partial, placed, pairs, percent), "links")
 
-        for b in batches:
-            for *k, rep, at, copies, size, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != key and held:
-                    yield done()
-                key = k
-                held.append((rep, at, copies, size, tokens))
-        if held:
-            yield done()
-
-    links, _ = written(spark, jobs.mapInArrow(link, "u long, v long, links long"), "links")
     joined = connected_components(links.filter("u <> v").select("u", "v"))
     degrees = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    found = classes.select("s1", "s2", "n_shingles", "rep", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
-    found = found.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    own = rows.drop("prefix", "tokens").join(found.hint("shuffle_merge"), ["s1", "s2", "n_shingles"], "left")
+    found = classes.select("s1", "s2", "n_shingles", "rep", "least", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
+    found = found.withColumn("node", F.coalesce("component", "rep"))
+    smallest = found.filter("component IS NOT NULL").groupBy("node").agg(F.min("least").alias("smallest"))
+    found = found.join(smallest, "node", "left").select("s1", "s2", "n_shingles", "node", F.coalesce("smallest", "least").alias("smallest"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = rows.drop("prefix", "tokens").join(found.hint("shuffle_merge"), ["s1", "s2", "n_shingles"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return own.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"))
-
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
+        F.when(alone, F.lit(0)).otherwise(F.col("links")).cast("long").alias("n_links"),
+        F.when(alone, F.col("row")).otherwise(F.col("node")).alias("node"),
+        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])),
+    )

@@ -1,39 +1,44 @@
 """Substring deduplication with a log-structured index of window fingerprints (operator 10).
 
-A window is `window` consecutive words of one document.  Documents come in batches of
-ascending doc_id.  A batch becomes one sorted immutable run: for each bucket of
-fingerprints and each task a compressed segment of (fingerprint, document, position).
-The run is merge-joined, bucket by bucket, with the history, which gives each repeated
-window its owner: the first document that holds the fingerprint.  Then history and run
-are compacted into a new base run that keeps the owners only.  Runs are tables bucketed
-by the fingerprint's bucket, so merging and compaction shuffle nothing.
-
-Repeats are verified on the words themselves: neighbouring windows with neighbouring
-owners become intervals, the owner's side sends a 128-bit digest of the words under each
-PIECE windows of an interval, and a window counts only if its own document's words have
-the same digest.  Every word that such a window covers goes.
-
-Fingerprints have log2(bytes of text) + 27 bits, at most 64, so a false match meets one
-window in 10**8 at any size, and verification rejects it.
+A window is `window` consecutive words of one document.  Documents come in batches.  A
+batch's windows are sent by the range of their fingerprint to a bucket; there they become a
+sorted immutable run, which is merge-joined with the runs of the history: a window is
+repeated where its words also start in a document of an earlier batch, or in one of the
+same batch with a smaller doc_id.  The run keeps what the history lacks.  Runs stand in
+levels; `fanout` runs of a level are merged into one of the next, so a window is rewritten
+once a level, however many batches follow.  Every word that a repeated window covers goes.
+
+What is compared is 64 bits of fingerprint, by which runs are sorted, and 32 further bits
+from another hash of the same words, by which each match is verified before it counts and
+before runs are compacted.  Windows that agree in the first and not in the second are
+entries of their own, so a false match hides no true one.
+
+Documents send a portion's distinct windows with the least doc_id that holds each; the
+bucket answers with those that stand earlier elsewhere.  A window that a third of all
+documents share is thus one row a portion, and the text is not shuffled.
+
+An index is a folder: runs as files, one a bucket, and numbered manifests that list the
+runs.  `FingerprintIndex.create`, `open` and `add` work across sessions; a batch counts once
+its manifest is written.
 
 Behaviour: null and empty texts have no words; a null doc_id neither owns nor loses
-anything; rows that repeat a doc_id do not remove each other's words; an empty table
-gives no rows; further columns are ignored.
+anything; rows that repeat a doc_id do not remove each other's words within a batch; an
+empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, chunks, drop_path, hash_words, released, rolling, scratch_path, text_groups, utf8, width
-
-SEGMENT = "bucket int, segment binary"
-PIECE = 16
-
+from .common import chunks, drop_path, hash_words, new_folder, released, rolling, scratch_path, utf8, width, written
+from .files import open_fs, write_whole
+from .portions import bucket_count, bucket_cuts, keep_portion, portion_id, portions, read_portion
 
 # ------------------------------------------------------------------- segments
 
@@ -77,250 +82,306 @@ def read_segment(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _joined(segments) -> list[np.ndarray]:
-    """(fingerprint, doc, group, position) of many segments, each with its own list of documents."""
-    parts = []
-    for x in segments:
-        k = int(np.frombuffer(x, "<u8", 1)[0])
-        docs = np.frombuffer(x, "<i8", k, 8)
-        groups = np.frombuffer(x, "<u4", k, 8 + 8 * k)
-        fp, doc, at = read_segment(x[8 + 12 * k :])
-        doc = doc.astype(np.int64)
-        parts.append((fp, docs[doc], groups[doc].astype(np.int32), at.astype(np.int32)))
-    if not parts:
-        return [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
-
-
-def _with_documents(fp, doc, group, at) -> bytes:
-    """A sorted segment that lists the documents it refers to."""
-    docs, first, place = np.unique(doc, return_index=True, return_inverse=True)
-    return np.array([len(docs)], "<u8").tobytes() + docs.astype("<i8").tobytes() + group[first].astype("<u4").tobytes() + write_segment(fp, place, at)
-
-
-def owners(fp, doc, group, at):
-    """Sorted distinct fingerprints with the first document, its group and its first position."""
-    order = np.argsort(fp, kind="stable")  # segments are sorted runs, which this sort merges
-    fp, doc, group, at = fp[order], doc[order], group[order], at[order]
-    first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else np.empty(0, np.int64)
-    if not len(first):
-        return fp, doc, group, at
-    least = np.minimum.reduceat(doc, first)
-    own = doc == np.repeat(least, np.diff(np.append(first, len(fp))))
-    big = np.int32(np.iinfo(np.int32).max)
-    return fp[first], least, np.minimum.reduceat(np.where(own, group, big), first), np.minimum.reduceat(np.where(own, at, big), first)
+# -------------------------------------------------------------------- windows
+
+
+def firsts(fp: np.ndarray, check: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """An order in which equal (fp, check) stand together, or None if they do as they are; where each begins.
+
+    `fp` is sorted; only where one fingerprint has several checks must anything move.
+    """
+    if not len(fp):
+        return None, np.empty(0, np.int64)
+    same = fp[1:] == fp[:-1]
+    order = None
+    if (same & (check[1:] != check[:-1])).any():
+        order = np.lexsort((check, fp))
+        fp, check = fp[order], check[order]
+        same = fp[1:] == fp[:-1]
+    return order, np.flatnonzero(np.concatenate(([True], ~same | (check[1:] != check[:-1]))))
+
+
+class Windows:
+    """The windows of a portion's documents: sorted distinct (fp, check), and where they stand."""
+
+    def __init__(self, texts: list[bytes], ids: np.ndarray, known: np.ndarray, window: int, bits: int = 64):
+        held, self.counts = [], np.empty(0, np.int64)
+        counts_of = []
+        for first, part in chunks(texts):
+            words, counts = hash_words(part)
+            counts_of.append(counts)
+            fp = rolling(words, window)
+            doc = np.repeat(np.arange(len(part), dtype=np.int32), counts)
+            at = (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+            inside = np.flatnonzero((doc[: len(fp)] == doc[window - 1 :]) & known[first + doc[: len(fp)]]) if len(fp) else np.empty(0, np.int64)
+            check = (rolling(words, window, salt=1)[inside] >> np.uint64(32)).astype(np.uint32) if len(inside) else np.empty(0, np.uint32)
+            held.append((fp[inside] >> np.uint64(64 - bits) << np.uint64(64 - bits), check, doc[inside] + np.int32(first), at[inside]))
+        if counts_of:
+            self.counts = np.concatenate(counts_of)
+        none = (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32))
+        fp, check, doc, at = (np.concatenate(x) for x in zip(none, *held, strict=True))
+        held.clear()
+        order = np.argsort(fp, kind="stable")
+        fp, check, self.doc, self.at = fp[order], check[order], doc[order], at[order]
+        order, self.first = firsts(fp, check)
+        if order is not None:
+            fp, check, self.doc, self.at = fp[order], check[order], self.doc[order], self.at[order]
+        self.fp, self.check = fp[self.first], check[self.first]
+        #: Of each distinct window, the least doc_id that holds it.
+        self.least = np.minimum.reduceat(ids[self.doc], self.first) if len(self.first) else np.empty(0, np.int64)
+
+    def repeated(self, ids: np.ndarray, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, place) of the windows that stand earlier: all those of `elsewhere`, and those after a smaller doc_id here."""
+        n = np.diff(np.append(self.first, len(self.doc)))
+        early = np.zeros(len(self.first), bool)
+        early[elsewhere] = True
+        gone = np.repeat(early, n) | (ids[self.doc] > np.repeat(self.least, n))
+        return self.doc[gone], self.at[gone]
+
+
+def covered(doc: np.ndarray, at: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Which words of the documents, in a row, lie in these windows."""
+    base = np.concatenate(([0], np.cumsum(counts)))
+    start = base[doc] + at
+    edge = np.bincount(start, minlength=int(base[-1]) + 1) - np.bincount(start + window, minlength=int(base[-1]) + 1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 # ----------------------------------------------------------------------- index
 
 
+def _bucket_file(run: str, bucket: int) -> str:
+    return f"{run}/bucket-{bucket:07d}.seg"
+
+
+def read_runs(runs: list[dict], bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket's sorted (fp, check) of all runs."""
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.uint64))]
+    for r in runs:
+        if bucket in r["buckets"]:
+            fs, path = open_fs(_bucket_file(r["path"], bucket))
+            with fs.open_input_file(path) as f:
+                parts.append(tuple(read_segment(f.read())))
+    fp, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(parts) > 2:
+        order = np.argsort(fp, kind="stable")  # sorted runs, which this sort merges
+        fp, check = fp[order], check[order]
+    return fp, check
+
+
+def among(fp: np.ndarray, check: np.ndarray, past_fp: np.ndarray, past_check: np.ndarray) -> np.ndarray:
+    """Which (fp, check) the past holds; `past_fp` is sorted, and may hold a fingerprint with several checks."""
+    found = np.zeros(len(fp), bool)
+    if not len(past_fp):
+        return found
+    at, live = np.searchsorted(past_fp, fp), np.arange(len(fp))
+    while len(live):
+        own = at[live]
+        live = live[(own < len(past_fp)) & (past_fp[np.minimum(own, len(past_fp) - 1)] == fp[live])]
+        hit = past_check[at[live]] == check[live]
+        found[live[hit]] = True
+        live = live[~hit]
+        at[live] += 1
+    return found
+
+
 class FingerprintIndex:
-    """History of window fingerprints: one base run, into which each batch is compacted."""
+    """The history of window fingerprints in a folder."""
 
-    def __init__(self, spark: SparkSession, window: int, bits: int, buckets: int, groups: int):
-        self.spark, self.window, self.bits, self.buckets, self.groups = spark, window, bits, buckets, groups
-        self.base: tuple[DataFrame, str] | None = None
-        self.late: tuple[DataFrame, str] | None = None
+    def __init__(self, spark: SparkSession, root: str, state: dict):
+        self.spark, self.root, self.state = spark, root, state
 
-    def run(self, batch: DataFrame) -> tuple[DataFrame, str]:
-        """A batch (g, doc_id, text) as a sorted run."""
-        k, bits, buckets = self.window, self.bits, self.buckets
-        shift = np.uint64(bits - (buckets - 1).bit_length())
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, window: int = 13, buckets: int | None = None, fanout: int = 2, bits: int = 64) -> FingerprintIndex:
+        """A new index.  `buckets` stays as it is for the index's life; `bits` below 64 only serve tests."""
+        index = cls(spark, root, {"version": 0, "window": window, "buckets": buckets or bucket_count(spark), "fanout": fanout, "bits": bits, "runs": []})
+        index._commit([])
+        return index
 
-        @released
-        def cut(t):
-            import pyarrow as pa
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """An index as its newest manifest has it."""
+        from pyarrow.fs import FileSelector
 
-            g, ids = t.column("g")[0].as_py(), t.column("doc_id").to_numpy()
-            held = []
-            for first, part in chunks(utf8(t.column("text"))):
-                words, counts = hash_words(part)
-                fp = rolling(words, k) >> np.uint64(64 - bits)
-                doc = np.repeat(np.arange(len(part), dtype=np.int32), counts)
-                at = (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-                inside = np.flatnonzero(doc[: len(fp)] == doc[k - 1 :]) if len(fp) else np.empty(0, np.int64)
-                held.append((fp[inside], doc[inside] + np.int32(first), at[inside]))
-            fp, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(fp, kind="stable")
-            fp, doc, at = fp[order], ids[doc[order]], at[order]
-            cuts = np.searchsorted(fp >> shift, np.arange(buckets + 1).astype(np.uint64))
-            own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            group = np.full(len(fp), g, np.int32)
-            segments = [_with_documents(*(x[cuts[b] : cuts[b + 1]] for x in (fp, doc, group, at))) for b in own]
-            return pa.table({"bucket": pa.array(own, pa.int32()), "segment": pa.array(segments, pa.binary())})
-
-        # a batch is bucketed by group already
-        rows = batch.filter("doc_id IS NOT NULL").select("g", "doc_id", "text").groupBy("g").applyInArrow(cut, SEGMENT)
-        return bucketed(self.spark, rows, "bucket", max(buckets, width(self.spark)), "run")
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Take a batch in; (g, repeats): for each group of documents its repeated windows with their owners."""
-        self.compact()
-        self.late = self.run(batch)
-        groups = self.groups
+        fs, path = open_fs(root)
+        newest = max(x.path for x in fs.get_file_info(FileSelector(path)) if x.base_name.startswith("manifest-") and x.base_name.endswith(".json"))
+        with fs.open_input_file(newest) as f:
+            return cls(spark, root, json.loads(f.read()))
 
-        @released
-        def join(past, new):
+    def _commit(self, runs: list[dict]) -> None:
+        self.state = {**self.state, "version": self.state["version"] + 1, "runs": runs}
+        write_whole(f"{self.root}/manifest-{self.state['version']:09d}.json", [json.dumps(self.state).encode()])
+
+    def _new_run(self) -> str:
+        return f"{self.root}/run-{uuid.uuid4().hex}"
+
+    def add(self, batch: DataFrame, carry: list[str] | None = None, portion_mb: float = 8, last: bool = False) -> tuple[DataFrame, str]:
+        """Take a batch in; (portion, places) of its repeated windows, and the folder of its portions.
+
+        `last` leaves the batch's own run unwritten, for a history that ends here.
+        """
+        spark, window, buckets, bits = self.spark, self.state["window"], self.state["buckets"], self.state["bits"]
+        texts, run, runs = new_folder(spark, "portions"), self._new_run(), [{**r, "buckets": set(r["buckets"])} for r in self.state["runs"]]
+
+        def send(batches):
             import pyarrow as pa
 
-            own = _joined(new.column("segment").to_pylist())
-            old = _joined(past.column("segment").to_pylist())
-            both = [np.concatenate(x) for x in zip(old, own, strict=True)]
-            del old
-            first = owners(*both)
-            del both
-            at = np.searchsorted(first[0], own[0]) if len(own[0]) else np.empty(0, np.int64)
-            hit = np.flatnonzero(first[1][at] < own[1]) if len(at) else at
-            order = hit[np.lexsort((own[3][hit], own[1][hit], own[2][hit]))]
-            at = at[order]
-            _, doc, group, place = (x[order] for x in own)
-            cuts = np.searchsorted(group, np.arange(groups + 1))
-            out = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
-            found = [[x[cuts[g] : cuts[g + 1]] for x in (doc, place, first[1][at], first[3][at], first[2][at])] for g in out]
-            signed = lambda x: np.ascontiguousarray(x).view(np.uint64)
-            return pa.table({"g": pa.array(out, pa.int64()), "repeats": pa.array([write_segment(signed(d), p, signed(o), q, h) for d, p, o, q, h in found], pa.binary())})
-
-        past = self.base[0] if self.base else self.spark.createDataFrame([], SEGMENT)
-        return past.groupBy("bucket").cogroup(self.late[0].groupBy("bucket")).applyInArrow(join, "g long, repeats binary")
-
-    def compact(self) -> None:
-        """Merge the newest run into the base, one entry a fingerprint, and drop both."""
-        if not self.late:
-            return
-        if not self.base:
-            self.base, self.late = self.late, None
-            return
+            for k, t in enumerate(portions(batches, 1, portion_mb * 1e6)):
+                g = portion_id(k)
+                keep_portion(texts, g, t)
+                ids, known = doc_ids(t)
+                own = Windows(utf8(t.column(1)), ids, known, window, bits)
+                cuts = bucket_cuts(own.fp, buckets)
+                some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]] or [0]  # each portion gets an answer
+                docs, place = np.unique(own.least, return_inverse=True)
+                segments = []
+                for b in some:
+                    x = slice(cuts[b], cuts[b + 1])
+                    used, at = np.unique(place[x], return_inverse=True)
+                    segments.append(np.array([len(used)], "<u8").tobytes() + docs[used].astype("<i8").tobytes() + write_segment(own.fp[x], own.check[x], at))
+                del own
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([g] * len(some), pa.int64()), pa.array(segments, pa.binary())], names=["bucket", "g", "segment"])
 
         @released
-        def merge(past, new):
+        def join(t):
             import pyarrow as pa
 
-            kept = owners(*_joined(past.column("segment").to_pylist() + new.column("segment").to_pylist()))
-            some = past if past.num_rows else new
-            return pa.table({"bucket": some.column("bucket").slice(0, 1), "segment": pa.array([_with_documents(*kept)], pa.binary())})
-
-        merged = self.base[0].groupBy("bucket").cogroup(self.late[0].groupBy("bucket")).applyInArrow(merge, SEGMENT)
-        made = bucketed(self.spark, merged, "bucket", max(self.buckets, width(self.spark)), "base")
-        self.drop()
-        self.base = made
+            bucket, parts = t.column("bucket")[0].as_py(), []
+            for x in t.column("segment"):
+                x = x.as_py()
+                k = int(np.frombuffer(x, "<u8", 1)[0])
+                fp, check, at = read_segment(x[8 + 8 * k :])
+                parts.append((fp, check.astype(np.uint32), np.frombuffer(x, "<i8", k, 8)[at.astype(np.int64)]))
+            sizes = [len(x[0]) for x in parts]
+            fp, check, least = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(fp, kind="stable")  # sorted segments, which this sort merges
+            fp, check = fp[order], check[order]
+            move, first = firsts(fp, check)
+            if move is not None:
+                order, fp, check = order[move], fp[move], check[move]
+            n = np.diff(np.append(first, len(fp)))
+            owner = np.minimum.reduceat(least[order], first) if len(first) else least
+            past = among(fp[first], check[first].astype(np.uint64), *read_runs(runs, bucket))
+            early = np.empty(len(fp), bool)
+            early[order] = np.repeat(past, n) | (least[order] > np.repeat(owner, n))
+            if not last:
+                new = first[~past]
+                write_whole(_bucket_file(run, bucket), [write_segment(fp[new], check[new])])
+            cuts = np.cumsum([0, *sizes])
+            answers = [write_segment(np.flatnonzero(early[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.table({"g": t.column("g"), "bucket": t.column("bucket"), "answer": pa.array(answers, pa.binary())})
+
+        rows = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])))
+        sent = rows.mapInArrow(send, "bucket int, g long, segment binary")
+        found, _ = written(spark, sent.groupBy("bucket").applyInArrow(join, "g long, bucket int, answer binary"), "repeats")
+        if not last:
+            filled = sorted(r[0] for r in found.select("bucket").distinct().collect())  # at most `buckets` numbers
+            self._commit([*self.state["runs"], {"level": 0, "path": run, "buckets": filled}])
+            self._compact()
+        return found, texts
+
+    def _compact(self) -> None:
+        """Merge the runs of each level that has `fanout` of them."""
+        level = 0
+        while True:
+            own = [r for r in self.state["runs"] if r["level"] == level]
+            if len(own) < self.state["fanout"]:
+                if not any(r["level"] > level for r in self.state["runs"]):
+                    return
+                level += 1
+                continue
+            run, runs = self._new_run(), [{**r, "buckets": set(r["buckets"])} for r in own]
+            filled = set().union(*(r["buckets"] for r in runs))
+
+            def merge(batches, run=run, runs=runs, filled=filled):
+                import pyarrow as pa
+
+                for b in batches:
+                    for bucket in filled.intersection(b.column(0).to_pylist()):
+                        write_whole(_bucket_file(run, bucket), [write_segment(*read_runs(runs, bucket))])
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64())})
+
+            spark = self.spark
+            asked = spark.range(self.state["buckets"], numPartitions=min(self.state["buckets"], width(spark)))
+            asked.mapInArrow(merge, "bucket long").write.format("noop").mode("overwrite").save()
+            gone = {r["path"] for r in own}
+            self._commit([*(r for r in self.state["runs"] if r["path"] not in gone), {"level": level + 1, "path": run, "buckets": sorted(filled)}])
+            for path in gone:
+                drop_path(spark, path)
 
     def drop(self) -> None:
-        for x in (self.base, self.late):
-            if x:
-                drop_path(self.spark, x[1])
-        self.base = self.late = None
+        drop_path(self.spark, self.root)
 
 
-@released
-def intervals(t):
-    """Neighbouring repeats of a group of documents as (doc, start, owner, owner_start, n)."""
-    import pyarrow as pa
+def doc_ids(t) -> tuple[np.ndarray, np.ndarray]:
+    """A portion's doc_ids, and which are not null."""
+    column = t.column(0)
+    return column.fill_null(0).to_numpy(), ~column.is_null().to_numpy()
 
-    parts = [read_segment(x) for x in t.column("repeats").to_pylist()]
-    doc, at, owner, place, group = (np.concatenate(x).view(np.int64) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, doc))
-    doc, at, owner, place, group = (x[order] for x in (doc, at, owner, place, group))
-    next_ = (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]) & (at[1:] == at[:-1] + 1) & (place[1:] == place[:-1] + 1)
-    first = np.flatnonzero(np.concatenate(([True], ~next_)))
-    n = np.diff(np.append(first, len(doc)))
-    return pa.table({"g": t.column("g").take(pa.array(np.zeros(len(first), np.int64))), "doc_id": doc[first], "start": at[first], "og": group[first], "owner": owner[first], "owner_start": place[first], "n": n})
-
-
-def digests(words: list[bytes], start: int, n: int, window: int) -> bytes:
-    """Digests of the words under each PIECE of the n windows from `start` on."""
-    pieces = (words[k : min(k + PIECE, start + n) + window - 1] for k in range(start, start + n, PIECE))
-    return b"".join(hashlib.blake2b(b" ".join(p), digest_size=16).digest() for p in pieces)
-
-
-def removed(words: list[bytes], spans, window: int) -> np.ndarray:
-    """Which words go: those in windows (start, n, digests) whose words have the owner's digests."""
-    gone = np.zeros(len(words) + 1, np.int64)
-    for start, n, theirs in spans:
-        if start + n + window - 1 > len(words):
-            continue  # asked for another row of this doc_id
-        mine = digests(words, start, n, window)
-        for i in range(0, len(mine), 16):
-            if mine[i : i + 16] == theirs[i : i + 16]:
-                k = start + i
-                gone[k] += 1
-                gone[min(k + PIECE, start + n) + window - 1] -= 1
-    return np.cumsum(gone[:-1]) > 0
-
-
-def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 3, group_mb: float = 20, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row; `with_text` adds what is left of the text, `carry` other columns of `docs`.
 
-    A text that loses nothing stays as it is; of others the kept words are joined by one space.
-    """
-    spark = docs.sparkSession
-    groups = text_groups(docs, group_mb)
-    carry = carry or []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry))).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long"))
-    dealt, _ = bucketed(spark, rows, "g", max(groups, width(spark)), "texts")
-    size = dealt.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(min(64, np.ceil(np.log2(size + 2)) + 27))
-    buckets = 2 << int(np.ceil(np.log2(groups)))
-    index = FingerprintIndex(spark, window, bits, buckets, groups)
-    cuts = sorted(set(dealt.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 and size else []
-    path = scratch_path(spark, "repeats")
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = dealt if low is None else dealt.filter(F.col("doc_id") > low)
-        own = own if high is None else own.filter(F.col("doc_id") <= high)
-        index.add(own).write.option("compression", "none").mode("append").parquet(path)
-    index.drop()
-    repeats = spark.read.schema("g long, repeats binary").parquet(path)
-    found = repeats.groupBy("g").applyInArrow(intervals, "g long, doc_id long, start long, og long, owner long, owner_start long, n long")
-    texts = dealt.groupBy("g")
-    plain = dealt.select("g", "doc_id", "text").groupBy("g")
+def remove_repeats(found: DataFrame, texts: str, index: FingerprintIndex, kinds: list[str], with_text: bool) -> DataFrame:
+    """The rows of a batch without the words that repeated windows cover."""
+    window, bits, buckets = index.state["window"], index.state["bits"], index.state["buckets"]
 
     @released
-    def fetch(t, asked):
+    def apply(answers):
         import pyarrow as pa
 
-        want: dict[int, list[int]] = {}
-        owner, place, n = (asked.column(c).to_numpy() for c in ("owner", "owner_start", "n"))
-        for i, o in enumerate(owner.tolist()):
-            want.setdefault(o, []).append(i)
-        rows, spans = [], []
-        for d, text in zip(t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if d in want:
-                words = (text or b"").split()
-                for i in want[d]:
-                    rows.append(i)
-                    spans.append(digests(words, int(place[i]), int(n[i]), window))
-        own = asked.select(["owner", "owner_start", "n"]).take(pa.array(rows, pa.int64()))
-        return own.append_column("span", pa.array(spans, pa.binary()))
-
-    # an owner that many documents repeat is asked once for each interval
-    place = ["owner", "owner_start", "n"]
-    asked = found.select(F.col("og").alias("g"), *place).distinct()
-    told = plain.cogroup(asked.groupBy("g")).applyInArrow(fetch, "owner long, owner_start long, n long, span binary")
-    spans = found.select("g", "doc_id", "start", *place).join(told, place).select("g", "doc_id", "start", "n", "span")
-
-    @released
-    def apply(t, spans):
-        import pyarrow as pa
-
-        of: dict[int, list] = {}
-        for d, *x in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "start", "n", "span")), strict=True):
-            of.setdefault(d, []).append(x)
-        out: list[tuple] = []
-        for d, text in zip(t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            words = (text or b"").split()
-            kept = words
-            if d in of:
-                gone = removed(words, of[d], window)
-                kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-            left = b" ".join(kept)
-            out.append((d, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), *([text if len(kept) == len(words) else left] if with_text else [])))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
-        cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+        t = read_portion(texts, answers.column("g")[0].as_py())
+        ids, known = doc_ids(t)
+        raw = utf8(t.column(1))
+        own = Windows(raw, ids, known, window, bits)
+        cuts = bucket_cuts(own.fp, buckets)
+        early = [np.empty(0, np.int64)]
+        for b, x in zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist(), strict=True):
+            early.append(cuts[b] + read_segment(x)[0].astype(np.int64))
+        gone = covered(*own.repeated(ids, np.concatenate(early)), own.counts, window)
+        base = np.concatenate(([0], np.cumsum(own.counts)))
+        lost = np.add.reduceat(np.append(gone, False).astype(np.int64), base[:-1]) * (own.counts > 0) if len(own.counts) else own.counts
+        shas, left = [], []
+        for i, text in enumerate(raw):
+            if lost[i]:
+                words = text.split()
+                text = kept = b" ".join([words[j] for j in np.flatnonzero(~gone[base[i] : base[i + 1]]).tolist()])
+            else:
+                kept = b" ".join(text.split())
+            shas.append(hashlib.sha256(kept).hexdigest())
+            left.append(text)
+        cols = {"doc_id": t.column(0), "n_words": pa.array(own.counts), "n_removed": pa.array(lost), "kept_sha256": pa.array(shas, pa.string())}
         if with_text:
-            cols[-1] = cols[-1].cast(pa.string())
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if with_text else [])]
-        return pa.table([*cols, *(t.column(f"_c{i}") for i in range(len(carry)))], names=[*names, *(f"_c{i}" for i in range(len(carry)))])
+            cols["text"] = pa.array([x if v else None for x, v in zip(left, t.column(1).is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+        return pa.table(cols | {f"_c{i}": t.column(2 + i) for i in range(len(kinds))})
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text + "".join(f", _c{i} {k}" for i, k in enumerate(kinds))
-    return texts.cogroup(spans.groupBy("g")).applyInArrow(apply, schema).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
+    return found.groupBy("g").applyInArrow(apply, schema)
+
+
+def deduplicate_batch(index: FingerprintIndex, batch: DataFrame, with_text: bool = False, carry: list[str] | None = None, portion_mb: float = 8, last: bool = False) -> DataFrame:
+    """Take a batch into an index and return its rows as `deduplicate_substrings` does."""
+    found, texts = index.add(batch, carry, portion_mb, last)
+    kinds = [batch.schema[c].dataType.simpleString() for c in carry or []]
+    return remove_repeats(found, texts, index, kinds, with_text).withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry or [])})
+
+
+def deduplicate_substrings(docs: DataFrame, window: int = 13, batches: int = 4, portion_mb: float = 8, with_text: bool = False, carry: list[str] | None = None, buckets: int | None = None, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row; `with_text` adds what is left of the text, `carry` other columns of `docs`.
+
+    The table goes through a new index in `batches` of ascending doc_id.  A text that loses
+    nothing stays as it is; of others the kept words are joined by one space.
+    """
+    spark = docs.sparkSession
+    index = FingerprintIndex.create(spark, scratch_path(spark, "index"), window, buckets, bits=bits)
+    cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    out: DataFrame | None = None
+    id_ = F.col("doc_id")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own = docs
+        if low is not None:
+            own = own.filter(id_ > int(low))
+        if high is not None:  # rows without an id go with the first batch
+            own = own.filter((id_ <= int(high)) if low is not None else (id_.isNull() | (id_ <= int(high))))
+        part = deduplicate_batch(index, own, with_text, carry, portion_mb, last=high is None)
+        out = part if out is None else out.unionByName(part)
+    index.drop()
+    return out

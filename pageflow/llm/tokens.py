@@ -2,8 +2,9 @@
 
 Both vocabularies cut a text at white space before they merge anything, so the ids
 of a text are those of its pieces in a row.  Pieces repeat; each is encoded once per
-cache life by the tokenizers library itself.  Texts holding one of the four control
-characters that Python and the library class differently go to the library whole.
+cache life by the tokenizers library itself.  Texts that hold an added token (such as
+<|endoftext|>, which gives its own id, as the library has it), or one of the four control
+characters that Python and the library class differently, go to the library whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: What sends a text to the library whole.
+        self.odd = [*_ODD, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         self.byte_level = self.tok.normalizer is None
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -68,7 +70,7 @@ class Encoder:
         self.cache.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in _ODD)]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in self.odd)]
         find = (_BYTE_PIECES if self.byte_level else _WORD_PIECES).findall
         pieces = list(map(find, texts))
         for i in odd:

@@ -22,32 +22,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _base_powers, _segments, chunks, mix64, release, utf8, written
+from .common import _segments, chunks, eights, hash_spans, mix64, release, utf8, written
 
 PREFIXES = (4, 5, 6)
 #: Everything that is no ASCII letter or digit and no part of a longer character ends a word.
 STOP = np.ones(256, bool)
 STOP[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
-_VALUE = np.where(STOP, np.uint64(0), _BYTE)
 
 
 def features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes and the documents they stand in, in order, with repeats."""
-    data = b"\n".join(docs)
-    edges = np.cumsum([0] + [len(d) + 1 for d in docs])
+    data = b"\n".join(docs) + bytes(8)
+    eight, edges = eights(data), np.cumsum([0] + [len(d) + 1 for d in docs])
     out, where = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for at, end in _segments(data):
-        buf = np.frombuffer(data, np.uint8, end - at, at)
-        cut = np.diff(np.concatenate(([True], STOP[buf], [True])).view(np.int8))
-        s, e = np.flatnonzero(cut == -1), np.flatnonzero(cut == 1)
-        power, inverse = _base_powers(len(buf))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[buf] * power)))
-        doc = np.searchsorted(edges, s + at, "right") - 1
+    for at, end in _segments(data, len(data) - 8):
+        cut = np.diff(np.concatenate(([True], STOP[np.frombuffer(data, np.uint8, end - at, at)], [True])).view(np.int8))
+        s, e = np.flatnonzero(cut == -1) + at, np.flatnonzero(cut == 1) + at
+        doc = np.searchsorted(edges, s, "right") - 1
         for n in (0, *PREFIXES):
             own = slice(None) if not n else np.flatnonzero(e - s >= n)
-            a = s[own]
-            b = e[own] if not n else a + n
-            out.append(mix64((total[b] - total[a]) * inverse[a] + np.uint64(n)))
+            size = e[own] - s[own] if not n else np.full(len(own), n)
+            out.append(mix64(hash_spans(data, eight, s[own], size) + np.uint64(n)))
             where.append(doc[own])
     return np.concatenate(out), np.concatenate(where)
 

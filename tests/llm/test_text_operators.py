@@ -88,7 +88,7 @@ def brute_scores(rows):
 def test_context_trees(spark):
     rows = [(d, t[:1500] if t else t) for d, t in corpus()]
     want = brute_scores(rows)
-    got = context_tree_scores(frame(spark, rows), held(), group_mb=0.01).collect()
+    got = context_tree_scores(frame(spark, rows), held(), portion_mb=0.01).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
@@ -234,7 +234,7 @@ def test_jaccard(spark):
     rows = corpus()
     for n, percent, block in ((3, 90, 150_000), (5, 80, 600), (1, 50, 300)):
         want = components(rows, n, percent)
-        got = jaccard_components(frame(spark, rows), n, percent, block=block, group_mb=0.01).collect()
+        got = jaccard_components(frame(spark, rows), n, percent, block=block, portion_mb=0.01).collect()
         assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in got} == want and len(got) == len(rows)
     twice = jaccard_components(frame(spark, [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b c d")])).collect()
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in twice) == [(-1, -1), (1, 1), (1, 1), (2, 1)]
@@ -303,7 +303,7 @@ def test_substrings(spark):
     rows = corpus()
     want = deduplicated(rows)
     for batches in (1, 3):
-        got = deduplicate_substrings(frame(spark, rows), batches=batches, group_mb=0.01, with_text=True, carry=["score"]).collect()
+        got = deduplicate_substrings(frame(spark, rows), batches=batches, portion_mb=0.01, with_text=True, carry=["score"]).collect()
         assert len(got) == len(rows)
         for r in got:
             w, kept = want[r.doc_id]
