@@ -5,7 +5,8 @@ a feature is present or not.  The `n_features` that tell the categories apart be
 chi-square over the labelled sample) are kept.  Categories stand in a fixed order.  The
 model of each one sees the features and the log-odds of all earlier categories.  For
 training, these come from models that have not seen the row (`folds` folds by the hash of
-doc_id); for scoring, from the models of all rows.
+doc_id); for scoring, from the models of all rows.  The held-out scores also set each
+category's threshold, so it is fitted anew with every model.
 
 The models are fitted on at most `sample_rows` labelled documents, those with the
 smallest hashes of doc_id.  All documents are scored, whole.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import _segments, chunks, eights, hash_spans, mix64, release, utf8, written
 
 PREFIXES = (4, 5, 6)
+#: The ridge, over the number of rows; log-odds that count as certain; how many ones move a threshold half-way from even odds.
+RIDGE, FAR, DRAWN = 0.3, 10.0, 50
 #: Everything that is no ASCII letter or digit and no part of a longer character ends a word.
 STOP = np.ones(256, bool)
 STOP[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -56,6 +59,46 @@ def present(docs: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pair // len(kept), pair % len(kept)
 
 
+def least(loss, at: np.ndarray, steps: int = 100, memory: int = 10, flat: float = 1e-5) -> np.ndarray:
+    """Where a smooth convex `loss` (value and slope) is least, by limited-memory quasi-Newton steps."""
+    value, slope = loss(at)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() < flat:
+            break
+        way, sizes = slope.copy(), []
+        for s, y, r in reversed(past):
+            sizes.append(r * (s @ way))
+            way -= sizes[-1] * y
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, y, r), size in zip(past, reversed(sizes), strict=True):
+            way += s * (size - r * (y @ way))
+        t, down = 1.0, slope @ way
+        while True:
+            new, after = loss(at - t * way)
+            if new <= value - 1e-4 * t * down or t < 1e-8:
+                break
+            t /= 2
+        s, y = -t * way, after - slope
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+        at, value, slope = at + s, new, after
+    return at
+
+
+def cut_point(logits: np.ndarray, y: np.ndarray) -> float:
+    """The threshold on held-out log-odds: the middle of the widest gap with the fewest errors, drawn to even odds where ones are few."""
+    if not len(y):
+        return 0.0
+    order = np.argsort(logits, kind="stable")
+    missed = np.concatenate(([0], np.cumsum(y[order])))  # ones below the threshold
+    wrong = missed + (len(y) - y.sum()) - (np.arange(len(y) + 1) - missed)
+    edges = np.clip(np.concatenate(([-FAR], logits[order], [FAR])), -FAR, FAR)
+    wide = np.where(wrong == wrong.min(), np.diff(edges), -1.0)
+    i = int(wide.argmax())
+    return float((edges[i] + edges[i + 1]) / 2 * y.sum() / (y.sum() + DRAWN))
+
+
 class Linear:
     """Logistic regression with a ridge, on (row, column) pairs and a few dense columns.
 
@@ -69,23 +112,24 @@ class Linear:
     def logit(self, n, rows, cols, dense):
         return np.bincount(rows, self.w[cols], n) + dense @ self.dense + self.bias
 
-    def fit(self, n, rows, cols, dense, y, steps=300):
+    def fit(self, n, rows, cols, dense, y):
         rate = np.clip(y.mean(), 1e-6, 1 - 1e-6) if n else 1e-6
         self.dense, self.bias = np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate)))
         if n == 0 or y.min() == y.max():
             return self
-        k, ridge = len(self.w), 4 / n
+        k, ridge = len(self.w), RIDGE / n
         ones, zeros = np.bincount(cols, y[rows], k), np.bincount(cols, 1 - y[rows], k)
         scale = np.abs(np.log((ones + 1) / (y.sum() + 2)) - np.log((zeros + 1) / (n - y.sum() + 2)))
-        at = np.concatenate((self.w, self.dense, [self.bias]))
-        m, v = np.zeros_like(at), np.zeros_like(at)
-        for t in range(1, steps + 1):
-            self.w, self.dense, self.bias = at[:k] * scale, at[k:-1], at[-1]
-            miss = (1 / (1 + np.exp(-np.clip(self.logit(n, rows, cols, dense), -40, 40))) - y) / n
-            g = np.concatenate((np.bincount(cols, miss[rows], k) * scale + ridge * at[:k], miss @ dense + ridge * self.dense, [miss.sum()]))
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            at = at - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        self.w, self.dense, self.bias = at[:k] * scale, at[k:-1], float(at[-1])
+
+        def loss(at):
+            self.w, self.dense, self.bias = at[:k] * scale, at[k:-1], float(at[-1])
+            z = self.logit(n, rows, cols, dense)
+            miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
+            slope = np.concatenate((np.bincount(cols, miss[rows], k) * scale, miss @ dense, [0.0])) + ridge * np.append(at[:-1], 0.0)
+            slope[-1] = miss.sum()
+            return (np.logaddexp(0, z) - y * z).mean() + ridge / 2 * (at[:-1] @ at[:-1]), slope
+
+        loss(least(loss, np.concatenate((self.w, self.dense, [self.bias]))))
         return self
 
 
@@ -93,7 +137,9 @@ class Chain:
     """One linear model for each category, in order."""
 
     def __init__(self, names: list[str], kept: np.ndarray):
-        self.names, self.kept, self.models, self.held_out = names, kept, [], {}
+        self.names, self.kept, self.models = names, kept, []
+        #: By category: the share of right decisions on held-out rows, and the probability from which it is found.
+        self.held_out, self.threshold = {}, {}
 
     def fit(self, n, rows, cols, labels: np.ndarray, fold: np.ndarray, folds: int) -> Chain:
         """labels: (n, categories) with nan where unknown; fold: of each row."""
@@ -102,22 +148,21 @@ class Chain:
             y = labels[:, c]
             known = ~np.isnan(y)
             out = np.zeros(n)
-            last = c == len(self.names) - 1  # feeds no other; one fold tells how good it is
-            for f in range(1 if last else folds):
+            for f in range(folds):
                 model = Linear(k).fit(*_part(rows, cols, before, y, known & (fold != f)))
                 own = fold == f
                 out[own] = model.logit(n, rows, cols, before)[own]
             self.models.append(Linear(k).fit(*_part(rows, cols, before, y, known)))
-            seen = known & (fold == 0) if last else known
-            right = (out[seen] > 0) == (y[seen] > 0.5)
-            self.held_out[name] = float(right.mean()) if seen.any() else None
-            before = np.column_stack((before, np.clip(out, -10, 10)))
+            cut = cut_point(out[known], y[known])
+            self.threshold[name] = float(1 / (1 + np.exp(-cut)))
+            self.held_out[name] = float(((out[known] >= cut) == (y[known] > 0.5)).mean()) if known.any() else None
+            before = np.column_stack((before, np.clip(out, -FAR, FAR)))
         return self
 
     def scores(self, n, rows, cols) -> np.ndarray:
         before = np.zeros((n, 0))
         for m in self.models:
-            before = np.column_stack((before, np.clip(m.logit(n, rows, cols, before), -10, 10)))
+            before = np.column_stack((before, np.clip(m.logit(n, rows, cols, before), -FAR, FAR)))
         return 1 / (1 + np.exp(-before))
 
 
@@ -127,8 +172,12 @@ def _part(rows, cols, dense, y, own):
     return int(own.sum()), place[rows[use]], cols[use], dense[own], y[own]
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict, sample_rows: int = 8000, n_features: int = 4096, folds: int = 5) -> Chain:
-    """A chain over `categories`: name -> Column of 0/1 over `labels`, in order."""
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict, sample_rows: int = 8000, n_features: int = 4096, least_docs: int = 2, folds: int = 5) -> Chain:
+    """A chain over `categories`: name -> Column of 0/1 over `labels`, in order.
+
+    Fitting looks at `sample_rows` labelled documents at most, and at the `n_features` best
+    features that stand in `least_docs` of these or more.
+    """
     names = list(categories)
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(*(F.max(c.cast("double")).alias(f"_y{i}") for i, c in enumerate(categories.values())))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
@@ -149,7 +198,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict, sample_rows:
 
     ys = [f"_y{i}" for i in range(len(names))]
     counted = sample.select("_text", *ys).mapInArrow(hashed, "h long, " + ", ".join(f"{y} double" for y in ys))
-    counted = counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).filter("n >= 5")
+    counted = counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).filter(F.col("n") >= least_docs)
     total = sample.agg(F.count(F.lit(1)), *(F.avg(y) for y in ys)).first()
     strength = F.greatest(F.lit(0.0), *(F.pow(F.coalesce(y, F.lit(0.0)) - F.col("n") * (rate or 0.0), F.lit(2.0)) / (F.col("n") * max(rate or 0.0, 1e-9) * max(1 - (rate or 0.0), 1e-9)) for y, rate in zip(ys, total[1:], strict=True)))
     kept = np.sort(np.array([r[0] for r in counted.orderBy(F.desc(strength), "h").select("h").limit(n_features).collect()], np.int64).view(np.uint64))
@@ -193,12 +242,9 @@ def score_chain(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(score, "doc_id long, " + ", ".join(f"{x} double" for x in names))
 
 
-#: Clean documents stay far below this probability, and it costs no held-out precision.
-THRESHOLD = 0.3
-
-
-def without(docs: DataFrame, chain: Chain, category: str, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, as they are, whose probability of a category stays below the threshold."""
+def without(docs: DataFrame, chain: Chain, category: str) -> DataFrame:
+    """The rows of `docs`, as they are, whose probability of a category stays below the chain's threshold for it."""
+    threshold = chain.threshold[category]
     held = docs.sparkSession.sparkContext.broadcast(chain)
     at, which = docs.columns.index("text"), chain.names.index(category)
 
@@ -215,7 +261,7 @@ def without(docs: DataFrame, chain: Chain, category: str, threshold: float = THR
     return docs.mapInArrow(keep, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict) -> DataFrame:
     """doc_id, a probability of each category, and `toxic`, for each row of `docs`."""
     chain = fit_chain(docs, labels, categories)
-    return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= chain.threshold["toxic"])

@@ -134,9 +134,10 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in score_chain(docs, chain).collect()}
     assert len(got) == len(rows)
     fresh = range(450, 600)
-    assert sum((got[i].p_toxic > 0.3) == (i % 6 == 0) for i in fresh) >= 0.97 * len(fresh)
+    limit = chain.threshold["toxic"]
+    assert sum((got[i].p_toxic >= limit) == (i % 6 == 0) for i in fresh) >= 0.97 * len(fresh)
     kept = without(docs, chain, "toxic")
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d in got if got[d].p_toxic < 0.3}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d in got if got[d].p_toxic < limit}
     none = fit_chain(docs, table.limit(0), categories)
     assert {round(r.p_toxic, 3) for r in score_chain(docs, none).collect()} == {0.0}
     assert score_chain(empty(spark), chain).count() == 0
