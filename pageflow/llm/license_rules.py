@@ -1,7 +1,8 @@
 """Ordered signature rules for licences, matched against words joined by one space.
 
-Each family is one hand-written pattern; `{v}` stands for a version in words ("2 0", or
-"2" where the family allows its short form).  A rule's keyword must occur in a text before
+Each family is one hand-written pattern, more than two hundred in all; `{v}` stands for a
+version in words ("2 0", or "2" where the family allows its short form), for which it gives a
+rule each.  A rule's keyword must occur in a text before
 its pattern is tried.  Higher priority wins where detections overlap.
 """
 
@@ -110,6 +111,186 @@ FAMILIES: list[tuple[str, str, str, int, float, tuple[str, ...]]] = [
     ("copyright-notice", r"copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 10, 0.2, ("",)),
     ("see-license", r"see the license file", "license file", 15, 0.3, ("",)),
     ("license-unknown", r"licensed under the", "licensed under the", 5, 0.2, ("",)),
+    # texts of permissive licences, clause by clause
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice", 93, 0.95, ("",)),
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", "to deal in the software", 92, 0.95, ("",)),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "the software is provided", 66, 0.7, ("",)),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "authors or copyright holders", 65, 0.7, ("",)),
+    ("mit", r"(?:the )?mit expat license", "expat license", 84, 0.9, ("",)),
+    ("mit", r"expat license", "expat license", 70, 0.85, ("",)),
+    ("mit", r"opensource org licenses mit", "opensource org", 84, 0.95, ("",)),
+    ("mit", r"license mit(?: license)?", "license mit", 58, 0.7, ("",)),
+    ("mit", r"mit licen[cs]ed", "mit licen", 64, 0.8, ("",)),
+    ("mit-advertising", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "hereby granted without fee", 90, 0.9, ("",)),
+    ("mit-modern-variant", r"permission is hereby granted without written agreement and without license or royalty fees to use copy modify and distribute", "without written agreement", 91, 0.95, ("",)),
+    ("x11", r"except as contained in this notice the name of the x consortium shall not be used", "x consortium", 90, 0.95, ("",)),
+    ("x11", r"except as contained in this notice the names? of (?:the )?(?:above )?copyright holders? shall not be used in advertising", "contained in this notice", 82, 0.85, ("",)),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", "permission notice appear", 90, 0.95, ("",)),
+    ("isc", r"the software is provided as is and the author disclaims all warranties with regard to this software", "disclaims all warranties", 88, 0.9, ("",)),
+    ("isc", r"opensource org licenses isc", "opensource org", 84, 0.95, ("",)),
+    ("bsd-2-clause", r"opensource org licenses bsd 2 clause", "opensource org", 84, 0.95, ("",)),
+    ("bsd-3-clause", r"opensource org licenses bsd 3 clause", "opensource org", 84, 0.95, ("",)),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code", 80, 0.9, ("",)),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form", 80, 0.9, ("",)),
+    ("bsd-3-clause", r"neither the name of (?:the )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products", "names of its contributors", 87, 0.95, ("",)),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "all advertising materials", 89, 0.95, ("",)),
+    ("bsd-4-clause-uc", r"this product includes software developed by the university of california berkeley and its contributors", "university of california", 91, 0.95, ("",)),
+    ("bsd-3-clause-clear", r"no express or implied licenses to any party s patent rights are granted by this license", "patent rights are granted", 88, 0.9, ("",)),
+    ("bsd-2-clause-patent", r"bsd (?:2 clause )?plus patent license", "plus patent license", 88, 0.9, ("",)),
+    ("0bsd", r"zero clause bsd(?: license)?", "zero clause", 89, 0.9, ("",)),
+    ("0bsd", r"bsd zero clause(?: license)?", "bsd zero clause", 90, 0.9, ("",)),
+    ("0bsd", r"free public license 1 0 0", "free public license", 89, 0.9, ("",)),
+    ("bsd", r"bsd licen[cs]ed", "bsd licen", 64, 0.75, ("",)),
+    ("bsd", r"berkeley software distribution licen[cs]e", "berkeley software distribution", 70, 0.8, ("",)),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", "will the authors be held liable", 90, 0.95, ("",)),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented", "altered source versions", 90, 0.95, ("",)),
+    ("libpng", r"png reference library license", "png reference library", 86, 0.9, ("",)),
+    ("boost-1.0", r"distributed under the boost software license version 1 0", "boost software license", 88, 0.95, ("",)),
+    ("boost-1.0", r"www boost org license 1 0 txt", "boost org", 87, 0.95, ("",)),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy", 94, 0.95, ("",)),
+    ("unlicense", r"unlicense org", "unlicense org", 75, 0.85, ("",)),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", "changing it is allowed", 90, 0.95, ("",)),
+    ("wtfpl", r"wtfpl(?: version 2)?", "wtfpl", 72, 0.85, ("",)),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", "you can do whatever you want", 92, 0.95, ("",)),
+    ("beerware", r"beer ?ware license(?: revision 42)?", "ware license", 76, 0.85, ("",)),
+    ("ncsa", r"university of illinois ncsa open source license", "ncsa open source license", 90, 0.95, ("",)),
+    ("ncsa", r"ncsa open source license", "ncsa open source license", 78, 0.85, ("",)),
+    ("curl", r"curl (?:and libcurl )?(?:are |is )?licensed under", "curl", 70, 0.75, ("",)),
+    ("fair", r"usage of the works is permitted provided that this instrument is retained with the works", "usage of the works", 92, 0.95, ("",)),
+    ("hpnd", r"historical permission notice and disclaimer", "historical permission notice", 84, 0.9, ("",)),
+    ("ntp", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", "with or without fee", 90, 0.9, ("",)),
+    ("tcl", r"the authors hereby grant permission to use copy modify distribute and license this software and its documentation", "authors hereby grant permission", 91, 0.95, ("",)),
+    ("vim", r"vim is charityware", "charityware", 86, 0.9, ("",)),
+    ("vim", r"vim license", "vim license", 66, 0.8, ("",)),
+    ("w3c", r"w3c software notice and license", "w3c software notice", 86, 0.95, ("",)),
+    ("w3c", r"w3c software and document (?:notice and )?license", "w3c software and document", 86, 0.95, ("",)),
+    ("unicode-dfs", r"unicode inc license agreement data files and software", "unicode inc license", 88, 0.95, ("",)),
+    ("icu", r"icu license", "icu license", 64, 0.8, ("",)),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "independent jpeg group", 90, 0.95, ("",)),
+    ("ftl", r"freetype project license", "freetype project license", 82, 0.9, ("",)),
+    ("ftl", r"portions of this software are copyright (?:[^ ]+ ){0,4}the freetype project", "the freetype project", 84, 0.9, ("",)),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "the openssl project", 92, 0.95, ("",)),
+    ("ssleay", r"this product includes cryptographic software written by eric young", "cryptographic software written by", 92, 0.95, ("",)),
+    ("php-3.01", r"this product includes php software freely available from", "php software", 90, 0.95, ("",)),
+    ("python-2.0", r"psf license agreement", "psf license agreement", 82, 0.9, ("",)),
+    ("python-2.0", r"psf is making python available to licensee on an as is basis", "making python available", 92, 0.95, ("",)),
+    ("cnri-python", r"cnri open source license agreement", "cnri open source", 86, 0.9, ("",)),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "without a written agreement", 93, 0.95, ("",)),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction", "give away verbatim copies", 90, 0.9, ("",)),
+    ("ruby", r"ruby s license", "ruby s license", 72, 0.8, ("",)),
+    ("perl", r"(?:under )?the same terms as perl itself", "terms as perl itself", 86, 0.9, ("",)),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied", "conditions under which a package", 91, 0.95, ("",)),
+    ("artistic-2.0", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed this license establishes the terms", "this license establishes the terms", 91, 0.95, ("",)),
+    ("clarified-artistic", r"clarified artistic license", "clarified artistic", 84, 0.9, ("",)),
+    ("afl", r"academic free license", "academic free license", 62, 0.8, ("",)),
+    ("ecl-2.0", r"educational community license(?: version 2 0)?", "educational community license", 84, 0.9, ("",)),
+    ("upl-1.0", r"universal permissive license(?: v(?:ersion )?1 0)?", "universal permissive license", 84, 0.9, ("",)),
+    ("blueoak-1.0.0", r"blue oak model license(?: 1 0 0)?", "blue oak model", 86, 0.95, ("",)),
+    ("mulan-psl", r"mulan (?:permissive software license|psl)(?: v(?:ersion )?[12])?", "mulan", 86, 0.9, ("",)),
+    ("ms-pl", r"microsoft permissive license", "microsoft permissive", 64, 0.85, ("",)),
+    ("json", r"the software shall be used for good not evil", "for good not evil", 94, 0.95, ("",)),
+    ("apache-2.0", r"you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license", 83, 0.9, ("",)),
+    ("apache-2.0", r"licensed to the apache software foundation asf under one or more contributor license agreements", "apache software foundation", 89, 0.95, ("",)),
+    ("apache-2.0", r"distributed on an as is basis without warranties or conditions of any kind either express or implied", "warranties or conditions of any kind", 74, 0.8, ("",)),
+    ("apache-2.0", r"(?:the )?asl ?(?:version |v)?2(?: 0)?", "asl", 74, 0.75, ("",)),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "apache software foundation", 80, 0.8, ("",)),
+    ("apache-2.0-llvm", r"apache license v?2 0 with llvm exceptions", "llvm exceptions", 94, 0.98, ("",)),
+    # copyleft: notices and exceptions
+    ("gpl-or-later", r"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public", 78, 0.9, ("",)),
+    ("lgpl-or-later", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation", "redistribute it and or modify it", 81, 0.9, ("",)),
+    ("agpl-or-later", r"you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public", 81, 0.9, ("",)),
+    ("gpl", r"you should have received a copy of the gnu general public license along with this program", "copy of the gnu general public", 76, 0.85, ("",)),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this library", "received a copy of the gnu", 77, 0.85, ("",)),
+    ("gpl-2.0-classpath", r"(?:gnu )?gpl(?: version)? 2(?: 0)? with (?:the )?classpath exception", "classpath exception", 93, 0.95, ("",)),
+    ("classpath-exception", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules", "link this library with independent modules", 90, 0.9, ("",)),
+    ("gcc-exception", r"gcc runtime library exception", "gcc runtime library", 84, 0.9, ("",)),
+    ("font-exception", r"as a special exception if you create a document which uses this font", "document which uses this font", 88, 0.9, ("",)),
+    ("bison-exception", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton", "bison parser skeleton", 90, 0.9, ("",)),
+    ("openssl-exception", r"permission to link (?:the code of portions of )?this program with the openssl library", "with the openssl library", 86, 0.85, ("",)),
+    ("linux-syscall-note", r"linux syscall note", "linux syscall note", 86, 0.9, ("",)),
+    ("gpl", r"gpl compatible", "gpl compatible", 40, 0.4, ("",)),
+    ("gpl", r"gpl licen[cs]ed", "gpl licen", 64, 0.75, ("",)),
+    ("copyleft", r"copyleft licen[cs]e", "copyleft licen", 45, 0.5, ("",)),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "no invariant sections", 86, 0.9, ("",)),
+    ("gnu-all-permissive", r"copying and distribution of this file with or without modification are permitted in any medium without royalty", "in any medium without royalty", 90, 0.95, ("",)),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form", 94, 0.98, ("",)),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "contents of this file are subject", 94, 0.98, ("",)),
+    ("mpl", r"mozilla org mpl", "mozilla org mpl", 82, 0.9, ("",)),
+    ("epl", r"the accompanying materials are made available under the terms of the eclipse public license", "accompanying materials", 88, 0.95, ("",)),
+    ("edl-1.0", r"eclipse distribution license(?: v(?:ersion )?1 0)?", "eclipse distribution license", 84, 0.9, ("",)),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution", 93, 0.95, ("",)),
+    ("cecill", r"cecill(?: [abc])?(?: license)?", "cecill", 70, 0.8, ("",)),
+    ("cecill", r"ce ?a cnrs inria logiciel libre", "cnrs inria", 72, 0.8, ("",)),
+    ("eupl", r"licensed under the eupl", "under the eupl", 76, 0.85, ("",)),
+    ("osl-3.0", r"licensed under the open software license version 3 0", "open software license", 92, 0.95, ("",)),
+    ("qpl-1.0", r"q public license(?: version 1 0)?", "q public license", 80, 0.85, ("",)),
+    ("ms-rl", r"microsoft reciprocal license", "microsoft reciprocal", 76, 0.85, ("",)),
+    ("sissl", r"sun industry standards source license", "sun industry standards", 84, 0.9, ("",)),
+    ("spl-1.0", r"sun public license(?: version 1 0)?", "sun public license", 82, 0.9, ("",)),
+    ("npl-1.1", r"netscape public license(?: version 1 [01])?", "netscape public license", 82, 0.9, ("",)),
+    ("ipl-1.0", r"ibm public license(?: version 1 0)?", "ibm public license", 82, 0.9, ("",)),
+    ("nokos", r"nokia open source license", "nokia open source", 82, 0.9, ("",)),
+    ("rpl", r"reciprocal public license", "reciprocal public license", 82, 0.9, ("",)),
+    ("sleepycat", r"sleepycat license", "sleepycat license", 78, 0.85, ("",)),
+    ("cpal-1.0", r"common public attribution license(?: version 1 0)?", "common public attribution", 84, 0.9, ("",)),
+    ("erlpl-1.1", r"erlang public license(?: version 1 1)?", "erlang public license", 84, 0.9, ("",)),
+    ("zpl", r"zope public license(?: zpl)?(?: version [12] [01])?", "zope public license", 84, 0.9, ("",)),
+    ("gl2ps", r"gl2ps license", "gl2ps license", 78, 0.85, ("",)),
+    ("lppl", r"latex project public license(?: version 1 [0-3])?", "latex project public license", 86, 0.95, ("",)),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license", "this font software", 92, 0.95, ("",)),
+    ("ofl", r"scripts sil org ofl", "sil org ofl", 84, 0.9, ("",)),
+    ("bitstream-vera", r"bitstream vera (?:fonts? )?(?:copyright|license)", "bitstream vera", 78, 0.85, ("",)),
+    # source-available and model licences
+    ("bsl-1.1", r"business source license(?: 1 1)?", "business source license", 84, 0.9, ("",)),
+    ("sspl-1.0", r"server side public license(?: v(?:ersion )?1)?", "server side public license", 86, 0.95, ("",)),
+    ("elastic-2.0", r"elastic license(?: v(?:ersion )?)?(?: ?2(?: 0)?)?", "elastic license", 82, 0.9, ("",)),
+    ("commons-clause", r"commons clause license condition", "commons clause", 86, 0.9, ("",)),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|perimeter|strict|free trial) license(?: 1 0 0)?", "polyform", 88, 0.95, ("",)),
+    ("parity", r"parity public license", "parity public license", 82, 0.9, ("",)),
+    ("prosperity", r"prosperity public license", "prosperity public license", 82, 0.9, ("",)),
+    ("openrail", r"(?:creativeml |bigscience )?openrail(?: [m s]+)?(?: license)?", "openrail", 80, 0.85, ("",)),
+    ("openrail", r"open rail license", "open rail license", 80, 0.85, ("",)),
+    ("community-model", r"community license agreement", "community license agreement", 60, 0.7, ("",)),
+    ("hippocratic", r"hippocratic license(?: (?:version )?[123] [01])?", "hippocratic license", 84, 0.9, ("",)),
+    # content and data
+    ("cc-by", r"creative commons attribution licensed", "attribution licensed", 66, 0.75, ("",)),
+    ("creative-commons", r"(?:this work|content|text) is (?:available|licensed|released) under (?:a|the) creative commons", "creative commons", 54, 0.65, ("",)),
+    ("cc-pd", r"creative commons public domain mark(?: 1 0)?", "public domain mark", 80, 0.85, ("",)),
+    ("cc0-1.0", r"to the extent possible under law (?:[^ ]+ ){1,8}has waived all copyright and related or neighboring rights", "neighboring rights", 90, 0.95, ("",)),
+    ("cc-by-sa", r"attribution share ?alike licen[cs]e", "attribution share", 64, 0.75, ("",)),
+    ("cc-by-nc", r"attribution non ?commercial licen[cs]e", "attribution non", 64, 0.75, ("",)),
+    ("cc-by-nd", r"attribution no ?deriv(?:ative)?s licen[cs]e", "attribution no", 64, 0.75, ("",)),
+    ("pddl-1.0", r"public domain dedication and licen[cs]e", "public domain dedication", 84, 0.9, ("",)),
+    ("cdla-permissive", r"community data license agreement permissive", "community data license", 86, 0.95, ("",)),
+    ("cdla-sharing", r"community data license agreement sharing", "community data license", 86, 0.95, ("",)),
+    ("ogl-uk", r"open government licen[cs]e(?: v[123] 0)?", "open government licen", 84, 0.9, ("",)),
+    ("public-domain", r"this (?:work|file|software|code|book|text) is in the public domain", "is in the public domain", 78, 0.85, ("",)),
+    ("public-domain", r"no copyright is claimed", "no copyright is claimed", 60, 0.6, ("",)),
+    ("public-domain", r"work of the united states government", "united states government", 62, 0.65, ("",)),
+    ("gutenberg", r"project gutenberg license", "project gutenberg license", 84, 0.95, ("",)),
+    ("gutenberg", r"this ebook is for the use of anyone anywhere", "this ebook is for the use", 90, 0.95, ("",)),
+    ("opl", r"open publication license(?: v(?:ersion )?1 0)?", "open publication license", 82, 0.9, ("",)),
+    ("design-science", r"design science license", "design science license", 80, 0.9, ("",)),
+    ("free-art", r"free art license", "free art license", 80, 0.9, ("",)),
+    ("free-art", r"licence art libre", "licence art libre", 80, 0.9, ("",)),
+    # restrictions
+    ("proprietary", r"unauthorized copying of this (?:file|software|document) via any medium is strictly prohibited", "unauthorized copying", 70, 0.8, ("",)),
+    ("proprietary", r"(?:may|must) not be reproduced without (?:the )?(?:prior )?(?:written )?permission", "not be reproduced", 42, 0.5, ("",)),
+    ("proprietary", r"(?:may|must) not be copied without (?:the )?(?:prior )?(?:written )?permission", "not be copied", 42, 0.5, ("",)),
+    ("proprietary", r"for internal use only", "for internal use only", 35, 0.4, ("",)),
+    ("proprietary", r"end user licen[cs]e agreement", "end user licen", 48, 0.6, ("",)),
+    ("non-commercial", r"for noncommercial (?:use|purposes) only", "noncommercial", 44, 0.5, ("",)),
+    ("non-commercial", r"for non commercial (?:use|purposes) only", "non commercial", 44, 0.5, ("",)),
+    ("non-commercial", r"not for commercial use", "not for commercial use", 43, 0.5, ("",)),
+    ("academic-only", r"for (?:academic|research|educational) use only", "use only", 44, 0.5, ("",)),
+    ("academic-only", r"for (?:academic|research|educational) purposes only", "purposes only", 44, 0.5, ("",)),
+    ("freeware", r"(?:this (?:program|software) is freeware|freeware license)", "freeware", 42, 0.5, ("",)),
+    ("shareware", r"(?:this (?:program|software) is shareware|shareware version)", "shareware", 42, 0.5, ("",)),
+    ("trademark-notice", r"(?:is a|are) registered trademarks? of", "registered trademark", 12, 0.2, ("",)),
+    ("copyright-notice", r"copyright holders? and contributors", "and contributors", 14, 0.25, ("",)),
+    ("license-reference", r"for (?:the )?full (?:copyright and )?license information please (?:view|see) the license", "license information", 18, 0.3, ("",)),
+    ("license-reference", r"(?:see|refer to) (?:the )?(?:file )?(?:license|copying)(?: (?:txt|md))? for details", "for details", 17, 0.3, ("",)),
+    ("license-reference", r"(?:see|refer to) (?:the )?(?:file )?(?:license|copying)(?: (?:txt|md))? for more details", "for more details", 17, 0.3, ("",)),
 ]
 #: Identifiers after "SPDX-License-Identifier:", in words; the label is the identifier.
 SPDX = """mit mit-0 isc zlib unlicense x11 apache-1.1 apache-2.0 bsd-2-clause bsd-3-clause bsd-4-clause 0bsd

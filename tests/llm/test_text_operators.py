@@ -17,7 +17,7 @@ from pageflow.llm.context_trees import DEPTH, context_tree_scores
 from pageflow.llm.decontamination import common_subsequence, decontaminate
 from pageflow.llm.graph import connected_components
 from pageflow.llm.jaccard import jaccard_components
-from pageflow.llm.license_rules import BASE_PHRASES, Rule, rules
+from pageflow.llm.license_rules import BASE_PHRASES, FAMILIES, Rule, rules
 from pageflow.llm.licenses import license_scan
 from pageflow.llm.substrings import deduplicate_substrings, read_segment, write_segment
 from pageflow.llm.toxicity import fit_chain, score_chain, without
@@ -268,11 +268,12 @@ def brute_licenses(text, own):
 
 
 def test_licenses(spark):
-    assert len(rules()) > 200
+    assert len({f[1] for f in FAMILIES}) > 200 and len({r.pattern for r in rules()}) == len(rules())
     texts = [
         "Licensed under the Apache License, Version 2.0 (the License). MIT License. GNU General Public License version 3.0 or later, or CC BY-SA 4.0; SPDX-License-Identifier: MIT",
         "This is released under the MIT license and the GNU Lesser General Public License version 2.1, or (at your option) any later version.",
         "mit license " * 200, "mit  licenses, smit license; MİT license cc by", "CC-BY é CC.BY", "Apache 2 apache license", "éapache license", "All rights reserved. Copyright (c) 2019 x", None, "", "\x00", "cc0 cc0 cc0 1.0 universal",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", "Neither the name of the Regents of Ümläut nor the names of its contributors may be used to endorse or promote products", "BLUEOA\u212a-1.0.0 spdx-license-identifier: blueoa\u212a-1.0.0", "the bsd zero clause license, see the LICENSE file for details; gpl licensed gplv3 gpl-2",
         "https://creativecommons.org/licenses/by-nc-sa/4.0/ and https://www.apache.org/licenses/LICENSE-2.0", "word " * 5000 + "BSD 3-Clause License",
     ]
     rows = list(enumerate(texts)) + corpus()[:20]
@@ -290,6 +291,18 @@ def test_priority_and_containment(spark):
     own = [Rule(0, "long", 10, "a", "(?<= )(?:a b c)(?= )", 0.5), Rule(1, "inner", 10, "a", "(?<= )(?:a b)(?= )", 0.9), Rule(2, "high", 20, "c", "(?<= )(?:c d)(?= )", 0.7), Rule(3, "same", 20, "c", "(?<= )(?:c d)(?= )", 0.8)]
     got = license_scan(spark.createDataFrame([(1, "a b c x"), (2, "a b c d"), (3, "a b, a b c")], "doc_id long, text string"), own).orderBy("doc_id").collect()
     assert [r.labels for r in got] == ["long", "high", "inner,long"]
+    # one long match contains many short ones, far from its own place in the order of starts
+    tail = " ".join(f"w{i}" for i in range(40))
+    own = [Rule(0, "short", 1, "mit", "(?<= )(?:mit)(?= )", 0.5), Rule(1, "long", 9, "begin", f"(?<= )(?:begin(?: mit)+ {tail} mit)(?= )", 0.9)]
+    text = "begin " + "mit " * 60 + tail + " mit"
+    assert license_scan(spark.createDataFrame([(1, text), (2, text + " x mit")], "doc_id long, text string"), own).agg(F.sort_array(F.collect_list("labels"))).first()[0] == ["long", "long,short"]
+
+
+def test_many_matches(spark):
+    """Time in proportion to the matches: a megabyte of them in one text."""
+    n = 80_000
+    got = license_scan(spark.createDataFrame([(1, "mit license " * n)], "doc_id long, text string")).first()
+    assert (got.n_words, got.n_base, got.first_word, got.last_word, got.labels) == (2 * n, n, 0, 2 * n - 2, "mit")
 
 
 def test_segments():
