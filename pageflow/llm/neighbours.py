@@ -8,16 +8,21 @@ sample's median; rows that lie on it (as copies of one vector do) are dealt to b
 by the hash of their id, and searches enter both sides, so copies never crowd a leaf.
 
 A search takes nodes of all trees from one priority queue by their distance from the
-query until the leaves taken hold `visit` times as many rows as the table (a row counts
-in each tree), and 4 k rows for each tree at least, so that small tables are searched whole.  Leaf cells then meet their queries, score by double-precision inner
-products on the original vectors, and each query keeps its best.  A first round over each
-query's nearest leaf gives a score that its k-th best reaches at least; in the second
-round cells return nothing below it, so what they return follows the number of queries.
+query until the leaves taken hold `visit` times as many rows as the table (a row counts in
+each tree), and `floor` times k rows for each tree at least.  Leaves are cut into parts of
+`block` rows.  Each part is read once and then meets the queries that came to it, batch by
+batch, so neither the rows of a leaf nor its queries are ever held whole, and a row is sent
+once a tree.  Scores are double-precision inner products on the original vectors, and each
+query keeps its best.  A first round over each query's nearest leaf gives a score that its
+k-th best reaches at least; in the second round parts return nothing below it, so what they
+return follows the number of queries.
 
 Behaviour: vectors that are null, zero, of a length other than the most common one, or
-that hold null or non-finite components take no part; a null id takes no part; rows that
-repeat an id count once (the first by its vector); ties go to the smaller id; fewer
-candidates than k give fewer rows; an empty table gives none; further columns are ignored.
+that hold null or non-finite components take no part; a null id takes no part; each row
+counts by itself, also where ids repeat: it is a candidate for every other row, and a query
+if its id says so; ties go to the smaller id; products that overflow count as they come out
+(infinite; what is no number is left out); fewer candidates than k give fewer rows; an
+empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, width, written
 
 TIE = 1e-9
 
@@ -88,32 +93,38 @@ def search(trees: list[Tree], query: np.ndarray, leaf_rows: float, want: float)
     return out
 
 
-def best_in_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray):
-    """(query_id, vec_id, score) of each query's k best in the cell that reach `least`; ties go to the smaller id."""
-    out = []
-    rough = queries @ rows.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    scale = np.abs(rough[np.isfinite(rough)]).max(initial=1.0)
-    for q in range(len(query_ids)):
+def best_in_part(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray, unit: float):
+    """(query's place, row's place, score) of each query's k best in a part that reach `least`; ties go to the smaller id.
+
+    `keys` tell rows apart.  Products of vectors over `unit` choose, those of the vectors themselves are the scores.
+    """
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    most = np.finfo(np.float64).max / unit / unit  # products beyond it are infinite, and so equal
+    rough = np.minimum((queries / unit) @ (rows / unit).T, most)
+    rough[query_keys[:, None] == keys[None, :]] = -np.inf
+    scale = np.abs(rough[np.isfinite(rough)]).max(initial=1e-300)
+    floor = np.minimum(least / unit / unit, most)
+    for q in range(len(query_keys)):
         r = rough[q]
         edge = np.partition(r, len(r) - k)[len(r) - k] if len(r) > k else -np.inf
-        own = np.flatnonzero((r >= max(edge, least[q]) - 1e-9 * scale) & (r > -np.inf))
-        score = (rows[own] * queries[q]).sum(axis=1)
-        top = np.lexsort((ids[own], -score))[:k]
-        out.append((np.full(len(top), query_ids[q]), ids[own][top], score[top]))
+        own = np.flatnonzero((r >= max(edge, floor[q]) - 1e-9 * scale) & (r > -np.inf))
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (rows[own] * queries[q]).sum(axis=1)
+        own, score = own[~np.isnan(score)], score[~np.isnan(score)]
+        top = np.lexsort((keys[own], ids[own], -score))[:k]
+        out.append((np.full(len(top), q), own[top], score[top]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and its vector of doubles, without those that take no part."""
+    """row, vec_id and its vector of doubles, without those that take no part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     df = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    df = df.filter(~bad & F.exists("v", lambda x: x != 0))
-    return df.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return df.filter(~bad & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
-def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaves: int = 64, visit: float = 1.4, sample_rows: int = 20_000, block: int = 4096, seed: int = 7) -> DataFrame:
+def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaves: int = 64, visit: float = 1.4, floor: int = 4, sample_rows: int = 20_000, block: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row that meets `is_query`."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -123,12 +134,12 @@ def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaves
         return spark.createDataFrame([], schema)
     dim, n = sizes
     good = good.filter(F.size("v") == dim)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    most, n_queries = good.agg(F.max(norm2), F.sum(F.when(is_query, 1).otherwise(0))).first()
-    most = float(most)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample_rows).toPandas()
+    unit = float(good.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
+    most = float(good.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / unit) * (x / unit)))).first()[0])
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "row").select("v").limit(sample_rows).toPandas()
 
     def lengthened(x: np.ndarray) -> np.ndarray:
+        x = x / unit
         own = np.einsum("ij,ij->i", x, x)
         return np.column_stack((x, np.sqrt(np.maximum(most - own, 0)))) / np.sqrt(most)
 
@@ -137,74 +148,94 @@ def forest_search(rows: DataFrame, is_query, k: int = 20, trees: int = 8, leaves
     depth = int(min(np.ceil(np.log2(leaves)), max(1, np.log2(max(2, len(fit) / 8)))))  # some sample rows to each leaf
     forest = [Tree(rng, fit, depth) for _ in range(trees)]
     leaf = n / (1 << depth)
-    row_blocks = int(np.ceil(leaf / block))
-    query_blocks = int(np.ceil(max(1, n_queries) * min(1, visit / trees) / block))
+    parts = int(np.ceil(leaf / block))
     held = spark.sparkContext.broadcast(forest)  # trees x leaves x (dimension + 1): bounded by the sample
 
     def index(batches):
         for pdf in batches:
-            ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
+            keys, ids, x = pdf["row"].to_numpy(), pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
             long, raw = lengthened(x), [r.tobytes() for r in x]
-            part = (mix64(ids.view(np.uint64) + np.uint64(1)) % np.uint64(row_blocks)).astype(np.int64)
+            part = (mix64(keys.view(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
             for t, tree in enumerate(held.value):
-                cell = tree.leaves(long, ids)
-                for b in range(query_blocks):
-                    yield _frame(t, cell, part, b, ids, raw)
+                yield _frame(t, tree.leaves(long, keys), part, keys, ids, raw)
 
     def probe(rounds):
         def run(batches):
             for pdf in batches:
-                ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
+                keys, ids, x = pdf["row"].to_numpy(), pdf["vec_id"].to_numpy(), np.array(pdf["v"].tolist(), np.float64).reshape(-1, dim)
                 least = pdf["least"].to_numpy(np.float64)
-                own = (mix64(ids.view(np.uint64) + np.uint64(2)) % np.uint64(query_blocks)).astype(np.int64)
                 for at in range(0, len(ids), 64):
                     found = []
                     for i in range(at, min(at + 64, len(ids))):
-                        q = np.append(x[i], 0.0) / np.linalg.norm(x[i])
-                        found += [(t, c, p, own[i], ids[i], x[i].tobytes(), least[i]) for t, c in search(held.value, q, leaf, max(rounds * n, 4 * k * trees * (rounds > 0))) for p in range(row_blocks)]
+                        own = x[i] / unit
+                        q = np.append(own, 0.0) / np.linalg.norm(own)
+                        found += [(t, c, p, 1, keys[i], ids[i], x[i].tobytes(), least[i]) for t, c in search(held.value, q, leaf, max(rounds * n, floor * k * trees * (rounds > 0))) for p in range(parts)]
                     yield _rows(found)
 
         return run
 
-    cells = "tree int, leaf long, part long, own long, vec_id long, v binary"
+    cells = "tree int, leaf long, part long, kind int, row long, vec_id long, v binary, least double"
     indexed = good.mapInPandas(index, cells)
     queries = good.filter(is_query)
 
-    def score(left, right):
+    def score(batches):
         import pandas as pd
 
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        x = [np.frombuffer(b"".join(f["v"]), np.float64).reshape(-1, dim) for f in (left, right)]
-        q, v, s = best_in_cell(left["vec_id"].to_numpy(), x[0], right["vec_id"].to_numpy(), x[1], k, right["least"].to_numpy())
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    key = ["tree", "leaf", "part", "own"]
+        key, held_rows, ready = None, [], None
+        for b in batches:
+            tree, place, part, kind = (b.column(i).to_numpy() for i in range(4))
+            code = np.column_stack((tree, place, part, kind))
+            cuts = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]).any(axis=1)))) if len(code) else []
+            for first, end in zip(cuts, [*cuts[1:], len(code)], strict=True):
+                own = b.slice(first, end - first)
+                keys, ids, least = (own.column(i).to_numpy() for i in (4, 5, 7))
+                x = np.frombuffer(b"".join(own.column(6).to_pylist()), np.float64).reshape(-1, dim)
+                if tuple(code[first, :3]) != key:
+                    key, held_rows, ready = tuple(code[first, :3]), [], None
+                if code[first, 3] == 0:
+                    held_rows.append((keys, ids, x))
+                elif held_rows:
+                    ready = ready or [np.concatenate(c) for c in zip(*held_rows, strict=True)]
+                    for at in range(0, len(keys), 1024):
+                        few = slice(at, at + 1024)
+                        q, r, s = best_in_part(ready[1], ready[0], ready[2], keys[few], x[few], k, least[few], unit)
+                        yield from _batches(pd.DataFrame({"query_row": keys[few][q], "query_id": ids[few][q], "row": ready[0][r], "vec_id": ready[1][r], "score": s}))
+
+    key = ["tree", "leaf", "part"]
 
     def scores(asked, rounds):
-        probes = asked.mapInPandas(probe(rounds), cells + ", least double")
-        return indexed.groupBy(*key).cogroup(probes.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
+        both = indexed.unionByName(asked.mapInPandas(probe(rounds), cells))
+        dealt = both.repartition(width(spark), *key).sortWithinPartitions(*key, "kind")
+        return dealt.mapInArrow(score, "query_row long, query_id long, row long, vec_id long, score double")
 
     def ranked(scored):
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        # a row found in several trees has one score, so it has one rank
+        order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
         return scored.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
 
     nothing = F.lit(float("-inf"))
     first = ranked(scores(queries.withColumn("least", nothing), 0.0))
-    least = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+    least = first.groupBy(F.col("query_row").alias("row")).agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
     least, _ = written(spark, least, "least")
-    scored = scores(queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", nothing)), visit)
-    # a row found in several trees has one score, so it has one rank
-    return ranked(scored).groupBy("query_id", "rank").agg(F.min("vec_id").alias("vec_id"), F.max("score").alias("score")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scored = scores(queries.join(least, "row", "left").withColumn("least", F.coalesce("least", nothing)), visit)
+    best = ranked(scored).groupBy("query_row", "rank").agg(F.min("query_id").alias("query_id"), F.min("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _batches(pdf):
+    import pyarrow as pa
+
+    return pa.Table.from_pandas(pdf, preserve_index=False).to_batches()
 
 
-def _frame(tree, cell, part, own, ids, raw):
+def _frame(tree, cell, part, keys, ids, raw):
     import pandas as pd
 
-    return pd.DataFrame({"tree": np.full(len(ids), tree, np.int32), "leaf": cell, "part": part, "own": np.full(len(ids), own, np.int64), "vec_id": ids, "v": raw})
+    n = len(ids)
+    return pd.DataFrame({"tree": np.full(n, tree, np.int32), "leaf": cell, "part": part, "kind": np.zeros(n, np.int32), "row": keys, "vec_id": ids, "v": raw, "least": np.zeros(n)})
 
 
 def _rows(found):
     import pandas as pd
 
-    return pd.DataFrame(found, columns=["tree", "leaf", "part", "own", "vec_id", "v", "least"]).astype({"tree": np.int32, "leaf": np.int64, "part": np.int64, "own": np.int64, "vec_id": np.int64})
+    return pd.DataFrame(found, columns=["tree", "leaf", "part", "kind", "row", "vec_id", "v", "least"]).astype({"tree": np.int32, "leaf": np.int64, "part": np.int64, "kind": np.int32, "row": np.int64, "vec_id": np.int64, "least": np.float64})
