@@ -19,7 +19,7 @@ def open_fs(uri: str):
 
 
 def write_whole(uri: str, parts) -> int:
-    """Write byte strings to a file that appears only when it is complete; its size."""
+    """Write an iterable of byte strings to a file that appears only when it is complete; its size."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.part"

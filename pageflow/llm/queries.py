@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,11 +22,10 @@ def op1_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, from flat byte-level token files without an index."""
-    from .token_counts import byte_token_blocks, name_documents, separator_scan
+    """Token counts of all documents, from real flat files of byte-level ids without an index."""
+    from .token_counts import count_documents
 
-    blocks, _ = written(spark, byte_token_blocks(table(spark, sf_dir, "documents")), "flat")
-    return name_documents(separator_scan(blocks, 1, 2), blocks).select("doc_id", "n_tokens")
+    return count_documents(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS n_tokens FROM documents"

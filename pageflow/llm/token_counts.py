@@ -13,13 +13,15 @@ document of one token, the separator itself.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
-from .files import read_range
+from .common import drop_path, new_folder, shuffles_freed, text_groups, utf8, width, written
+from .files import open_fs, read_range, write_whole
 
 DTYPES = {2: "<u2", 4: "<u4", 8: "<u8"}
 
@@ -96,48 +98,77 @@ def stitch(found: DataFrame) -> DataFrame:
 # --------------------------------------------- flat files made from a documents table
 
 
-def byte_token_blocks(docs: DataFrame, end_id: int = 1, offset: int = 3, block_ids: int = 1 << 20) -> DataFrame:
-    """Each scan task's documents as one flat file of 16-bit byte-level ids (byte + offset).
+def file_of(doc_id, files: int):
+    """The number of the flat file that a document goes to."""
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(files)).cast("int")
+
 
-    `doc_ids` lists the documents whose separators lie in the block, in order; the scan
-    does not read it.  It is the writer's list of what it wrote.
+def write_flat_files(docs: DataFrame, path: str, files: int, end_id: int = 1, offset: int = 3, only=None) -> None:
+    """16-bit byte-level ids (byte + offset) of whole texts, with an end id after each, in flat files under `path`.
+
+    A file holds the documents of one hash range in the order of their doc_ids, and nothing
+    else.  It is written as a stream.
     """
+    rows = docs.select(file_of(F.col("doc_id"), files).alias("f"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if only is not None:
+        rows = rows.filter(only(F.col("f")))
+    rows = rows.repartition(width(docs.sparkSession), "f").sortWithinPartitions("f", "doc_id", "text")
 
     def lay(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        file, block, rest, ids = f"part-{TaskContext.get().partitionId():06d}", 0, b"", []
-        end, step = np.array([end_id], "<u2").tobytes(), 2 * block_ids
+        end = np.array([end_id], "<u2").tobytes()
 
-        def out(payload, done):
-            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([payload], pa.binary()), pa.array([done], pa.list_(pa.int64()))], names=["file", "block", "payload", "doc_ids"])
+        def own(b):
+            for f, text in zip(b.column(0).to_pylist(), utf8(b.column(2)), strict=True):
+                yield f, (np.frombuffer(text, np.uint8).astype("<u2") + np.uint16(offset)).tobytes() + end
 
-        size, parts = 0, []
-        for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                own = (np.frombuffer(text or b"", np.uint8).astype("<u2") + offset).tobytes() + end
-                while size + len(own) >= step:
-                    cut = step - size
-                    parts.append(own[:cut])
-                    own = own[cut:]
-                    if not own:
-                        ids.append(d)
-                    yield out(b"".join(parts), ids)
-                    block, size, parts, ids = block + 1, 0, [], []
-                if own:
-                    parts.append(own)
-                    size += len(own)
-                    ids.append(d)
-        if parts:
-            yield out(b"".join(parts), ids)
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(lay, "file string, block long, payload binary, doc_ids array<long>")
-
-
-def name_documents(scanned: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Add the writer's doc_id to each finished document by its ordinal in the file."""
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    listed = blocks.select("file", "block", "doc_ids").withColumn("before", F.coalesce(F.sum(F.size("doc_ids")).over(earlier), F.lit(0)))
-    listed = listed.select("file", "before", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("before") + F.col("i")).alias("ordinal"), "doc_id")
-    return scanned.join(listed.hint("shuffle_merge"), ["file", "ordinal"])
+        done = []
+        for f, parts in groupby((x for b in batches for x in own(b)), key=lambda x: x[0]):
+            done.append((f, write_whole(f"{path}/{file_name(f)}", (x for _, x in parts))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in range(2)], names=["f", "size"])
+
+    with shuffles_freed(docs.sparkSession):
+        rows.mapInArrow(lay, "f long, size long").write.format("noop").mode("overwrite").save()
+
+
+def file_name(f: int) -> str:
+    return f"flat-{f:07d}.bin"
+
+
+def count_documents(docs: DataFrame, rounds: int = 4, file_mb: float = 32, block_mb: float = 16) -> DataFrame:
+    """doc_id, n_tokens (byte-level ids and the end id) of each row, by the scan of real flat files.
+
+    The files take about twice the texts' bytes, so they are written and scanned in
+    `rounds`, each with its share of the files, which then go.  Nothing tells the scan which
+    document is which: a document is named by its place among those of its file, in the
+    order of doc_ids.
+
+    Behaviour: null and empty texts count their end id; a null doc_id is one like others;
+    rows that repeat a doc_id are counted each; further columns are not read; an empty table
+    gives no rows.
+    """
+    spark = docs.sparkSession
+    files = max(rounds, text_groups(docs, file_mb / 2))
+    found: DataFrame | None = None
+    for r in range(rounds):
+        path = new_folder(spark, "flat")
+        write_flat_files(docs, path, files, only=lambda f, r=r: f % rounds == r)
+        if not any_files(path):
+            continue
+        scanned, _ = written(spark, separator_scan(flat_file_blocks(spark, path, 2, block_mb), 1, 2), "counted")
+        drop_path(spark, path)
+        found = scanned if found is None else found.unionByName(scanned)
+    if found is None:
+        return spark.createDataFrame([], "doc_id long, n_tokens long")
+    number = F.regexp_extract("file", r"flat-(\d+)\.bin$", 1).cast("int")
+    place = F.row_number().over(W.partitionBy("f").orderBy("doc_id")) - 1
+    named = docs.select(file_of(F.col("doc_id"), files).alias("f"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("ordinal", place.cast("long"))
+    return found.select(number.alias("f"), F.col("ordinal").cast("long"), "n_tokens").join(named, ["f", "ordinal"]).select("doc_id", "n_tokens")
+
+
+def any_files(path: str) -> bool:
+    from pyarrow.fs import FileSelector
+
+    fs, own = open_fs(path)
+    return any(x.is_file for x in fs.get_file_info(FileSelector(own, allow_not_found=True)))

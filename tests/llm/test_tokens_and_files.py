@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from pageflow.llm.binary_output import BLOCK, decode_block, decode_file, encode_file, pack, read_token_files, simple8b_round_trip, unpack, write_token_files
 from pageflow.llm.packing import best_fit_packing, plan_packing
 from pageflow.llm.queries import tokenizer_path
-from pageflow.llm.token_counts import byte_token_blocks, flat_file_blocks, name_documents, separator_scan, stitch
+from pageflow.llm.token_counts import count_documents, file_name, flat_file_blocks, separator_scan, stitch, write_flat_files
 from pageflow.llm.tokens import Encoder
 
 from .helpers import corpus, empty, frame
@@ -19,11 +20,29 @@ from .helpers import corpus, empty, frame
 TEXTS = ["", "a \x1c b", "  two  spaces\n\n x y  z", "<|endoftext|> hi's we'LL don't 12ab", "x\n", "\n", "é ́a Σας ΣΑΣ İ", "word,word. (word)  　x", "tab\tand\r\nline"] + [t or "" for _, t in corpus()]
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+ENCODERS, FRESH = {}, {}
+NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+def library_ids(name, texts):
+    """Ids by a tokenizer that nothing else has touched."""
+    fresh = FRESH.get(name) or FRESH.setdefault(name, Tokenizer.from_file(tokenizer_path(name)))
+    return [np.asarray(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_cached_pieces_give_the_librarys_ids(name):
     e = Encoder(tokenizer_path(name), most=50)
-    want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tok.encode_batch(TEXTS, add_special_tokens=False)]
-    assert e.encode(TEXTS) == want == e.encode(TEXTS)
+    assert e.encode(TEXTS) == library_ids(name, TEXTS) == e.encode(TEXTS)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "a", "Word", "it's", "12", "é", "\x1c", ".", "<"]), max_size=12).map("".join), max_size=6))
+def test_added_tokens_are_the_librarys(texts):
+    for name in NAMES:
+        assert ENCODERS.setdefault(name, Encoder(tokenizer_path(name))).encode(texts) == library_ids(name, texts)
+
+
 
 
 @settings(max_examples=60, deadline=None)
@@ -50,14 +69,14 @@ def test_file_and_single_blocks():
 
 
 def test_simple8b_files(spark, tmp_path):
-    rows = corpus() + [(None, "no id"), (3, "again")]
+    rows = corpus() + [(None, "no id"), (3, "again"), (2, "two <|endoftext|> ends")]
     docs = frame(spark, rows)
     files = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), 2, f"file://{tmp_path}", text_mb=0.01)
     assert len(files) > 2
     got = read_token_files(spark, files).orderBy("start").collect()
-    e, start = Encoder(tokenizer_path("byte_bpe_50k.json")), 0
+    start = 0
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    for (d, t), ids, r in zip(order, e.encode([t or "" for _, t in order]), got, strict=True):
+    for (d, t), ids, r in zip(order, library_ids("byte_bpe_50k.json", [t or "" for _, t in order]), got, strict=True):
         ids += np.array([2], "<u4").tobytes()
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
@@ -104,9 +123,9 @@ def test_plan_equals_one_by_one(lengths):
 
 
 def test_packing(spark):
-    rows = corpus() + [(4, corpus()[4][1]), (None, "no id")]
+    rows = corpus() + [(4, corpus()[4][1]), (None, "no id"), (2, "two <|endoftext|> ends")]
     got = best_fit_packing(spark, frame(spark, rows), tokenizer_path("word_bpe_49k.json"), 0, 64).collect()
-    ids = Encoder(tokenizer_path("word_bpe_49k.json")).encode([t or "" for _, t in rows])
+    ids = library_ids("word_bpe_49k.json", [t or "" for _, t in rows])
     want = []
     for (d, _), x in zip(rows, ids, strict=True):
         x += bytes(4)
@@ -126,13 +145,15 @@ def test_packing(spark):
     assert best_fit_packing(spark, empty(spark), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
-def test_scan_counts(spark):
-    rows = corpus()
-    blocks = byte_token_blocks(frame(spark, rows), block_ids=100).cache()
-    got = {r.doc_id: r.n_tokens for r in name_documents(separator_scan(blocks, 1, 2), blocks).collect()}
-    assert got == {d: len((t or "").encode()) + 1 for d, t in rows}
-    none = byte_token_blocks(empty(spark))
-    assert separator_scan(none, 1, 2).count() == 0
+def test_scan_counts(spark, tmp_path):
+    rows = corpus() + [(None, "no id"), (None, None), (3, "again"), (3, "again"), (4, ""), (900, "é" * 60_000)]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens) for r in count_documents(frame(spark, rows), rounds=3, file_mb=0.02, block_mb=0.001).collect())
+    assert got == sorted((-1 if d is None else d, len((t or "").encode()) + 1) for d, t in rows)
+    assert count_documents(empty(spark)).count() == 0
+    write_flat_files(frame(spark, rows[:9]), f"file://{tmp_path}", 2)
+    ids = [np.fromfile(tmp_path / file_name(f), "<u2") for f in range(2)]
+    assert sum(len(x) for x in ids) == sum(len(t.encode()) + 1 for _, t in rows[:9])
+    assert sorted(bytes((x[x > 1] - 3).astype(np.uint8).tolist()) for f in ids for x in np.split(f, np.flatnonzero(f == 1) + 1)[:-1]) == sorted(t.encode() for _, t in rows[:9])
 
 
 def test_scan_of_flat_files(spark, tmp_path):
