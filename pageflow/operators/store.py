@@ -11,6 +11,7 @@ from ..functions.text import trim
 
 # Limits of what is accepted.
 KEY_PREFIX, KEY_LENGTH, DOCUMENT_LENGTH, PAYLOAD_LENGTH, CONTENTS_LENGTH, OFFSET = "layout-v3::", 2048, 128, 1048576, 262144, 10000
+SUFFIX_LENGTH = 1800
 FINGERPRINT = r"\A(?:[a-f0-9]{64}|fnv1a-[a-f0-9]{16})\z"
 LIBRARY = 200
 KEY_PARTS = ("document_id", "page", "provider", "endpoint", "model", "effort", "language")
@@ -29,6 +30,11 @@ def valid_key(x: Column) -> Column:
     return F.coalesce(x.startswith(KEY_PREFIX) & (F.length(x) <= KEY_LENGTH), F.lit(False))
 
 
+def index_request_valid(document: Column, suffix: Column) -> Column:
+    """Whether a request for the cached pages is one: a document id and a settings suffix, neither too long."""
+    return F.coalesce(F.length(document).between(1, DOCUMENT_LENGTH) & F.length(suffix).between(1, SUFFIX_LENGTH), F.lit(False))
+
+
 def valid_fingerprint(x: Column) -> Column:
     return F.coalesce(x.rlike(FINGERPRINT), F.lit(False))
 
@@ -50,11 +56,13 @@ def upsert_versioned(log: DataFrame, key: str = "cache_key", version: str = "cac
 
     Equal versions: the later arrival wins.  A missing version counts as 0.  `fixed` columns
     keep what the first arrival brought.  One aggregation, partial before the shuffle, and
-    the same for any order of the rows.
+    the same for any order of the rows.  What it returns is a state: with `first_arrival`
+    it can stand in a log itself.
     """
     rank = F.struct(F.coalesce(F.col(version), F.lit(0)), F.col(order))
-    kept = [F.min_by(F.struct(c), F.col(order))[c].alias(c) for c in fixed]
-    return log.groupBy(key).agg(*kept, *(F.max_by(F.struct(c), rank)[c].alias(c) for c in value), F.max(F.coalesce(F.col(version), F.lit(0))).alias(version), F.min(order).alias(f"first_{order}"), F.max(rank)[order].alias(order))
+    began = F.coalesce(f"first_{order}", order) if f"first_{order}" in log.columns else F.col(order)
+    kept = [F.min_by(F.struct(c), began)[c].alias(c) for c in fixed]
+    return log.groupBy(key).agg(*kept, *(F.max_by(F.struct(c), rank)[c].alias(c) for c in value), F.max(F.coalesce(F.col(version), F.lit(0))).alias(version), F.min(began).alias(f"first_{order}"), F.max(rank)[order].alias(order))
 
 
 def upsert_latest(log: DataFrame, key: list[str], order: str = "arrival", fixed: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +74,7 @@ def upsert_latest(log: DataFrame, key: list[str], order: str = "arrival", fixed:
 
 
 def fold_into(base: DataFrame, batch: DataFrame, **how) -> DataFrame:
-    """Versioned upsert of a batch into a stored state; both have the log's columns."""
+    """Versioned upsert of a batch into a stored state, in any order of arrival: what the whole log gives."""
     return upsert_versioned(base.unionByName(batch, allowMissingColumns=True), **how)
 
 
@@ -116,5 +124,25 @@ def checked_settings(log: DataFrame) -> DataFrame:
     return log.filter(F.col("manual_offset").isNull() | (F.abs("manual_offset") <= OFFSET))
 
 
+def checked_observations(log: DataFrame) -> DataFrame:
+    """Add the entries as JSON, and `rejected`: why an observation is refused, or null.
+
+    Takes document_id and `observation`.
+    """
+    entries = F.to_json("observation.tocEntries", {"ignoreNullFields": "false"})
+    reason = F.when(~valid_document(F.col("document_id")), "document").when(F.coalesce(F.col("observation.pdfPage") < 1, F.lit(True)), "page").when(F.length("toc_entries") > CONTENTS_LENGTH, "size")
+    return log.withColumn("toc_entries", entries).withColumn("rejected", reason)
+
+
+def upsert_navigation(log: DataFrame, order: str = "arrival") -> DataFrame:
+    """Stored navigation pages after a log of observations: the last accepted one of each page."""
+    o = F.col("observation")
+    rows = checked_observations(log).filter("rejected IS NULL").select(
+        "document_id", o["pdfPage"].cast("int").alias("pdf_page"), o["isTableOfContents"].alias("is_table_of_contents"), "toc_entries",
+        o["anchor"]["label"].alias("page_label"), o["anchor"]["value"].alias("page_value"), o["anchor"]["numbering"].alias("numbering"), order,
+    )
+    return upsert_latest(rows, ["document_id", "pdf_page"], order)
+
+
 def nonblank(x: Column) -> Column:
     return F.length(trim(x)) > 0

@@ -15,7 +15,7 @@ from pageflow.operators import viewport as V
 from pageflow.plans.fixtures import plain_block
 from pageflow.sources import books as K
 from pageflow.sources.demo import demo_pages
-from pageflow.streaming.upserts import committed, latest_state, stream_upsert, task_tokens, without_repeats
+from pageflow.streaming.upserts import bucket_paths, committed, latest_state, stream_upsert, task_tokens, without_repeats
 
 
 def value(spark, column, **cols):
@@ -129,6 +129,15 @@ def test_ranges_parts_and_fingerprints(spark):
         assert (tuple(got) if got else None) == want, header
     assert value(spark, K.range_status(K.byte_range(F.lit("bytes=0-2097152"), F.lit(2097153)))) == 416
     assert value(spark, K._fnv1a(F.lit(b"a"))) == "fnv1a-af63dc4c8601ec8c"
+    data = [bytes([i % 256]) * (i % 90) for i in range(300)] + [b"long" * 500]
+
+    def one(x):
+        h = K.FNV_OFFSET
+        for b in x:
+            h = (h ^ b) * K.FNV_PRIME % (1 << 64)
+        return h
+
+    assert K.fnv1a(data) == [one(x) for x in data] and K.fnv1a([]) == []
     files = spark.createDataFrame([(1, bytearray(b"abcdefghij")), (2, bytearray(b"x"))], "id long, content binary")
     parts = K.cut_parts(files, 4)
     sizes = spark.createDataFrame([(1, 10), (2, 2)], "id long, size long")
@@ -153,13 +162,16 @@ def test_viewport(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     schema = "cache_key string, document_id string, page int, cache_version long, payload string, updated_at long, arrival long"
-    rows = [(f"k{i % 3}", "d", 1, (7 * i) % 5, f"p{i}", i, i) for i in range(30)]
+    rows = [(f"k{i % 7}", f"d{i}", i, (7 * i) % 5, f"p{i}", i, i) for i in range(60)]
     root = f"file://{tmp_path}/state"
-    for part in (rows[:10], rows[10:20], rows[20:]):
+    for part in (rows[40:], rows[1::2][:15], rows[::2][:20], rows[31:40:2], [rows[9]]):  # batches interleave in arrival; the last one touches a single key
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream_upsert(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), root, f"{tmp_path}/log").awaitTermination()
-    want = D.upsert_versioned(spark.createDataFrame(rows, schema)).select("cache_key", "payload", "cache_version")
-    assert sorted(latest_state(spark, root).select("cache_key", "payload", "cache_version").collect()) == sorted(want.collect())
+    names = ["cache_key", "document_id", "page", "payload", "cache_version", "arrival", "first_arrival"]
+    want = D.upsert_versioned(spark.createDataFrame(rows, schema)).select(names)
+    assert sorted(latest_state(spark, root).select(names).collect()) == sorted(want.collect())
+    kept = bucket_paths(spark, root)
+    assert len(kept) > 1 and max(map(len, kept.values())) == 2  # older versions are gone
     assert committed(spark, f"file://{tmp_path}/none") == -1
 
 
