@@ -14,15 +14,19 @@ def _content(spark, sf_dir):
 
 
 def fingerprint_sha256(spark, sf_dir):
-    """Every document; its SQL covers those of up to the sample's size, whose bytes count twice."""
     return _content(spark, sf_dir).select("id", K.fingerprint(F.col("content")).alias("fingerprint"))
 
 
-fingerprint_sha256.sql = "SELECT doc_id AS id, sha256(strlen(coalesce(text, '')) || coalesce(text, '') || coalesce(text, '')) AS fingerprint FROM documents WHERE strlen(coalesce(text, '')) <= 65536"
+SAMPLED = "x AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents), y AS (SELECT doc_id, encode(CAST(n AS VARCHAR)) || array_slice(b, 1, 65536) || array_slice(b, greatest(1, n - 65535), n) AS s FROM x)"
+fingerprint_sha256.sql = f"WITH {SAMPLED} SELECT doc_id AS id, sha256(s) AS fingerprint FROM y"
 
 
 def fingerprint_fnv1a(spark, sf_dir):
-    return _content(spark, sf_dir).select("id", K.fingerprint_fnv1a(F.col("content"), 64).alias("fingerprint"))
+    return _content(spark, sf_dir).select("id", K.fingerprint_fnv1a(F.col("content")).alias("fingerprint"))
+
+
+fingerprint_fnv1a.sql = f"""WITH {SAMPLED}, z AS (SELECT doc_id, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(regexp_extract_all(hex(s), '..'), lambda d: CAST(CAST('0x' || d AS INTEGER) AS HUGEINT))), lambda h, d: xor(h, d) * 1099511628211 % 18446744073709551616) AS h FROM y)
+SELECT doc_id AS id, 'fnv1a-' || format('{{:08x}}{{:08x}}', CAST(h // 4294967296 AS BIGINT), CAST(h % 4294967296 AS BIGINT)) AS fingerprint FROM z"""
 
 
 def part_plan(spark, sf_dir):
@@ -41,6 +45,24 @@ def part_reassemble(spark, sf_dir):
 
 part_reassemble.sql = "SELECT doc_id AS id, sha256(text) AS digest, doc_id % 10 <> 0 AS accepted, CASE WHEN doc_id % 10 = 0 THEN 'size' END AS reason FROM documents WHERE strlen(text) > 0"
 
+
+
+def part_checks(spark, sf_dir):
+    """Parts as they arrive, some with a wrong key, number, session or size, some twice."""
+    e = X.table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    upload = F.concat(F.lpad(F.col("user_id").cast("string"), 8, "0"), F.when(i % 17 == 0, "-x").otherwise(F.repeat(F.lit("-"), 28)))
+    key = F.when(i % 7 == 0, "books/A.pdf").otherwise("books/a-1.pdf")
+    content = F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("part "), i.cast("string"))).cast("binary")
+    parts = e.select(upload.alias("upload_id"), key.alias("object_key"), (i % 6).cast("int").alias("part_number"), content.alias("content"), i.alias("arrival"))
+    return K.checked_parts(parts).select("arrival", "rejected", "etag")
+
+
+part_checks.sql = """WITH x AS (SELECT event_id AS arrival, user_id, event_id % 6 AS part, CASE WHEN event_id % 7 = 0 THEN 'key' WHEN event_id % 6 < 1 THEN 'number' WHEN event_id % 17 = 0 THEN 'upload' WHEN event_id % 13 = 0 THEN 'size' END AS r FROM events),
+y AS (SELECT *, min(arrival) FILTER (r IS NULL) OVER (PARTITION BY user_id, part) AS f FROM x),
+z AS (SELECT arrival, CASE WHEN r IS NULL AND arrival > f THEN 'exists' ELSE r END AS rejected FROM y)
+SELECT arrival, rejected, CASE WHEN rejected IS NULL THEN sha256('part ' || arrival) END AS etag FROM z"""
+
 HEADERS = ("bytes=0-3", "bytes=5-", "bytes=-7", "bytes=-", "bytes=9-2", "bytes=100000000-", "bytes=-0", "pages=1-2")
 
 
@@ -105,4 +127,4 @@ def fingerprint_valid(spark, sf_dir):
 
 fingerprint_valid.sql = f"WITH {X.BOOKS_SQL} SELECT id, uploaded_at % 3 <> 0 OR regexp_full_match(upper(fingerprint), '[0-9]*') AS valid FROM b"
 
-QUERIES = [retry_plan, fingerprint_valid, fingerprint_sha256, fingerprint_fnv1a, part_plan, part_reassemble, byte_range_parse, byte_range_read, chunk_plan, upload_new, upload_known]
+QUERIES = [retry_plan, fingerprint_valid, fingerprint_sha256, fingerprint_fnv1a, part_plan, part_checks, part_reassemble, byte_range_parse, byte_range_read, chunk_plan, upload_new, upload_known]
