@@ -132,8 +132,20 @@ def percent_encode(value: Column) -> Column:
 
 
 def book_id_of(url: Column) -> Column:
-    """The `book` parameter of an address."""
-    return F.parse_url(url, F.lit("QUERY"), F.lit("book"))
+    """The decoded and trimmed `book` parameter of an address; null where it is blank or missing, or the address is none."""
+    raw = F.replace(F.try_parse_url(url, F.lit("QUERY"), F.lit("book")), F.lit("+"), F.lit(" "))
+    own = trim(percent_decode(raw))
+    return F.when(own != "", own)
+
+
+def with_book_id(url: Column, book: Column) -> Column:
+    """The address with its `book` parameter set, or taken out where `book` is null or empty."""
+    rest, fragment = F.regexp_extract(url, r"\A([^#]*)", 1), F.regexp_extract(url, r"(#.*)\z", 1)
+    path, query = F.regexp_extract(rest, r"\A([^?]*)", 1), F.regexp_extract(rest, r"\A[^?]*\?(.*)\z", 1)
+    other = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("book=") & (p != "book"))
+    own = F.when(F.coalesce(book, F.lit("")) != "", F.array(F.concat(F.lit("book="), percent_encode(book)))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(other, own)
+    return F.concat(path, F.when(F.size(parts) > 0, F.concat(F.lit("?"), F.array_join(parts, "&"))).otherwise(""), fragment)
 
 
 def endpoint(raw: Column, kind: str, default: str) -> Column:

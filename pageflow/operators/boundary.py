@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind as _bind
 from ..functions.text import CJK, LETTER, TERMINAL, trim, trim_end, trim_start
 from ..schemas import BLOCKS
 from .blocks import is_blank, markdown
@@ -14,11 +15,6 @@ from .blocks import is_blank, markdown
 LONGEST = 120
 
 
-def _bind(value: Column, use) -> Column:
-    """use(value), with the value computed once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _meaningful(before: Column, after: Column, n: Column) -> Column:
     own = F.substring(after, F.lit(1), n)
     letters = F.length(F.regexp_replace(own, r"[^\p{L}\p{N}]", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind as _bind
 from ..functions.text import TOC_HEADING, clamp, one_of, page_reference, trim
 from ..schemas import ANCHOR, NUMBERINGS, TOC_ENTRY
 from .blocks import _boolean, _field, _integer, _kind, _text
@@ -26,12 +27,18 @@ def observe(blocks: Column, pdf_page: Column) -> Column:
     """
 
     def candidate(b, i):
-        ref = page_reference(b["trailing"])
+        return _bind(page_reference(b["trailing"]), lambda ref: numbered(b, i, ref))
+
+    def numbered(b, i, ref):
         entry = F.struct(pdf_page.cast("long").alias("sourcePage"), i.alias("ordinal"), entry_title(b).alias("title"), ref["label"].alias("label"), ref["value"].alias("value"), ref["numbering"].alias("numbering"), clamp(b["indent"], 0, 3).alias("level"))
         good = (b["kind"] == "list_item") & (trim(b["text"]) != "") & (F.coalesce(ref["value"], F.lit(0)) != 0)
         return F.when(good, entry)
 
-    entries = F.filter(F.transform(blocks, candidate), lambda e: e.isNotNull())
+    found = F.filter(F.transform(blocks, candidate), lambda e: e.isNotNull())
+    return _bind(found, lambda entries: _observed(blocks, pdf_page, entries))
+
+
+def _observed(blocks: Column, pdf_page: Column, entries: Column) -> Column:
     heading = F.exists(blocks, lambda b: b["kind"].isin("heading", "paragraph") & b["text"].rlike(TOC_HEADING))
     toc = (F.size(entries) >= 2) & (heading | (F.size(entries) >= 4))
     printed = F.filter(F.transform(F.filter(blocks, lambda b: b["kind"] == "page_number"), lambda b: page_reference(b["text"])), lambda r: r["value"].isNotNull())
@@ -40,6 +47,38 @@ def observe(blocks: Column, pdf_page: Column) -> Column:
     return F.struct(pdf_page.cast("long").alias("pdfPage"), toc.alias("isTableOfContents"), F.when(toc, entries).otherwise(F.array().cast(f"array<{TOC_ENTRY}>")).alias("tocEntries"), anchor.alias("anchor"))
 
 
+def stored_observations(pages: DataFrame) -> DataFrame:
+    """document_id and observation of stored navigation pages.
+
+    The entries are JSON text; what is broken or no list counts as empty.  Pages below 1 go.
+    """
+    listed = F.try_parse_json("toc_entries")
+    entries = F.when(F.schema_of_variant(listed).startswith("ARRAY"), F.col("toc_entries")).otherwise("[]")
+    anchor = F.when(F.length("page_label") > 0, F.struct(F.col("page_label").alias("label"), F.col("page_value").alias("value"), "numbering"))
+    rest = F.to_json(F.struct(F.col("pdf_page").alias("pdfPage"), F.col("is_table_of_contents").cast("boolean").alias("isTableOfContents"), anchor.alias("anchor")))
+    json = F.concat(F.lit('{"tocEntries":'), entries, F.lit(","), F.substring(rest, 2, 1 << 30))
+    return pages.select("document_id", read_observation(json).alias("observation")).filter("observation.pdfPage > 0")
+
+
+def anchors_of(observations: DataFrame) -> DataFrame:
+    """(document_id, pdf_page, label, value, numbering) of every page that shows its printed number."""
+    a = F.col("observation.anchor")
+    found = observations.filter(a.isNotNull())
+    return found.select("document_id", a["pdfPage"].alias("pdf_page"), a["label"].alias("label"), a["value"].alias("value"), a["numbering"].alias("numbering"))
+
+
+def entries_of(observations: DataFrame) -> DataFrame:
+    """The entries of all observations, a row each."""
+    rows = observations.select("document_id", F.explode("observation.tocEntries").alias("e"))
+    return rows.select("document_id", F.col("e.sourcePage").alias("source_page"), "e.ordinal", "e.title", "e.label", "e.value", "e.numbering", "e.level")
+
+
+def contents_panel(pages: DataFrame, settings: DataFrame, totals: DataFrame) -> DataFrame:
+    """A document's contents from its stored pages: the distinct entries and where each leads."""
+    observations = stored_observations(pages)
+    return resolve(collect_entries(entries_of(observations)), page_offsets(anchors_of(observations)), settings, totals)
+
+
 def _page_value(v: Column) -> Column:
     n = _integer(v)
     return F.when(n >= 0, n)
@@ -128,3 +167,10 @@ def merge_observations(remote: DataFrame, local: DataFrame, key: list[str], orde
     both = remote.withColumn("_side", F.lit(0)).unionByName(local.withColumn("_side", F.lit(1)))
     newest = W.partitionBy(*key).orderBy(F.desc("_side"), F.desc(order))
     return both.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n", "_side")
+
+
+def merge_sources(indexed: DataFrame, known: DataFrame) -> DataFrame:
+    """(document_id, page, source): the pages of a fresh index as `cache`, and over them those known to come from a call (`api`)."""
+    calls = known.filter("source = 'api'").select("document_id", "page", F.lit(1).alias("_api"))
+    both = indexed.select("document_id", "page", F.lit(0).alias("_api")).unionByName(calls)
+    return both.groupBy("document_id", "page").agg(F.when(F.max("_api") == 1, "api").otherwise("cache").alias("source"))

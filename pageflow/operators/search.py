@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, snippet
+from ..functions.text import ascii_lower, snippet, trim
 from .blocks import search_text
 
 # Candidates that the first filter passes on, results, and the query's length.
@@ -22,26 +23,56 @@ def block_contains(blocks: Column, query: str, ascii_only: bool = False) -> Colu
     return F.exists(blocks, lambda b: contains(b["text"], query, ascii_only))
 
 
-def search(pages: DataFrame, document: str | None, query: str, suffix: str | None = None, ascii_only: bool = False, candidates: int = CANDIDATES, results: int = RESULTS) -> DataFrame:
+def _checked(query: str, suffix: str | None) -> str:
+    wanted = query.strip()
+    if not wanted or len(query) > LONGEST_QUERY:
+        raise ValueError("a query has 1 to 200 characters")
+    if suffix is not None and len(suffix) > LONGEST_SUFFIX:
+        raise ValueError("the settings suffix is too long")
+    return wanted
+
+
+def search_request_valid(document: Column, query: Column, suffix: Column) -> Column:
+    """Whether a search request is one: a document id of 1 to 128 characters, a query of 1 to 200, a suffix of at most 1800."""
+    asked = F.length(trim(query)).between(1, LONGEST_QUERY) & (F.length(query) <= LONGEST_QUERY)
+    return F.coalesce(F.length(document).between(1, 128) & asked & (F.length(F.coalesce(suffix, F.lit(""))) <= LONGEST_SUFFIX), F.lit(False))
+
+
+def search_each(pages: DataFrame, query: str, suffix: str | None = None, candidates: int = CANDIDATES, results: int = RESULTS) -> DataFrame:
+    """(document_id, page, snippet): the search of every document on its own, with both caps in each.
+
+    The first filter folds A-Z alone and passes a document's first `candidates` pages; the
+    second one folds all letters.  Rows of one page go in the order of their keys.  Both ranks
+    are by document, so a plan keeps at most so many rows of each before it shuffles.
+    """
+    wanted = _checked(query, suffix)
+    df = pages
+    if suffix is not None:
+        df = df.filter(F.endswith("cache_key", F.lit(f"::{suffix}")))
+    df = df.filter(contains(F.col("markdown"), wanted, True) | block_contains(F.col("blocks"), wanted, True))
+    order = W.partitionBy("document_id").orderBy("page", "cache_key")
+    first = df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= candidates)
+    found = first.select("document_id", "page", "cache_key", snippet(search_text(F.col("blocks"), F.col("markdown")), wanted).alias("snippet")).filter("snippet <> ''")
+    found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= results)
+    return found.select("document_id", "page", "snippet")
+
+
+def search(pages: DataFrame, document: str | None, query: str, suffix: str | None = None, ascii_only: bool = True, candidates: int = CANDIDATES, results: int = RESULTS) -> DataFrame:
     """(document_id, page, snippet) of pages that hold the query, in the order of pages.
 
     The first filter looks at the markdown or each block alone and passes the first
     `candidates` pages; the second looks at the page's search text.  Both caps are the
     feature.  Expects document_id, page, cache_key, blocks, markdown.
     """
-    wanted = query.strip()
-    if not wanted or len(query) > LONGEST_QUERY:
-        raise ValueError("a query has 1 to 200 characters")
+    wanted = _checked(query, suffix)
     if document is not None and not 1 <= len(document) <= 128:
         raise ValueError("a document id has 1 to 128 characters")
-    if suffix is not None and len(suffix) > LONGEST_SUFFIX:
-        raise ValueError("the settings suffix is too long")
     df = pages
     if document is not None:
         df = df.filter(F.col("document_id") == document)
     if suffix is not None:
         df = df.filter(F.endswith("cache_key", F.lit(f"::{suffix}")))
     df = df.filter(contains(F.col("markdown"), wanted, ascii_only) | block_contains(F.col("blocks"), wanted, ascii_only))
-    first = df.orderBy("document_id", "page").limit(candidates)
-    found = first.select("document_id", "page", snippet(search_text(F.col("blocks"), F.col("markdown")), wanted).alias("snippet"))
-    return found.filter("snippet <> ''").orderBy("document_id", "page").limit(results)
+    first = df.orderBy("document_id", "page", "cache_key").limit(candidates)
+    found = first.select("document_id", "page", "cache_key", snippet(search_text(F.col("blocks"), F.col("markdown")), wanted).alias("snippet"))
+    return found.filter("snippet <> ''").orderBy("document_id", "page", "cache_key").limit(results).drop("cache_key")

@@ -34,15 +34,61 @@ TRANSLATIONS_SQL = "t AS (SELECT 'doc-' || conv_id AS document_id, CAST(turn + 1
 
 def overlapping_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of 50 words, each 6 words over the one before; one without text has no page."""
+    return _pages(spark, sf_dir, lambda n: F.floor((n - 1) / 44).cast("int"), lambda i: i * 44 + 1, lambda i: F.lit(50))
+
+
+def _pages(spark: SparkSession, sf_dir: str, last, first, size) -> DataFrame:
+    """Pages 0 to last(number of words) of each document: `size` words from word `first` on (from 1)."""
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    words = F.split("text", " ")
-    d = d.select("doc_id", words.alias("w")).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 44).cast("int"))).alias("i"))
-    return d.select(F.col("doc_id").cast("string").alias("document_id"), (F.col("i") + 1).alias("page"), F.array_join(F.slice("w", F.col("i") * 44 + 1, F.lit(50)), " ").alias("text"))
+
+    def cut(x):
+        return F.transform(F.sequence(F.lit(0), last(F.size(x))), lambda i: F.array_join(F.slice(x, first(i), size(i)), " "))
+
+    # the list of words stays within the row: no page carries it
+    pages = F.get(F.transform(F.array(F.split("text", " ")), cut), F.lit(0))
+    d = d.select("doc_id", F.posexplode(pages).alias("i", "text"))
+    return d.select(F.col("doc_id").cast("string").alias("document_id"), (F.col("i") + 1).alias("page"), "text")
 
 
-OVERLAPPING_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE length(text) BETWEEN 400 AND 4000),
+def vanishing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in threes: 50 words; the last 6 of these alone; and 50 from there on.
+
+    The middle one is all repetition, so it vanishes, and then the third one repeats nothing.
+    """
+    place = lambda i: F.floor(i / 3).cast("int") * 88 + F.when(i % 3 == 0, 1).otherwise(45)
+    return _pages(spark, sf_dir, lambda n: F.floor((n - 1) / 88).cast("int") * 3 + F.when((n - 1) % 88 >= 44, 2).otherwise(0), place, lambda i: F.when(i % 3 == 1, 6).otherwise(50))
+
+
+OVERLAPPING_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
 p AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i + 1 AS INTEGER) AS page, array_to_string(w[i * 44 + 1 : i * 44 + 50], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, CAST(floor((len(w) - 1) / 44) AS BIGINT) + 1)) AS i FROM w))"""
 
+VANISHING_SQL = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 88 * 3 + CASE WHEN (len(w) - 1) % 88 >= 44 THEN 3 ELSE 1 END)) AS i FROM w),
+p AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i + 1 AS INTEGER) AS page, array_to_string(w[i // 3 * 88 + CASE WHEN i % 3 = 0 THEN 1 ELSE 45 END : i // 3 * 88 + CASE WHEN i % 3 = 0 THEN 50 WHEN i % 3 = 1 THEN 50 ELSE 94 END], ' ') AS text FROM i)"""
+
+
+def stored_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as stored navigation pages; the entries are text, some of it broken or of another kind."""
+    line = table(spark, sf_dir, "lineitem")
+    page, q, v = F.col("l_linenumber") - 1, F.col("l_quantity").cast("long"), F.col("l_linenumber") + F.col("l_suppkey") % 5
+    entry = F.to_json(F.array(F.struct(F.concat(F.lit("Part "), F.col("l_partkey") % 7).alias("title"), q.cast("string").alias("label"), q.alias("value"), F.lit("arabic").alias("numbering"))))
+    kind = F.col("l_partkey") % 4
+    listed = F.when(kind == 0, entry).when(kind == 1, '{"title":"no list"}').when(kind == 2, '[{"title":"broken"').otherwise("null")
+    named = F.col("l_suppkey") % 3 != 0
+    return line.select(
+        F.col("l_orderkey").cast("string").alias("document_id"),
+        page.cast("int").alias("pdf_page"),
+        F.lit(1).alias("is_table_of_contents"),
+        listed.alias("toc_entries"),
+        F.when(named, v.cast("string")).alias("page_label"),
+        F.when(named, v.cast("int")).alias("page_value"),
+        F.when(named, F.lit("arabic")).alias("numbering"),
+        F.col("l_orderkey").alias("updated_at"),
+    )
+
+
+NAVIGATION_SQL = """s0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(l_linenumber - 1 AS BIGINT) AS pdf_page, l_partkey % 4 = 0 AS listed, 'Part ' || l_partkey % 7 AS title, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(l_linenumber + l_suppkey % 5 AS BIGINT) END AS printed FROM lineitem WHERE l_linenumber > 1)"""
+
 
 def toc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as entries of a table of contents; the part's name is the title."""

@@ -104,6 +104,59 @@ def navigation_list(spark, sf_dir):
 navigation_list.sql = f"WITH {SETTINGS_SQL} SELECT l.document_id, pdf_page, l_partkey, manual_offset FROM (SELECT CAST(l_orderkey AS VARCHAR) AS document_id, l_linenumber - 1 AS pdf_page, l_partkey FROM lineitem) l LEFT JOIN s ON s.document_id = l.document_id WHERE pdf_page > 0"
 
 
+def contents_panel(spark, sf_dir):
+    """From stored pages to resolved contents."""
+    settings, pages = _settings(spark, sf_dir)
+    r = N.contents_panel(X.stored_navigation(spark, sf_dir), settings, pages)
+    return r.select("document_id", "source_page", "title", "label", "target_page", "used_offset", "calibrated")
+
+
+contents_panel.sql = f"""WITH {X.NAVIGATION_SQL}, a AS (SELECT document_id, 'arabic' AS numbering, pdf_page, printed AS value FROM s0 WHERE printed IS NOT NULL), {X.OFFSETS_SQL}, {SETTINGS_SQL},
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, title, q ORDER BY pdf_page) AS r FROM s0 WHERE listed) WHERE r = 1)
+SELECT e.document_id, pdf_page AS source_page, title, CAST(q AS VARCHAR) AS label, CASE WHEN total_pages >= 1 THEN greatest(1, least(total_pages, q + coalesce(manual_offset, page_offset, 0))) END AS target_page, CASE WHEN total_pages >= 1 THEN coalesce(manual_offset, page_offset, 0) END AS used_offset, CASE WHEN total_pages >= 1 THEN coalesce(manual_offset, page_offset) IS NOT NULL END AS calibrated
+FROM e LEFT JOIN f ON f.document_id = e.document_id LEFT JOIN s ON s.document_id = e.document_id LEFT JOIN g ON g.document_id = e.document_id"""
+
+
+def stored_pages(spark, sf_dir):
+    """Observations as read back from stored text, broken text among it."""
+    o = N.stored_observations(X.stored_navigation(spark, sf_dir))
+    e = F.try_element_at("observation.tocEntries", F.lit(1))
+    return o.select("document_id", F.col("observation.pdfPage").alias("page"), F.col("observation.isTableOfContents").alias("is_toc"), e["title"].alias("title"), e["sourcePage"].alias("source_page"), F.col("observation.anchor.value").alias("printed"))
+
+
+stored_pages.sql = f"WITH {X.NAVIGATION_SQL} SELECT document_id, pdf_page AS page, listed AS is_toc, CASE WHEN listed THEN title END AS title, CASE WHEN listed THEN pdf_page END AS source_page, printed FROM s0"
+
+
+def page_anchors(spark, sf_dir):
+    return N.anchors_of(N.stored_observations(X.stored_navigation(spark, sf_dir)))
+
+
+page_anchors.sql = f"WITH {X.NAVIGATION_SQL} SELECT document_id, pdf_page, CAST(printed AS VARCHAR) AS label, printed AS value, 'arabic' AS numbering FROM s0 WHERE printed IS NOT NULL"
+
+
+def navigation_upsert(spark, sf_dir):
+    """Observations are written as they arrive; the last of a page stays, oversized ones are refused."""
+    line = X.table(spark, sf_dir, "lineitem")
+    entry = F.struct(F.col("l_linenumber").cast("long").alias("sourcePage"), F.lit(0).alias("ordinal"), F.when(F.col("l_partkey") % 50 == 0, F.repeat(F.lit("x"), 262_000)).otherwise("t").alias("title"), F.lit("1").alias("label"), F.col("l_quantity").cast("long").alias("value"), F.lit("arabic").alias("numbering"), F.lit(0).alias("level"))
+    o = F.struct((F.col("l_suppkey") % 10).cast("long").alias("pdfPage"), F.lit(True).alias("isTableOfContents"), F.when(F.col("l_partkey") % 50 == 0, F.array(entry, entry)).otherwise(F.array(entry)).alias("tocEntries"), F.lit(None).cast("struct<label:string,value:bigint,numbering:string>").alias("anchor"))
+    log = line.select((F.col("l_orderkey") % 500).cast("string").alias("document_id"), o.alias("observation"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")).alias("arrival"))
+    r = D.upsert_navigation(log)
+    return r.select("document_id", "pdf_page", F.get_json_object("toc_entries", "$[0].value").cast("long").alias("value"), "arrival")
+
+
+navigation_upsert.sql = """SELECT document_id, pdf_page, value, arrival FROM (SELECT *, row_number() OVER (PARTITION BY document_id, pdf_page ORDER BY arrival DESC) AS r FROM (SELECT CAST(l_orderkey % 500 AS VARCHAR) AS document_id, CAST(l_suppkey % 10 AS INTEGER) AS pdf_page, CAST(l_quantity AS BIGINT) AS value, l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS arrival, l_partkey FROM lineitem) WHERE pdf_page >= 1 AND l_partkey % 50 <> 0) WHERE r = 1"""
+
+
+def page_sources(spark, sf_dir):
+    """Pages from the cache's index and from calls in this session; calls win."""
+    line = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), "l_partkey", "l_suppkey")
+    calls = line.filter("l_partkey % 3 = 0").select("document_id", "page", F.when(F.col("l_suppkey") % 2 == 0, "api").otherwise("cache").alias("source"))
+    return N.merge_sources(line.filter("l_partkey % 2 = 0").select("document_id", "page"), calls)
+
+
+page_sources.sql = "SELECT l_orderkey AS document_id, l_linenumber AS page, CASE WHEN bool_or(l_partkey % 3 = 0 AND l_suppkey % 2 = 0) THEN 'api' ELSE 'cache' END AS source FROM lineitem WHERE l_partkey % 2 = 0 OR (l_partkey % 3 = 0 AND l_suppkey % 2 = 0) GROUP BY ALL"
+
+
 def nav_merge_priority(spark, sf_dir):
     e = X.table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
     return N.merge_observations(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0"), ["user_id", "event_type"], "event_id")
@@ -121,4 +174,4 @@ def list_items(spark, sf_dir):
 
 list_items.sql = f"SELECT page_id, CAST(len(x) AS INTEGER) AS n_items, array_to_string(list_transform(x, lambda y: regexp_replace(regexp_replace(y, '^{T.WHITE}+', ''), '{T.WHITE}+$', '')), '|') AS items FROM (SELECT page_id, regexp_extract_all(html, '<li>([^<]*)</li>', 1) AS x FROM pages)"
 
-QUERIES = [page_ref_parse, toc_pages, observation_normalize, toc_dedupe, page_offset_mode, toc_resolved, effective_offset, navigation_list, nav_merge_priority, list_items]
+QUERIES = [page_ref_parse, toc_pages, observation_normalize, toc_dedupe, page_offset_mode, toc_resolved, effective_offset, navigation_list, contents_panel, stored_pages, page_anchors, navigation_upsert, page_sources, nav_merge_priority, list_items]

@@ -12,11 +12,13 @@ from ..operators import translate as P
 from ..operators import viewport as V
 from . import fixtures as X
 
+#: Of q (a: the page before, z: the page, both trimmed where they meet), the length of what z repeats.
+REPEATED = r"""CASE WHEN a IS NULL OR regexp_matches(a, '[.!?。！？][”’"''\)\]}】》」』]*$') THEN NULL ELSE list_filter(range(least(120, length(a), length(z)), 0, -1), lambda n: ends_with(a, substr(z, 1, n)) AND length(regexp_replace(substr(z, 1, n), '[^\p{L}\p{N}]', '', 'g')) >= 8
+ AND NOT (regexp_matches(CASE WHEN length(a) > n THEN substr(a, length(a) - n, 1) ELSE '' END, '[\p{L}\p{N}]') AND regexp_matches(substr(z, 1, 1), '[\p{L}\p{N}]'))
+ AND NOT (regexp_matches(substr(z, n, 1), '[\p{L}\p{N}]') AND regexp_matches(substr(z, n + 1, 1), '[\p{L}\p{N}]')))[1] END"""
 PAIRS = f"""{X.OVERLAPPING_SQL},
 q AS (SELECT c.document_id, c.page, regexp_replace(b.text, '{T.WHITE}+$', '') AS a, regexp_replace(c.text, '^{T.WHITE}+', '') AS z, c.text FROM p c LEFT JOIN p b ON b.document_id = c.document_id AND b.page = c.page - 1),
-n AS (SELECT *, CASE WHEN a IS NULL OR regexp_matches(a, '[.!?。！？][”’"''\\)\\]}}】》」』]*$') THEN NULL ELSE list_filter(range(least(120, length(a), length(z)), 0, -1), lambda n: ends_with(a, substr(z, 1, n)) AND length(regexp_replace(substr(z, 1, n), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 8
- AND NOT (regexp_matches(CASE WHEN length(a) > n THEN substr(a, length(a) - n, 1) ELSE '' END, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(substr(z, 1, 1), '[\\p{{L}}\\p{{N}}]'))
- AND NOT (regexp_matches(substr(z, n, 1), '[\\p{{L}}\\p{{N}}]') AND regexp_matches(substr(z, n + 1, 1), '[\\p{{L}}\\p{{N}}]')))[1] END AS k FROM q)"""
+n AS (SELECT *, {REPEATED} AS k FROM q)"""
 
 
 def boundary_overlap(spark, sf_dir):
@@ -34,8 +36,22 @@ def boundary_chain(spark, sf_dir):
     return r.select("document_id", "page", "removed", "markdown", "boundary_deduplicated")
 
 
-# Pages of 44 new words never vanish, so here the chain gives what neighbours give.
-boundary_chain.sql = f"WITH {PAIRS} SELECT document_id, page, coalesce(substr(z, 1, k), '') AS removed, CASE WHEN k IS NULL THEN text ELSE regexp_replace(substr(z, k + 1), '^{T.WHITE}+', '') END AS markdown, k IS NOT NULL AS boundary_deduplicated FROM n"
+#: Page after page of p, each against what is left of the one before.
+FOLDED = f"""r AS (SELECT document_id, page, text, '' AS removed FROM p WHERE page = 1
+UNION ALL SELECT document_id, page, CASE WHEN k IS NULL THEN text ELSE regexp_replace(substr(z, k + 1), '^{T.WHITE}+', '') END, coalesce(substr(z, 1, k), '')
+FROM (SELECT *, {REPEATED} AS k FROM (SELECT c.document_id, c.page, c.text, regexp_replace(r.text, '{T.WHITE}+$', '') AS a, regexp_replace(c.text, '^{T.WHITE}+', '') AS z FROM r JOIN p c ON c.document_id = r.document_id AND c.page = r.page + 1) q) n)
+SELECT document_id, page, removed, text AS markdown"""
+boundary_chain.sql = f"WITH RECURSIVE {X.OVERLAPPING_SQL}, {FOLDED}, removed <> '' AS boundary_deduplicated FROM r"
+
+
+def boundary_fold(spark, sf_dir):
+    """The same where pages in the middle vanish: a page meets what is left of the one before."""
+    p = X.vanishing_pages(spark, sf_dir)
+    r = Y.reconcile(p.select("document_id", "page", F.array(X.plain_block("paragraph", F.col("text"))).alias("blocks")))
+    return r.select("document_id", "page", "removed", "markdown", "is_blank")
+
+
+boundary_fold.sql = f"WITH RECURSIVE {X.VANISHING_SQL}, {FOLDED}, regexp_replace(text, '{T.WHITE}+', '', 'g') = '' AS is_blank FROM r"
 
 
 def boundary_tail(spark, sf_dir):
@@ -46,12 +62,18 @@ def boundary_tail(spark, sf_dir):
 boundary_tail.sql = f"SELECT doc_id, right(regexp_replace(coalesce(text, ''), '{T.WHITE}+$', ''), 160) AS tail FROM documents"
 
 
-def _gapped(spark, sf_dir):
-    c = X.table(spark, sf_dir, "conversations").filter("(conv_id + turn) % 5 <> 0")
+def _turns(spark, sf_dir):
+    c = X.table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _gapped(spark, sf_dir):
+    """Turns with gaps, which are what the queries over it are about."""
+    return _turns(spark, sf_dir).filter("(document_id + page - 1) % 5 <> 0")
+
+
 GAPPED = "c AS (SELECT conv_id AS document_id, turn + 1 AS page, coalesce(text, '') AS text FROM conversations WHERE (conv_id + turn) % 5 <> 0)"
+TURNS = "c AS (SELECT conv_id AS document_id, turn + 1 AS page, coalesce(text, '') AS text FROM conversations)"
 
 
 def exact_previous_page(spark, sf_dir):
@@ -112,23 +134,23 @@ page_status.sql = f"WITH {READERS}, x AS (SELECT document_id, unnest(range(1, to
 
 
 def char_prefix_sum(spark, sf_dir):
-    c = _gapped(spark, sf_dir)
+    c = _turns(spark, sf_dir)
     n = F.length("text")
     return c.select("document_id", "page", V.running_lengths("document_id", "page", n).alias("before"), F.sum(n).over(W.partitionBy("document_id")).alias("total"))
 
 
-char_prefix_sum.sql = f"WITH {GAPPED} SELECT document_id, page, CAST(coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(length(text)) OVER (PARTITION BY document_id) AS BIGINT) AS total FROM c"
+char_prefix_sum.sql = f"WITH {TURNS} SELECT document_id, page, CAST(coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(length(text)) OVER (PARTITION BY document_id) AS BIGINT) AS total FROM c"
 
 
 def typewriter_reveal(spark, sf_dir):
-    c = _gapped(spark, sf_dir)
+    c = _turns(spark, sf_dir)
     n, ms = F.length("text"), F.col("page") * 300
     shown = T.revealed(ms, n, F.lit(80))
     p = T.reveal_parts(F.col("text"), F.lit(5), shown)
     return c.select("document_id", "page", T.reveal_duration(n, F.lit(80)).alias("duration"), shown.alias("shown"), p["stable"].alias("stable"), p["tail"].alias("tail"), F.length(p["pending"]).alias("pending"))
 
 
-typewriter_reveal.sql = f"WITH {GAPPED}, x AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE least(length(text), CAST(floor(page * 300 * 80 / 1000) AS BIGINT)) END AS shown FROM c), y AS (SELECT *, least(length(text), greatest(0, shown - 5)) AS k FROM x), z AS (SELECT *, CASE WHEN k < length(text) THEN least(5, k) ELSE 0 END AS t FROM y) SELECT document_id, page, length(text) / 80 * 1000 AS duration, CAST(shown AS BIGINT) AS shown, substr(text, 1, k - t) AS stable, substr(text, k - t + 1, t) AS tail, CAST(length(text) - k AS INTEGER) AS pending FROM z"
+typewriter_reveal.sql = f"WITH {TURNS}, x AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE least(length(text), CAST(floor(page * 300 * 80 / 1000) AS BIGINT)) END AS shown FROM c), y AS (SELECT *, least(length(text), greatest(0, shown - 5)) AS k FROM x), z AS (SELECT *, CASE WHEN k < length(text) THEN least(5, k) ELSE 0 END AS t FROM y) SELECT document_id, page, length(text) / 80 * 1000 AS duration, CAST(shown AS BIGINT) AS shown, substr(text, 1, k - t) AS stable, substr(text, k - t + 1, t) AS tail, CAST(length(text) - k AS INTEGER) AS pending FROM z"
 
 
 def accept_language(spark, sf_dir):
@@ -168,11 +190,11 @@ def scalar_functions(spark, sf_dir):
     p = X.table(spark, sf_dir, "part")
     raw = F.concat(F.lit(" https://x.org/v1"), F.when(F.col("p_partkey") % 2 == 0, "/responses").otherwise("/"))
     name = F.element_at(F.array(F.lit("English"), F.lit("Japanese"), F.lit("Klingon")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    url = F.concat(F.lit("https://x.org/?a=1&book="), F.col("p_partkey").cast("string"))
-    return p.select("p_partkey", T.signed(F.col("p_size") - 20).alias("signed"), T.percent_encode(F.col("p_name")).alias("encoded"), T.percent_decode(T.percent_encode(F.col("p_name"))).alias("decoded"), T.endpoint(raw, "compatible", "").alias("endpoint"), T.language_label(name, "zh-CN").alias("language"), T.book_id_of(url).alias("book"), T.safe_return_path(F.when(F.col("p_partkey") % 2 == 0, "//evil").otherwise("/ok")).alias("back"))
+    url = F.when(F.col("p_partkey") % 5 == 0, "not an address").when(F.col("p_partkey") % 5 == 1, "https://x.org/?book=+%20#top").otherwise(F.concat(F.lit("https://x.org/?a=1&book=%20"), F.col("p_partkey").cast("string"), F.lit("#top")))
+    return p.select("p_partkey", T.signed(F.col("p_size") - 20).alias("signed"), T.percent_encode(F.col("p_name")).alias("encoded"), T.percent_decode(T.percent_encode(F.col("p_name"))).alias("decoded"), T.endpoint(raw, "compatible", "").alias("endpoint"), T.language_label(name, "zh-CN").alias("language"), T.book_id_of(url).alias("book"), T.with_book_id(url, F.when(F.col("p_partkey") % 2 == 0, F.lit("a b"))).alias("address"), T.safe_return_path(F.when(F.col("p_partkey") % 2 == 0, "//evil").otherwise("/ok")).alias("back"))
 
 
-scalar_functions.sql = "SELECT p_partkey, CASE WHEN p_size > 20 THEN '+' ELSE '' END || (p_size - 20) AS signed, url_encode(p_name) AS encoded, p_name AS decoded, 'https://x.org/v1' || CASE WHEN p_partkey % 2 = 0 THEN '/responses' ELSE '/chat/completions' END AS endpoint, CASE p_partkey % 3 WHEN 0 THEN 'English' WHEN 1 THEN '日本語' ELSE 'Klingon' END AS language, CAST(p_partkey AS VARCHAR) AS book, CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '/ok' END AS back FROM part"
+scalar_functions.sql = "SELECT p_partkey, CASE WHEN p_size > 20 THEN '+' ELSE '' END || (p_size - 20) AS signed, url_encode(p_name) AS encoded, p_name AS decoded, 'https://x.org/v1' || CASE WHEN p_partkey % 2 = 0 THEN '/responses' ELSE '/chat/completions' END AS endpoint, CASE p_partkey % 3 WHEN 0 THEN 'English' WHEN 1 THEN '日本語' ELSE 'Klingon' END AS language, CASE WHEN p_partkey % 5 > 1 THEN CAST(p_partkey AS VARCHAR) END AS book, CASE p_partkey % 5 WHEN 0 THEN 'not an address' WHEN 1 THEN 'https://x.org/' ELSE 'https://x.org/?a=1' END || CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 5 > 1 THEN '&' ELSE '?' END || 'book=a%20b' ELSE '' END || CASE WHEN p_partkey % 5 > 0 THEN '#top' ELSE '' END AS address, CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '/ok' END AS back FROM part"
 
 def response_normalize(spark, sf_dir):
     """A model's answers: the page asked for where none is given, and revisions of exactly the page before."""
@@ -203,4 +225,4 @@ def request_validation(spark, sf_dir):
 
 request_validation.sql = "SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_custkey % 5 BETWEEN 1 AND 3 AS valid, 'Translate page ' || o_orderkey || ' of 9 into English as layout blocks in JSON.' || CASE WHEN o_orderkey % 2 = 0 THEN ' The page before ends: the end' ELSE '' END AS prompt FROM orders"
 
-QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, provider_answers, scalar_functions]
+QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, provider_answers, scalar_functions]

@@ -17,20 +17,43 @@ SUFFIX = "p::e::m::low::user"
 
 
 def search_snippets(spark, sf_dir):
-    return S.search(X.translations(spark, sf_dir), None, "tion")
+    """A search of every document, 250 candidates and 100 results in each."""
+    return S.search_each(X.translations(spark, sf_dir), "tion")
 
 
 SNIPPET = f"""(CASE WHEN s > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, s + 1, e - s), '{WHITE}+', ' ', 'g'), ' ') || CASE WHEN e < length(text) THEN '…' ELSE '' END)"""
-SEARCH = """c AS (SELECT document_id, page, text, instr(lower(text), '{q}') AS pos FROM (SELECT * FROM t WHERE contains(lower(text), '{q}'){w} ORDER BY document_id, page LIMIT 250)),
-s AS (SELECT *, greatest(0, pos - 1 - 72) AS s, least(length(text), pos - 1 + {n} + 72) AS e FROM c)"""
-search_snippets.sql = f"WITH {X.TRANSLATIONS_SQL}, {SEARCH.format(q='tion', n=4, w='')} SELECT document_id, page, {SNIPPET} AS snippet FROM s ORDER BY document_id, page LIMIT 100"
+FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SEARCH = f"""f AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, cache_key) AS n FROM t WHERE contains({FOLD.format('text')}, '{{q}}'){{w}}),
+c AS (SELECT document_id, page, text, instr(lower(text), '{{q}}') AS pos, row_number() OVER (PARTITION BY document_id ORDER BY page, cache_key) AS n FROM f WHERE n <= 250 AND contains(lower(text), '{{q}}')),
+s AS (SELECT *, greatest(0, pos - 1 - 72) AS s, least(length(text), pos - 1 + {{n}} + 72) AS e FROM c WHERE n <= 100)"""
+search_snippets.sql = f"WITH {X.TRANSLATIONS_SQL}, {SEARCH.format(q='tion', n=4, w='')} SELECT document_id, page, {SNIPPET} AS snippet FROM s"
 
 
 def search_settings(spark, sf_dir):
-    return S.search(X.translations(spark, sf_dir), None, "er", suffix=SUFFIX)
+    return S.search_each(X.translations(spark, sf_dir), "er", suffix=SUFFIX)
 
 
-search_settings.sql = f"WITH {X.TRANSLATIONS_SQL}, {SEARCH.format(q='er', n=2, w=f" AND ends_with(cache_key, '::{SUFFIX}')")} SELECT document_id, page, {SNIPPET} AS snippet FROM s ORDER BY document_id, page LIMIT 100"
+search_settings.sql = f"WITH {X.TRANSLATIONS_SQL}, {SEARCH.format(q='er', n=2, w=f" AND ends_with(cache_key, '::{SUFFIX}')")} SELECT document_id, page, {SNIPPET} AS snippet FROM s"
+
+
+def search_document(spark, sf_dir):
+    """One document's search, as a reader asks for it."""
+    return S.search(X.translations(spark, sf_dir), "doc-1", "E")
+
+
+search_document.sql = f"WITH {X.TRANSLATIONS_SQL}, {SEARCH.format(q='e', n=1, w=" AND document_id = 'doc-1'")} SELECT document_id, page, {SNIPPET} AS snippet FROM s"
+
+
+def search_requests(spark, sf_dir):
+    """Which requests are valid."""
+    e = X.table(spark, sf_dir, "events")
+    document = F.repeat(F.lit("d"), (F.col("event_id") % 131).cast("int"))
+    query = F.concat(F.lit(" "), F.repeat(F.lit("q"), (F.col("event_id") % 203).cast("int")))
+    suffix = F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("s"), (1795 + F.col("event_id") % 11).cast("int")))
+    return e.select("event_id", S.search_request_valid(document, query, suffix).alias("search"), D.index_request_valid(document, suffix).alias("index"))
+
+
+search_requests.sql = "SELECT event_id, event_id % 131 BETWEEN 1 AND 128 AND event_id % 203 BETWEEN 1 AND 199 AND (event_id % 3 <> 0 OR event_id % 11 <= 5) AS search, event_id % 131 BETWEEN 1 AND 128 AND event_id % 3 = 0 AND event_id % 11 <= 5 AS index FROM events"
 
 
 def search_prefilter_ascii(spark, sf_dir):
@@ -101,10 +124,9 @@ SELECT cache_key, d AS document_id, p AS page, version AS cache_version, value A
 def upsert_incremental(spark, sf_dir):
     """A stored state and a batch give what the whole log gives."""
     log = X.upsert_log(spark, sf_dir)
-    base = D.upsert_versioned(log.filter("arrival % 2 = 0")).select(log.columns)
-    first = log.groupBy("cache_key").agg(F.min_by("document_id", "arrival").alias("document_id"), F.min_by("page", "arrival").alias("page"))
-    state = D.fold_into(base, log.filter("arrival % 2 = 1")).select("cache_key", "cache_version", F.col("payload").cast("double").alias("payload"), "updated_at")
-    return state.join(first, "cache_key")
+    base = D.upsert_versioned(log.filter("arrival % 2 = 0"))
+    state = D.fold_into(base, log.filter("arrival % 2 = 1"))
+    return state.select("cache_key", "document_id", "page", "cache_version", F.col("payload").cast("double").alias("payload"), "updated_at")
 
 
 upsert_incremental.sql = upsert_versioned.sql
@@ -167,6 +189,13 @@ def latest_tasks(spark, sf_dir):
     return task_tokens(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 5).cast("string").alias("token"), (F.col("event_id") % 2 == 0).alias("replace")))
 
 
+latest_tasks.sql = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, (['start', 'finish', 'cancel'])[event_id % 3 + 1] AS kind, CAST(event_id % 5 AS VARCHAR) AS token, event_id % 2 = 0 AS rep, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT key, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS accepted, CAST(NULL AS VARCHAR) AS running, CAST(0 AS BIGINT) AS n FROM e WHERE n = 1
+UNION ALL SELECT key, seq, ok, CASE WHEN ok AND kind = 'start' THEN token WHEN NOT ok THEN running END, n
+FROM (SELECT e.*, s.running, CASE kind WHEN 'start' THEN s.running IS NULL OR rep WHEN 'finish' THEN coalesce(s.running = token, false) ELSE s.running IS NOT NULL END AS ok FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1) x)
+SELECT key, CAST(seq AS BIGINT) AS seq, accepted FROM s WHERE n > 0"""
+
+
 def block_normalize(spark, sf_dir):
     c = X.table(spark, sf_dir, "conversations")
     one = F.struct(F.when(F.col("turn") % 2 == 0, "list_item").otherwise("bogus").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn").alias("marker"), F.lit("center").alias("align"), (F.col("turn") * 0.7).alias("indent"), F.lit("huge").alias("size"))
@@ -219,4 +248,4 @@ def block_rows(spark, sf_dir):
 
 block_rows.sql = f"WITH {LINES}, y AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM x) SELECT doc_id, CAST(i AS INTEGER) AS ordinal, CASE WHEN i = 0 THEN 'heading' WHEN i % 5 = 4 THEN 'list_item' WHEN i % 5 = 3 THEN 'spacer' ELSE 'paragraph' END AS kind, CAST(length(line) AS INTEGER) AS n FROM y"
 
-QUERIES = [search_snippets, search_settings, search_prefilter_ascii, block_exists_search, highlight_segments, cached_page_index, translation_lookup, library_recent, book_lookup, upsert_versioned, upsert_incremental, stream_upserts, upsert_latest, upsert_books, upsert_validation, signature_suppress, latest_tasks, block_normalize, payload_normalize, page_markdown, page_is_blank, block_rows]
+QUERIES = [search_snippets, search_settings, search_document, search_requests, search_prefilter_ascii, block_exists_search, highlight_segments, cached_page_index, translation_lookup, library_recent, book_lookup, upsert_versioned, upsert_incremental, stream_upserts, upsert_latest, upsert_books, upsert_validation, signature_suppress, latest_tasks, block_normalize, payload_normalize, page_markdown, page_is_blank, block_rows]
