@@ -12,14 +12,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import hash_words
+from pageflow.llm.common import hash_words, rolling
 from pageflow.llm.context_trees import DEPTH, context_tree_scores
 from pageflow.llm.decontamination import common_subsequence, decontaminate
 from pageflow.llm.graph import connected_components
 from pageflow.llm.jaccard import jaccard_components
 from pageflow.llm.license_rules import BASE_PHRASES, FAMILIES, Rule, rules
 from pageflow.llm.licenses import license_scan
-from pageflow.llm.substrings import deduplicate_substrings, read_segment, write_segment
+from pageflow.llm.substrings import FingerprintIndex, deduplicate_batch, deduplicate_substrings, read_segment, write_segment
 from pageflow.llm.toxicity import fit_chain, score_chain, without
 
 from .helpers import WORDS, components, corpus, deduplicated, empty, frame, low
@@ -327,3 +327,84 @@ def test_substrings(spark):
     got = deduplicate_substrings(frame(spark, [(7, same), (7, same), (None, same), (8, same + " tail"), (-3, "x " + " ".join(WORDS[20:30]))])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(-3, 0), (0, 0), (7, 0), (7, 0), (8, 30)]
     assert deduplicate_substrings(empty(spark)).count() == 0
+
+
+def alike_words(n=1024):
+    """Two words that any polynomial hash modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    t, u = alike_words()
+    hashes, _ = hash_words([f"{t} {u}".encode()])
+    assert hashes[0] != hashes[1]
+    pattern = [0, 1, 1, 0, 1, 0, 0, 1] * 2
+    flip = np.array([hashes[i] for i in pattern]), np.array([hashes[1 - i] for i in pattern])
+    assert rolling(flip[0], 16)[0] != rolling(flip[1], 16)[0]
+    head, tail = " ".join(WORDS[:9]), " ".join(WORDS[9:20])
+    rows = [(1, f"{head} {t} {tail}"), (2, f"{head} {u} {tail}"), (3, f"{head} {u} {tail}"), (4, t), (5, u)]
+    got = {r.doc_id: r.n_removed for r in deduplicate_substrings(frame(spark, rows)).collect()}
+    assert got == {d: len(w) - len(k) for d, (w, k) in deduplicated(rows).items()} and got[3] == 21
+    linked = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(frame(spark, [(1, f"x {t} y"), (2, f"x {u} y"), (3, f"x {t} y")])).collect()}
+    assert linked == {1: (1, 1, 1), 2: (1, 2, 0), 3: (1, 1, 1)}
+    taught = spark.createDataFrame([(1, f"x {t}", False), (2, f"x {u}", True)], "doc_id long, text string, out boolean")
+    assert {r.doc_id: r.n_known for r in context_tree_scores(taught, F.col("out")).collect()} == {1: 3, 2: 2}
+
+
+def test_false_matches_of_fingerprints(spark):
+    """With ten bits most fingerprints stand for many windows; the further bits tell them apart."""
+    rows = corpus()
+    want = deduplicated(rows)
+    got = deduplicate_substrings(frame(spark, rows), bits=10, portion_mb=0.01, batches=2, buckets=3).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {d: (len(w), len(w) - len(k)) for d, (w, k) in want.items()}
+
+
+def test_index_across_sessions(spark, tmp_path):
+    """An index that is opened again for each batch gives what one run over all gives, and what stands on disk stays few runs."""
+    r, root = random.Random(8), f"file://{tmp_path}/index"
+    rows = [x for x in corpus() if x[0] is not None] + [(200 + i, " ".join(r.choices(WORDS[:40], k=400))) for i in range(4)]
+    rows += [(300, " ".join(f"v{j}" for j in range(60_000))), (301, " ".join(f"v{j}" for j in range(30_000, 90_000))), (302, " ".join(w for _, t in rows[:8] for w in t.split()))]
+    want, got = deduplicated(rows), {}
+    FingerprintIndex.create(spark, root, buckets=5)
+    cuts = [0, 20, 40, 75, 202, 301, 400]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        index = FingerprintIndex.open(spark, root)
+        part = deduplicate_batch(index, frame(spark, [x for x in rows if low <= x[0] < high]), with_text=True)
+        got |= {x.doc_id: x for x in part.collect()}
+        assert max(n for n in [sum(y["level"] == k for y in index.state["runs"]) for k in range(9)]) < 2
+    assert {d: (x.n_words, x.n_removed, x.kept_sha256) for d, x in got.items()} == {d: (len(w), len(w) - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for d, (w, k) in want.items()}
+    assert got[301].n_removed == 30_000 and got[302].n_removed > 100
+    again = deduplicate_batch(FingerprintIndex.open(spark, root), frame(spark, rows)).collect()
+    assert all(x.n_removed == x.n_words for x in again if x.n_words >= 13)
+
+
+def test_jaccard_of_chained_documents(spark):
+    """Documents that share rare n-grams with the next ones, all in one chain, and a large group of near copies."""
+    r = random.Random(6)
+    rows = []
+    for i in range(120):
+        own = [f"p{j}" for j in range(20 * i, 20 * i + 45)]
+        rows.append((i, " ".join(own)))
+    base = [f"q{j}" for j in range(80)]
+    for i in range(90):
+        words = list(base)
+        words[r.randrange(80)] = f"z{i % 30}"
+        rows.append((500 + i, " ".join(words + base[:3] * (i % 3))))
+    r.shuffle(rows)
+    for n, percent, block, fragments in ((3, 90, 1500, 3), (2, 70, 700, 1), (1, 35, 900, 5)):
+        want = components(rows, n, percent)
+        got = jaccard_components(frame(spark, rows), n, percent, block=block, portion_mb=0.01, fragments=fragments).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in got} == want
+
+
+def test_clashing_columns_and_rows_of_one_document(spark):
+    names = "doc_id, text, 'r' AS row, 1 AS node, 'x' AS s1, 2 AS block, 3 AS rep, 'c' AS _c0, 'h' AS h, 5 AS n_words, 6 AS n_removed, 7 AS kept_sha256"
+    rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "p q r s t u v"), (None, "a b c d e f g"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(*names.split(", "))
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_links) for r in jaccard_components(docs).collect())
+    assert got == [(0, 0, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 3, 0), (3, 3, 0)]
+    left = deduplicate_substrings(docs, window=3, with_text=True, carry=["_c0", "row"]).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r._c0, r.row) for r in left) == [(0, 0, "c", "r"), (1, 0, "c", "r"), (1, 0, "c", "r"), (2, 7, "c", "r"), (3, 0, "c", "r"), (3, 0, "c", "r")]
