@@ -57,7 +57,7 @@ def stored_observations(pages: DataFrame) -> DataFrame:
     anchor = F.when(F.length("page_label") > 0, F.struct(F.col("page_label").alias("label"), F.col("page_value").alias("value"), "numbering"))
     rest = F.to_json(F.struct(F.col("pdf_page").alias("pdfPage"), F.col("is_table_of_contents").cast("boolean").alias("isTableOfContents"), anchor.alias("anchor")))
     json = F.concat(F.lit('{"tocEntries":'), entries, F.lit(","), F.substring(rest, 2, 1 << 30))
-    return pages.select("document_id", read_observation(json).alias("observation")).filter("observation.pdfPage > 0")
+    return pages.select("document_id", _bind(json, read_observation).alias("observation")).filter("observation.pdfPage > 0")
 
 
 def anchors_of(observations: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from .blocks import read_payload
+from .blocks import boundary_tail, read_payload, read_response
 from .boundary import reconcile
 
 # Parallel calls and images a call.
@@ -44,6 +44,44 @@ def prompt(page: Column, total: Column, language: Column, tail: Column) -> Colum
     return F.when(F.length(tail) > 0, F.concat(head, F.lit(" The page before ends: "), tail)).otherwise(head)
 
 
+def uses_responses(provider: Column, endpoint: Column) -> Column:
+    """Whether an address takes the request with `input` (else the one with `messages`)."""
+    return (provider == "openai") | F.endswith(endpoint, F.lit("/responses"))
+
+
+def request_body(responses: Column, model: Column, effort: Column, instruction: Column, images: Column) -> Column:
+    """The JSON of a request, in the wire shape that the address takes.
+
+    `images` are array<struct<page, url>>; each one follows a line that names its page.  An
+    effort of "none" is left out.
+    """
+    effort = F.when(effort != "none", effort)
+
+    def content(text_kind, image):
+        text = lambda x: F.struct(F.lit(text_kind).alias("type"), x.alias("text"))
+        line = lambda x: F.concat(F.lit("Page "), x["page"].cast("string"), F.lit(":"))
+        shown = F.flatten(F.transform(images, lambda x: F.array(F.to_json(text(line(x))), F.to_json(image(x)))))
+        return F.concat(F.lit("["), F.array_join(F.concat(F.array(F.to_json(text(instruction))), shown), ","), F.lit("]"))
+
+    def body(head, name, parts, tail):
+        start = F.to_json(head)  # {"model":...}
+        return F.concat(F.substring(start, F.lit(1), F.length(start) - 1), F.lit(f',"{name}":[{{"role":"user","content":'), parts, F.lit("}],"), F.lit(tail), F.lit("}"))
+
+    new = body(
+        F.struct(model.alias("model"), F.when(effort.isNotNull(), F.struct(effort.alias("effort"))).alias("reasoning")),
+        "input",
+        content("input_text", lambda x: F.struct(F.lit("input_image").alias("type"), x["url"].alias("image_url"), F.lit("high").alias("detail"))),
+        '"text":{"format":{"type":"json_schema","name":"page_translation","strict":true}}',
+    )
+    chat = body(
+        F.struct(model.alias("model"), effort.alias("reasoning_effort")),
+        "messages",
+        content("text", lambda x: F.struct(F.lit("image_url").alias("type"), F.struct(x["url"].alias("url"), F.lit("high").alias("detail")).alias("image_url"))),
+        '"response_format":{"type":"json_object"}',
+    )
+    return F.when(responses, new).otherwise(chat)
+
+
 def response_text(answer: Column) -> Column:
     """The text of either answer shape: a direct field, the first non-empty nested text, or the first choice."""
     nested = F.from_json(F.get_json_object(answer, "$.output"), "array<struct<content:array<struct<text:string>>>>")
@@ -63,8 +101,17 @@ def accepted_revision(answers: DataFrame) -> DataFrame:
     return answers.filter((r["page"] == F.col("page") - 1) & (F.size(r["blocks"]) > 0)).select("document_id", r["page"].cast("int").alias("page"), r["blocks"].alias("blocks"))
 
 
+def with_tails(pages: DataFrame, translations: DataFrame) -> DataFrame:
+    """Pages with `tail`: how the stored translation of the page before ends, or empty."""
+    tails = translations.select("document_id", (F.col("page") + 1).cast("int").alias("page"), boundary_tail(read_payload(F.col("payload"))["blocks"]).alias("tail"))
+    return pages.drop("tail").join(tails, ["document_id", "page"], "left").withColumn("tail", F.coalesce("tail", F.lit("")))
+
+
 def translate_missing(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None) -> DataFrame:
-    """(document_id, page, payload) from the provider for pages without a translation; at most `calls` tasks call it."""
+    """(document_id, page, payload) from the provider for pages without a translation; at most `calls` tasks call it.
+
+    The limit is on tasks of the whole cluster, as a provider's limit is on its account.
+    """
     missing = pages.join(translations.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,8 +124,15 @@ def translate_missing(pages: DataFrame, translations: DataFrame, provider: Provi
 
 
 def read_through(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None) -> DataFrame:
-    """All pages' reduced blocks: from the table where it has them, else from the provider; `source` says which."""
-    made = translate_missing(pages, translations, provider, calls).withColumn("source", F.lit("api"))
-    both = translations.select("document_id", F.col("page").cast("int").alias("page"), "payload").withColumn("source", F.lit("cache")).unionByName(made)
-    both = both.select("document_id", "page", read_payload(F.col("payload"))["blocks"].alias("blocks"), "source")
+    """All pages' reduced blocks: from the table where it has them, else from the provider; `source` says which.
+
+    The provider hears how the stored page before ends.  An answer may revise the page before
+    its own; that page's blocks are then the revision's.
+    """
+    made = translate_missing(with_tails(pages, translations), translations, provider, calls).withColumn("source", F.lit("api"))
+    stored = translations.select("document_id", F.col("page").cast("int").alias("page"), "payload", F.lit("cache").alias("source"))
+    answers = made.withColumn("answer", read_response(F.col("payload"), F.col("page"))).select("document_id", "page", "answer.previousPageRevision")
+    revised = accepted_revision(answers).withColumnRenamed("blocks", "revised")
+    both = stored.unionByName(made).select("document_id", "page", read_payload(F.col("payload"))["blocks"].alias("blocks"), "source")
+    both = both.join(revised, ["document_id", "page"], "left").withColumn("blocks", F.coalesce("revised", "blocks")).drop("revised")
     return reconcile(both.select("document_id", "page", "blocks")).join(both.select("document_id", "page", "source"), ["document_id", "page"])

@@ -173,9 +173,51 @@ def read_through(spark, sf_dir):
 read_through.sql = f"SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn + 1 AS INTEGER) AS page, CASE WHEN (turn + 1) % 3 = 0 THEN 'cache' ELSE 'api' END AS source, CAST(CASE WHEN (turn + 1) % 3 = 0 THEN 1 ELSE len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_replace(l, '{T.WHITE}+', '', 'g') <> '')) END AS INTEGER) AS n_blocks FROM conversations"
 
 
+class Reviser:
+    """Answers with a page's text, and takes back the page before if told how that ends."""
+
+    def translate(self, text, page, total, tail):
+        own = {"page": page, "blocks": [{"kind": "paragraph", "text": text}]}
+        return own | {"previousPageRevision": {"page": page - 1, "blocks": [{"kind": "caption", "text": f"after {tail}"}]}} if tail else own
+
+
+def read_through_revised(spark, sf_dir):
+    """Stored pages end somewhere; the answer for the next page revises them."""
+    c = X.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page"), F.concat(F.lit("t"), F.col("turn")).alias("text"), F.lit(9).alias("total"))
+    stored = c.filter("page % 3 = 0").select("document_id", "page", F.concat(F.lit('{"blocks":[{"kind":"paragraph","text":"end '), F.col("page"), F.lit('"}]}')).alias("payload"))
+    return P.read_through(c, stored, Reviser()).select("document_id", "page", "source", "markdown")
+
+
+read_through_revised.sql = """WITH c AS (SELECT DISTINCT conv_id, turn + 1 AS page FROM conversations)
+SELECT CAST(c.conv_id AS VARCHAR) AS document_id, CAST(c.page AS INTEGER) AS page, CASE WHEN c.page % 3 = 0 THEN 'cache' ELSE 'api' END AS source, CASE WHEN c.page % 3 <> 0 THEN 't' || (c.page - 1) WHEN n.page IS NOT NULL THEN 'after end ' || c.page ELSE 'end ' || c.page END AS markdown FROM c LEFT JOIN c n ON n.conv_id = c.conv_id AND n.page = c.page + 1"""
+
+
+def request_bodies(spark, sf_dir):
+    """Requests in both wire shapes, with one to three images."""
+    c = X.table(spark, sf_dir, "conversations")
+    images = F.transform(F.sequence(F.lit(1), (F.col("turn") % 3 + 1).cast("int")), lambda i: F.struct(i.alias("page"), F.concat(F.lit("data:"), i.cast("string")).alias("url")))
+    provider = F.when(F.col("conv_id") % 2 == 0, "openai").otherwise("other")
+    endpoint = F.when(F.col("conv_id") % 3 == 0, "https://x/responses").otherwise("https://x/chat/completions")
+    effort = F.when(F.col("turn") % 2 == 0, "none").otherwise("low")
+    body = P.request_body(P.uses_responses(provider, endpoint), F.lit("m"), effort, F.coalesce("text", F.lit("")), images)
+    b = c.select("conv_id", "turn", body.alias("b"))
+    at = lambda p: F.get_json_object("b", p)
+    return b.select(
+        "conv_id", "turn",
+        F.coalesce(at("$.input[0].content[0].text"), at("$.messages[0].content[0].text")).alias("instruction"),
+        F.coalesce(at("$.input[0].content[2].image_url"), at("$.messages[0].content[2].image_url.url")).alias("first_image"),
+        F.coalesce(at("$.input[0].content[5].text"), at("$.messages[0].content[5].text")).alias("third_line"),
+        F.coalesce(at("$.reasoning.effort"), at("$.reasoning_effort")).alias("effort"),
+        F.coalesce(at("$.text.format.type"), at("$.response_format.type")).alias("format"),
+    )
+
+
+request_bodies.sql = "SELECT conv_id, turn, coalesce(text, '') AS instruction, 'data:1' AS first_image, CASE WHEN turn % 3 = 2 THEN 'Page 3:' END AS third_line, CASE WHEN turn % 2 <> 0 THEN 'low' END AS effort, CASE WHEN conv_id % 2 = 0 OR conv_id % 3 = 0 THEN 'json_schema' ELSE 'json_object' END AS format FROM conversations"
+
+
 def provider_answers(spark, sf_dir):
     """Texts of the answer shapes."""
-    c = X.table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    c = X.table(spark, sf_dir, "conversations")
     direct = F.to_json(F.struct(F.col("text").alias("output_text")))
     nested = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.lit("").alias("text")), F.struct(F.col("text").alias("text"))).alias("content"))).alias("output")))
     choice = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
@@ -183,7 +225,7 @@ def provider_answers(spark, sf_dir):
     return c.select("conv_id", "turn", P.response_text(answer).alias("answer"))
 
 
-provider_answers.sql = "SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND text <> '' THEN text END AS answer FROM conversations WHERE text IS NOT NULL"
+provider_answers.sql = "SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 AND text <> '' THEN text END AS answer FROM conversations"
 
 
 def scalar_functions(spark, sf_dir):
@@ -225,4 +267,4 @@ def request_validation(spark, sf_dir):
 
 request_validation.sql = "SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_custkey % 5 BETWEEN 1 AND 3 AS valid, 'Translate page ' || o_orderkey || ' of 9 into English as layout blocks in JSON.' || CASE WHEN o_orderkey % 2 = 0 THEN ' The page before ends: the end' ELSE '' END AS prompt FROM orders"
 
-QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, provider_answers, scalar_functions]
+QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, read_through_revised, request_bodies, provider_answers, scalar_functions]

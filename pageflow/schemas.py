@@ -1,4 +1,4 @@
-"""Row types of the four tables and of the values nested in them."""
+"""Row types of the values nested in the tables."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ TOC_ENTRY = "struct<sourcePage:bigint,ordinal:int,title:string,label:string,valu
 ANCHOR = "struct<pdfPage:bigint,label:string,value:bigint,numbering:string>"
 OBSERVATION = f"struct<pdfPage:bigint,isTableOfContents:boolean,tocEntries:array<{TOC_ENTRY}>,anchor:{ANCHOR}>"
 
-BOOKS = "id string, fingerprint string, name string, object_key string, size bigint, page_count int, content_type string, uploaded_at bigint"
-TRANSLATIONS = "cache_key string, document_id string, page int, payload string, updated_at bigint"
-NAVIGATION_PAGES = "document_id string, pdf_page int, is_table_of_contents boolean, toc_entries string, page_label string, page_value bigint, numbering string, updated_at bigint"
-NAVIGATION_SETTINGS = "document_id string, manual_offset int, updated_at bigint"
-
 # The allowed words of each enumeration.
 KINDS = ("heading", "paragraph", "list_item", "caption", "spacer", "page_number")
 ALIGNMENTS = ("left", "center", "right", "justify")
