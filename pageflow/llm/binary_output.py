@@ -11,9 +11,13 @@ codebook entries, ids a block), then in this order
   documents  i64 doc_id, u8 1 where doc_id is null, u64 number of ids
 Codes are places in the codebook, so frequent ids take few bits.
 
+Documents are dealt to tasks by ranges of (doc_id, a hash of the text), so rows that share
+a doc_id spread like others; a task writes a file for each `text_mb` MB of text.  The list of
+files is a table: the driver holds none of it.
+
 Behaviour: null text counts as empty (its end id only); rows with a null doc_id come
-first; repeated doc_ids keep one entry per row, ordered by text; an empty table gives no
-file and no rows; further columns are ignored.
+first; repeated doc_ids keep one entry per row, ordered by the hash of the text and the
+text; an empty table gives no file and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_groups
+from .common import new_folder, text_groups, width, written
 from .files import open_fs, write_whole
 
 #: Ids in a word by selector, each in 60 // n bits (the word's 60 bits); 15 is the escape.
@@ -166,14 +171,17 @@ def decode_block(data: bytes, k: int) -> np.ndarray:
     return x["book"][unpack(x["words"][int(word[k]) : int(word[k + 1])], x["escapes"][int(esc[k]) : int(esc[k + 1])])]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, text_mb: float = 24) -> list[tuple[str, int, int]]:
-    """Encode whole texts and write one file for each doc_id range; (file, ids, documents) in order.
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, text_mb: float = 24, tasks: int | None = None) -> DataFrame:
+    """Encode whole texts and write them to files in the order of doc_ids; a table (part, k, file, n_ids, n_docs) of the files.
 
-    The list has an entry for each file, of about `text_mb` MB of text.
+    Files stand in the order of (part, k).  There are as many tasks as files of `text_mb` MB
+    of text, but at most 64 a shuffle partition.
     """
-    n = text_groups(docs, text_mb)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    spark = docs.sparkSession
+    n = tasks or min(text_groups(docs, text_mb), 64 * width(spark))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
     def write(batches):
         import pyarrow as pa
@@ -181,36 +189,43 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
 
         from .tokens import encoder
 
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        ids, doc_ids, lengths = [], [], []
+        enc, end, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        ids, doc_ids, lengths, size, k = [], [], [], 0, 0
+
+        def put():
+            name = f"{path}/part-{part:06d}-{k:06d}.s8b"
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            ids.clear()
+            write_whole(name, encode_file(flat, doc_ids, lengths))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "file": [name], "n_ids": pa.array([len(flat)], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64())})
+
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts, own = b.column(1).to_pylist(), b.column(0).to_pylist()
             for at in range(0, len(texts), 512):
-                for x in enc.encode(texts[at : at + 512]):
+                few = texts[at : at + 512]
+                for x in enc.encode(few):
                     ids += (x, end)
                     lengths.append(len(x) // 4 + 1)
-            doc_ids += b.column(0).to_pylist()
+                doc_ids += own[at : at + 512]
+                size += sum(map(len, few))
+                if size >= text_mb * 1e6:
+                    yield put()
+                    doc_ids, lengths, size, k = [], [], 0, k + 1
         if doc_ids:
-            part = TaskContext.get().partitionId()
-            name = f"{path}/part-{part:06d}.s8b"
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            ids.clear()
-            write_whole(name, encode_file(flat, doc_ids, lengths))
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_ids": pa.array([len(flat)], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64())})
+            yield put()
 
-    files = rows.mapInArrow(write, "part int, file string, n_ids long, n_docs long").collect()
-    return [(r.file, r.n_ids, r.n_docs) for r in sorted(files)]
+    return written(spark, rows.mapInArrow(write, "part int, k int, file string, n_ids long, n_docs long"), "files")[0]
 
 
-def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
+def read_token_files(files: DataFrame) -> DataFrame:
     """Decode files: doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
-    start, rows = 0, []
-    for f, n, _ in files:
-        rows.append((f, start))
-        start += n
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
-        return spark.createDataFrame([], schema)
+    # how many ids stand before a file: in earlier tasks, and in earlier files of its own task
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("block", F.floor(F.col("part") / 1024))
+    blocks = parts.groupBy("block").agg(F.sum("n").alias("n"))
+    before = lambda n, *by, order: F.coalesce(F.sum(n).over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("block", before("n", order="block").alias("far"))  # a row for 1024 tasks
+    parts = parts.join(blocks, "block").select("part", (F.col("far") + before("n", "block", order="part")).alias("far"))
+    listed = files.join(parts, "part").select("file", (F.col("far") + before("n_ids", "part", order="k")).alias("base"))
 
     def read(batches):
         import pyarrow as pa
@@ -224,10 +239,9 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) ->
                 crcs = [zlib.crc32(memoryview(data)[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(base + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    listed = spark.createDataFrame(rows, "file string, base long").repartition(len(rows), "file")
-    return listed.mapInArrow(read, schema)
+    return listed.repartition(width(files.sparkSession), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def simple8b_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write the documents' ids to files in the shared folder and return what is read back."""
-    return read_token_files(spark, write_token_files(docs, tokenizer, end_id, scratch_path(spark, "simple8b")))
+    return read_token_files(write_token_files(docs, tokenizer, end_id, new_folder(spark, "simple8b")))

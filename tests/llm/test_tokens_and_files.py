@@ -69,17 +69,22 @@ def test_file_and_single_blocks():
 
 
 def test_simple8b_files(spark, tmp_path):
-    rows = corpus() + [(None, "no id"), (3, "again"), (2, "two <|endoftext|> ends")]
+    rows = corpus() + [(None, "no id"), (3, "again"), (2, "two <|endoftext|> ends")] + [(1000 + i, f"more {i}") for i in range(1200)]
     docs = frame(spark, rows)
-    files = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), 2, f"file://{tmp_path}", text_mb=0.01)
-    assert len(files) > 2
-    got = read_token_files(spark, files).orderBy("start").collect()
-    start = 0
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    for (d, t), ids, r in zip(order, library_ids("byte_bpe_50k.json", [t or "" for _, t in order]), got, strict=True):
+    want: dict = {}
+    for (d, _), ids in zip(rows, library_ids("byte_bpe_50k.json", [t or "" for _, t in rows]), strict=True):
         ids += np.array([2], "<u4").tobytes()
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids) // 4, zlib.crc32(ids))
-        start += len(ids) // 4
+        want.setdefault(d, []).append((len(ids) // 4, zlib.crc32(ids)))
+    for tasks in (1, 5):
+        files = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), 2, f"file://{tmp_path}/{tasks}", text_mb=0.01, tasks=tasks)
+        assert files.count() > 1
+        got, start, found = read_token_files(files).orderBy("start").collect(), 0, {}
+        for r in got:
+            assert r.start == start
+            start += r.n_tokens
+            found.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+        assert {d: sorted(x) for d, x in found.items()} == {d: sorted(x) for d, x in want.items()}
+        assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
     assert simple8b_round_trip(spark, empty(spark), tokenizer_path("byte_bpe_50k.json"), 2).count() == 0
 
 
