@@ -134,11 +134,13 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     plan = np.array(rows, np.int64).reshape(-1, 6)
     salts = max(width(spark), sum(counts.values()) // 50_000 + 1)
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
-    dealt = pieces.withColumn("_salt", salt)
-    before = F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1))
-    shift = dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])) - 1
-    ranked = dealt.withColumn("_own", own).join(shift.hint("shuffle_merge"), ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    own = "_" * (1 + max(map(len, pieces.columns)))  # begins no column of the pieces
+    s, n, first, place_, rank = (own + x for x in ("salt", "n", "before", "own", "rank"))
+    dealt = pieces.withColumn(s, salt)
+    before = F.sum(n).over(W.partitionBy("length").orderBy(s).rowsBetween(W.unboundedPreceding, -1))
+    shift = dealt.groupBy("length", s).agg(F.count(F.lit(1)).alias(n)).select("length", s, F.coalesce(before, F.lit(0)).alias(first))
+    number = F.row_number().over(W.partitionBy("length", s).orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])) - 1
+    ranked = dealt.withColumn(place_, number).join(shift.hint("shuffle_merge"), ["length", s]).withColumn(rank, F.col(place_) + F.col(first))
     names = pieces.columns
 
     def place(batches):
@@ -146,13 +148,13 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
         key = plan[:, 0] * (1 << 44) + plan[:, 1]
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("length", "_rank"))
-            _, first, _, at, each, offset = plan[np.searchsorted(key, length * (1 << 44) + rank, "right") - 1].T
-            k = rank - first
+            length, at_rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("length", rank))
+            _, start, _, at, each, offset = plan[np.searchsorted(key, length * (1 << 44) + at_rank, "right") - 1].T
+            k = at_rank - start
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(at + k // each), pa.array(offset + k % each * length)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*names, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*names, rank).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
