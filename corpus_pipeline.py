@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import table, written
+from pageflow.llm.common import table, temporary, written
 from pageflow.llm.decontamination import decontaminate
 from pageflow.llm.jaccard import jaccard_components
 from pageflow.llm.packing import best_fit_packing
@@ -39,8 +39,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with a null doc_id, are linked with nothing and stay.  An empty table gives none.
     """
     text, row = F.xxhash64("text"), "_row" + "_" * max(map(len, docs.columns))  # no column of the documents
-    found = jaccard_components(docs.select("doc_id", "text", text.alias("h")), n=5, percent=80, carry=["h"])
-    found, _ = written(spark, found.select("doc_id", "node", "h"), "classes")
+    with temporary(spark) as kept:
+        found = jaccard_components(docs.select("doc_id", "text", text.alias("h")), n=5, percent=80, carry=["h"])
+        found, path = written(spark, found.select("doc_id", "node", "h"), "classes")
+        kept.append(path)
     first = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k"))
     gone = found.join(first, "node").filter("doc_id IS NOT NULL AND (doc_id <> k.doc_id OR h <> k.h)")
     gone = gone.select(F.col("doc_id").alias(f"{row}d"), F.col("h").alias(f"{row}h")).distinct()
@@ -97,5 +99,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, _ = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark) as kept:
+            docs, path = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,13 +77,33 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_made: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder that goes when the driver ends."""
+    """A new path in the shared folder that goes when the driver ends, or what `temporary` encloses."""
     path = scratch_path(spark, label)
     atexit.register(_drop_quietly, spark, path)
+    for own in _made:
+        own.append(path)
     return path
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Folders made inside go at the end, but for those that are appended to what this gives."""
+    made: list[str] = []
+    kept: list[str] = []
+    _made.append(made)
+    try:
+        yield kept
+    finally:
+        _made.pop()  # the innermost one
+        for path in made:
+            if path not in kept:
+                _drop_quietly(spark, path)
+
+
 def _drop_quietly(spark: SparkSession, path: str) -> None:
     try:
         drop_path(spark, path)

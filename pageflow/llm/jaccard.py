@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, hash_words, mix64, new_folder, released, rolling, utf8, width, written
@@ -37,8 +38,8 @@ from .graph import connected_components
 from .portions import bucket_count, bucket_cuts, keep_portion, portion_id, portions, read_portion, row_ids
 from .substrings import read_segment, write_segment
 
-#: Counts above this are equal in the order.
-MANY = 65535
+#: Counts above this are equal in the order; what a class costs a block besides its n-grams.
+MANY, ROW = 65535, 150
 
 
 def shingle_sets(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, portion_mb: float) -> DataFr
 def fragment_overlaps(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, cells: int = 1 << 22):
     """(i, j, overlap) arrays of all pairs of sets that share one of a fragment's n-grams.
 
-    Sets are (place, sorted distinct n-grams).  Without `right`, pairs are of `left`, i > j.
+    Sets are (id, sorted distinct n-grams), in the order of ids.  Without `right`, pairs are of `left`, i > j.
     """
     both = left + (right or [])
     side = np.repeat(np.arange(len(both)), [len(x) for _, x in both])
@@ -213,28 +214,36 @@ def _by_key(batches, n_key: int):
 
 
 def blocks_of(named: DataFrame, tokens: int) -> DataFrame:
-    """(rep, block, pos): classes dealt to blocks of about `tokens` n-grams, those with the same hub and like sizes together.
+    """(rep, block): classes dealt to blocks of about `tokens` n-grams, those with the same hub and like sizes together.
 
-    Ranges of (hub, size, rep) are cut into blocks task by task, so a hub that a third of all
-    classes share is spread over tasks like any other.
+    Classes are sorted by ranges of (hub, size, rep), so a hub that a third of all classes
+    share is spread over tasks; what lies before in a hub is summed within each task and then
+    over the tasks that hold a part of the hub.
     """
-    ordered = named.repartitionByRange(width(named.sparkSession), "hub", "n", "rep").sortWithinPartitions("hub", "n", "rep")
+    spark = named.sparkSession
+    ordered = named.repartitionByRange(width(spark), "hub", "n", "rep").sortWithinPartitions("hub", "n", "rep")
 
-    def cut(batches):
+    def add(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        block, pos, size, last = TaskContext.get().partitionId() << 40, 0, 0, None
+        part, before, last = TaskContext.get().partitionId(), 0, None
         for b in batches:
-            out = []
-            for rep, hub, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if pos and (hub != last or size + n + 150 > tokens):
-                    block, pos, size = block + 1, 0, 0
-                out.append((rep, block, pos))
-                last, pos, size = hub, pos + 1, size + n + 150
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["rep", "block", "pos"])
-
-    return ordered.select("rep", "hub", "n").mapInArrow(cut, "rep long, block long, pos long")
+            rep, hub, n = (b.column(i).to_numpy() for i in range(3))
+            size = n + ROW
+            sums = np.cumsum(size)
+            first = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))[: len(hub)]
+            base = np.repeat(sums[first] - size[first], np.diff(np.append(first, len(hub))))
+            cum = sums - size - base + np.where(hub == last, before, 0) if len(hub) else sums
+            if len(hub):
+                before, last = int(cum[-1] + size[-1]), hub[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep, hub, np.full(len(rep), part), cum, size)], names=["rep", "hub", "part", "cum", "size"])
+
+    rows, _ = written(spark, ordered.select("rep", "hub", "n").mapInArrow(add, "rep long, hub long, part long, cum long, size long"), "ordered")
+    earlier = W.partitionBy("hub").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shift = rows.groupBy("hub", "part").agg(F.sum("size").alias("v")).select("hub", "part", F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("shift"))
+    place = F.floor((F.col("cum") + F.col("shift")) / tokens)
+    return rows.join(shift, ["hub", "part"]).select("rep", F.xxhash64("hub", place).alias("block"))
 
 
 def block_pairs(shared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +256,7 @@ def block_pairs(shared: DataFrame, placed: DataFrame, percent: int) -> DataFrame
 
 
 def partial_overlaps(sets: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
-    """(a, b, i, j, n): lists of partial overlaps of a pair of blocks' classes (by their places), fragment by fragment.
+    """(a, b, i, j, n): lists of partial overlaps of classes of a pair of blocks, fragment by fragment.
 
     A fragment is a part of the global order of n-grams: one range of hashes among those of
     like counts.  Each fragment of each pair of blocks is a group of the shuffle.
@@ -258,29 +267,28 @@ def partial_overlaps(sets: DataFrame, pairs: DataFrame, fragments: int) -> DataF
 
         for b in batches:
             out = []
-            for block, pos, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for x, y, side, rep, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 k = len(data) // 10
                 grams, counts = np.frombuffer(data, np.uint64, k), np.frombuffer(data, np.uint16, k, 8 * k)
                 level = np.frexp(counts.astype(np.float64) - 1)[1].astype(np.int64)
                 part = level * fragments + (((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((grams, part))
                 values, first = np.unique(part[order], return_index=True)
-                out += [(block, f, pos, x.tobytes()) for f, x in zip(values.tolist(), np.split(grams[order], first[1:]), strict=True)]
-            kinds = pa.int64(), pa.int32(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["block", "fragment", "pos", "grams"])
+                out += [(x, y, f, side, rep, own.tobytes()) for f, own in zip(values.tolist(), np.split(grams[order], first[1:]), strict=True)]
+            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["a", "b", "fragment", "side", "rep", "grams"])
 
-    cut = sets.select("block", "pos", "tokens").mapInArrow(split, "block long, fragment int, pos long, grams binary")
-    first = cut.join(pairs.withColumnRenamed("a", "block"), "block").select(F.col("block").alias("a"), "b", "fragment", F.lit(0).alias("side"), "pos", "grams")
-    second = cut.join(pairs.filter("a <> b").withColumnRenamed("b", "block"), "block").select("a", F.col("block").alias("b"), "fragment", F.lit(1).alias("side"), "pos", "grams")
-    jobs = first.unionByName(second).repartition(width(sets.sparkSession), "a", "b", "fragment").sortWithinPartitions("a", "b", "fragment", "side", "pos")
+    jobs = _sides(pairs).join(sets.select("block", "rep", "tokens"), "block").select("a", "b", "side", "rep", "tokens")
+    jobs = jobs.mapInArrow(split, "a long, b long, fragment int, side int, rep long, grams binary")
+    jobs = jobs.repartition(width(sets.sparkSession), "a", "b", "fragment").sortWithinPartitions("a", "b", "fragment", "side", "rep")
 
     def count(batches):
         import pyarrow as pa
 
         for (a, b, _), rows in _by_key(batches, 3):
             own: list[list] = [[], []]
-            for side, pos, grams in rows:
-                own[side].append((pos, np.frombuffer(grams, np.uint64)))
+            for side, rep, grams in rows:
+                own[side].append((rep, np.frombuffer(grams, np.uint64)))
             if not own[0] or (a != b and not own[1]):
                 continue
             i, j, n = fragment_overlaps(own[0], own[1] if a != b else None)
@@ -291,18 +299,21 @@ def partial_overlaps(sets: DataFrame, pairs: DataFrame, fragments: int) -> DataF
     return jobs.mapInArrow(count, "a long, b long, i array<long>, j array<long>, n array<long>")
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(a, b, block, side): each pair of blocks with the one and, if they differ, the other."""
+    first, second = (pairs.select("a", "b", F.col(x).alias("block"), F.lit(k).alias("side")) for k, x in enumerate("ab"))
+    return first.unionByName(second.filter("a <> b"))
+
+
 def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(u, v, links): spanning edges of the links of each pair of blocks, and rows (u, u, links) with how many rows u links with there."""
     none = F.lit(None).cast("array<long>")
-    member = placed.select("block", "pos", F.struct("rep", "size", "copies").alias("m"))
-    sides = [pairs.select("a", "b", F.col(x).alias("block"), F.lit(k).alias("side")) for k, x in enumerate("ab")]
-    asked = sides[0].unionByName(sides[1].filter("a <> b"))
-    # only blocks with an overlap are looked at again
-    asked = asked.join(partial.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    members = asked.join(member, "block").select("a", "b", "side", "pos", "m.rep", "m.size", "m.copies", none.alias("i"), none.alias("j"), none.alias("n"))
+    # only pairs of blocks with an overlap are looked at again
+    asked = _sides(pairs.join(partial.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+    members = asked.join(placed.select("block", "rep", "size", "copies"), "block").select("a", "b", "side", "rep", "size", "copies", none.alias("i"), none.alias("j"), none.alias("n"))
     zero = F.lit(0).cast("long")
-    found = partial.select("a", "b", F.lit(2).alias("side"), zero.alias("pos"), zero.alias("rep"), zero.alias("size"), zero.alias("copies"), "i", "j", "n")
-    rows = members.unionByName(found).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side", "pos")
+    found = partial.select("a", "b", F.lit(2).alias("side"), zero.alias("rep"), zero.alias("size"), zero.alias("copies"), "i", "j", "n")
+    rows = members.unionByName(found).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side", "rep")
 
     def link(batches):
         import pyarrow as pa
@@ -310,7 +321,7 @@ def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: i
         for (a, b), own in _by_key(batches, 2):
             sides: list[list] = [[], []]
             parts = []
-            for side, _, rep, size, copies, *lists in own:
+            for side, rep, size, copies, *lists in own:
                 if side == 2:
                     parts.append(lists)
                 else:
@@ -318,6 +329,7 @@ def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: i
             left = np.array(sides[0], np.int64).reshape(-1, 3)
             right = left if a == b else np.array(sides[1], np.int64).reshape(-1, 3)
             i, j, n = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
+            i, j = np.searchsorted(left[:, 0], i), np.searchsorted(right[:, 0], j)
             pair, at = np.unique(i * len(right) + j, return_inverse=True)
             total = np.zeros(len(pair), np.int64)
             np.add.at(total, at, n)  # the sum over fragments
@@ -339,7 +351,7 @@ def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: i
     return rows.mapInArrow(link, "u long, v long, links long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 150_000, portion_mb: float = 8, fragments: int = 4, carry: list[str] | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: int = 300_000, portion_mb: float = 8, fragments: int = 4, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of each row; `node` is the same number for the rows of a component and no others.
 
     `carry` adds other columns of `docs`.
@@ -355,8 +367,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: in
     hubs = shared.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("token", "hub")
     shared, _ = written(spark, shared.join(hubs, "token"), "shared")
     named = shared.groupBy("rep", "n").agg(F.min("hub").alias("hub"))
-    placed, _ = written(spark, blocks_of(named, block), "blocks")
-    placed = placed.join(classes.select("rep", F.col("n_shingles").alias("size"), "copies", "tokens"), "rep")
+    placed = blocks_of(named, block).join(classes.select("rep", F.col("n_shingles").alias("size"), "copies", "tokens"), "rep")
     placed, _ = written(spark, placed, "sets")
     pairs, _ = written(spark, block_pairs(shared, placed, percent), "pairs")
     partial, _ = written(spark, partial_overlaps(placed, pairs, fragments), "overlaps")

@@ -45,6 +45,40 @@ def low(text):
     return (text or "").encode().lower().split()
 
 
+def subsequence(a, b):
+    """Length of the longest common subsequence of two lists."""
+    places = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def leaks(rows, items, window=48, lcs=0.6, paraphrase=0.45):
+    """Brute force over all windows: documents that hold an item, verbatim or rephrased."""
+    out = set()
+    for d, text in rows:
+        w = low(text)
+        for item in items:
+            own = low(item)
+            tail = low(item.rpartition("?")[2]) if "?" in item else []
+            answer = tail or own[-5:]
+            for s in range(0, len(w) if own else 0, window // 2):
+                around = w[max(0, s - len(own)) : s + window + len(own)]
+                if len(set(own) & set(around)) * 8 < len(set(own)):
+                    continue
+                share = subsequence(own, around) / len(own)
+                if share >= lcs or (share >= paraphrase and subsequence(answer, around) / len(answer) >= 0.8):
+                    out.add(d)
+                    break
+            if d in out:
+                break
+    return out
+
+
 def components(rows, n, percent):
     """Brute force over all pairs: doc_id -> (set size, component, links)."""
     sets = {}
