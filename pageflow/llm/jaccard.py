@@ -200,10 +200,11 @@ class Forest:
 
 
 def _by_key(batches, n_key: int):
-    """(key, rows) of rows that come sorted by their first `n_key` columns."""
+    """(key, rows) of rows that come sorted by their first `n_key` columns; one row at a time becomes Python's."""
     held, key = [], None
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for k in range(b.num_rows):
+            row = tuple(c[k].as_py() for c in b.columns)
             if row[:n_key] != key and held:
                 yield key, held
                 held = []
@@ -255,40 +256,58 @@ def block_pairs(shared: DataFrame, placed: DataFrame, percent: int) -> DataFrame
     return met.unionByName(held.filter("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))).distinct()
 
 
-def partial_overlaps(sets: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
-    """(a, b, i, j, n): lists of partial overlaps of classes of a pair of blocks, fragment by fragment.
+def block_fragments(sets: DataFrame, fragments: int) -> DataFrame:
+    """(block, fragment, reps, sizes, grams): the n-grams of a block's classes, cut into fragments of the global order.
 
-    A fragment is a part of the global order of n-grams: one range of hashes among those of
-    like counts.  Each fragment of each pair of blocks is a group of the shuffle.
+    A fragment is one range of hashes among the n-grams of like counts.  A row holds one
+    fragment of all classes of a block, so it is bounded as the block is; each class is cut
+    once, however many other blocks its own one meets.
     """
 
-    def split(batches):
+    def pack(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for x, y, side, rep, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k = len(data) // 10
-                grams, counts = np.frombuffer(data, np.uint64, k), np.frombuffer(data, np.uint16, k, 8 * k)
-                level = np.frexp(counts.astype(np.float64) - 1)[1].astype(np.int64)
-                part = level * fragments + (((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
-                order = np.lexsort((grams, part))
-                values, first = np.unique(part[order], return_index=True)
-                out += [(x, y, f, side, rep, own.tobytes()) for f, own in zip(values.tolist(), np.split(grams[order], first[1:]), strict=True)]
-            kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["a", "b", "fragment", "side", "rep", "grams"])
-
-    jobs = _sides(pairs).join(sets.select("block", "rep", "tokens"), "block").select("a", "b", "side", "rep", "tokens")
-    jobs = jobs.mapInArrow(split, "a long, b long, fragment int, side int, rep long, grams binary")
-    jobs = jobs.repartition(width(sets.sparkSession), "a", "b", "fragment").sortWithinPartitions("a", "b", "fragment", "side", "rep")
+        for (block,), rows in _by_key(batches, 1):
+            k = [len(data) // 10 for _, data in rows]
+            grams = np.concatenate([np.frombuffer(data, np.uint64, n) for n, (_, data) in zip(k, rows, strict=True)])
+            counts = np.concatenate([np.frombuffer(data, np.uint16, n, 8 * n) for n, (_, data) in zip(k, rows, strict=True)])
+            reps, own = np.array([rep for rep, _ in rows], np.int64), np.repeat(np.arange(len(rows)), k)
+            level = np.frexp(counts.astype(np.float64) - 1)[1].astype(np.int64)
+            part = level * fragments + (((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((grams, own, part))
+            values, first = np.unique(part[order], return_index=True)
+            for f, at in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+                held, sizes = np.unique(own[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int64()),
+                        pa.array([f], pa.int32()),
+                        pa.array([reps[held]], pa.list_(pa.int64())),
+                        pa.array([sizes], pa.list_(pa.int64())),
+                        pa.array([grams[at].tobytes()], pa.binary()),
+                    ],
+                    names=["block", "fragment", "reps", "sizes", "grams"],
+                )
+
+    rows = sets.select("block", "rep", "tokens").repartition(width(sets.sparkSession), "block").sortWithinPartitions("block", "rep")
+    return rows.mapInArrow(pack, "block long, fragment int, reps array<long>, sizes array<long>, grams binary")
+
+
+def partial_overlaps(cut: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, i, j, n): lists of partial overlaps of classes of a pair of blocks, fragment by fragment.
+
+    Each fragment of each pair of blocks is a group of the shuffle.
+    """
+    jobs = _sides(pairs).join(cut, "block").select("a", "b", "fragment", "side", "reps", "sizes", "grams")
+    jobs = jobs.repartition(width(cut.sparkSession), "a", "b", "fragment").sortWithinPartitions("a", "b", "fragment", "side")
 
     def count(batches):
         import pyarrow as pa
 
         for (a, b, _), rows in _by_key(batches, 3):
             own: list[list] = [[], []]
-            for side, rep, grams in rows:
-                own[side].append((rep, np.frombuffer(grams, np.uint64)))
+            for side, reps, sizes, grams in rows:
+                own[side] = list(zip(reps, np.split(np.frombuffer(grams, np.uint64), np.cumsum(sizes)[:-1]), strict=True))
             if not own[0] or (a != b and not own[1]):
                 continue
             i, j, n = fragment_overlaps(own[0], own[1] if a != b else None)
@@ -307,27 +326,20 @@ def _sides(pairs: DataFrame) -> DataFrame:
 
 def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(u, v, links): spanning edges of the links of each pair of blocks, and rows (u, u, links) with how many rows u links with there."""
-    none = F.lit(None).cast("array<long>")
-    # only pairs of blocks with an overlap are looked at again
+    # only pairs of blocks with an overlap are looked at again; a block has at most a class for each ROW of its size
     asked = _sides(pairs.join(partial.select("a", "b").distinct(), ["a", "b"], "left_semi"))
-    members = asked.join(placed.select("block", "rep", "size", "copies"), "block").select("a", "b", "side", "rep", "size", "copies", none.alias("i"), none.alias("j"), none.alias("n"))
-    zero = F.lit(0).cast("long")
-    found = partial.select("a", "b", F.lit(2).alias("side"), zero.alias("rep"), zero.alias("size"), zero.alias("copies"), "i", "j", "n")
-    rows = members.unionByName(found).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side", "rep")
+    members = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("rep", "size", "copies"))).alias("m"))
+    members = asked.join(members, "block").select("a", "b", "side", F.col("m.rep").alias("i"), F.col("m.size").alias("j"), F.col("m.copies").alias("n"))
+    found = partial.select("a", "b", F.lit(2).alias("side"), "i", "j", "n")
+    rows = members.unionByName(found).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side")
 
     def link(batches):
         import pyarrow as pa
 
         for (a, b), own in _by_key(batches, 2):
-            sides: list[list] = [[], []]
-            parts = []
-            for side, rep, size, copies, *lists in own:
-                if side == 2:
-                    parts.append(lists)
-                else:
-                    sides[side].append((rep, size, copies))
-            left = np.array(sides[0], np.int64).reshape(-1, 3)
-            right = left if a == b else np.array(sides[1], np.int64).reshape(-1, 3)
+            sides = {side: np.array(lists, np.int64).T for side, *lists in own if side < 2}  # rep, size, copies
+            parts = [lists for side, *lists in own if side == 2]
+            left, right = sides[0], sides[0 if a == b else 1]
             i, j, n = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
             i, j = np.searchsorted(left[:, 0], i), np.searchsorted(right[:, 0], j)
             pair, at = np.unique(i * len(right) + j, return_inverse=True)
@@ -370,7 +382,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: in
     placed = blocks_of(named, block).join(classes.select("rep", F.col("n_shingles").alias("size"), "copies", "tokens"), "rep")
     placed, _ = written(spark, placed, "sets")
     pairs, _ = written(spark, block_pairs(shared, placed, percent), "pairs")
-    partial, _ = written(spark, partial_overlaps(placed, pairs, fragments), "overlaps")
+    cut, _ = written(spark, block_fragments(placed, fragments), "fragments")
+    partial, _ = written(spark, partial_overlaps(cut, pairs), "overlaps")
     links, _ = written(spark, links_of(partial, placed, pairs, percent), "links")
 
     joined = connected_components(links.filter("u <> v").select("u", "v"))
