@@ -84,6 +84,27 @@ def op10_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_substrings(table(spark, sf_dir, "documents"))
 
 
+SHARDS = 40
+
+
+def op11_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 equal shards, and where each lies once a further one joins."""
+    from .sharding import equal_shards, shard_slots
+
+    return shard_slots(table(spark, sf_dir, "documents"), equal_shards(SHARDS), SHARDS)
+
+
+#: CRC-32 a bit at a time: each byte is followed by seven empty steps.
+OP11_SQL = """WITH x AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+b AS (SELECT doc_id, k, CAST(strlen(t) + 16 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+ lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), CAST(4294967295 AS BIGINT)) AS crc FROM x),
+d AS (SELECT *, list_transform(range(0, 11), lambda g: md5(k || ':' || g)) AS m FROM b),
+e AS (SELECT *, list_transform(range(0, 41), lambda s: substr(m[s // 4 + 1], s % 4 * 8 + 1, 8)) AS v FROM d),
+f AS (SELECT *, CAST(list_position(v[1:40], list_max(v[1:40])) - 1 AS INTEGER) AS shard FROM e)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || ':' || size || ':' || crc), 1, 3), doc_id NULLS FIRST, size, crc) - 1 AS slot,
+ CASE WHEN v[41] > list_max(v[1:40]) THEN 40 ELSE shard END AS grown_shard FROM f"""
+
+
 QUERIES = {
     "op1_context_trees": op1_context_trees,
     "op2_separator_scan": op2_separator_scan,
@@ -95,5 +116,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fingerprint_index": op10_fingerprint_index,
+    "op11_rendezvous_shards": op11_rendezvous_shards,
 }
-ORACLES = {"op2_separator_scan": OP2_SQL}
+ORACLES = {"op2_separator_scan": OP2_SQL, "op11_rendezvous_shards": OP11_SQL}
