@@ -105,6 +105,43 @@ SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (
  CASE WHEN v[41] > list_max(v[1:40]) THEN 40 ELSE shard END AS grown_shard FROM f"""
 
 
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .yinyang import cluster_digest, kmeans
+
+    return cluster_digest(spark, *kmeans(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64)).drop("scanned")
+
+
+def op12_sql(rounds: int = 5, k: int = 40) -> str:
+    """Full scans: a table of assignments and one of centroids for each round."""
+    nearest = "SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT e.vec_id, e.v, c.c, list_sum(list_transform(e.v, lambda x, i: (x - c.v[i]) * (x - c.v[i]))) AS d FROM e, c{r} c) GROUP BY ALL"
+    out = f"""WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS h FROM e ORDER BY h LIMIT {k}))"""
+    for r in range(rounds):
+        out += f""",
+a{r} AS MATERIALIZED ({nearest.format(r=r)}),
+s{r} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (c))"""
+    return f"""{out},
+a AS MATERIALIZED ({nearest.format(r=rounds)})
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c USING (c)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = """WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_sum(list_transform(a.v, lambda x, i: x * e.v[i])) AS BIGINT) AS score FROM e a, e WHERE a.vec_id % 50 = 0 AND e.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)"""
+
+
 QUERIES = {
     "op1_context_trees": op1_context_trees,
     "op2_separator_scan": op2_separator_scan,
@@ -117,5 +154,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fingerprint_index": op10_fingerprint_index,
     "op11_rendezvous_shards": op11_rendezvous_shards,
+    "op12_yinyang": op12_yinyang,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES = {"op2_separator_scan": OP2_SQL, "op11_rendezvous_shards": OP11_SQL}
+ORACLES = {"op2_separator_scan": OP2_SQL, "op11_rendezvous_shards": OP11_SQL, "op12_yinyang": op12_sql(), "op13_hard_negatives": OP13_SQL}
