@@ -139,7 +139,7 @@ OP13_SQL = """WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 TH
 s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, CAST(list_sum(list_transform(a.v, lambda x, i: x * e.v[i])) AS BIGINT) AS score FROM e a, e WHERE a.vec_id % 50 = 0 AND e.vec_id <> a.vec_id),
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
-WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)"""
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3"""
 
 
 QUERIES = {
