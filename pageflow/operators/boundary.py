@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind as _bind
-from ..functions.text import CJK, LETTER, TERMINAL, trim, trim_end, trim_start
-from ..schemas import BLOCKS
+from ..functions.text import CJK, LETTER, TERMINAL, WHITE, trim, trim_end, trim_start
 from .blocks import is_blank, markdown
 
 #: The longest repetition that is looked for, in code points (a fixed value).
@@ -25,6 +25,19 @@ def _meaningful(before: Column, after: Column, n: Column) -> Column:
     return F.when(own.rlike(CJK), letters >= 2).otherwise((letters >= 8) & ~cuts_start & ~cuts_end)
 
 
+def _ends(before: Column, after: Column) -> Column:
+    """The ends of `before` that `after` starts with, longest first; only where its first two letters stand can one begin."""
+    tail = F.right(before, F.lit(LONGEST))
+    start = F.regexp_replace(F.substring(after, 1, 2), r"([^\p{L}\p{N}])", r"\\$1")
+    cut = F.split(tail, F.concat(F.lit("(?="), start, F.lit(")")), -1)
+
+    def whole(pieces):
+        ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
+        return F.filter(ends, lambda end: F.startswith(after, end))
+
+    return F.when((F.length(tail) > 0) & (F.length(after) > 0), _bind(cut, whole)).otherwise(F.array().cast("array<string>"))
+
+
 def overlap(previous: Column, current: Column) -> Column:
     """The longest end of `previous` that `current` starts with and that means something; else empty.
 
@@ -33,11 +46,8 @@ def overlap(previous: Column, current: Column) -> Column:
 
     def longest(p):
         before, after = p["before"], p["after"]
-        most = F.least(F.lit(LONGEST), F.length(before), F.length(after))
-        lengths = F.when((most > 0) & ~before.rlike(TERMINAL), F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        ends = F.filter(lengths, lambda n: F.endswith(before, F.substring(after, F.lit(1), n)))
-        n = F.try_element_at(F.filter(ends, lambda n: _meaningful(before, after, n)), F.lit(1))
-        return F.substring(after, F.lit(1), F.coalesce(n, F.lit(0)))
+        found = F.filter(_ends(before, after), lambda end: _meaningful(before, after, F.length(end)))
+        return F.when(before.rlike(TERMINAL), "").otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")))
 
     met = _bind(F.struct(trim_end(previous).alias("before"), trim_start(current).alias("after")), longest)
     return F.when(previous.isNull() | current.isNull(), "").otherwise(met)
@@ -47,25 +57,32 @@ def _carries(b: Column) -> Column:
     return b["kind"].isin("paragraph", "caption") & (F.length(trim(b["text"])) > 0)
 
 
-def without_overlap(previous: Column, current: Column) -> Column:
-    """struct(blocks, removed): the current blocks without what they repeat."""
-    last = F.try_element_at(F.filter(previous, _carries), F.lit(-1))
-    at = F.try_element_at(F.filter(F.transform(current, lambda b, i: F.when(_carries(b), i)), lambda i: i.isNotNull()), F.lit(1))
+def _first_carrying(blocks: Column) -> Column:
+    return F.try_element_at(F.filter(F.transform(blocks, lambda b, i: F.when(_carries(b), i)), lambda i: i.isNotNull()), F.lit(1))
 
-    def cut(q):
-        at, removed = q["at"], q["removed"]
+
+def without(current: Column, removed: Column) -> Column:
+    """The blocks without `removed` at the start of the first one that carries text; one left empty by it goes."""
+
+    def cut(at):
         rest = lambda b: trim_start(F.substring(trim_start(b["text"]), F.length(removed) + 1, F.length(b["text"])))
         less = F.transform(current, lambda b, i: F.when(i == at, b.withField("text", rest(b))).otherwise(b))
-        less = F.filter(less, lambda b, i: (i != at) | (b["text"] != "") | (b["marker"] != "") | (b["trailing"] != ""))
-        return F.struct(F.when(removed != "", less).otherwise(current).alias("blocks"), removed.alias("removed"))
+        return F.filter(less, lambda b, i: (i != at) | (b["text"] != "") | (b["marker"] != "") | (b["trailing"] != ""))
+
+    return F.when(removed != "", _bind(_first_carrying(current), cut)).otherwise(current)
+
+
+def without_overlap(previous: Column, current: Column) -> Column:
+    """struct(blocks, removed): the current blocks without what they repeat."""
+    last = F.try_element_at(F.filter(previous, _carries), F.lit(-1))
+    first = F.try_element_at(F.filter(current, _carries), F.lit(1))
 
     def compare(q):
-        first = F.get(current, q["at"])
-        same = F.coalesce(q["last"]["kind"] == first["kind"], F.lit(False))
-        removed = F.when(same, overlap(q["last"]["text"], first["text"])).otherwise("")
-        return F.struct(q["at"].alias("at"), removed.alias("removed"))
+        same = F.coalesce(q["last"]["kind"] == q["first"]["kind"], F.lit(False))
+        return F.when(same, overlap(q["last"]["text"], q["first"]["text"])).otherwise("")
 
-    return _bind(_bind(F.struct(last.alias("last"), at.alias("at")), compare), cut)
+    removed = _bind(F.struct(last.alias("last"), first.alias("first")), compare)
+    return _bind(removed, lambda r: F.struct(without(current, r).alias("blocks"), r.alias("removed")))
 
 
 def exact_previous(df: DataFrame, value: str, by: str = "document_id", page: str = "page") -> Column:
@@ -78,20 +95,111 @@ def islands(df: DataFrame, by: str = "document_id", page: str = "page") -> DataF
     return df.withColumn("island", F.col(page) - F.row_number().over(W.partitionBy(by).orderBy(page)))
 
 
-def reconcile(pages: DataFrame) -> DataFrame:
-    """Remove repetitions through whole documents, page by page: each page meets the one before as already reduced.
+#: Pages of a document that a task sees together.
+STRETCH = 4096
 
-    Takes (document_id, page, blocks), one row a page; returns them with removed, markdown,
-    is_blank and boundary_deduplicated.  A document falls into islands of consecutive pages,
-    and each island is one fold over its sorted pages.
+
+def _seen(blocks: Column) -> Column:
+    """What of a page its neighbours see: its first and last text, and whether it is settled.
+
+    A page is settled if what it repeats itself cannot change what the next one repeats: it has
+    no text; or several blocks with text, of which only the first is ever cut; or so long a text
+    that its end stays, whatever is cut; or one that stays a finished sentence.
     """
-    row = f"struct<page:int,blocks:{BLOCKS},removed:string>"
-    grouped = islands(pages).groupBy("document_id", "island").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "blocks"))).alias("pages"))
-    start = F.struct(F.array().cast(BLOCKS).alias("last"), F.array().cast(f"array<{row}>").alias("out"))
 
-    def step(a, p):
-        add = lambda own: F.struct(own["blocks"].alias("last"), F.concat(a["out"], F.array(F.struct(p["page"].alias("page"), own["blocks"].alias("blocks"), own["removed"].alias("removed")))).alias("out"))
-        return _bind(without_overlap(a["last"], p["blocks"]), add)
+    def of(own):
+        first, last = F.try_element_at(own, F.lit(1)), F.try_element_at(own, F.lit(-1))
+        end = trim_end(last["text"])
+        rest = trim(F.substring(trim_start(last["text"]), F.lit(LONGEST + 1), F.length(last["text"])))
+        settled = (F.size(own) != 1) | (F.length(rest) > LONGEST) | rest.rlike(TERMINAL)
+        tail = F.when(end.rlike(TERMINAL), "").otherwise(F.right(end, F.lit(LONGEST + 1)))
+        return F.struct(first["kind"].alias("first_kind"), first["text"].alias("first_text"), last["kind"].alias("last_kind"), tail.alias("tail"), F.coalesce(settled, F.lit(True)).alias("settled"))
+
+    return _bind(F.filter(blocks, _carries), of)
+
 
-    folded = grouped.select("document_id", F.explode(F.aggregate("pages", start, step, lambda a: a["out"])).alias("p"))
-    return folded.select("document_id", "p.page", "p.blocks", "p.removed", markdown(F.col("p.blocks")).alias("markdown"), is_blank(F.col("p.blocks")).alias("is_blank"), (F.col("p.removed") != "").alias("boundary_deduplicated"))
+def _beside(pages: DataFrame) -> DataFrame:
+    """Pages with `_own`, what they show, and `_before`, what the page numbered one less shows, or null.
+
+    Documents are dealt by stretches of pages; the last page of a stretch is sent to the next
+    one too, to be seen there.  So a document of any length is dealt over tasks.
+    """
+    b = F.floor(F.col("page") / STRETCH)
+    twice = F.pmod(F.col("page"), F.lit(STRETCH)) == STRETCH - 1
+    sent = pages.withColumn("_stretch", F.explode(F.when(twice, F.array(b, b + 1)).otherwise(F.array(b)))).withColumn("_own", _seen(F.col("blocks")))
+    before = F.lag(F.struct("page", "_own")).over(W.partitionBy("document_id", "_stretch").orderBy("page"))
+    met = sent.withColumn("_lag", before).filter(F.col("_stretch") == b)
+    return met.withColumn("_before", F.when(F.col("_lag.page") == F.col("page") - 1, F.col("_lag._own"))).drop("_lag", "_stretch")
+
+
+def _with_removed(met: DataFrame) -> DataFrame:
+    """Add `_removed`, right wherever the page before is settled or missing, and `_waits` for the others."""
+    o, p = F.col("_own"), F.col("_before")
+    same = F.coalesce(p["last_kind"] == o["first_kind"], F.lit(False))
+    waits = F.coalesce(~p["settled"], F.lit(False))
+    return met.withColumn("_waits", waits).withColumn("_removed", F.when(~waits & same, overlap(p["tail"], o["first_text"])).otherwise(""))
+
+
+def repeated(before: str, after: str) -> str:
+    """`overlap` of two texts, for the pages that have to be taken one by one."""
+    before, after = _END.sub("", before), _START.sub("", after)
+    if not _FINISHED.search(before):
+        for n in range(min(LONGEST, len(before), len(after)), 0, -1):
+            own = after[:n]
+            if before.endswith(own):
+                letters = len(_LETTERS.findall(own))
+                cuts_start = _LETTERS.fullmatch(before[-n - 1 : -n]) and _LETTERS.fullmatch(own[0])
+                cuts_end = _LETTERS.fullmatch(own[-1]) and _LETTERS.fullmatch(after[n : n + 1])
+                if letters >= 2 if _WIDE.search(own) else letters >= 8 and not cuts_start and not cuts_end:
+                    return own
+    return ""
+
+
+_SPACE = regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WHITE)
+_START, _END = regex.compile(rf"\A{_SPACE}+"), regex.compile(rf"{_SPACE}+\Z")
+_FINISHED, _LETTERS, _WIDE = regex.compile(TERMINAL.replace(r"\z", r"\Z")), regex.compile(LETTER), regex.compile(CJK.replace("Is", ""))
+
+
+def _in_turn(met: DataFrame) -> DataFrame:
+    """(document_id, page, _late): what pages remove whose predecessor is not settled.
+
+    These runs of short pages are streams: sorted by page, of which a task holds one text at a time.
+    """
+    o = F.col("_own")
+    rows = met.filter(F.col("_waits") | ~o["settled"]).select("document_id", F.col("page").cast("long").alias("page"), "_waits", "_removed", o["first_kind"].alias("kind"), o["first_text"].alias("text"), o["settled"].alias("settled"))
+    rows = rows.repartition("document_id").sortWithinPartitions("document_id", "page")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        at, kept, kept_kind = None, None, None
+        for b in batches:
+            out = []
+            for document, page, waits, removed, kind, text, settled in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if waits:
+                    removed = repeated(kept, text) if at == (document, page - 1) and kept is not None and text is not None and kind == kept_kind else ""
+                    out.append((document, page, removed))
+                at, kept = (document, page), None
+                if not settled:
+                    left = _START.sub("", _START.sub("", text)[len(removed) :]) if removed else text
+                    kept, kept_kind = left if _START.sub("", left) else None, kind
+            names = ("document_id", "page", "_late")
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=names)
+
+    return rows.mapInArrow(fold, "document_id string, page long, _late string")
+
+
+def reconcile(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Remove repetitions through whole documents, page by page: each page meets the one before as already reduced.
+
+    Takes (document_id, page, blocks), one row a page; returns them with removed, markdown,
+    is_blank and boundary_deduplicated, and the columns of `carry`.  Most pages are settled, so
+    their successors are compared at once, wherever they lie; only runs of pages that are not,
+    each a single short text, are taken in turn.
+    """
+    own = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), "blocks", *carry)
+    met = _with_removed(_beside(own))
+    late = _in_turn(_with_removed(_beside(own.select("document_id", "page", "blocks"))))
+    both = met.join(late, ["document_id", "page"], "left").withColumn("removed", F.coalesce("_late", "_removed"))
+    cut = both.select("document_id", "page", without(F.col("blocks"), F.col("removed")).alias("blocks"), "removed", *carry)
+    return cut.select("document_id", "page", "blocks", "removed", markdown(F.col("blocks")).alias("markdown"), is_blank(F.col("blocks")).alias("is_blank"), (F.col("removed") != "").alias("boundary_deduplicated"), *carry)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -11,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from .blocks import boundary_tail, read_payload, read_response
-from .boundary import reconcile
+from ..schemas import BLOCKS
+from ..scratch import scratch
+from .blocks import boundary_tail, is_blank, markdown, read_payload, read_response
+from .boundary import reconcile, without_overlap
+from .navigation import observe
+from .store import cache_key, fold_into, upsert_navigation
 
 # Parallel calls and images a call.
 LEAST_CALLS, MOST_CALLS, USUAL_CALLS, IMAGES = 1, 6, 4, 3
@@ -95,12 +100,6 @@ def valid_request(key: Column, model: Column, images: Column) -> Column:
     return F.coalesce((F.length(trim(key)) > 0) & (F.length(trim(model)) > 0) & images.between(1, IMAGES), F.lit(False))
 
 
-def accepted_revision(answers: DataFrame) -> DataFrame:
-    """Revisions that speak of exactly the page before and have blocks."""
-    r = F.col("previousPageRevision")
-    return answers.filter((r["page"] == F.col("page") - 1) & (F.size(r["blocks"]) > 0)).select("document_id", r["page"].cast("int").alias("page"), r["blocks"].alias("blocks"))
-
-
 def with_tails(pages: DataFrame, translations: DataFrame) -> DataFrame:
     """Pages with `tail`: how the stored translation of the page before ends, or empty."""
     tails = translations.select("document_id", (F.col("page") + 1).cast("int").alias("page"), boundary_tail(read_payload(F.col("payload"))["blocks"]).alias("tail"))
@@ -123,16 +122,86 @@ def translate_missing(pages: DataFrame, translations: DataFrame, provider: Provi
     return own.mapInPandas(call, "document_id string, page int, payload string")
 
 
-def read_through(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None) -> DataFrame:
-    """All pages' reduced blocks: from the table where it has them, else from the provider; `source` says which.
+def payload_json(page: Column, blocks: Column, removed: Column, revised: Column, version: Column) -> Column:
+    """A translation as it is stored; the marks of a revision and of a removal stand only where they hold."""
+    mark = lambda x: F.when(x, F.lit(True))
+    return F.to_json(
+        F.struct(
+            page.alias("page"), markdown(blocks).alias("markdown"), blocks.alias("blocks"), is_blank(blocks).alias("isBlank"),
+            mark(revised).alias("revised"), mark(removed != "").alias("boundaryDeduplicated"), version.alias("cacheVersion"),
+        )
+    )
+
 
-    The provider hears how the stored page before ends.  An answer may revise the page before
-    its own; that page's blocks are then the revision's.
+@dataclass(frozen=True)
+class Batch:
+    """What one read-through gives: pages to show, and rows for the stores.
+
+    `pages` has all pages, reduced through the whole document, with `source`; `writes` are
+    upserts of translations (cache_key, document_id, page, payload, cache_version, arrival);
+    `observations` are rows for the navigation store (document_id, observation, arrival).
     """
-    made = translate_missing(with_tails(pages, translations), translations, provider, calls).withColumn("source", F.lit("api"))
-    stored = translations.select("document_id", F.col("page").cast("int").alias("page"), "payload", F.lit("cache").alias("source"))
-    answers = made.withColumn("answer", read_response(F.col("payload"), F.col("page"))).select("document_id", "page", "answer.previousPageRevision")
-    revised = accepted_revision(answers).withColumnRenamed("blocks", "revised")
-    both = stored.unionByName(made).select("document_id", "page", read_payload(F.col("payload"))["blocks"].alias("blocks"), "source")
-    both = both.join(revised, ["document_id", "page"], "left").withColumn("blocks", F.coalesce("revised", "blocks")).drop("revised")
-    return reconcile(both.select("document_id", "page", "blocks")).join(both.select("document_id", "page", "source"), ["document_id", "page"])
+
+    pages: DataFrame
+    writes: DataFrame
+    observations: DataFrame
+
+    def translations_after(self, stored: DataFrame) -> DataFrame:
+        """The stored translations with the writes folded in, by version."""
+        return fold_into(stored, self.writes, value=("payload",))
+
+    def navigation_after(self) -> DataFrame:
+        """The navigation pages that the observations leave."""
+        return upsert_navigation(self.observations)
+
+
+def translate_batch(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None, settings: tuple[str, ...] = (), now_ms: int = 0) -> Batch:
+    """Serve pages from the stored translations and the rest from the provider, which is called once a page.
+
+    `pages` has document_id, page, text and total, `translations` document_id, page and payload
+    with these settings.  The answers are written to the shared folder before anything reads
+    them, so none of their readers (pages, writes, observations) calls again; a lost task calls
+    anew for its own pages only.  A page hears how the stored page before it ends, and its
+    answer may revise that page.  A page is reduced against its revision of the page before,
+    else against the stored one; a stored page that loses something by that is written back
+    with its own version.  The version of an answer and of its revision is the time in
+    microseconds and its page, so of two writes of a page the later page's holds.
+    """
+    spark = pages.sparkSession
+    asked = pages.withColumn("document_id", F.col("document_id").cast("string")).withColumn("page", F.col("page").cast("int"))
+    stored = translations.select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), "payload")
+    where = scratch(spark, "answers")
+    translate_missing(with_tails(asked, stored), stored, provider, calls).write.parquet(where)
+    made = spark.read.schema("document_id string, page int, payload string").parquet(where)
+
+    answer = made.select("document_id", "page", read_response(F.col("payload"), F.col("page")).alias("a"))
+    r = F.col("a.previousPageRevision")
+    revision = F.when((r["page"] == F.col("page") - 1) & (F.size(r["blocks"]) > 0), r["blocks"])
+    answer = answer.select("document_id", "page", F.col("a.blocks").alias("blocks"), revision.alias("revision"), F.lit("api").alias("source"), F.lit(None).cast("long").alias("stored_version"))
+    read = stored.select("document_id", "page", read_payload(F.col("payload")).alias("p"))
+    read = read.select("document_id", "page", F.col("p.blocks").alias("blocks"), F.lit(None).cast(BLOCKS).alias("revision"), F.lit("cache").alias("source"), F.col("p.cacheVersion").alias("stored_version"))
+    before = read.select("document_id", (F.col("page") + 1).alias("page"), F.col("blocks").alias("before"))
+    met = answer.unionByName(read).join(before, ["document_id", "page"], "left")
+    met = met.withColumn("cut", without_overlap(F.coalesce("revision", "before"), F.col("blocks")))
+
+    version = F.lit(now_ms * 1000).cast("long") + F.col("page")
+    key = lambda page: cache_key(F.col("document_id"), page, *map(F.lit, settings))
+    own, gone, back = F.col("cut.blocks"), F.col("cut.removed"), F.col("page") - 1
+    kept = F.coalesce("stored_version", version)
+    rows = F.array(
+        F.when(F.col("stored_version").isNull() | (gone != ""), F.struct(key(F.col("page")).alias("cache_key"), F.col("page").alias("page"), payload_json(F.col("page"), own, gone, F.lit(False), kept).alias("payload"), kept.alias("cache_version"))),
+        F.when(F.col("revision").isNotNull(), F.struct(key(back).alias("cache_key"), back.alias("page"), payload_json(back, F.col("revision"), F.lit(""), F.lit(True), version).alias("payload"), version.alias("cache_version"))),
+    )
+    writes = met.select("document_id", version.alias("arrival"), F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("w")).select("w.cache_key", "document_id", "w.page", "w.payload", "w.cache_version", "arrival")
+    seen = F.array(observe(own, F.col("page")), F.when(F.col("revision").isNotNull(), observe(F.col("revision"), back)))
+    observations = met.select("document_id", F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("observation"), version.alias("arrival"))
+
+    revised = met.filter("revision IS NOT NULL").select("document_id", back.alias("page"), F.col("revision").alias("revised"))
+    shown = answer.unionByName(read).select("document_id", "page", "blocks", "source").join(revised, ["document_id", "page"], "left")
+    shown = shown.select("document_id", "page", F.coalesce("revised", "blocks").alias("blocks"), F.when(F.col("revised").isNotNull(), "api").otherwise(F.col("source")).alias("source"))
+    return Batch(reconcile(shown, ("source",)), writes, observations)
+
+
+def read_through(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None) -> DataFrame:
+    """All pages' reduced blocks: from the table where it has them, else from the provider; `source` says which."""
+    return translate_batch(pages, translations, provider, calls).pages

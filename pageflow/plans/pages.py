@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import boundary as Y
+from ..operators import store as D
 from ..operators import translate as P
 from ..operators import viewport as V
 from . import fixtures as X
@@ -174,22 +175,51 @@ read_through.sql = f"SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn +
 
 
 class Reviser:
-    """Answers with a page's text, and takes back the page before if told how that ends."""
+    """Answers with a page's text and number, and takes back the page before if told how that ends."""
 
     def translate(self, text, page, total, tail):
-        own = {"page": page, "blocks": [{"kind": "paragraph", "text": text}]}
+        own = {"page": page, "blocks": [{"kind": "paragraph", "text": text}, {"kind": "page_number", "text": str(page + 10)}]}
         return own | {"previousPageRevision": {"page": page - 1, "blocks": [{"kind": "caption", "text": f"after {tail}"}]}} if tail else own
 
 
+def _revised(spark, sf_dir):
+    """Turns as pages, each a finished sentence; every third one is stored, and the answer for the next page revises it."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("."))
+    c = X.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page"), text.alias("text"), F.lit(9).alias("total"))
+    stored = c.filter("page % 3 = 0").select("document_id", "page", F.to_json(F.struct(F.array(F.struct(F.lit("paragraph").alias("kind"), "text")).alias("blocks"))).alias("payload"))
+    return P.translate_batch(c, stored, Reviser(), settings=SETTINGS, now_ms=NOW), stored
+
+
+SETTINGS, NOW = ("p", "e", "m", "low", "English"), 1000
+REVISED = "c AS (SELECT conv_id, turn + 1 AS page, coalesce(text, '') || '.' AS text, (turn + 1) % 3 = 0 AS stored FROM conversations), r AS (SELECT CAST(c.conv_id AS VARCHAR) AS document_id, CAST(c.page AS INTEGER) AS page, c.text, c.stored, n.page IS NOT NULL AND c.stored AS revised FROM c LEFT JOIN c n ON n.conv_id = c.conv_id AND n.page = c.page + 1)"
+
+
 def read_through_revised(spark, sf_dir):
-    """Stored pages end somewhere; the answer for the next page revises them."""
-    c = X.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page"), F.concat(F.lit("t"), F.col("turn")).alias("text"), F.lit(9).alias("total"))
-    stored = c.filter("page % 3 = 0").select("document_id", "page", F.concat(F.lit('{"blocks":[{"kind":"paragraph","text":"end '), F.col("page"), F.lit('"}]}')).alias("payload"))
-    return P.read_through(c, stored, Reviser()).select("document_id", "page", "source", "markdown")
+    return _revised(spark, sf_dir)[0].pages.select("document_id", "page", "source", "markdown")
+
+
+read_through_revised.sql = f"WITH {REVISED} SELECT document_id, page, CASE WHEN stored AND NOT revised THEN 'cache' ELSE 'api' END AS source, CASE WHEN NOT stored THEN text || chr(10) || chr(10) || (page + 10) WHEN revised THEN 'after ' || right(text, 160) ELSE text END AS markdown FROM r"
+
+
+def read_through_store(spark, sf_dir):
+    """The stored translations after the batch: what was there, answers, and revisions over what was there."""
+    batch, stored = _revised(spark, sf_dir)
+    key = D.cache_key(F.col("document_id"), F.col("page"), *map(F.lit, SETTINGS))
+    state = batch.translations_after(stored.select(key.alias("cache_key"), "document_id", "page", "payload", F.lit(0).cast("long").alias("cache_version"), F.lit(0).cast("long").alias("arrival")))
+    at = lambda p: F.get_json_object("payload", p)
+    return state.select("cache_key", "page", "cache_version", at("$.blocks[0].text").alias("text"), F.size(F.from_json(at("$.blocks"), "array<string>")).alias("n_blocks"), F.coalesce(at("$.revised"), F.lit("false")).alias("revised"), at("$.cacheVersion").cast("long").alias("version_inside"))
+
+
+read_through_store.sql = f"""WITH {REVISED} SELECT 'layout-v3::' || document_id || '::' || page || '::p::e::m::low::English' AS cache_key, page, CAST(CASE WHEN NOT stored THEN 1000000 + page WHEN revised THEN 1000001 + page ELSE 0 END AS BIGINT) AS cache_version, CASE WHEN revised THEN 'after ' || right(text, 160) ELSE text END AS text,
+ CASE WHEN stored THEN 1 ELSE 2 END AS n_blocks, CASE WHEN revised THEN 'true' ELSE 'false' END AS revised, CAST(CASE WHEN NOT stored THEN 1000000 + page WHEN revised THEN 1000001 + page END AS BIGINT) AS version_inside FROM r"""
+
+
+def read_through_navigation(spark, sf_dir):
+    """The navigation store after the batch: a revision is looked at after the page it revises."""
+    return _revised(spark, sf_dir)[0].navigation_after().select("document_id", "pdf_page", "is_table_of_contents", "page_label", "page_value", "numbering", "arrival")
 
 
-read_through_revised.sql = """WITH c AS (SELECT DISTINCT conv_id, turn + 1 AS page FROM conversations)
-SELECT CAST(c.conv_id AS VARCHAR) AS document_id, CAST(c.page AS INTEGER) AS page, CASE WHEN c.page % 3 = 0 THEN 'cache' ELSE 'api' END AS source, CASE WHEN c.page % 3 <> 0 THEN 't' || (c.page - 1) WHEN n.page IS NOT NULL THEN 'after end ' || c.page ELSE 'end ' || c.page END AS markdown FROM c LEFT JOIN c n ON n.conv_id = c.conv_id AND n.page = c.page + 1"""
+read_through_navigation.sql = f"WITH {REVISED} SELECT document_id, page AS pdf_page, false AS is_table_of_contents, CASE WHEN NOT stored THEN CAST(page + 10 AS VARCHAR) END AS page_label, CAST(CASE WHEN NOT stored THEN page + 10 END AS BIGINT) AS page_value, CASE WHEN NOT stored THEN 'arabic' END AS numbering, CAST(1000000 + page + CASE WHEN revised THEN 1 ELSE 0 END AS BIGINT) AS arrival FROM r"
 
 
 def request_bodies(spark, sf_dir):
@@ -267,4 +297,4 @@ def request_validation(spark, sf_dir):
 
 request_validation.sql = "SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_custkey % 5 BETWEEN 1 AND 3 AS valid, 'Translate page ' || o_orderkey || ' of 9 into English as layout blocks in JSON.' || CASE WHEN o_orderkey % 2 = 0 THEN ' The page before ends: the end' ELSE '' END AS prompt FROM orders"
 
-QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, read_through_revised, request_bodies, provider_answers, scalar_functions]
+QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, read_through_revised, read_through_store, read_through_navigation, request_bodies, provider_answers, scalar_functions]
