@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # White space, headings of a table of contents, marks that end a sentence, scripts without word spaces.
 WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SOLID = WHITE.replace("[", "[^", 1)
 TOC_HEADING = r"(?iu)(?<![0-9A-Za-z_])contents?(?![0-9A-Za-z_])|table\s+of\s+contents|(?<![0-9A-Za-z_])illustrations?(?![0-9A-Za-z_])|目录|目次|索引|插图|sommaire|índice|indice|inhalt"
 TERMINAL = r"[.!?。！？][”’\x22\x27)\]}】》」』]*\z"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind as _bind
-from ..functions.text import CJK, LETTER, TERMINAL, WHITE, trim, trim_end, trim_start
+from ..functions.text import CJK, LETTER, SOLID, TERMINAL, WHITE, trim, trim_end, trim_start
+from ..scratch import scratch
 from .blocks import is_blank, markdown
 
 #: The longest repetition that is looked for, in code points (a fixed value).
@@ -54,7 +55,7 @@ def overlap(previous: Column, current: Column) -> Column:
 
 
 def _carries(b: Column) -> Column:
-    return b["kind"].isin("paragraph", "caption") & (F.length(trim(b["text"])) > 0)
+    return b["kind"].isin("paragraph", "caption") & b["text"].rlike(SOLID)
 
 
 def _first_carrying(blocks: Column) -> Column:
@@ -104,16 +105,18 @@ def _seen(blocks: Column) -> Column:
 
     A page is settled if what it repeats itself cannot change what the next one repeats: it has
     no text; or several blocks with text, of which only the first is ever cut; or so long a text
-    that its end stays, whatever is cut; or one that stays a finished sentence.
+    that its end stays, whatever is cut; or one that stays a finished sentence.  Of the first text the start
+    is enough then, and the whole where a page is not settled, which is short but for white space.
     """
 
     def of(own):
         first, last = F.try_element_at(own, F.lit(1)), F.try_element_at(own, F.lit(-1))
-        end = trim_end(last["text"])
         rest = trim(F.substring(trim_start(last["text"]), F.lit(LONGEST + 1), F.length(last["text"])))
-        settled = (F.size(own) != 1) | (F.length(rest) > LONGEST) | rest.rlike(TERMINAL)
-        tail = F.when(end.rlike(TERMINAL), "").otherwise(F.right(end, F.lit(LONGEST + 1)))
-        return F.struct(first["kind"].alias("first_kind"), first["text"].alias("first_text"), last["kind"].alias("last_kind"), tail.alias("tail"), F.coalesce(settled, F.lit(True)).alias("settled"))
+        settled = F.when(F.size(own) == 1, _bind(rest, lambda r: (F.length(r) > LONGEST) | r.rlike(TERMINAL))).otherwise(F.lit(True))
+        tail = _bind(trim_end(last["text"]), lambda end: F.when(end.rlike(TERMINAL), "").otherwise(F.right(end, F.lit(LONGEST + 1))))
+        start = trim_start(first["text"])
+        shown = lambda done: F.struct(first["kind"].alias("first_kind"), F.when(done, F.left(start, F.lit(LONGEST + 1))).otherwise(start).alias("first_text"), last["kind"].alias("last_kind"), tail.alias("tail"), done.alias("settled"))
+        return _bind(settled, shown)
 
     return _bind(F.filter(blocks, _carries), of)
 
@@ -126,7 +129,8 @@ def _beside(pages: DataFrame) -> DataFrame:
     """
     b = F.floor(F.col("page") / STRETCH)
     twice = F.pmod(F.col("page"), F.lit(STRETCH)) == STRETCH - 1
-    sent = pages.withColumn("_stretch", F.explode(F.when(twice, F.array(b, b + 1)).otherwise(F.array(b)))).withColumn("_own", _seen(F.col("blocks")))
+    sent = pages.withColumn("_stretch", F.explode(F.when(twice, F.array(b, b + 1)).otherwise(F.array(b))))
+    sent = sent.repartition("document_id", "_stretch").withColumn("_own", _seen(F.col("blocks")))  # the text goes out once, and nothing beside it
     before = F.lag(F.struct("page", "_own")).over(W.partitionBy("document_id", "_stretch").orderBy("page"))
     met = sent.withColumn("_lag", before).filter(F.col("_stretch") == b)
     return met.withColumn("_before", F.when(F.col("_lag.page") == F.col("page") - 1, F.col("_lag._own"))).drop("_lag", "_stretch")
@@ -165,8 +169,7 @@ def _in_turn(met: DataFrame) -> DataFrame:
 
     These runs of short pages are streams: sorted by page, of which a task holds one text at a time.
     """
-    o = F.col("_own")
-    rows = met.filter(F.col("_waits") | ~o["settled"]).select("document_id", F.col("page").cast("long").alias("page"), "_waits", "_removed", o["first_kind"].alias("kind"), o["first_text"].alias("text"), o["settled"].alias("settled"))
+    rows = met.filter("_waits OR NOT _settled").select("document_id", F.col("page").cast("long").alias("page"), "_waits", "_removed", "_kind", "_text", "_settled")
     rows = rows.repartition("document_id").sortWithinPartitions("document_id", "page")
 
     def fold(batches):
@@ -195,11 +198,18 @@ def reconcile(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Takes (document_id, page, blocks), one row a page; returns them with removed, markdown,
     is_blank and boundary_deduplicated, and the columns of `carry`.  Most pages are settled, so
     their successors are compared at once, wherever they lie; only runs of pages that are not,
-    each a single short text, are taken in turn.
+    each a single short text, are taken in turn.  Pages are written to the shared folder once
+    they have met, so both ways read them and the text is shuffled once.
     """
     own = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), "blocks", *carry)
-    met = _with_removed(_beside(own))
-    late = _in_turn(_with_removed(_beside(own.select("document_id", "page", "blocks"))))
-    both = met.join(late, ["document_id", "page"], "left").withColumn("removed", F.coalesce("_late", "_removed"))
+    o = F.col("_own")
+    short = F.col("_waits") | ~o["settled"]
+    met = _with_removed(_beside(own)).select(*own.columns, "_waits", "_removed", o["settled"].alias("_settled"), F.when(short, o["first_kind"]).alias("_kind"), F.when(short, o["first_text"]).alias("_text"))
+    where = scratch(pages.sparkSession, "pages")
+    met.write.option("compression", "zstd").parquet(where)
+    met = pages.sparkSession.read.schema(met.schema).parquet(where)
+    at_once = met.filter("NOT _waits").withColumn("removed", F.col("_removed"))
+    in_turn = met.filter("_waits").join(_in_turn(met), ["document_id", "page"]).withColumn("removed", F.col("_late"))
+    both = at_once.select(*own.columns, "removed").unionByName(in_turn.select(*own.columns, "removed"))
     cut = both.select("document_id", "page", without(F.col("blocks"), F.col("removed")).alias("blocks"), "removed", *carry)
     return cut.select("document_id", "page", "blocks", "removed", markdown(F.col("blocks")).alias("markdown"), is_blank(F.col("blocks")).alias("is_blank"), (F.col("removed") != "").alias("boundary_deduplicated"), *carry)

@@ -94,6 +94,14 @@ def test_runs_across_stretches(spark):
     assert got == one_by_one(long) and sum(bool(x[0]) for x in got.values()) == 6
 
 
+def test_wide_white_space_between_short_texts(spark):
+    """A page whose end lies far behind what can be cut, but would be all that is left of it."""
+    head = "the same old words " * 7
+    rows = [("d", 1, [("paragraph", head)]), ("d", 2, [("paragraph", head[-95:] + " " * 1000 + "short end of it")]), ("d", 3, [("paragraph", "short end of it all")])]
+    got = reconciled(spark, rows)
+    assert got == one_by_one(rows) and got["d", 2][0] and got["d", 3][0] == "short end of it"
+
+
 def test_a_long_document_takes_linear_time(spark):
     """100,000 pages that all wait for the one before."""
     def seconds(n):
