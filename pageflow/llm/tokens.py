@@ -17,7 +17,8 @@ import numpy as np
 
 _ODD = "\x1c\x1d\x1e\x1f"
 #: A Latin word that white space or one of a few marks ends is a piece of its own in both vocabularies.
-_WORD = "[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\\s.,;:!?]|$)"
+#: U+0130 is none of its letters: its lower case is two characters, of which the second goes with a mark.
+_WORD = "[A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ]+(?=[\\s.,;:!?]|$)"
 #: Else one optional space with what follows it, or white space: cuts that the byte-level pattern makes too.
 _BYTE_PIECES = re.compile(rf" ?{_WORD}| ?\S+|\s+(?!\S)|\s+")
 _WORD_PIECES = re.compile(rf"{_WORD}|\S+")

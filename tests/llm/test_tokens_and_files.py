@@ -43,6 +43,25 @@ def test_added_tokens_are_the_librarys(texts):
         assert ENCODERS.setdefault(name, Encoder(tokenizer_path(name))).encode(texts) == library_ids(name, texts)
 
 
+LETTERS = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_letter_before_every_mark(name):
+    """Letters whose lower case is more than one character among them."""
+    e = Encoder(tokenizer_path(name))
+    ends = [*".,;:!?", " ", "\n", "\t", "", "...", ".x", " x", "'s", "\u0301"]
+    texts = [f"{before}{c}{end}" for c in LETTERS for end in ends for before in ("", "a", "ab ")]
+    assert e.encode(texts) == library_ids(name, texts)
+    turkish = "İstanbul'da, İ. İnönü! DİYARBAKIR; İ... sİ? Iı İ"
+    assert e.encode([turkish]) == library_ids(name, [turkish])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from([*"aİıIéßŉǰ ", *".,;:!?\n"]), max_size=14), max_size=5))
+def test_mixed_letters_and_marks(texts):
+    for name in NAMES:
+        assert ENCODERS.setdefault(name, Encoder(tokenizer_path(name))).encode(texts) == library_ids(name, texts)
 
 
 @settings(max_examples=60, deadline=None)
