@@ -73,10 +73,17 @@ def entries_of(observations: DataFrame) -> DataFrame:
     return rows.select("document_id", F.col("e.sourcePage").alias("source_page"), "e.ordinal", "e.title", "e.label", "e.value", "e.numbering", "e.level")
 
 
-def contents_panel(pages: DataFrame, settings: DataFrame, totals: DataFrame) -> DataFrame:
-    """A document's contents from its stored pages: the distinct entries and where each leads."""
+def contents_panel(pages: DataFrame, settings: DataFrame, totals: DataFrame, readers: DataFrame | None = None) -> DataFrame:
+    """A document's contents from its stored pages: the distinct entries and where each leads.
+
+    With `readers` (document_id, current; a row a document) entries are `active` that lead to the page in view.
+    """
     observations = stored_observations(pages)
-    return resolve(collect_entries(entries_of(observations)), page_offsets(anchors_of(observations)), settings, totals)
+    found = resolve(collect_entries(entries_of(observations)), page_offsets(anchors_of(observations)), settings, totals)
+    if readers is None:
+        return found
+    met = found.join(readers.select("document_id", F.col("current").alias("_current")), "document_id", "left")
+    return met.withColumn("active", F.coalesce(F.col("target_page") == F.col("_current"), F.lit(False))).drop("_current")
 
 
 def _page_value(v: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, snippet, trim
-from .blocks import search_text
+from .blocks import _field, _text, block_of, search_text
 
 # Candidates that the first filter passes on, results, and the query's length.
 CANDIDATES, RESULTS, LONGEST_QUERY, LONGEST_SUFFIX = 250, 100, 200, 1800
@@ -50,6 +50,11 @@ def search_each(pages: DataFrame, query: str, suffix: str | None = None, candida
     if suffix is not None:
         df = df.filter(F.endswith("cache_key", F.lit(f"::{suffix}")))
     df = df.filter(contains(F.col("markdown"), wanted, True) | block_contains(F.col("blocks"), wanted, True))
+    return _ranked(df, wanted, candidates, results)
+
+
+def _ranked(df: DataFrame, wanted: str, candidates: int, results: int) -> DataFrame:
+    """Snippets of the first candidates of each document that the second filter leaves, the first results of them."""
     order = W.partitionBy("document_id").orderBy("page", "cache_key")
     first = df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= candidates)
     found = first.select("document_id", "page", "cache_key", snippet(search_text(F.col("blocks"), F.col("markdown")), wanted).alias("snippet")).filter("snippet <> ''")
@@ -57,6 +62,37 @@ def search_each(pages: DataFrame, query: str, suffix: str | None = None, candida
     return found.select("document_id", "page", "snippet")
 
 
+def payload_blocks(translations: DataFrame) -> DataFrame:
+    """(document_id, page, cache_key, ordinal, block): the blocks of stored payloads, a row each.
+
+    A lateral join with the elements of `$.blocks`, where that is a list; text, numbers and
+    objects in its place, and payloads that are no JSON, have no blocks.  Elements that are no
+    blocks come with the defaults.
+    """
+    parsed = translations.select("document_id", "page", "cache_key", F.try_variant_get(F.try_parse_json("payload"), "$.blocks", "variant").alias("_b"))
+    listed = parsed.withColumn("_b", F.when(F.schema_of_variant("_b").startswith("ARRAY"), F.col("_b")))
+    rows = translations.sparkSession.sql("SELECT t.document_id, t.page, t.cache_key, e.pos AS ordinal, e.value AS _v FROM {t} t, LATERAL variant_explode(t._b) e", t=listed)
+    return rows.withColumn("block", block_of(F.col("_v"))).drop("_v")
+
+
+def search_payloads(translations: DataFrame, query: str, suffix: str | None = None, candidates: int = CANDIDATES, results: int = RESULTS) -> DataFrame:
+    """`search_each` over stored payloads: document_id, page, cache_key and the JSON text `payload`.
+
+    The first filter looks at the markdown and at each block's text alone, numbers as they are
+    written; the second one at the text a page shows, where only texts count.  A payload that is
+    no JSON, or whose blocks are no list, costs its own row at most.
+    """
+    wanted = _checked(query, suffix)
+    df = translations
+    if suffix is not None:
+        df = df.filter(F.endswith("cache_key", F.lit(f"::{suffix}")))
+    df = df.select("document_id", "page", "cache_key", F.try_parse_json("payload").alias("_v"))
+    df = df.select("document_id", "page", "cache_key", "_v", F.coalesce(F.try_variant_get("_v", "$.blocks", "array<variant>"), F.array().cast("array<variant>")).alias("_b"))
+    near = contains(F.try_variant_get("_v", "$.markdown", "string"), wanted, True) | F.exists("_b", lambda b: contains(F.try_variant_get(b, "$.text", "string"), wanted, True))
+    shown = df.filter(near).select("document_id", "page", "cache_key", F.transform("_b", block_of).alias("blocks"), _text(_field(F.col("_v"), "markdown")).alias("markdown"))
+    return _ranked(shown, wanted, candidates, results)
+
+
 def search(pages: DataFrame, document: str | None, query: str, suffix: str | None = None, ascii_only: bool = True, candidates: int = CANDIDATES, results: int = RESULTS) -> DataFrame:
     """(document_id, page, snippet) of pages that hold the query, in the order of pages.
 

@@ -144,5 +144,15 @@ def upsert_navigation(log: DataFrame, order: str = "arrival") -> DataFrame:
     return upsert_latest(rows, ["document_id", "pdf_page"], order)
 
 
+def typed_books(rows: DataFrame) -> DataFrame:
+    """Stored books with their types: texts as texts, sizes, page counts and times as whole numbers.
+
+    A number may be stored as text; one that is none, or has a fraction, is null.
+    """
+    whole = lambda c: F.when(F.col(c).try_cast("decimal(38,9)") == F.floor(F.col(c).try_cast("decimal(38,9)")), F.col(c).try_cast("decimal(38,9)").cast("long"))
+    texts = ("id", "fingerprint", "name", "object_key", "content_type")
+    return rows.select(*(F.col(c).cast("string").alias(c) for c in texts), *(whole(c).alias(c) for c in ("size", "page_count", "uploaded_at")))
+
+
 def nonblank(x: Column) -> Column:
     return F.length(trim(x)) > 0

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Milliseconds a page of distance costs before a fetch and before drawing.
+FETCH_MS, RENDER_MS = 250, 180
+
 
 def radius(nearby: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(nearby))
@@ -33,10 +36,15 @@ def prefetch_plan(readers: DataFrame, cached: DataFrame) -> DataFrame:
     """
     pages = readers.select("document_id", "current", F.explode(page_window(F.col("current"), F.col("total"), F.col("nearby"))).alias("page"))
     known = cached.select("document_id", F.col("page").cast("long").alias("page")).distinct().withColumn("cache_only", F.lit(True))
-    delay = 250 + F.abs(F.col("page") - F.col("current")) * 250
+    delay = FETCH_MS + F.abs(F.col("page") - F.col("current")) * FETCH_MS
     return pages.join(known, ["document_id", "page"], "left").select("document_id", "page", delay.alias("delay_ms"), F.coalesce("cache_only", F.lit(False)).alias("cache_only"))
 
 
+def render_delay(page: Column, current: Column) -> Column:
+    """Milliseconds before a page is drawn: the nearer, the sooner."""
+    return F.abs(page - current) * RENDER_MS
+
+
 def page_numbers(documents: DataFrame) -> DataFrame:
     return documents.filter("total >= 1").select("document_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total").cast("long"))).alias("page"))
 

@@ -117,6 +117,17 @@ SELECT e.document_id, pdf_page AS source_page, title, CAST(q AS VARCHAR) AS labe
 FROM e LEFT JOIN f ON f.document_id = e.document_id LEFT JOIN s ON s.document_id = e.document_id LEFT JOIN g ON g.document_id = e.document_id"""
 
 
+def contents_active(spark, sf_dir):
+    """Contents with the entries that lead to the page each document is open at."""
+    settings, pages = _settings(spark, sf_dir)
+    readers = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), (F.col("o_custkey") % 12 + 1).alias("current"))
+    r = N.contents_panel(X.stored_navigation(spark, sf_dir), settings, pages, readers)
+    return r.select("document_id", "source_page", "title", "label", "target_page", "active")
+
+
+contents_active.sql = f"SELECT document_id, source_page, title, label, target_page, coalesce(target_page = o_custkey % 12 + 1, false) AS active FROM ({contents_panel.sql}) c LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = document_id"
+
+
 def stored_pages(spark, sf_dir):
     """Observations as read back from stored text, broken text among it."""
     o = N.stored_observations(X.stored_navigation(spark, sf_dir))
@@ -174,4 +185,4 @@ def list_items(spark, sf_dir):
 
 list_items.sql = f"SELECT page_id, CAST(len(x) AS INTEGER) AS n_items, array_to_string(list_transform(x, lambda y: regexp_replace(regexp_replace(y, '^{T.WHITE}+', ''), '{T.WHITE}+$', '')), '|') AS items FROM (SELECT page_id, regexp_extract_all(html, '<li>([^<]*)</li>', 1) AS x FROM pages)"
 
-QUERIES = [page_ref_parse, toc_pages, observation_normalize, toc_dedupe, page_offset_mode, toc_resolved, effective_offset, navigation_list, contents_panel, stored_pages, page_anchors, navigation_upsert, page_sources, nav_merge_priority, list_items]
+QUERIES = [page_ref_parse, toc_pages, observation_normalize, toc_dedupe, page_offset_mode, toc_resolved, effective_offset, navigation_list, contents_panel, contents_active, stored_pages, page_anchors, navigation_upsert, page_sources, nav_merge_priority, list_items]

@@ -119,10 +119,10 @@ prefetch_plan.sql = f"WITH {READERS}, x AS (SELECT document_id, current, unnest(
 def viewport_predicates(spark, sf_dir):
     r = _readers(spark, sf_dir)
     flag = lambda k: F.col("document_id") % k == 0
-    return r.select("document_id", V.work_enabled(F.lit(3), F.col("current"), F.col("nearby"), flag(2)).alias("enabled"), V.should_start(flag(7), flag(2), flag(3), flag(5), flag(4)).alias("start"), V.progress(F.col("current"), F.lit(12)).alias("progress"))
+    return r.select("document_id", V.work_enabled(F.lit(3), F.col("current"), F.col("nearby"), flag(2)).alias("enabled"), V.should_start(flag(7), flag(2), flag(3), flag(5), flag(4)).alias("start"), V.progress(F.col("current"), F.lit(12)).alias("progress"), V.render_delay(F.lit(3), F.col("current")).alias("render_ms"))
 
 
-viewport_predicates.sql = f"WITH {READERS} SELECT document_id, document_id % 2 = 0 AND abs(3 - current) <= radius AS enabled, document_id % 7 <> 0 AND (document_id % 3 = 0 OR document_id % 2 <> 0) AND (document_id % 3 = 0 OR document_id % 5 = 0 OR document_id % 4 = 0) AS start, CAST(floor(current * 100 / 12 + 0.5) AS BIGINT) AS progress FROM r"
+viewport_predicates.sql = f"WITH {READERS} SELECT document_id, document_id % 2 = 0 AND abs(3 - current) <= radius AS enabled, document_id % 7 <> 0 AND (document_id % 3 = 0 OR document_id % 2 <> 0) AND (document_id % 3 = 0 OR document_id % 5 = 0 OR document_id % 4 = 0) AS start, CAST(floor(current * 100 / 12 + 0.5) AS BIGINT) AS progress, abs(3 - current) * 180 AS render_ms FROM r"
 
 
 def page_status(spark, sf_dir):

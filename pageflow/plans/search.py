@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import search as S
+from ..operators import statements as ST
 from ..operators import store as D
 from ..scratch import scratch
 from ..streaming.upserts import latest_state, stream_upsert, task_tokens
@@ -248,4 +251,76 @@ def block_rows(spark, sf_dir):
 
 block_rows.sql = f"WITH {LINES}, y AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM x) SELECT doc_id, CAST(i AS INTEGER) AS ordinal, CASE WHEN i = 0 THEN 'heading' WHEN i % 5 = 4 THEN 'list_item' WHEN i % 5 = 3 THEN 'spacer' ELSE 'paragraph' END AS kind, CAST(length(line) AS INTEGER) AS n FROM y"
 
-QUERIES = [search_snippets, search_settings, search_document, search_requests, search_prefilter_ascii, block_exists_search, highlight_segments, cached_page_index, translation_lookup, library_recent, book_lookup, upsert_versioned, upsert_incremental, stream_upserts, upsert_latest, upsert_books, upsert_validation, signature_suppress, latest_tasks, block_normalize, payload_normalize, page_markdown, page_is_blank, block_rows]
+
+
+def _payloads(spark, sf_dir):
+    """Turns as stored payloads: blocks with odd elements, blocks that are text or a number, and broken JSON."""
+    t = X.translations(spark, sf_dir)
+    json = F.to_json(F.struct("text"))
+    text = F.substring(json, F.lit(9), F.length(json) - 9)  # {"text":...}
+    part = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    kind = F.length("text") % 5
+    payload = (
+        F.when(kind == 0, part('{"blocks":[{"kind":"paragraph","text":', text, '},{"text":5},"tion",3,null],"markdown":"m"}'))
+        .when(kind == 1, part('{"blocks":"nation","markdown":', text, "}"))
+        .when(kind == 2, part('{"blocks":[{"text":', text))
+        .when(kind == 3, part('{"blocks":7,"markdown":', text, "}"))
+        .otherwise(part('{"blocks":[{"text":', text, '},{"text":" the end"}],"markdown":"relation"}'))
+    )
+    return t.select("document_id", "page", "cache_key", payload.alias("payload"))
+
+
+def search_stored(spark, sf_dir):
+    """The search of stored payloads."""
+    return S.search_payloads(_payloads(spark, sf_dir), "tion")
+
+
+STORED = f"{X.TRANSLATIONS_SQL}, k AS (SELECT *, length(text) % 5 AS kind FROM t)"
+STORED_TEXT = f"x AS (SELECT document_id, page, cache_key, kind = 4 OR contains({FOLD.format('text')}, 'tion') AS near, CASE WHEN kind = 0 THEN text WHEN kind = 4 THEN CASE WHEN text = '' THEN '' ELSE text || chr(10) END || ' the end' ELSE regexp_replace(regexp_replace(text, '^{WHITE}+', ''), '{WHITE}+$', '') END AS text FROM k WHERE kind <> 2)"
+search_stored.sql = f"""WITH {STORED}, {STORED_TEXT}, f AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, cache_key) AS n FROM x WHERE near),
+c AS (SELECT *, instr(lower(text), 'tion') AS pos FROM f WHERE n <= 250 AND contains(lower(text), 'tion')), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, cache_key) AS m FROM c),
+s AS (SELECT document_id, page, text, greatest(0, pos - 1 - 72) AS s, least(length(text), pos - 1 + 4 + 72) AS e FROM r WHERE m <= 100) SELECT document_id, page, {SNIPPET} AS snippet FROM s"""
+
+
+def stored_blocks(spark, sf_dir):
+    """The blocks of stored payloads, a row each."""
+    b = S.payload_blocks(_payloads(spark, sf_dir))
+    return b.select("document_id", "page", "ordinal", "block.kind", "block.text")
+
+
+stored_blocks.sql = f"""WITH {STORED}, b AS (SELECT document_id, page, unnest(CASE kind WHEN 0 THEN [text, '', '', '', ''] WHEN 4 THEN [text, ' the end'] ELSE [] END) AS text, unnest(CASE kind WHEN 0 THEN [0, 1, 2, 3, 4] WHEN 4 THEN [0, 1] ELSE [] END) AS ordinal FROM k)
+SELECT document_id, page, CAST(ordinal AS INTEGER) AS ordinal, 'paragraph' AS kind, text FROM b"""
+
+#: Marks that would end a text, were values put into it.
+MARKS = "it's \"7\"; -- {x} :y"
+
+
+def statement_lookups(spark, sf_dir):
+    """A book, a translation and a document's index by statements with named parameters, with marks in the values."""
+    books = X.books(spark, sf_dir).withColumn("id", F.concat("id", F.lit(MARKS)))
+    t = X.translations(spark, sf_dir).withColumn("cache_key", F.concat("cache_key", F.lit(MARKS)))
+    book, translation, index = ST.book_statement(books), ST.translation_statement(t), ST.index_statement(t)
+    found = [
+        *(book.bind(wanted=w).rows().select(F.lit("book").alias("what"), F.col("id").alias("key"), F.col("size").cast("string").alias("value")) for w in (f"b7{MARKS}", "b7", "' OR '1' = '1")),
+        translation.bind(key=f"layout-v3::doc-1::1::p::e::m::low::user{MARKS}").rows().select(F.lit("translation").alias("what"), F.col("document_id").alias("key"), F.col("text").alias("value")),
+        *(index.bind(document=d, suffix=f"{SUFFIX}{MARKS}").rows().select(F.lit("index").alias("what"), F.col("document_id").alias("key"), F.col("page").cast("string").alias("value")) for d in ("doc-1", "doc-2'")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+statement_lookups.sql = f"""WITH {X.BOOKS_SQL}, {X.TRANSLATIONS_SQL} SELECT 'book' AS what, id || '{MARKS.replace("'", "''")}' AS key, CAST(size AS VARCHAR) AS value FROM b WHERE id = 'b7'
+UNION ALL SELECT 'translation', document_id, text FROM t WHERE cache_key = 'layout-v3::doc-1::1::p::e::m::low::user'
+UNION ALL SELECT 'index', document_id, CAST(page AS VARCHAR) FROM t WHERE document_id = 'doc-1' AND ends_with(cache_key, '::{SUFFIX}')"""
+
+
+def typed_books(spark, sf_dir):
+    """Books read from text, with numbers that are none."""
+    b = X.books(spark, sf_dir)
+    size = F.when(F.col("uploaded_at") % 4 == 0, F.concat(F.col("size").cast("string"), F.lit(".0"))).when(F.col("uploaded_at") % 4 == 1, "12.5").when(F.col("uploaded_at") % 4 == 2, "many").otherwise(F.col("size").cast("string"))
+    raw = b.select("id", "fingerprint", "name", F.lit("k").alias("object_key"), F.lit("application/pdf").alias("content_type"), size.alias("size"), F.lit(3.0).alias("page_count"), F.col("uploaded_at").cast("double").alias("uploaded_at"))
+    return D.typed_books(raw).select("id", "name", "size", "page_count", "uploaded_at")
+
+
+typed_books.sql = f"WITH {X.BOOKS_SQL} SELECT id, name, CASE WHEN uploaded_at % 4 IN (0, 3) THEN size END AS size, CAST(3 AS BIGINT) AS page_count, uploaded_at FROM b"
+
+QUERIES = [search_stored, stored_blocks, statement_lookups, typed_books, search_snippets, search_settings, search_document, search_requests, search_prefilter_ascii, block_exists_search, highlight_segments, cached_page_index, translation_lookup, library_recent, book_lookup, upsert_versioned, upsert_incremental, stream_upserts, upsert_latest, upsert_books, upsert_validation, signature_suppress, latest_tasks, block_normalize, payload_normalize, page_markdown, page_is_blank, block_rows]
