@@ -11,10 +11,10 @@ global order: by the number of documents that hold them, rare ones first.
    the global order; n-grams of one document only match nothing.  Classes are dealt to blocks
    of bounded size, those that share such n-grams together.  Pairs of blocks whose classes
    share one, with sizes that can be similar, are compared; no others can hold a link.
-3. The global order is cut into fragments.  Each fragment of each pair of blocks is a group of
-   its own, dealt by the shuffle, that counts partial overlaps; these are summed for each pair
-   of classes and tested.  What comes back is a spanning forest of the links and each class's
-   number of links: lists of pairs stay within a pair of blocks, however large a group is.
+3. The global order is cut into fragments.  Each pair of blocks is a group of the shuffle;
+   its fragments' partial overlaps are counted one fragment after another, summed for each pair
+   of classes in a matrix of bounded size, and tested.  What comes back is a spanning forest of
+   the links and each class's number of links, so rows follow the classes, not their pairs.
 4. Components of these links are the result.
 
 The order only decides what is cheap; results are exact for any counts.
@@ -28,6 +28,8 @@ further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -152,66 +154,76 @@ def prefixes(docs: DataFrame, n: int, percent: int, portion_mb: float) -> DataFr
     return counts.groupBy("g").applyInArrow(cut, schema)
 
 
-def fragment_overlaps(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, cells: int = 1 << 22):
-    """(i, j, overlap) arrays of all pairs of sets that share one of a fragment's n-grams.
+def add_overlaps(total: np.ndarray, left, right, cells: int = 1 << 22) -> None:
+    """Add to `total` how many of a fragment's n-grams each two sets share.
 
-    Sets are (id, sorted distinct n-grams), in the order of ids.  Without `right`, pairs are of `left`, i > j.
+    A side is the sets' places in `total`, their sizes, and their n-grams one set after the
+    other.  Without `right`, both are the left ones, and a set meets itself too.
     """
-    both = left + (right or [])
-    side = np.repeat(np.arange(len(both)), [len(x) for _, x in both])
-    values, at, times = np.unique(np.concatenate([x for _, x in both]), return_inverse=True, return_counts=True)
+    places, sizes, grams = (np.concatenate(x) for x in zip(left, *([right] if right is not None else []), strict=True))
+    rows = len(left[0])
+    side = np.repeat(np.arange(len(places)), sizes)
+    _, at, times = np.unique(grams, return_inverse=True, return_counts=True)
     own = times[at] > 1
     rank = np.cumsum(times > 1) - 1
     side, at, n = side[own], rank[at[own]], int((times > 1).sum())
     order = np.argsort(at, kind="stable")
     side, at = side[order], at[order]
-    rows, cols = len(left), len(right) if right is not None else len(left)
-    total = np.zeros((rows, cols), np.int64)
-    step = max(1, cells // len(both))  # far below 2**24, so sums of ones in float32 are exact
+    i, j = places[:rows], places[rows:] if right is not None else places
+    step = max(1, cells // max(1, len(places)))  # far below 2**24, so sums of ones in float32 are exact
     for low in range(0, n, step):
-        a, b = np.searchsorted(at, (low, low + step))
-        m = np.zeros((len(both), min(step, n - low)), np.float32)
-        m[side[a:b], at[a:b] - low] = 1
-        total += (m[:rows] @ (m[rows:] if right is not None else m).T).astype(np.int64)
-    if right is None:
-        total = np.tril(total, -1)
-    i, j = np.nonzero(total)
-    u = np.array([p for p, _ in left], np.int64)
-    v = np.array([p for p, _ in (right if right is not None else left)], np.int64)
-    return u[i], v[j], total[i, j]
-
-
-class Forest:
-    """Union-find over a job's sets."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+        x, y = np.searchsorted(at, (low, low + step))
+        m = np.zeros((len(places), min(step, n - low)), np.float32)
+        m[side[x:y], at[x:y] - low] = 1
+        total[np.ix_(i, j)] += (m[:rows] @ (m[rows:] if right is not None else m).T).astype(total.dtype)
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of links; each node's row is looked at once."""
+    left = np.ones(len(linked), bool)
+    edges = []
+    for start in range(len(linked)):
+        if left[start]:
+            left[start] = False
+            queue = [start]
+            for x in queue:
+                new = np.flatnonzero(linked[x] & left)
+                left[new] = False
+                edges += [(x, y) for y in new.tolist()]
+                queue += new.tolist()
+    return edges
+
+
+def bipartite(linked: np.ndarray) -> list[tuple[int, int]]:
+    """The same between rows and columns; columns are numbered after the rows."""
+    rows, cols = linked.shape
+    back = np.ascontiguousarray(linked.T)
+    free = [np.ones(rows, bool), np.ones(cols, bool)]
+    edges = []
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if free[0][start]:
+            free[0][start] = False
+            queue = [(0, start)]
+            for side, x in queue:
+                new = np.flatnonzero((back if side else linked)[x] & free[1 - side])
+                free[1 - side][new] = False
+                edges += [(x + rows * side, y + rows * (1 - side)) for y in new.tolist()]
+                queue += [(1 - side, y) for y in new.tolist()]
+    return edges
+
+
+def _rows(batches):
+    """Rows one after another; one at a time becomes Python's, lists of numbers stay arrays."""
+    for b in batches:
+        lists = [str(c.type).startswith("list") for c in b.columns]
+        for k in range(b.num_rows):
+            yield tuple((None if not c[k].is_valid else c[k].values.to_numpy()) if own else c[k].as_py() for c, own in zip(b.columns, lists, strict=True))
 
 
 def _by_key(batches, n_key: int):
-    """(key, rows) of rows that come sorted by their first `n_key` columns; one row at a time becomes Python's."""
-    held, key = [], None
-    for b in batches:
-        for k in range(b.num_rows):
-            row = tuple(c[k].as_py() for c in b.columns)
-            if row[:n_key] != key and held:
-                yield key, held
-                held = []
-            key = row[:n_key]
-            held.append(row[n_key:])
-    if held:
-        yield key, held
+    """(key, rows) of rows that come sorted by their first `n_key` columns; rows stream through, none is held."""
+    for key, rows in groupby(_rows(batches), lambda r: r[:n_key]):
+        yield key, (r[n_key:] for r in rows)
 
 
 def blocks_of(named: DataFrame, tokens: int) -> DataFrame:
@@ -268,6 +280,7 @@ def block_fragments(sets: DataFrame, fragments: int) -> DataFrame:
         import pyarrow as pa
 
         for (block,), rows in _by_key(batches, 1):
+            rows = list(rows)
             k = [len(data) // 10 for _, data in rows]
             grams = np.concatenate([np.frombuffer(data, np.uint64, n) for n, (_, data) in zip(k, rows, strict=True)])
             counts = np.concatenate([np.frombuffer(data, np.uint16, n, 8 * n) for n, (_, data) in zip(k, rows, strict=True)])
@@ -293,72 +306,70 @@ def block_fragments(sets: DataFrame, fragments: int) -> DataFrame:
     return rows.mapInArrow(pack, "block long, fragment int, reps array<long>, sizes array<long>, grams binary")
 
 
-def partial_overlaps(cut: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, i, j, n): lists of partial overlaps of classes of a pair of blocks, fragment by fragment.
-
-    Each fragment of each pair of blocks is a group of the shuffle.
-    """
-    jobs = _sides(pairs).join(cut, "block").select("a", "b", "fragment", "side", "reps", "sizes", "grams")
-    jobs = jobs.repartition(width(cut.sparkSession), "a", "b", "fragment").sortWithinPartitions("a", "b", "fragment", "side")
-
-    def count(batches):
-        import pyarrow as pa
-
-        for (a, b, _), rows in _by_key(batches, 3):
-            own: list[list] = [[], []]
-            for side, reps, sizes, grams in rows:
-                own[side] = list(zip(reps, np.split(np.frombuffer(grams, np.uint64), np.cumsum(sizes)[:-1]), strict=True))
-            if not own[0] or (a != b and not own[1]):
-                continue
-            i, j, n = fragment_overlaps(own[0], own[1] if a != b else None)
-            if len(i):
-                lists = [pa.array([x], pa.list_(pa.int64())) for x in (i, j, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64()), *lists], names=["a", "b", "i", "j", "n"])
-
-    return jobs.mapInArrow(count, "a long, b long, i array<long>, j array<long>, n array<long>")
-
-
 def _sides(pairs: DataFrame) -> DataFrame:
     """(a, b, block, side): each pair of blocks with the one and, if they differ, the other."""
     first, second = (pairs.select("a", "b", F.col(x).alias("block"), F.lit(k).alias("side")) for k, x in enumerate("ab"))
     return first.unionByName(second.filter("a <> b"))
 
 
-def links_of(partial: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(u, v, links): spanning edges of the links of each pair of blocks, and rows (u, u, links) with how many rows u links with there."""
-    # only pairs of blocks with an overlap are looked at again; a block has at most a class for each ROW of its size
-    asked = _sides(pairs.join(partial.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+def links_of(cut: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(u, v, links): spanning edges of the links of each pair of blocks, and rows (u, u, links) with how many rows u links with there.
+
+    A pair of blocks is a group of the shuffle.  Its fragments come one after another; each
+    one's partial overlaps are counted by themselves and added to a matrix of the pair's
+    classes, which is bounded as blocks are (a class costs ROW at least).  No list of pairs is
+    made: what leaves the task is a forest and a number for each class, however many links there are.
+    """
+    sides = _sides(pairs)
+    none = F.lit(None)
     members = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("rep", "size", "copies"))).alias("m"))
-    members = asked.join(members, "block").select("a", "b", "side", F.col("m.rep").alias("i"), F.col("m.size").alias("j"), F.col("m.copies").alias("n"))
-    found = partial.select("a", "b", F.lit(2).alias("side"), "i", "j", "n")
-    rows = members.unionByName(found).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "side")
+    members = sides.join(members, "block").select("a", "b", F.lit(-1).alias("fragment"), "side", F.col("m.rep").alias("reps"), F.col("m.size").alias("sizes"), F.col("m.copies").alias("copies"), none.cast("binary").alias("grams"))
+    jobs = sides.join(cut, "block").select("a", "b", "fragment", "side", "reps", "sizes", none.cast("array<long>").alias("copies"), "grams")
+    rows = members.unionByName(jobs).repartition(width(placed.sparkSession), "a", "b").sortWithinPartitions("a", "b", "fragment", "side")
+
+    def counted(a, b, own):
+        """The members of both sides and the overlaps of their sets, fragment by fragment."""
+        known, waiting = {}, {}
+        total = None
+        for fragment, side, reps, sizes, copies, grams in own:
+            if fragment < 0:
+                known[side] = [np.asarray(x, np.int64) for x in (reps, sizes, copies)]
+                continue
+            if total is None:
+                total = np.zeros((len(known[0][0]), len(known[0 if a == b else 1][0])), np.int32)
+            held = np.searchsorted(known[side][0], reps), np.asarray(sizes, np.int64), np.frombuffer(grams, np.uint64)
+            if a == b:
+                add_overlaps(total, held, None)
+            elif side == 0:
+                waiting = {fragment: held}
+            elif fragment in waiting:
+                add_overlaps(total, waiting.pop(fragment), held)
+        return known, total
 
     def link(batches):
         import pyarrow as pa
 
         for (a, b), own in _by_key(batches, 2):
-            sides = {side: np.array(lists, np.int64).T for side, *lists in own if side < 2}  # rep, size, copies
-            parts = [lists for side, *lists in own if side == 2]
-            left, right = sides[0], sides[0 if a == b else 1]
-            i, j, n = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in range(3))
-            i, j = np.searchsorted(left[:, 0], i), np.searchsorted(right[:, 0], j)
-            pair, at = np.unique(i * len(right) + j, return_inverse=True)
-            total = np.zeros(len(pair), np.int64)
-            np.add.at(total, at, n)  # the sum over fragments
-            i, j = pair // len(right), pair % len(right)
-            linked = 100 * total >= percent * (left[i, 1] + right[j, 1] - total)
-            i, j = i[linked], j[linked]
-            ids = left[:, 0] if a == b else np.concatenate((left[:, 0], right[:, 0]))
-            rows_of = left[:, 2] if a == b else np.concatenate((left[:, 2], right[:, 2]))
-            j = j if a == b else j + len(left)
-            forest = Forest(len(ids))
-            edges = [(int(ids[x]), int(ids[y]), 0) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
-            degree = np.zeros(len(ids), np.int64)
-            np.add.at(degree, i, rows_of[j])
-            np.add.at(degree, j, rows_of[i])
-            edges += [(int(ids[x]), int(ids[x]), int(degree[x])) for x in np.flatnonzero(degree)]
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(3)], names=["u", "v", "links"])
+            known, total = counted(a, b, own)
+            if total is None or not total.any():
+                continue
+            (ids, sizes, copies), (other, sizes_b, copies_b) = known[0], known[0 if a == b else 1]
+            linked = np.empty(total.shape, bool)
+            for at in range(0, len(total), 256):
+                n = total[at : at + 256].astype(np.int64)
+                linked[at : at + 256] = 100 * n >= percent * (sizes[at : at + 256, None] + sizes_b[None, :] - n)
+            linked &= total > 0
+            if a == b:
+                np.fill_diagonal(linked, False)
+                edges, names, degree = spanning(linked), ids, linked @ copies
+            else:
+                edges, names = bipartite(linked), np.concatenate((ids, other))
+                degree = np.concatenate((linked @ copies_b, linked.T @ copies))
+            some = np.flatnonzero(degree)
+            u, v = np.array(edges, np.int64).reshape(-1, 2).T
+            columns = [np.concatenate((names[u], names[some])), np.concatenate((names[v], names[some])), np.concatenate((np.zeros(len(u), np.int64), degree[some]))]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["u", "v", "links"])
 
     return rows.mapInArrow(link, "u long, v long, links long")
 
@@ -383,8 +394,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, block: in
     placed, _ = written(spark, placed, "sets")
     pairs, _ = written(spark, block_pairs(shared, placed, percent), "pairs")
     cut, _ = written(spark, block_fragments(placed, fragments), "fragments")
-    partial, _ = written(spark, partial_overlaps(cut, pairs), "overlaps")
-    links, _ = written(spark, links_of(partial, placed, pairs, percent), "links")
+    links, _ = written(spark, links_of(cut, placed, pairs, percent), "links")
 
     joined = connected_components(links.filter("u <> v").select("u", "v"))
     degrees = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -16,7 +17,7 @@ from pageflow.llm.common import hash_words, rolling
 from pageflow.llm.context_trees import DEPTH, context_tree_scores
 from pageflow.llm.decontamination import common_subsequence, decontaminate
 from pageflow.llm.graph import connected_components
-from pageflow.llm.jaccard import jaccard_components
+from pageflow.llm.jaccard import bipartite, jaccard_components, spanning
 from pageflow.llm.license_rules import BASE_PHRASES, FAMILIES, Rule, rules
 from pageflow.llm.licenses import license_scan
 from pageflow.llm.substrings import FingerprintIndex, deduplicate_batch, deduplicate_substrings, read_segment, write_segment
@@ -400,6 +401,48 @@ def test_jaccard_of_chained_documents(spark):
         assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in got} == want
 
 
+def test_spanning_forests():
+    r = np.random.default_rng(1)
+    for density in (0, 0.02, 0.1, 0.9):
+        square = r.random((40, 40)) < density
+        square |= square.T
+        across = r.random((30, 20)) < density
+        for linked, edges in ((square, spanning(square)), (np.block([[np.zeros((30, 30), bool), across], [across.T, np.zeros((20, 20), bool)]]), bipartite(across))):
+            n, up = len(linked), list(range(len(linked)))
+
+            def root(i, up=up):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            for x, y in edges:
+                assert linked[x, y] and root(x) != root(y)  # a link, and no circle
+                up[root(x)] = root(y)
+            assert all(root(x) == root(y) for x in range(n) for y in range(n) if linked[x, y])
+
+
+def test_near_copies_leave_no_lists_of_pairs(spark, tmp_path, monkeypatch):
+    """6,000 texts of 61 words that differ in the last one: 18 million links, told by a few rows a class."""
+    from pageflow.llm import jaccard
+
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(f"s{i}" for i in range(60)) + " e"), F.col("id").cast("string")).alias("text"))
+    sizes = {}
+    real = jaccard.written
+
+    def noted(session, df, label):
+        out, path = real(session, df, label)
+        files = list(Path(path.removeprefix("file://").removeprefix("file:")).glob("*.parquet"))
+        sizes[label] = (out.count(), sum(f.stat().st_size for f in files))
+        return out, path
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    got = jaccard_components(docs, n=5, percent=80).agg(F.count("*").alias("n"), F.countDistinct("component_id").alias("c"), F.min("n_links").alias("a"), F.max("n_links").alias("b")).first()
+    assert (got.n, got.c, got.a, got.b) == (n, 1, n - 1, n - 1)
+    blocks = -(-n // (300_000 // (57 + 150)))
+    assert sizes["links"][0] <= 4 * n * (blocks + 1) and sizes["links"][1] < 200 * n and "overlaps" not in sizes
+
+
 def test_clashing_columns_and_rows_of_one_document(spark):
     names = "doc_id, text, 'r' AS row, 1 AS node, 'x' AS s1, 2 AS block, 3 AS rep, 'c' AS _c0, 'h' AS h, 5 AS n_words, 6 AS n_removed, 7 AS kept_sha256"
     rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "p q r s t u v"), (None, "a b c d e f g"), (3, None), (3, "")]
