@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import store as D
+from ..operators.prefix import running, stretches
+from ..scratch import scratch
 from ..sources import books as K
+from ..sources import ranges as R
+from ..sources.files import Appended
+from ..streaming.uploads import library_of, stream_uploads
 from . import fixtures as X
 
 
@@ -40,7 +45,8 @@ def part_reassemble(spark, sf_dir):
     """Parts of 1000 bytes, put together again; every tenth book announces a wrong size."""
     c = _content(spark, sf_dir)
     sizes = c.select("id", (F.octet_length("content") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("size"))
-    return K.assemble(K.cut_parts(c, 1000), sizes).select("id", F.sha2("content", 256).alias("digest"), "accepted", "reason")
+    parts = K.cut_parts(c, 1000)
+    return K.check_assembly(parts, sizes).join(K.digests(parts).drop("bytes"), "id").select("id", "digest", "accepted", "reason")
 
 
 part_reassemble.sql = "SELECT doc_id AS id, sha256(text) AS digest, doc_id % 10 <> 0 AS accepted, CASE WHEN doc_id % 10 = 0 THEN 'size' END AS reason FROM documents WHERE strlen(text) > 0"
@@ -127,4 +133,117 @@ def fingerprint_valid(spark, sf_dir):
 
 fingerprint_valid.sql = f"WITH {X.BOOKS_SQL} SELECT id, uploaded_at % 3 <> 0 OR regexp_full_match(upper(fingerprint), '[0-9]*') AS valid FROM b"
 
-QUERIES = [retry_plan, fingerprint_valid, fingerprint_sha256, fingerprint_fnv1a, part_plan, part_checks, part_reassemble, byte_range_parse, byte_range_read, chunk_plan, upload_new, upload_known]
+
+
+def _positions(spark, sf_dir):
+    """Documents as stretches of one book a source, in the order of their ids: doc_id, id, first, last."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.coalesce("source", F.lit("none"))).alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    placed = running(d, ["id"], stretches(F.col("doc_id"), 1 << 16), ["doc_id"], F.col("n"), "last", F.sum)
+    return placed.select("doc_id", "id", (F.col("last") - F.col("n")).alias("first"), "last")
+
+
+def _waiting(spark, sf_dir):
+    """Requests for the first bytes of each document and some before it; long documents leave gaps."""
+    p = _positions(spark, sf_dir)
+    return p.select("id", F.col("doc_id").alias("request"), F.greatest(F.lit(0), F.col("first") - 100).alias("start"), F.least(F.col("last"), F.col("first") + 600).alias("end"), F.col("last").alias("size"))
+
+
+WAITING = """p AS (SELECT doc_id, 's' || coalesce(source, 'none') AS id, coalesce(strlen(text), 0) AS n FROM documents),
+w AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY doc_id) AS last FROM p),
+r AS (SELECT id, doc_id AS request, greatest(0, last - n - 100) AS s, least(last, last - n + 600) AS e FROM w WHERE least(last, last - n + 600) > greatest(0, last - n - 100)),
+i AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e, request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+j AS (SELECT *, max(CASE WHEN reach IS NULL OR s > reach THEN s END) OVER (PARTITION BY id ORDER BY s, e, request ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM i)"""
+
+
+def shared_fetches(spark, sf_dir):
+    """The chunks that waiting requests need, each once."""
+    shared = R.shared_chunks(R.checked_ranges(_waiting(spark, sf_dir)).filter("valid"), K.LEAST_CHUNK)
+    return shared.fetches.select("id", "start", F.col("end").alias("stop"))
+
+
+shared_fetches.sql = f"WITH {WAITING}, k AS (SELECT id, f, max(e) AS t FROM j GROUP BY ALL), x AS (SELECT id, f, t, unnest(range(0, CAST((t - f + 65535) // 65536 AS BIGINT))) AS i FROM k) SELECT id, CAST(f + i * 65536 AS BIGINT) AS start, CAST(least(t, f + (i + 1) * 65536) AS BIGINT) AS stop FROM x"
+
+
+def shared_pieces(spark, sf_dir):
+    """Which bytes of which chunk each waiting request gets."""
+    shared = R.shared_chunks(R.checked_ranges(_waiting(spark, sf_dir)).filter("valid"), K.LEAST_CHUNK)
+    return shared.pieces.select("id", "request", "chunk", "start", F.col("end").alias("stop"))
+
+
+shared_pieces.sql = f"WITH {WAITING}, x AS (SELECT *, unnest(range(CAST((s - f) // 65536 AS BIGINT), CAST((e - 1 - f) // 65536 + 1 AS BIGINT))) AS i FROM j) SELECT id, request, CAST(f + i * 65536 AS BIGINT) AS chunk, CAST(greatest(s, f + i * 65536) AS BIGINT) AS start, CAST(least(e, f + (i + 1) * 65536) AS BIGINT) AS stop FROM x"
+
+
+def _stored(spark, sf_dir):
+    """Documents in files, one a task with its documents in a row: doc_id, file, first, length; and the files' folder."""
+    root = scratch(spark, "stored")
+    d = X.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        name, held, at = f"{root}/books/{TaskContext.get().partitionId():06d}.pdf", [], 0
+        file = Appended(name)
+        for b in batches:
+            for i, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = content.as_py()
+                file.append(own)
+                held.append((i, name, at, len(own)))
+                at += len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "file", "first", "length"])
+            held = []
+        file.commit()
+
+    d.mapInArrow(write, "doc_id long, file string, first long, length long").write.parquet(f"{root}/index")
+    return spark.read.parquet(f"{root}/index"), f"{root}/books"
+
+
+def stored_range_read(spark, sf_dir):
+    """The same ranges as byte_range_read, of documents that lie in files; tasks read these bytes alone."""
+    index, _ = _stored(spark, sf_dir)
+    r = K.byte_range(F.lit("bytes=3-20"), F.col("length"))
+    wanted = index.filter(r.isNotNull()).select("doc_id", "file", (F.col("first") + r["offset"]).alias("start"), (F.col("first") + r["offset"] + r["length"]).alias("end"))
+    read = R.read_ranges(wanted)
+    return read.select(F.col("doc_id").alias("id"), F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("length"))
+
+
+stored_range_read.sql = byte_range_read.sql
+
+
+def stored_chunk_read(spark, sf_dir):
+    """Documents from the chunks that they share: files as rows of 64 KiB, each read once, and put together piece by piece."""
+    index, root = _stored(spark, sf_dir)
+    chunks = R.read_chunks(spark, root, K.LEAST_CHUNK).select(F.substring_index("path", "/", -1).alias("name"), "i", "content")
+    first, last = F.floor(F.col("first") / K.LEAST_CHUNK), F.floor((F.col("first") + F.col("length") - 1) / K.LEAST_CHUNK)
+    asked = index.filter("length > 0").select("doc_id", F.substring_index("file", "/", -1).alias("name"), "first", "length", F.explode(F.sequence(first, last)).alias("i"))
+    begin = F.greatest(F.lit(0), F.col("first") - F.col("i") * K.LEAST_CHUNK)
+    end = F.least(F.lit(K.LEAST_CHUNK), F.col("first") + F.col("length") - F.col("i") * K.LEAST_CHUNK)
+    pieces = asked.join(chunks, ["name", "i"]).select("doc_id", "i", F.substring("content", (begin + 1).cast("int"), (end - begin).cast("int")).alias("content"))
+    return K.digests(pieces, "doc_id", "i").select(F.col("doc_id").alias("id"), "bytes", "digest")
+
+
+stored_chunk_read.sql = "SELECT doc_id AS id, strlen(text) AS bytes, sha256(text) AS digest FROM documents WHERE strlen(text) > 0"
+
+
+def upload_library(spark, sf_dir):
+    """Books of a hundred documents, a part each, uploaded as a stream; in every fifth book the first part comes with a wrong key."""
+    book = F.floor(F.col("doc_id") / 100)
+    d = X.table(spark, sf_dir, "documents")
+    sizes = d.groupBy(book.alias("book")).agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    parts = spark.readStream.schema(d.schema).parquet(f"{sf_dir}/documents.parquet*").withColumn("book", book).join(sizes, "book")
+    mark = F.sha2(F.col("book").cast("string"), 256)
+    number = (F.col("doc_id") % 100 + 1).cast("int")
+    key = F.when((F.col("book") % 5 == 0) & (number == 1), "books/none").otherwise(F.concat(F.lit("books/"), mark, F.lit(".pdf")))
+    rows = parts.select(
+        F.concat(F.lpad(F.col("book").cast("string"), 8, "0"), F.lit("-0000-0000-0000-000000000000")).alias("upload_id"), key.alias("object_key"), mark.alias("fingerprint"), F.concat(F.lit("Book "), F.col("book"), F.lit(".pdf")).alias("name"),
+        "size", F.lit(1).alias("page_count"), F.lit("application/pdf").alias("content_type"), "parts", number.alias("part_number"), F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("arrival"),
+    )
+    root = scratch(spark, "uploads")
+    stream_uploads(rows, root, f"{root}/log").awaitTermination()
+    return library_of(spark, root).select("fingerprint", "name", "size", "uploaded_at", F.col("sha256").alias("digest"))
+
+
+upload_library.sql = """SELECT sha256(CAST(b AS VARCHAR)) AS fingerprint, 'Book ' || b || '.pdf' AS name, CAST(sum(strlen(text)) AS BIGINT) AS size, max(doc_id) AS uploaded_at, sha256(string_agg(text, '' ORDER BY doc_id)) AS digest
+FROM (SELECT *, doc_id // 100 AS b FROM documents) GROUP BY b HAVING b % 5 <> 0 AND min(coalesce(strlen(text), 0)) > 0"""
+
+QUERIES = [shared_fetches, shared_pieces, stored_range_read, stored_chunk_read, upload_library, retry_plan, fingerprint_valid, fingerprint_sha256, fingerprint_fnv1a, part_plan, part_checks, part_reassemble, byte_range_parse, byte_range_read, chunk_plan, upload_new, upload_known]

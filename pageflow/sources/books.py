@@ -104,17 +104,47 @@ def checked_parts(parts: DataFrame, order: str = "arrival") -> DataFrame:
     return rows.withColumn("rejected", F.coalesce("rejected", again)).withColumn("etag", F.when(F.col("rejected").isNull(), F.sha2("content", 256))).drop("_first")
 
 
-def assemble(parts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(id, content, accepted, reason): parts must be numbered 1..n with an etag and add up to the size."""
-    one = F.struct("part_number", "content", "etag")
-    rows = parts.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("p")).join(sizes, "id", "left")
-    numbered = F.transform("p", lambda x: x["part_number"].cast("long")) == F.sequence(F.lit(1).cast("long"), F.size("p").cast("long"))
-    tagged = F.forall("p", lambda x: F.coalesce(F.length(x["etag"]) > 0, F.lit(False)))
-    # hex digits join in one pass; adding part to part would copy what is there each time
-    content = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["content"])), ""))
-    rows = rows.select("id", content.alias("content"), numbered.alias("numbered"), tagged.alias("tagged"), "size")
-    reason = F.when(~F.col("numbered"), "numbers").when(~F.col("tagged"), "etag").when(F.col("size").isNull() | (F.octet_length("content") != F.col("size")), "size")
-    return rows.select("id", "content", reason.isNull().alias("accepted"), reason.alias("reason"))
+def check_assembly(parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, bytes, accepted, reason): parts must be numbered 1..n with an etag and add up to the size.
+
+    Sums over the parts' numbers and lengths; no bytes are brought together.
+    """
+    n, low, high, kinds = F.count(F.lit(1)), F.min("part_number"), F.max("part_number"), F.count_distinct("part_number")
+    tagged = F.min(F.coalesce(F.length("etag") > 0, F.lit(False)))
+    rows = parts.groupBy("id").agg(((low == 1) & (high == n) & (kinds == n)).alias("_numbered"), tagged.alias("_tagged"), F.sum(F.octet_length("content").cast("long")).alias("bytes")).join(sizes, "id", "left")
+    reason = F.when(~F.coalesce("_numbered", F.lit(False)), "numbers").when(~F.col("_tagged"), "etag").when(F.col("size").isNull() | (F.col("bytes") != F.col("size")), "size")
+    return rows.select("id", "bytes", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def digests(parts: DataFrame, key: str = "id", order: str = "part_number") -> DataFrame:
+    """(key, bytes, digest): the SHA-256 of each file's parts in order; a task holds one part at a time."""
+    kind = parts.schema[key].dataType.simpleString()
+    rows = parts.select(key, "content", F.col(order).alias("_order")).repartition(key).sortWithinPartitions(key, "_order")
+
+    def fold(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, size, digest = (), 0, None
+        for b in batches:
+            out = []
+            for name, content in zip(b.column(0), b.column(1), strict=True):
+                if (name.as_py(),) != now:
+                    if now:
+                        out.append((*now, size, digest.hexdigest()))
+                    now, size, digest = (name.as_py(),), 0, hashlib.sha256()
+                own = content.as_py() or b""
+                size += len(own)
+                digest.update(own)
+            yield table(pa, out, b.schema.field(0).type)
+        if now:
+            yield table(pa, [(*now, size, digest.hexdigest())], b.schema.field(0).type)
+
+    def table(pa, out, of):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((of, pa.int64(), pa.string()))], names=[key, "bytes", "digest"])
+
+    return rows.mapInArrow(fold, f"{key} {kind}, bytes long, digest string")
 
 
 def byte_range(header: Column, size: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import json
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,10 +142,11 @@ def test_ranges_parts_and_fingerprints(spark):
     files = spark.createDataFrame([(1, bytearray(b"abcdefghij")), (2, bytearray(b"x"))], "id long, content binary")
     parts = K.cut_parts(files, 4)
     sizes = spark.createDataFrame([(1, 10), (2, 2)], "id long, size long")
-    got = {r.id: (bytes(r.content), r.reason) for r in K.assemble(parts, sizes).collect()}
-    assert got == {1: (b"abcdefghij", None), 2: (b"x", "size")}
-    missing = K.assemble(parts.filter("part_number <> 2"), sizes)
-    assert {r.id: r.reason for r in missing.collect()}[1] == "numbers"
+    got = {r.id: (r.bytes, r.accepted, r.reason) for r in K.check_assembly(parts, sizes).collect()}
+    assert got == {1: (10, True, None), 2: (1, False, "size")}
+    assert {r.id: (r.bytes, r.digest) for r in K.digests(parts.repartition(3)).collect()} == {1: (10, sha256(b"abcdefghij").hexdigest()), 2: (1, sha256(b"x").hexdigest())}
+    reason = lambda p: {r.id: r.reason for r in K.check_assembly(p, sizes).collect()}[1]
+    assert reason(parts.filter("part_number <> 2")) == reason(parts.union(parts)) == "numbers" and reason(parts.withColumn("etag", F.lit(""))) == "etag"
 
 
 def test_stored_files(spark, tmp_path):
