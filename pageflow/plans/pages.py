@@ -31,6 +31,26 @@ def boundary_overlap(spark, sf_dir):
 boundary_overlap.sql = f"WITH {PAIRS} SELECT document_id, page, substr(z, 1, k) AS removed FROM n WHERE k IS NOT NULL"
 
 
+#: Letters as signs of a script without word spaces.
+SIGNS = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+
+
+def boundary_signs(spark, sf_dir):
+    """Repetitions of pages in which letters are signs: two of them mean something, and words have no edges."""
+    p = X.overlapping_pages(spark, sf_dir).withColumn("text", F.translate("text", T.LOWER, SIGNS))
+    df = p.withColumn("removed", Y.overlap(Y.exact_previous(p, "text"), F.col("text")))
+    return df.filter("removed <> ''").select("document_id", "page", "removed")
+
+
+boundary_signs.sql = rf"""WITH {X.OVERLAPPING_SQL}, t AS (SELECT document_id, page, translate(text, '{T.LOWER}', '{SIGNS}') AS text FROM p),
+q AS (SELECT c.document_id, c.page, regexp_replace(b.text, '{T.WHITE}+$', '') AS a, regexp_replace(c.text, '^{T.WHITE}+', '') AS z FROM t c LEFT JOIN t b ON b.document_id = c.document_id AND b.page = c.page - 1),
+e AS (SELECT *, list_filter(range(least(120, length(a), length(z)), 0, -1), lambda n: ends_with(a, substr(z, 1, n))) AS ends FROM q WHERE a IS NOT NULL AND NOT regexp_matches(a, '[.!?。！？][”’"''\)\]}}】》」』]*$')),
+n AS (SELECT *, list_filter(ends, lambda n: CASE WHEN regexp_matches(substr(z, 1, n), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}]') THEN length(regexp_replace(substr(z, 1, n), '[^\p{{L}}\p{{N}}]', '', 'g')) >= 2
+ ELSE length(regexp_replace(substr(z, 1, n), '[^\p{{L}}\p{{N}}]', '', 'g')) >= 8 AND NOT (regexp_matches(CASE WHEN length(a) > n THEN substr(a, length(a) - n, 1) ELSE '' END, '[\p{{L}}\p{{N}}]') AND regexp_matches(substr(z, 1, 1), '[\p{{L}}\p{{N}}]'))
+ AND NOT (regexp_matches(substr(z, n, 1), '[\p{{L}}\p{{N}}]') AND regexp_matches(substr(z, n + 1, 1), '[\p{{L}}\p{{N}}]')) END)[1] AS k FROM e)
+SELECT document_id, page, substr(z, 1, k) AS removed FROM n WHERE k IS NOT NULL"""
+
+
 def boundary_chain(spark, sf_dir):
     p = X.overlapping_pages(spark, sf_dir)
     r = Y.reconcile(p.select("document_id", "page", F.array(X.plain_block("paragraph", F.col("text"))).alias("blocks")))
@@ -297,4 +317,4 @@ def request_validation(spark, sf_dir):
 
 request_validation.sql = "SELECT o_orderkey, o_orderkey % 5 <> 0 AND o_custkey % 5 BETWEEN 1 AND 3 AS valid, 'Translate page ' || o_orderkey || ' of 9 into English as layout blocks in JSON.' || CASE WHEN o_orderkey % 2 = 0 THEN ' The page before ends: the end' ELSE '' END AS prompt FROM orders"
 
-QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, read_through_revised, read_through_store, read_through_navigation, request_bodies, provider_answers, scalar_functions]
+QUERIES = [response_normalize, stale_results, request_validation, boundary_overlap, boundary_signs, boundary_chain, boundary_fold, boundary_tail, exact_previous_page, page_islands, context_window, prefetch_plan, viewport_predicates, page_status, char_prefix_sum, typewriter_reveal, accept_language, read_through, read_through_revised, read_through_store, read_through_navigation, request_bodies, provider_answers, scalar_functions]
