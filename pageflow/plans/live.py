@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..scratch import scratch
+from ..settings import restored
 from ..streaming import live as L
 from . import fixtures as X
 from .search import latest_tasks
@@ -106,4 +107,23 @@ def overtaken_results_stream(spark, sf_dir):
 
 overtaken_results_stream.sql = f"WITH {OVERTAKEN.format(span='INTERVAL 6 HOUR')}, w AS (SELECT date_trunc('millisecond', least(max(ts) FILTER (load), max(ts) FILTER (NOT load))) - INTERVAL 10 MINUTE AS passed FROM e) SELECT document_id, event_id FROM x, w WHERE NOT load AND NOT coalesce(newest > sequence, false) AND ts <= w.passed"
 
-QUERIES = [version_log, version_log_one_clock, search_debounce, search_debounce_stream, latest_tasks_stream, overtaken_results, overtaken_results_stream]
+
+
+def settings_restored(spark, sf_dir):
+    """Stored settings over the defaults: some of an older version, with fields of another kind, too slow, or no object."""
+    e, i = X.table(spark, sf_dir, "events"), F.col("event_id")
+    part = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    json = (
+        F.when(i % 6 == 0, part('{"model":"m', i, '","concurrency":', i % 7, ',"characters_per_second":', i % 200, ',"schema_version":2}'))
+        .when(i % 6 == 1, part('{"model":', i, ',"concurrency":"', i, '","characters_per_second":150,"schema_version":1}'))
+        .when(i % 6 == 2, part('{"language":"it\'s","nearby_pages":2.5,"characters_per_second":true,"schema_version":2}'))
+        .when(i % 6 == 3, part('["', i, '"]')).when(i % 6 == 4, part('{"model":"', i))
+    )
+    r = e.select("event_id", restored(json).alias("r"))
+    return r.select("event_id", "r.provider", "r.model", "r.language", "r.nearby_pages", "r.concurrency", "r.characters_per_second", "r.schema_version")
+
+
+settings_restored.sql = """SELECT event_id, 'default' AS provider, CASE WHEN event_id % 6 = 0 THEN 'm' || event_id ELSE '' END AS model, CASE WHEN event_id % 6 = 2 THEN 'it''s' ELSE 'English' END AS language, CAST(2 AS BIGINT) AS nearby_pages,
+CASE WHEN event_id % 6 = 0 THEN event_id % 7 ELSE 4 END AS concurrency, CASE WHEN event_id % 6 = 0 AND event_id % 200 >= 10 THEN event_id % 200 ELSE 80 END AS characters_per_second, CAST(2 AS BIGINT) AS schema_version FROM events"""
+
+QUERIES = [settings_restored, version_log, version_log_one_clock, search_debounce, search_debounce_stream, latest_tasks_stream, overtaken_results, overtaken_results_stream]

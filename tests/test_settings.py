@@ -1,6 +1,8 @@
 import json
 
-from pageflow.settings import USUAL_SPEED, Settings, next_version
+from pyspark.sql import functions as F
+
+from pageflow.settings import USUAL_SPEED, Settings, next_version, restored
 
 
 def test_restore():
@@ -13,3 +15,11 @@ def test_restore():
 
 def test_versions_rise():
     assert next_version(5_000_000, 1) == 5_000_001 and next_version(0, 7) == 7000
+
+
+def test_a_column_of_settings(spark):
+    """The same as one by one."""
+    own = [None, "", "{", "[1]", "7", "null", "{}", json.dumps({"model": "m", "nearby_pages": "x", "characters_per_second": 200, "schema_version": 2}), json.dumps({"characters_per_second": 9, "schema_version": 2}), json.dumps({"characters_per_second": True, "concurrency": 2.5, "provider": None, "schema_version": 2}), json.dumps({"characters_per_second": 300}), Settings(model="q", language="it's").store()]
+    df = spark.createDataFrame(list(enumerate(own)), "i int, s string").selectExpr("*").withColumn("r", restored(F.col("s")))
+    for r in df.collect():
+        assert r.r.asDict() == Settings.restore(own[r.i]).__dict__, own[r.i]
