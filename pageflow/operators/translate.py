@@ -109,7 +109,8 @@ def with_tails(pages: DataFrame, translations: DataFrame) -> DataFrame:
 def translate_missing(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None) -> DataFrame:
     """(document_id, page, payload) from the provider for pages without a translation; at most `calls` tasks call it.
 
-    The limit is on tasks of the whole cluster, as a provider's limit is on its account.
+    The limit is on tasks of the whole cluster, as a provider's limit is on its account.  Each
+    of them is a queue: its pages are called in the order of documents and pages, one at a time.
     """
     missing = pages.join(translations.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
 
@@ -118,7 +119,7 @@ def translate_missing(pages: DataFrame, translations: DataFrame, provider: Provi
             out = [json.dumps(provider.translate(t or "", int(p), int(n), x or ""), ensure_ascii=False) for t, p, n, x in zip(b["text"], b["page"], b["total"], b["tail"], strict=True)]
             yield pd.DataFrame({"document_id": b["document_id"], "page": b["page"], "payload": out})
 
-    own = missing.select("document_id", F.col("page").cast("int").alias("page"), "text", "total", "tail").repartition(parallel_calls(calls))
+    own = missing.select("document_id", F.col("page").cast("int").alias("page"), "text", "total", "tail").repartition(parallel_calls(calls)).sortWithinPartitions("document_id", "page")
     return own.mapInPandas(call, "document_id string, page int, payload string")
 
 

@@ -149,6 +149,28 @@ def test_each_missing_page_is_asked_for_once(spark, tmp_path):
     assert {r.page: r.cache_version for r in state} == {1: 5001, 2: 5002, 4: 5005, **{p: 5000 + p for p in range(5, 10)}}
 
 
+class Queued:
+    """Notes each call in a file of its process."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def translate(self, text, page, total, tail):
+        from pyspark import TaskContext
+
+        with open(f"{self.path}/{TaskContext.get().partitionId()}", "a") as f:
+            f.write(f"{page}\n")
+        return {"page": page, "blocks": []}
+
+
+def test_calls_are_bounded_queues(spark, tmp_path):
+    pages = spark.range(1, 200).select(F.lit("d").alias("document_id"), F.col("id").cast("int").alias("page"), F.lit("t").alias("text"), F.lit(200).alias("total"), F.lit("").alias("tail")).repartition(9)
+    none = spark.createDataFrame([], "document_id string, page int, payload string")
+    assert P.translate_missing(pages, none, Queued(str(tmp_path)), 3).count() == 199
+    queues = [[int(x) for x in f.read_text().split()] for f in tmp_path.iterdir()]
+    assert len(queues) == 3 and all(q == sorted(q) for q in queues) and sorted(sum(queues, [])) == list(range(1, 200))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab c.字", max_size=30), st.text("ab c.字", max_size=30))
 def test_repetition_is_an_end_and_a_start(a, b):
