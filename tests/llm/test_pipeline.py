@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-import corpus_pipeline as P
+import corpus_pipeline
+from pageflow.llm import pipeline as P
 from pageflow.llm.common import written
 from pageflow.llm.queries import tokenizer_path
 
@@ -85,3 +86,7 @@ def test_near_duplicates_keep_rows_that_share_only_a_doc_id(spark):
     got = P.near_duplicates(spark, docs, DIR)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, one), (1, two), (4, "alone"), (4, ""), (5, ""), (5, ""), (0, one), (6, "quite another text of its own")])
+
+
+def test_the_root_names_the_stages():
+    assert (corpus_pipeline.STAGES, corpus_pipeline.run, corpus_pipeline.ORACLE_SQL) == (P.STAGES, P.run, P.ORACLE_SQL)
