@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import running, stretches
+from .prefix import following, running, stretches
 
 # Quiet times before a search and before pages are worked on, in milliseconds.
 SEARCH_QUIET_MS, VIEWPORT_QUIET_MS = 250, 180
 #: Consecutive numbers of an order that a task sees together.
 SPAN = 1 << 16
+#: Of times, an hour, in microseconds.
+HOUR = 3_600_000_000
 
 
 def next_versions(log: DataFrame, by: list[str], order: str = "seq", now_ms: str = "now_ms", last: int = 0, span: int = SPAN) -> DataFrame:
@@ -33,18 +34,20 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def settled(events: DataFrame, by: list[str], time: str, order: str, quiet_ms: int = SEARCH_QUIET_MS) -> DataFrame:
+def settled(events: DataFrame, by: list[str], time: str, order: str, quiet_ms: int = SEARCH_QUIET_MS, span_us: int = HOUR) -> DataFrame:
     """The events after which a group is quiet for `quiet_ms`, each with `quiet_at`, when that time is over.
 
-    An event just when that time is over still belongs to the burst.  A burst's last event counts (of several at one time the one with the largest `order`), the
-    others do not.
+    An event just when that time is over still belongs to the burst.  A burst's last event counts
+    (of several at one time the one with the largest `order`), the others do not.  Groups are cut
+    by the hour, so one may hold any share of the events; a null time takes no part.
     """
-    following = F.lead(micros(F.col(time))).over(W.partitionBy(*by).orderBy(time, order))
-    quiet = F.coalesce(following - micros(F.col(time)) > quiet_ms * 1000, F.lit(True))
-    return events.withColumn("_quiet", quiet).filter("_quiet").drop("_quiet").withColumn("quiet_at", F.col(time) + F.expr(f"INTERVAL {quiet_ms} MILLISECONDS"))
+    own = micros(F.col(time))
+    met = following(events.filter(F.col(time).isNotNull()), by, stretches(own, span_us), [time, order], own, "_following")
+    quiet = F.coalesce(F.col("_following") - own > quiet_ms * 1000, F.lit(True))
+    return met.filter(quiet).drop("_following").withColumn("quiet_at", F.col(time) + F.expr(f"INTERVAL {quiet_ms} MILLISECONDS"))
 
 
-def current_results(results: DataFrame, loads: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:
+def current_results(results: DataFrame, loads: DataFrame, span_us: int = HOUR) -> DataFrame:
     """Results (document_id, sequence, time) that no newer load (document_id, sequence, time) had overtaken when they came.
 
     A load at the same time comes first.  Documents are cut by the hour, so one may hold any

@@ -29,6 +29,21 @@ def running(df: DataFrame, by: list[str], block: Column, order: list[str], value
     return met.select(*df.columns, both.alias(name))
 
 
+def following(df: DataFrame, by: list[str], block: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add `name`: the next row's `value` in a group, or null; `value` must rise with the order, as blocks must.
+
+    Within a block it is the next row's, and a block's last row gets the least of the next block.
+    """
+    rows = df.withColumn("_block", block).withColumn("_value", value)
+    firsts = rows.groupBy(*by, "_block").agg(F.min("_value").alias("_least"))
+    upon = F.lead("_least").over(W.partitionBy(*by).orderBy("_block"))
+    carry = firsts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate([*by, "_block"])), upon.alias("_carry"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate([*by, "_block"])]
+    inside = F.lead("_value").over(W.partitionBy(*by, "_block").orderBy(*order))
+    met = rows.withColumn("_inside", inside).join(carry, same, "left")
+    return met.select(*df.columns, F.coalesce("_inside", "_carry").alias(name))
+
+
 def stretches(order: Column, span: int) -> Column:
     """Blocks of `span` consecutive numbers."""
     return F.floor(order / span)

@@ -65,6 +65,8 @@ def test_debounce(spark, tmp_path):
             if b is None or b[1] - a[1] > timedelta(milliseconds=250):
                 want[a[2]] = a[1] + timedelta(milliseconds=250)
     assert batch == want and 20 < len(want) < len(rows)
+    for span in (50_000, 1_000_000):
+        assert {x.i: x.quiet_at for x in E.settled(spark.createDataFrame(rows, schema).repartition(3), ["k"], "ts", "i", span_us=span).collect()} == want
     # micro-batches that cut bursts, the last one only to move the watermark on
     parts = [rows[:71], rows[71:72], rows[72:200], rows[200:], [("z", rows[-1][1] + timedelta(hours=1), -1)]]
     got = fed(spark, tmp_path, parts, schema, lambda s: L.settled_stream(s, ["k"], "ts", "i", "1 second"))
