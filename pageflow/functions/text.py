@@ -14,6 +14,7 @@ WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 SOLID = WHITE.replace("[", "[^", 1)
 TOC_HEADING = r"(?iu)(?<![0-9A-Za-z_])contents?(?![0-9A-Za-z_])|table\s+of\s+contents|(?<![0-9A-Za-z_])illustrations?(?![0-9A-Za-z_])|目录|目次|索引|插图|sommaire|índice|indice|inhalt"
 TERMINAL = r"[.!?。！？][”’\x22\x27)\]}】》」』]*\z"
+CLOSING = r"[.!?。！？”’\x22\x27)\]}】》」』]"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 LETTER = r"[\p{L}\p{N}]"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}

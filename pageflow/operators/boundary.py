@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind as _bind
-from ..functions.text import CJK, LETTER, SOLID, TERMINAL, WHITE, trim, trim_end, trim_start
+from ..functions.text import CJK, CLOSING, LETTER, SOLID, TERMINAL, WHITE, trim_end, trim_start
 from ..scratch import scratch
 from .blocks import is_blank, markdown
 
@@ -16,6 +16,20 @@ from .blocks import is_blank, markdown
 LONGEST = 120
 
 
+def _start(x: Column) -> Column:
+    """`trim_start`, with a look at the first letter before a pattern goes over all of them."""
+    return _bind(x, lambda y: F.when(F.substring(y, 1, 1).rlike(WHITE), trim_start(y)).otherwise(y))
+
+
+def _end(x: Column) -> Column:
+    return _bind(x, lambda y: F.when(F.right(y, F.lit(1)).rlike(WHITE), trim_end(y)).otherwise(y))
+
+
+def _finished(x: Column) -> Column:
+    """Whether a text ends in a mark that ends a sentence, closing marks after it allowed."""
+    return F.right(x, F.lit(1)).rlike(CLOSING) & x.rlike(TERMINAL)
+
+
 def _meaningful(before: Column, after: Column, n: Column) -> Column:
     own = F.substring(after, F.lit(1), n)
     letters = F.length(F.regexp_replace(own, r"[^\p{L}\p{N}]", ""))
@@ -48,9 +62,9 @@ def overlap(previous: Column, current: Column) -> Column:
     def longest(p):
         before, after = p["before"], p["after"]
         found = F.filter(_ends(before, after), lambda end: _meaningful(before, after, F.length(end)))
-        return F.when(before.rlike(TERMINAL), "").otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")))
+        return F.when(_finished(before), "").otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")))
 
-    met = _bind(F.struct(trim_end(previous).alias("before"), trim_start(current).alias("after")), longest)
+    met = _bind(F.struct(_end(previous).alias("before"), _start(current).alias("after")), longest)
     return F.when(previous.isNull() | current.isNull(), "").otherwise(met)
 
 
@@ -111,12 +125,16 @@ def _seen(blocks: Column) -> Column:
 
     def of(own):
         first, last = F.try_element_at(own, F.lit(1)), F.try_element_at(own, F.lit(-1))
-        rest = trim(F.substring(trim_start(last["text"]), F.lit(LONGEST + 1), F.length(last["text"])))
-        settled = F.when(F.size(own) == 1, _bind(rest, lambda r: (F.length(r) > LONGEST) | r.rlike(TERMINAL))).otherwise(F.lit(True))
-        tail = _bind(trim_end(last["text"]), lambda end: F.when(end.rlike(TERMINAL), "").otherwise(F.right(end, F.lit(LONGEST + 1))))
-        start = trim_start(first["text"])
-        shown = lambda done: F.struct(first["kind"].alias("first_kind"), F.when(done, F.left(start, F.lit(LONGEST + 1))).otherwise(start).alias("first_text"), last["kind"].alias("last_kind"), tail.alias("tail"), done.alias("settled"))
-        return _bind(settled, shown)
+        ends = F.struct(_start(first["text"]).alias("start"), _end(last["text"]).alias("end"))
+        return _bind(ends, lambda e: shown(own, first["kind"], last["kind"], e["start"], e["end"]))
+
+    def shown(own, first_kind, last_kind, start, end):
+        rest = _start(F.substring(_start(end), F.lit(LONGEST + 1), F.length(end)))
+        settled = F.when(F.size(own) == 1, _bind(rest, lambda r: (F.length(r) > LONGEST) | _finished(r))).otherwise(F.lit(True))
+        tail = F.when(_finished(end), "").otherwise(F.right(end, F.lit(LONGEST + 1)))
+        text = lambda done: F.when(done, F.left(start, F.lit(LONGEST + 1))).otherwise(start)
+        told = lambda done: F.struct(first_kind.alias("first_kind"), text(done).alias("first_text"), last_kind.alias("last_kind"), tail.alias("tail"), done.alias("settled"))
+        return _bind(settled, told)
 
     return _bind(F.filter(blocks, _carries), of)
 
