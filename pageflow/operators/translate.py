@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
 import pandas as pd
@@ -138,15 +139,20 @@ def payload_json(page: Column, blocks: Column, removed: Column, revised: Column,
 class Batch:
     """What one read-through gives: pages to show, and rows for the stores.
 
-    `pages` has all pages, reduced through the whole document, with `source`; `writes` are
-    upserts of translations (cache_key, document_id, page, payload, cache_version, arrival);
-    `observations` are rows for the navigation store (document_id, observation, arrival).
+    `writes` are upserts of translations (cache_key, document_id, page, payload, cache_version,
+    arrival); `observations` are rows for the navigation store (document_id, observation, arrival);
+    `shown` has each page's blocks and source before they are reduced.
     """
 
-    pages: DataFrame
+    shown: DataFrame
     writes: DataFrame
     observations: DataFrame
 
+    @cached_property
+    def pages(self) -> DataFrame:
+        """All pages, reduced through the whole document, with `source`; worked out once, and only if asked for."""
+        return reconcile(self.shown, ("source",))
+
     def translations_after(self, stored: DataFrame) -> DataFrame:
         """The stored translations with the writes folded in, by version."""
         return fold_into(stored, self.writes, value=("payload",))
@@ -200,7 +206,7 @@ def translate_batch(pages: DataFrame, translations: DataFrame, provider: Provide
     revised = met.filter("revision IS NOT NULL").select("document_id", back.alias("page"), F.col("revision").alias("revised"))
     shown = answer.unionByName(read).select("document_id", "page", "blocks", "source").join(revised, ["document_id", "page"], "left")
     shown = shown.select("document_id", "page", F.coalesce("revised", "blocks").alias("blocks"), F.when(F.col("revised").isNotNull(), "api").otherwise(F.col("source")).alias("source"))
-    return Batch(reconcile(shown, ("source",)), writes, observations)
+    return Batch(shown, writes, observations)
 
 
 def read_through(pages: DataFrame, translations: DataFrame, provider: Provider, calls: float | None = None) -> DataFrame:
