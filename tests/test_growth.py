@@ -1,8 +1,13 @@
 """Steps whose cost once grew faster than their input: what they do for a row is counted, and odd rows keep their results."""
 
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from pageflow.operators import navigation as N
+from pageflow.streaming import live as L
 
 
 def parses(df) -> int:
@@ -42,3 +47,33 @@ def test_observations_are_parsed_once(spark, tmp_path):
     got = {r.i: r.o for r in df.collect()}
     assert (got[0].pdfPage, got[0].isTableOfContents, [tuple(e) for e in got[0].tocEntries], tuple(got[0].anchor)) == (3, True, [(3, 0, "t", "1", None, "roman", 0)], (3, "v", 5, "roman"))
     assert all((got[i].pdfPage, got[i].isTableOfContents, got[i].tocEntries, got[i].anchor) == (0, False, [], None) for i in (1, 2, 3, 4))
+
+
+def test_stale_results_meet_no_pairs(spark, tmp_path):
+    """One document with many loads at once; results with null fields, micro-seconds and numbers above 2**53 come out whole."""
+    r = random.Random(4)
+    at = lambda s: datetime(2026, 1, 1) + timedelta(microseconds=int(s * 1e6) + 1)
+    loads = [("d", r.randrange(1000), at(r.uniform(0, 20_000))) for _ in range(400)]
+    results = [("d", r.randrange(1000) if i % 9 else None, at(r.uniform(0, 20_000)), (1 << 60) + i if i % 5 else None) for i in range(300)] + [(None, 1, at(5), 1), ("d", 1, None, 2)]
+    want = [x for x in results if x[2] and not any(x[0] == d and x[1] is not None and q > x[1] and x[2] - timedelta(hours=1) <= t <= x[2] for d, q, t in loads)]
+    both = [(*x, False) for x in results] + [(*x, None, True) for x in loads] + [("d", 5, None, None, True), ("d", None, at(3), None, True), (None, 900, at(4), None, True)]
+    both += [("z", 0, at(90_000), -1, False), ("z", 0, at(90_000), None, True)]
+    schema = "document_id string, sequence long, time timestamp, i long, load boolean"
+    spark.createDataFrame(both, schema).write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    out = L.current_results_stream(s.filter("NOT load").drop("load"), s.filter("load").drop("load", "i"), "1 minute", "1 HOUR")
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert "StreamingSymmetricHashJoin" not in q._jsq.explainInternal(False)
+    got = [tuple(x) for x in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and 30 < len(want) < 280
+
+
+def test_largest_of_ranges():
+    r = np.random.default_rng(1)
+    order, value = np.sort(r.integers(0, 50, 40)), r.integers(-9, 9, 40)
+    first = r.integers(-5, 55, 200)
+    last = first + r.integers(0, 30, 200)
+    got = L.largest(order, value, first, last)
+    assert got.tolist() == [max((v for o, v in zip(order, value, strict=True) if a <= o <= b), default=-(1 << 63)) for a, b in zip(first, last, strict=True)]
+    assert L.largest(order[:0], value[:0], first, last).tolist() == [-(1 << 63)] * 200
