@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pageflow.operators import navigation as N
+from pageflow.operators import store as D
+from pageflow.sources import books as K
 from pageflow.streaming import live as L
 
 
@@ -77,3 +79,32 @@ def test_largest_of_ranges():
     got = L.largest(order, value, first, last)
     assert got.tolist() == [max((v for o, v in zip(order, value, strict=True) if a <= o <= b), default=-(1 << 63)) for a, b in zip(first, last, strict=True)]
     assert L.largest(order[:0], value[:0], first, last).tolist() == [-(1 << 63)] * 200
+
+
+def test_oversized_contents_are_refused_by_their_letters(spark, tmp_path):
+    cap = D.CONTENTS_LENGTH
+    rows = [(0, "a", 1), (1, "a", cap + 1), (2, "\\", cap // 2), (3, "a", cap - 200), (4, "é", cap - 200)]
+    entry = F.struct(F.lit(1).cast("long").alias("sourcePage"), F.lit(0).alias("ordinal"), F.expr("repeat(c, n)").alias("title"), F.lit("1").alias("label"), F.lit(None).cast("long").alias("value"), F.lit("arabic").alias("numbering"), F.lit(0).alias("level"))
+    anchor = F.lit(None).cast("struct<label:string,value:bigint,numbering:string>").alias("anchor")
+    o = F.struct(F.lit(1).cast("long").alias("pdfPage"), F.lit(True).alias("isTableOfContents"), F.array(entry).alias("tocEntries"), anchor).alias("observation")
+    spark.createDataFrame(rows, "i int, c string, n int").write.parquet(f"{tmp_path}/log")
+    got = D.checked_observations(spark.read.parquet(f"{tmp_path}/log").select("i", F.lit("d").alias("document_id"), o))
+    assert {r.i: r.rejected for r in got.select("i", "rejected").collect()} == {0: None, 1: "size", 2: "size", 3: None, 4: None}
+    plan = got.select("i", "rejected")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and plan.index("aggregate(") < plan.index("StructsToJson")
+
+
+def test_fnv1a_holds_a_bounded_part():
+    import tracemalloc
+
+    rows = [bytes([i % 251]) * (20_000 + i) for i in range(1000)] + [b"", b"a" * 3_000_000]
+    tracemalloc.start()
+    got = K.fnv1a(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    for i in (0, 500, 999, 1000):
+        x = K.FNV_OFFSET
+        for b in rows[i]:
+            x = (x ^ b) * K.FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+        assert got[i] == x
