@@ -22,6 +22,21 @@ _WORD = "[A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ]+(?=[\\s.,;:!?]|$)"
 #: Else one optional space with what follows it, or white space: cuts that the byte-level pattern makes too.
 _BYTE_PIECES = re.compile(rf" ?{_WORD}| ?\S+|\s+(?!\S)|\s+")
 _WORD_PIECES = re.compile(rf"{_WORD}|\S+")
+#: Letters alone, which the byte-level pattern does not cut.
+_LETTERS = re.compile(" ?" + _WORD.partition("(")[0])
+
+
+def _byte_names() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _bytes_of(ids: list[list[int]]) -> list[bytes]:
+    flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = list(accumulate(map(len, ids), initial=0))
+    return [flat[4 * a : 4 * b] for a, b in pairwise(ends)]
 
 
 class Encoder:
@@ -39,6 +54,7 @@ class Encoder:
         #: What sends a text to the library whole.
         self.odd = [*_ODD, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         self.byte_level = self.tok.normalizer is None
+        self.names = _byte_names()
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = most
@@ -49,12 +65,18 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         ids = [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = memoryview(np.fromiter(chain.from_iterable(ids), "<u4").tobytes())
-        ends = list(accumulate(map(len, ids), initial=0))
-        return [bytes(flat[4 * a : 4 * b]) for a, b in pairwise(ends)]
+        return _bytes_of(ids)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The same of pieces of letters alone: no pattern has to look where they are cut, so they go to the library's model at once."""
+        merge, names = self.tok.model.tokenize, self.names
+        return _bytes_of([[x.id for x in merge(w.encode().decode("latin-1").translate(names))] for w in words])
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one text, and cut the ids at the mark between them."""
+        """Encode new pieces: words of a byte-level vocabulary at once, others many in one text, whose ids are cut at the mark between them."""
+        if self.byte_level:
+            words, pieces = [p for p in pieces if _LETTERS.fullmatch(p)], [p for p in pieces if not _LETTERS.fullmatch(p)]
+            self.cache.update(zip(words, self._words(words), strict=True))
         plain = [p for p in pieces if self.mark not in p and not p.isspace()]
         texts = [self.between.join(plain[i : i + 512]) for i in range(0, len(plain), 512)]
         for at, x in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):

@@ -203,3 +203,22 @@ def test_stitch(spark, ids, size):
             want.append((start, i + 1 - start, True))
             start = i + 1
     assert got == want + ([(start, len(ids) - start, False)] if start < len(ids) else [])
+
+
+def test_new_words_are_not_cut_again():
+    """Words of letters go to the library's model at once; its pattern sees other pieces only, and the ids are the library's."""
+    enc = Encoder(tokenizer_path(NAMES[0]))
+    seen = []
+
+    class Watched:
+        model = enc.tok.model
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    whole, enc.tok = enc.tok, Watched()
+    texts = ["Über straße naïvely zzqx, nothing", " Ǆ ɏx İs it's 12ab", "a" * 3000 + " b", "", "été́ ſ\nword"]
+    got = enc.encode(texts)
+    assert got == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not any(w in t for t in seen for w in ("Über", "straße", "naïvely", "zzqx", "nothing", "aaa")) and any("12ab" in t for t in seen)
