@@ -108,3 +108,22 @@ def test_fnv1a_holds_a_bounded_part():
         for b in rows[i]:
             x = (x ^ b) * K.FNV_PRIME & 0xFFFFFFFFFFFFFFFF
         assert got[i] == x
+
+
+def test_a_label_is_trimmed_once_and_without_patterns(spark, tmp_path):
+    """Every letter of WHITE goes at both ends and no other; a page's label is trimmed once, a page's blocks are looked through once."""
+    import regex
+
+    from pageflow.functions import text as T
+
+    white = regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", T.WHITE))
+    letters = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    spark.createDataFrame([(c, f"{c} x{c}y {c}") for c in letters], "c string, t string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert all(r.x == ("" if white.fullmatch(r.c) else r.c) for r in df.select("c", T.trim(F.col("c")).alias("x")).collect())
+    assert all(r.x == (f"x{r.c}y" if white.fullmatch(r.c) else r.t) for r in df.select("c", "t", T.trim(F.col("t")).alias("x")).collect())
+    plan = lambda column: df.select(column)._jdf.queryExecution().optimizedPlan().toString()
+    reference = plan(T.page_reference(F.col("t")))
+    assert "regexp_replace" not in reference and reference.count("trim(") == 2
+    blocks = F.array(F.struct(*(F.col("t").alias(n) for n in ("kind", "text", "marker", "trailing")), F.lit(0).alias("indent")))
+    assert plan(N.observe(blocks, F.lit(1))).count("= page_number") <= 2
