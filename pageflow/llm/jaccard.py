@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_words, mix64, new_folder, released, rolling, utf8, width, written
+from .common import chunks, hash_words, mix64, new_folder, released, rolling, tidy, utf8, width, written
 from .graph import connected_components
 from .portions import bucket_count, bucket_cuts, keep_portion, portion_id, portions, read_portion, row_ids
 from .substrings import read_segment, write_segment
@@ -80,6 +80,7 @@ def document_counts(docs: DataFrame, n: int, portion_mb: float) -> tuple[DataFra
     spark = docs.sparkSession
     buckets, texts = bucket_count(spark), new_folder(spark, "portions")
 
+    @tidy
     def send(batches):
         import pyarrow as pa
 
@@ -236,6 +237,7 @@ def blocks_of(named: DataFrame, tokens: int) -> DataFrame:
     spark = named.sparkSession
     ordered = named.repartitionByRange(width(spark), "hub", "n", "rep").sortWithinPartitions("hub", "n", "rep")
 
+    @tidy
     def add(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -276,6 +278,7 @@ def block_fragments(sets: DataFrame, fragments: int) -> DataFrame:
     once, however many other blocks its own one meets.
     """
 
+    @tidy
     def pack(batches):
         import pyarrow as pa
 
@@ -346,6 +349,7 @@ def links_of(cut: DataFrame, placed: DataFrame, pairs: DataFrame, percent: int)
                 add_overlaps(total, waiting.pop(fragment), held)
         return known, total
 
+    @tidy
     def link(batches):
         import pyarrow as pa
 

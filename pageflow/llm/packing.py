@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import width, written
+from .common import small_batches, tidy, width, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -106,6 +106,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every whole text's ids with the end id, in one pass over the scan."""
 
+    @tidy
     def cut(batches):
         import pyarrow as pa
 
@@ -143,6 +144,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = dealt.withColumn(place_, number).join(shift.hint("shuffle_merge"), ["length", s]).withColumn(rank, F.col(place_) + F.col(first))
     names = pieces.columns
 
+    @tidy
     def place(batches):
         import pyarrow as pa
 
@@ -159,5 +161,6 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    pieces, _ = written(spark, token_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    with small_batches(spark):
+        pieces, _ = written(spark, token_pieces(docs, tokenizer, end_id, capacity), "pieces")
     return pack_pieces(pieces, capacity)

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_path, hash_words, new_folder, released, rolling, scratch_path, utf8, width, written
+from .common import chunks, drop_path, hash_words, new_folder, released, rolling, scratch_path, tidy, utf8, width, written
 from .files import open_fs, write_whole
 from .portions import bucket_count, bucket_cuts, keep_portion, portion_id, portions, read_portion
 
@@ -223,6 +223,7 @@ class FingerprintIndex:
         spark, window, buckets, bits = self.spark, self.state["window"], self.state["buckets"], self.state["bits"]
         texts, run, runs = new_folder(spark, "portions"), self._new_run(), [{**r, "buckets": set(r["buckets"])} for r in self.state["runs"]]
 
+        @tidy
         def send(batches):
             import pyarrow as pa
 

@@ -222,3 +222,15 @@ def test_new_words_are_not_cut_again():
     got = enc.encode(texts)
     assert got == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
     assert not any(w in t for t in seen for w in ("Über", "straße", "naïvely", "zzqx", "nothing", "aaa")) and any("12ab" in t for t in seen)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Whole batches of 10,000 texts lay in the buffers of two tasks; so few rows do now, and the session's own setting stays."""
+    from pageflow.llm.common import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark, 100):
+        sizes = spark.range(0, 1000, numPartitions=1).mapInArrow(lambda bs: (__import__("pyarrow").RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) == 100
+    assert spark.conf.get(name) == before
