@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_groups, width, written
+from .common import new_folder, small_batches, text_groups, tidy, width, written
 from .files import open_fs, write_whole
 
 #: Ids in a word by selector, each in 60 // n bits (the word's 60 bits); 15 is the escape.
@@ -183,6 +183,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
+    @tidy
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -214,7 +215,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
         if doc_ids:
             yield put()
 
-    return written(spark, rows.mapInArrow(write, "part int, k int, file string, n_ids long, n_docs long"), "files")[0]
+    with small_batches(spark):
+        return written(spark, rows.mapInArrow(write, "part int, k int, file string, n_ids long, n_docs long"), "files")[0]
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from codecs import charmap_decode
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -26,11 +27,12 @@ _WORD_PIECES = re.compile(rf"{_WORD}|\S+")
 _LETTERS = re.compile(" ?" + _WORD.partition("(")[0])
 
 
-def _byte_names() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+def _byte_names() -> str:
+    """The letters that stand for the bytes in a byte-level vocabulary: each itself if it can be seen, else one from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(seen)]
-    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    names = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return "".join(names[b] for b in range(256))
 
 
 def _bytes_of(ids: list[list[int]]) -> list[bytes]:
@@ -48,13 +50,21 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         #: What sends a text to the library whole.
         self.odd = [*_ODD, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
         self.byte_level = self.tok.normalizer is None
         self.names = _byte_names()
+        if self.byte_level:
+            #: The same model, which takes pieces that the letter of the line feed parts, as they are.
+            self.plain = Tokenizer(self.tok.model)
+            self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.names[10])
+            vocabulary = self.tok.get_vocab()
+            #: How many bytes each id stands for.
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = most
@@ -68,14 +78,28 @@ class Encoder:
         return _bytes_of(ids)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The same of pieces of letters alone: no pattern has to look where they are cut, so they go to the library's model at once."""
-        merge, names = self.tok.model.tokenize, self.names
-        return _bytes_of([[x.id for x in merge(w.encode().decode("latin-1").translate(names))] for w in words])
+        """The same of pieces of letters alone: no pattern has to look where they are cut, so they go to the library's model in their bytes' letters.
+
+        Ids stand for all the bytes, so where a word's end is told by the bytes before it.
+        """
+        out = []
+        for i in range(0, len(words), 512):
+            text = "\n".join(words[i : i + 512]).encode()
+            ids = np.array(self.plain.encode_batch_fast([charmap_decode(text, "strict", self.names)[0]], add_special_tokens=False)[0].ids, "<u4")
+            feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+            ends = np.append(feeds, len(text)) - np.arange(len(feeds) + 1)
+            last = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces: words of a byte-level vocabulary at once, others many in one text, whose ids are cut at the mark between them."""
         if self.byte_level:
-            words, pieces = [p for p in pieces if _LETTERS.fullmatch(p)], [p for p in pieces if not _LETTERS.fullmatch(p)]
+            words, rest = [], []
+            for p in pieces:
+                (words if _LETTERS.fullmatch(p) else rest).append(p)
+            pieces = rest
             self.cache.update(zip(words, self._words(words), strict=True))
         plain = [p for p in pieces if self.mark not in p and not p.isspace()]
         texts = [self.between.join(plain[i : i + 512]) for i in range(0, len(plain), 512)]

@@ -224,6 +224,16 @@ def test_new_words_are_not_cut_again():
     assert not any(w in t for t in seen for w in ("Über", "straße", "naïvely", "zzqx", "nothing", "aaa")) and any("12ab" in t for t in seen)
 
 
+def test_words_learned_together_have_the_librarys_ids():
+    """Words of letters whose bytes have other names, long and short, with and without a space, some of them twice as long as others."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    words = [f"{space}{a}{b}" for space in ("", " ") for a in ("a", "É", "ñandú", "thing" * 40, "ÿ") for b in ("", "x", "ığ", "À" * 9, *(chr(97 + i % 26) * (i // 26 + 1) for i in range(200)))]
+    enc = Encoder(path)
+    got = enc._words(words)
+    assert len(enc.plain.encode("aĊb").ids) == 2  # parted where the line feed's letter stands
+    assert got == enc._whole(words)
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     """Whole batches of 10,000 texts lay in the buffers of two tasks; so few rows do now, and the session's own setting stays."""
     from pageflow.llm.common import small_batches
