@@ -247,7 +247,8 @@ def context_tree_scores(docs: DataFrame, held_out, portion_mb: float = 16) -> Da
         return pa.table({"last": t.column("last").slice(0, 1), **{k: _lists(_dense(t.column(k)).sum(axis=0)) for k in dense}})
 
     kinds = "last int, " + ", ".join(f"{k} array<double>" for k in dense)
-    roots = grams.groupBy("pair").applyInArrow(grow, kinds).groupBy("last").applyInArrow(add, kinds).toArrow()  # at most 256 rows
+    roots, _ = written(spark, grams.groupBy("pair").applyInArrow(grow, kinds).groupBy("last").applyInArrow(add, kinds), "roots")  # what the subtrees took to get here goes
+    roots = roots.toArrow()  # at most 256 rows
     order = np.argsort(roots.column("last").to_numpy())
     reach, sure = top_levels(*(_dense(roots.column(k))[order] for k in dense)) if len(order) else (None, None)
     place = {int(b): i for i, b in enumerate(roots.column("last").to_numpy()[order])}
