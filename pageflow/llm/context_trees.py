@@ -9,12 +9,14 @@ estimates depend on counts only, so the trees follow from the counts of byte 6-g
 all training documents, and the prediction of a byte after its context is a mixture over
 all six depths with the trained weights.
 
-Counting: portions of documents reduce to their distinct 6-grams and words, which are
-summed over the corpus.  Trees: contexts that share their last two bytes lie in one
-subtree, built in one task (at most 256**4 6-grams, in text far fewer); their roots are
+Counting: portions of documents reduce to their distinct 6-grams and words, which go out in
+sorted segments, one for each bucket of keys, and are summed there; the bucket keeps the
+segments in a file of the shared folder.  Trees: contexts that share their last two bytes lie
+in one subtree, built in one task (at most 256**4 6-grams, in text far fewer); their roots are
 summed by the last byte, 256 pairs a group, and what the two levels above pass on is one
-dense row for each byte (256 of them, a megabyte in all).  Scoring: each portion meets the
-values of just its own 6-grams and words; the text itself is never shuffled.
+dense row for each byte (256 of them, a megabyte in all).  Scoring: values go to the buckets,
+where each kept segment is answered, so a portion meets the values of just its own 6-grams and
+words; neither they nor the text are shuffled a second time on their way out.
 
 Words are counted by their 64-bit hashes.
 
@@ -29,8 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hash_words, new_folder, released, utf8, written
-from .portions import keep_portion, portion_id, portions, read_portion
+from .common import chunks, hash_words, mix64, new_folder, released, tidy, utf8, width, written
+from .portions import bucket_count, keep_portion, portion_id, portions, read_portion
 
 DEPTH = 5
 HALF = np.log(0.5)
@@ -186,6 +188,37 @@ def gram_sums(gram: np.ndarray, sizes: np.ndarray, keys: np.ndarray, logs: np.nd
     return out
 
 
+def segment_buckets(spark) -> int:
+    """Buckets of keys: 1024 at most in sessions of a usual width, so that the segments of a portion do not grow short as the session grows wide."""
+    return min(bucket_count(spark), max(1024, width(spark) // 4))
+
+
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix64(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes with all first bytes together, then all second ones and so on: like bytes stand together, as codecs like it."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def pack_keys(key: np.ndarray) -> bytes:
+    """A sorted segment: its first key and the steps between keys."""
+    return planes(np.diff(key, prepend=key.dtype.type(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data))
+
+
+def _joined(segments, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *segments])
+
+
 def _lists(x: np.ndarray):
     import pyarrow as pa
 
@@ -205,8 +238,9 @@ def context_tree_scores(docs: DataFrame, held_out, portion_mb: float = 16) -> Da
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    texts = new_folder(spark, "portions")
+    texts, kept, buckets = new_folder(spark, "portions"), new_folder(spark, "segments"), segment_buckets(spark)
 
+    @tidy
     def gather(batches):
         import pyarrow as pa
 
@@ -222,15 +256,34 @@ def context_tree_scores(docs: DataFrame, held_out, portion_mb: float = 16) -> Da
                 found[1].append(counted(words.view(np.int64), np.repeat(own, sizes)))
             for kind, parts in enumerate(found):
                 key, n = reduced(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                for at in range(0, len(key), 1 << 18):
-                    k = key[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_pydict({"g": np.full(len(k), g), "kind": np.full(len(k), kind, np.int32), "key": k, "n": n[at : at + len(k)].astype(np.int64)})
-
-    local, _ = written(spark, rows.mapInArrow(gather, "g long, kind int, key long, n long"), "local")
-    totals = local.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    words = totals.filter("kind = 1").select("key", F.col("n").cast("double").alias("value"))
-    grams = totals.filter("kind = 0").select("key", "n", (F.shiftright("key", 8).bitwiseAND(F.lit(65535))).alias("pair"))
-    grams, _ = written(spark, grams, "grams")
+                own = _bucket_of(key, buckets)
+                order = np.argsort(own.astype(np.uint16) if buckets <= 1 << 16 else own, kind="stable")
+                key, n = key[order], n[order].astype(np.int64)
+                cuts = np.searchsorted(own[order], np.arange(buckets + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cuts))
+                for at in range(0, len(some), 64):
+                    few = some[at : at + 64]
+                    ends = list(zip(cuts[few].tolist(), cuts[few + 1].tolist(), strict=True))
+                    columns = [pa.array(few, pa.int32()), pa.array(np.full(len(few), g)), pa.array(np.full(len(few), kind, np.int32)), pa.array([pack_keys(key[a:b]) for a, b in ends]), pa.array([planes(n[a:b]) for a, b in ends])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "g", "kind", "keys", "counts"])
+
+    @released
+    def merge(t):
+        import pyarrow as pa
+
+        bucket = t.column("bucket")[0].as_py()
+        keep_portion(kept, bucket, t.select(["g", "kind", "keys"]))
+        tables = []
+        for k in (0, 1):
+            own = t.filter(pa.array(t.column("kind").to_numpy() == k))
+            key, n = reduced(_joined(map(unpack_keys, own.column("keys").to_pylist())), _joined(map(unplanes, own.column("counts").to_pylist())))
+            tables.append(pa.table({"bucket": np.full(len(key), bucket, np.int32), "kind": np.full(len(key), k, np.int32), "key": key, "n": n}))
+        return pa.concat_tables(tables)
+
+    segments = rows.mapInArrow(gather, "bucket int, g long, kind int, keys binary, counts binary")
+    totals, _ = written(spark, segments.groupBy("bucket").applyInArrow(merge, "bucket int, kind int, key long, n long"), "totals")
+    words = totals.filter("kind = 1").select("bucket", "kind", "key", F.col("n").cast("double").alias("value"))
+    grams = totals.filter("kind = 0").select("bucket", "key", "n", (F.shiftright("key", 8).bitwiseAND(F.lit(65535))).alias("pair"))
     dense = ("zeros", "ones", "weights")
 
     @released
@@ -259,26 +312,42 @@ def context_tree_scores(docs: DataFrame, held_out, portion_mb: float = 16) -> Da
 
         gram, at = t.column("key").to_numpy(), place[t.column("pair")[0].as_py() & 255]
         tree = Subtree(gram, t.column("n").to_numpy())
-        return pa.table({"key": gram, "value": tree.log10(gram, reach[at], sure[at])})
+        return pa.table({"bucket": t.column("bucket"), "kind": np.zeros(len(gram), np.int32), "key": gram, "value": tree.log10(gram, reach[at], sure[at])})
 
-    model = grams.groupBy("pair").applyInArrow(predict, "key long, value double")
-    words, _ = written(spark, words, "words")
+    model = grams.groupBy("pair").applyInArrow(predict, "bucket int, kind int, key long, value double")
     counts = words.agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.sum((F.col("value") > 0).cast("long"))).first()
     ends = rows.filter(~F.col("held_out")).count()
     n_train, distinct = int(counts[0]) + ends, int(counts[1] or 0) + (ends > 0)
-    known = model.select(F.lit(0).alias("kind"), "key", "value").unionByName(words.select(F.lit(1).alias("kind"), "key", "value"))
-    values = local.select("g", "kind", "key").join(known.hint("shuffle_merge"), ["kind", "key"]).select("g", "kind", "key", "value")
+
+    @released
+    def answer(t):
+        import pyarrow as pa
+
+        held = read_portion(kept, t.column("bucket")[0].as_py())
+        kind, key, value = (t.column(c).to_numpy() for c in ("kind", "key", "value"))
+        known = []
+        for k in (0, 1):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(key[at])]
+            known.append((key[at], value[at]))
+        values = []
+        for k, own in zip(held.column("kind").to_pylist(), held.column("keys").to_pylist(), strict=True):
+            keys, found = known[k]
+            values.append(planes(found[np.searchsorted(keys, unpack_keys(own))]))
+        return held.append_column("values", pa.array(values, pa.binary()))
+
+    answers = model.unionByName(words).groupBy("bucket").applyInArrow(answer, "g long, kind int, keys binary, values binary")
 
     @released
     def score(own):
         import pyarrow as pa
 
         t = read_portion(texts, own.column("g")[0].as_py())
-        kind, key, value = (own.column(c).to_numpy() for c in ("kind", "key", "value"))
         tables = []
         for k in (0, 1):
-            at = np.flatnonzero(kind == k)
-            at = at[np.argsort(key[at])]
+            part = own.filter(pa.array(own.column("kind").to_numpy() == k))
+            key, value = _joined(map(unpack_keys, part.column("keys").to_pylist())), _joined((unplanes(x, np.float64) for x in part.column("values").to_pylist()), np.float64)
+            at = np.argsort(key)
             tables.append((key[at], value[at]))
         (grams, logs), (vocabulary, seen) = tables
         scale = n_train + 0.5 * (distinct + 1)
@@ -298,4 +367,4 @@ def context_tree_scores(docs: DataFrame, held_out, portion_mb: float = 16) -> Da
         return pa.table([t.column("doc_id"), t.column("held_out"), n, at_known, np.full(len(n), n_train), base, total, sizes, -total / sizes / np.log10(2)], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return values.groupBy("g").applyInArrow(score, schema)
+    return answers.groupBy("g").applyInArrow(score, schema)

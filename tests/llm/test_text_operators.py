@@ -110,6 +110,19 @@ def test_context_trees_predict_held_out_text(spark):
     assert sum(x.bits_per_byte * x.n_bytes for x in got) / n < 0.7 * order_0
 
 
+def test_context_trees_send_segments_not_grams(spark):
+    """A portion's keys lie in sorted segments, kept once by their bucket: no step has a row for each of a portion's grams, none joins them."""
+    from pageflow.llm import context_trees as C
+
+    for key in (np.array([-(1 << 63), -5, 0, 7, (1 << 63) - 1]), np.array([3]), np.empty(0, np.int64)):
+        assert C.unpack_keys(C.pack_keys(key)).tolist() == key.tolist()
+    logs = np.array([-0.5, 0.0, -308.25])
+    assert C.unplanes(C.planes(logs), np.float64).tolist() == logs.tolist()
+    rows = [(d, t[:1500] if t else t) for d, t in corpus()]
+    got = context_tree_scores(frame(spark, rows), held(), portion_mb=0.01)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def toxic_corpus():
     r, rows, labels = random.Random(5), [], []
     for i in range(600):
