@@ -228,6 +228,21 @@ def test_decontamination_finds_all_that_passes_its_check(spark):
     assert {(x.doc_id, x.item_id): (x.lcs, x.answer) for x in got} == want and len(got) == len(want) > 190
 
 
+def test_decontamination_finds_in_the_latent_space_what_another_order_hides(spark):
+    r = random.Random(6)
+    items = [r.sample([f"t{i}" for i in range(3000)], 24) for _ in range(20)]
+    prose = lambda: [f"t{r.randrange(3000)}" for _ in range(150)]
+    docs = [(i, prose()) for i in range(80)]
+    for i in range(0, 80, 8):
+        own = items[i // 8]
+        docs[i][1][60:60] = [*own[-6::-1], *own[-5:]]  # all before the answer stands the other way round
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = frame(spark, [(d, " ".join(w)) for d, w in docs])
+    got = decontaminate(rows, bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, i // 8) for i in range(0, 80, 8)} and max(x.lcs for x in got) < 0.45
+    assert decontaminate(rows, bench, cosine=1.01).count() == 0
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(50, 90)] + [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(100, 7), (7, 7)]
